@@ -122,7 +122,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
 def linked(index: DataFrame, links: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """Components of the graph whose links join ids sharing a ``key`` and passing a check.
 
-    ``index``: rows (key, id), as a written table. ``links`` turns rows (a, b), a <> b, into
+    ``index``: rows (key, id), read twice. ``links`` turns rows (a, b), a <> b, into
     the pairs (src, dst) that pass. First every id is tried against the smallest id of its
     key: as many pairs as index rows, however large the key. Ids that are then not in that
     smallest id's component ("strangers") are tried against all others of the key. Two ids

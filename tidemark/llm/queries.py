@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, quality_rules, secrets, simhash, toxicity
+from . import bpe, cotraining, decontaminate, html_extract, line_dedup, quality_rules, repeats, secrets, simhash, toxicity
 from .common import table, tuned
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.remove_repeats(table(tuned(spark), sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
     held = lambda c: F.crc32(c.cast("string").cast("binary")) % 5 == 0
@@ -32,6 +38,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = html_extract.extract(table(tuned(spark), sf_dir, "pages"))
+    return done.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(tuned(spark), sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -43,12 +54,24 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tuned(spark), sf_dir, "documents")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
+    scored = cotraining.score(docs, model)
+    return scored.select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.removals(table(tuned(spark), sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
     return quality_rules.score(docs).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op4_toxicity, op6_simhash, op7_secrets, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_prefix_doubling, op4_toxicity, op5_html, op6_simhash, op7_secrets, op8_cotraining, op9_line_dedup, op10_quality_rules)}
 
 #: DuckDB SQL where it can express a query on whole tables in reasonable time.
 ORACLE_SQL: dict[str, str] = {}
