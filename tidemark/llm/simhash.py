@@ -74,6 +74,7 @@ def classes(prints: DataFrame, scratch: Scratch, bits: int = 4) -> DataFrame:
     Works on distinct fingerprints: copies are one row, whatever their number.
     """
     ids = scratch.cut(prints.select(F.col("fp").alias("id")).distinct())
+    ids = ids.repartition(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a few MB that grow to many
     index = ids.select(F.explode(variants(F.col("id"), bits)).alias("key"), "id")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
     return linked(index, lambda pairs: pairs.where(near).select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch).select(F.col("id").alias("fp"), "component")
