@@ -22,8 +22,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five words a shingle, at most four bits apart."""
-    return simhash.keep_one(docs, bits=4, width=5)
+    """One document of each near-duplicate group stays: a similarity of 0.8 or more over five-word shingles."""
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, let, tuned
+from .common import WORD, Scratch, let
 
 
 @dataclass(frozen=True)
@@ -129,14 +129,11 @@ def fit(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, roun
     documents that a rule calls bad is estimated within ``most_false_alarms``, the prior
     knowledge that rules are written to be precise. An empty corpus gives the starting model.
     """
-    spark = tuned(df.sparkSession)
     model = Model(0.8, [0.005] * len(rules), [0.25] * len(rules))
     names = [f"v{i}" for i in range(len(rules))]
     counted = features(df.select(F.col(f"`{text}`").alias("text"))).select(*_votes("_q", rules)).groupBy(*names).agg(F.count("*").alias("n"))
-    rows = counted.collect()  # bounded by the rules, not by the corpus
-    if not rows:
-        return model
-    patterns = spark.createDataFrame(rows, counted.schema).coalesce(1).cache()
+    scratch = Scratch(df.sparkSession, "rules")
+    patterns = scratch.cut(counted.coalesce(1))  # its size is bounded by the rules, not by the corpus
     cols = [F.col(n) for n in names]
     for _ in range(rounds):
         p = _posterior(cols, model) * F.col("n")
@@ -146,13 +143,15 @@ def fit(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, roun
             for k, v in (("b", -1), ("g", 1)):
                 sums += [F.sum(F.when(c == v, p).otherwise(0.0)).alias(f"g{k}{i}"), F.sum(F.when(c == v, q).otherwise(0.0)).alias(f"b{k}{i}")]
         s = patterns.agg(*sums).first()
+        if s["good"] is None:
+            return model
         total = s["good"] + s["bad"]
         model = Model(
             min(0.995, max(0.005, (s["good"] + 1) / (total + 2))),
             [min(most_false_alarms, (s[f"gb{i}"] + 1) / (s[f"gb{i}"] + s[f"gg{i}"] + 2)) for i in range(len(rules))],
             [(s[f"bb{i}"] + 1) / (s[f"bb{i}"] + s[f"bg{i}"] + 2) for i in range(len(rules))],
         )
-    patterns.unpersist()
+    scratch.drop(patterns)
     return model
 
 

@@ -99,8 +99,53 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", b
     return prints.join(shared, "fp", "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(df: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
-    """The rows of ``df`` that are the first (smallest doc_id) of their near-duplicate group, with its columns."""
-    found = near_duplicates(df, bits=bits, width=width)
-    lost = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return df.join(Scratch(df.sparkSession, "simhash-lost").cut(lost), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+def shingle_set(text: str, width: int) -> set[bytes]:
+    words = _WORDS(text.encode().translate(_LOWER))
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def similar(near: DataFrame, docs: DataFrame, first: DataFrame, width: int, least: float, scratch: Scratch) -> DataFrame:
+    """Of the pairs (src, dst) of fingerprints, those whose first documents have a Jaccard similarity of ``least`` or more."""
+    near = scratch.cut(near)
+    ids = near.select(F.col("src").alias("fp")).union(near.select(F.col("dst").alias("fp"))).distinct()
+    wanted = first.join(ids, "fp", "left_semi")
+    lines = scratch.cut(docs.join(wanted, "doc_id").select("fp", "text").dropDuplicates(["fp"]))
+    both = near.join(lines.select(F.col("fp").alias("src"), F.col("text").alias("ta")), "src").join(lines.select(F.col("fp").alias("dst"), F.col("text").alias("tb")), "dst")
+
+    def work(c: dict) -> dict:
+        ok, last = [], (None, set())
+        for src, a, b in zip(c["src"].to_pylist(), texts(c["ta"]), texts(c["tb"]), strict=True):
+            if last[0] != src:
+                last = src, shingle_set(a, width)
+            other = shingle_set(b, width)
+            common = len(last[1] & other)
+            ok.append(common >= least * (len(last[1]) + len(other) - common))
+        mask = pa.array(ok, pa.bool_())
+        return {"src": c["src"].filter(mask), "dst": c["dst"].filter(mask)}
+
+    return arrow_map(both, ["src", "dst", "ta", "tb"], "src long, dst long", work)
+
+
+def keep_one(df: DataFrame, bits: int = 7, print_width: int = 2, width: int = 5, least: float = 0.8) -> DataFrame:
+    """The rows of ``df`` that are the first (smallest doc_id) of their near-duplicate group, with its columns.
+
+    Documents are near duplicates if their sets of ``width``-word shingles have a Jaccard
+    similarity of ``least`` or more. Candidates come from fingerprints over runs of
+    ``print_width`` words: one changed word in fifty moves a fingerprint over two words by
+    5 to 7 bits, one over five words by 10 to 14, and unrelated texts are 15 or more
+    apart in the former. Texts without a word are copies of one another. Rows with a null
+    doc_id or text stay as they are, unless an earlier text has no word either.
+    """
+    scratch = Scratch(df.sparkSession, "simhash-keep")
+    docs = df.select("doc_id", "text")
+    prints = scratch.cut(fingerprints(df, width=print_width))
+    first = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+    ids = first.select(F.col("fp").alias("id")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    index = ids.select(F.explode(variants(F.col("id"), bits)).alias("key"), "id")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
+    found = linked(index, lambda pairs: similar(pairs.where(near).select(F.col("a").alias("src"), F.col("b").alias("dst")), docs, first, width, least, scratch), scratch)
+    low = first.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    best = low.groupBy("component").agg(F.min("doc_id").alias("keeper"))
+    keepers = low.join(best, "component").select("fp", "keeper")
+    lost = scratch.cut(prints.join(keepers, "fp").where("doc_id <> keeper").select("doc_id").distinct())
+    return df.join(lost, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
