@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import let, tuned
 
 BUCKETS = 8192
+_NEVER = 1 << 40  # the rank of a pair that is no token
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -76,17 +77,20 @@ def fold_in_task(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if len(word) > 512:
         return _fold_long(word, ranks)
     parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-    while True:
-        best, at = min(((r, i) for i, r in enumerate(pairs) if r is not None), default=(None, -1))
-        if best is None:
-            return [ranks[p] for p in parts]
+    rank = ranks.get
+    pairs = [rank(word[i : i + 2], _NEVER) for i in range(len(word) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == _NEVER:
+            break
+        at = pairs.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
         del pairs[at]
         if at:
-            pairs[at - 1] = ranks.get(parts[at - 1] + parts[at])
+            pairs[at - 1] = rank(parts[at - 1] + parts[at], _NEVER)
         if at < len(pairs):
-            pairs[at] = ranks.get(parts[at] + parts[at + 1])
+            pairs[at] = rank(parts[at] + parts[at + 1], _NEVER)
+    return [ranks[p] for p in parts]
 
 
 def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -123,7 +127,7 @@ def word_table(df: DataFrame, text: str, pattern: str, ranks: dict[bytes, int],
     return {w: np.asarray(ids, "<i4").tobytes() for w, ids in zip(rows["w"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids", most_words: int = 1 << 16, most_bytes: int = 64, most_kept: int = 200_000) -> DataFrame:
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids", most_words: int = 1 << 18, most_bytes: int = 64, most_kept: int = 400_000) -> DataFrame:
     """Add ``out``: the token ids of each whole text, without special tokens.
 
     Null and empty texts give an empty array; repeated rows are encoded alike; a column
