@@ -117,7 +117,8 @@ def _searcher(shared, kind: T.ArrayType):
         for a in batches:
             yield pa.array([[dict(zip(names, h, strict=True)) for h in matcher.find(t)] for t in a.to_pylist()], arrow)
 
-    return hits_in
+    # else the filter that an explode implies would run the search a second time
+    return hits_in.asNondeterministic()
 
 
 def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", per: int = 16, block_bytes: int = 4 << 20, out: str = "hits") -> DataFrame:

@@ -8,18 +8,18 @@ allows: a position that is unique at some length is unique at any greater one.
    a run is that of its halves, as a fingerprint). In every window of ``least`` bytes the
    smallest 32-byte rank is its sample: equal windows have equal samples. Spark groups the
    sampled ranks; samples whose rank is unique drop out.
-2. The samples that are left are re-ranked by the whole stretch of windows they stand for,
-   two fingerprints of 64 bits. In each class of equal stretches the first is kept; all
-   windows of the later ones start earlier too. Samples whose 32-byte rank has only one
-   class are settled with that.
+2. The samples that are left are re-ranked by the whole stretch of windows they stand for:
+   the ranks at length ``least`` of its first and last window, which overlap. In each class
+   of equal stretches the first is kept; all windows of the later ones start earlier too.
+   Samples whose 32-byte rank has only one class are settled with that.
 3. Only first stretches that share a sample with a different stretch are ranked window by
-   window, at length ``least``; Spark finds the first start of each rank.
+   window. Spark sorts them by sample and place, and a pass over the sorted rows finds the
+   windows that started before; a sample with very many different stretches is instead
+   taken window by window, so that no sample has to fit a task.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,96 +99,134 @@ def _attains(grams: np.ndarray, low: np.ndarray, span: int) -> np.ndarray:
     return grams == highest[: len(grams)]
 
 
-def window_ranks(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    return run_ranks(data, least, _A[0]), run_ranks(data, least, _A[1])
+def stretch_ranks(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rank of the sample, rank of the whole stretch, first window, number of windows) of the stretches of a text."""
+    g, pos, lo, n = samples(data, least)
+    if not len(g):
+        return g, g, lo, n
+    w = run_ranks(data, least, _A[1])
+    h = _mixed(w[lo] * _A[0] + w[lo + n - 1]) * _A[1] + (n * 128 + pos - lo).astype(np.uint64)
+    return g, _mixed(h), lo, n
 
 
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def _digest(raw: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(raw, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def _longs(parts: list[np.ndarray]) -> pa.Array:
+    return pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))
+
+
+def _ints(parts: list[np.ndarray], kind=np.int32) -> pa.Array:
+    return pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(kind))
+
+
+def _sampled(df: DataFrame, least: int) -> DataFrame:
+    """The rank of every sample."""
+
+    def work(c: dict) -> dict:
+        return {"g": _longs([samples(_bytes(t), least)[0] for t in c["text"].to_pylist()])}
+
+    return arrow_map(df, ["text"], "g long", work)
 
 
-def _scan(df: DataFrame, least: int, hashes: bool) -> DataFrame:
-    """Rows per stretch: g (rank of the sample), and with ``hashes`` doc_id, lo, n and the stretch's two fingerprints."""
+def _stretches(df: DataFrame, least: int) -> DataFrame:
+    """Rows (g, h, doc_id, lo, n) per stretch."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def work(c: dict) -> dict:
-        out: list[list] = [[], [], [], [], [], []]
-        for i, t in enumerate(c["text"].to_pylist()):
-            data = _bytes(t)
-            g, pos, lo, n = samples(data, least)
-            out[0].append(g)
-            if hashes:
-                raw = data.tobytes()
-                d = [_digest(raw[a:b] + (p - a).to_bytes(4, "little")) for p, a, b in zip(pos.tolist(), lo.tolist(), (lo + n + least - 1).tolist(), strict=True)]
-                out[1].append(np.full(len(g), i))
-                out[2].append(lo)
-                out[3].append(n)
-                out[4] += [x[0] for x in d]
-                out[5] += [x[1] for x in d]
-        join = lambda x: np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)
-        g = pa.array(np.concatenate([np.zeros(0, np.uint64), *out[0]]).view(np.int64))
-        if not hashes:
-            return {"g": g}
-        return {"g": g, "doc_id": c["doc_id"].take(pa.array(join(out[1]))), "lo": pa.array(join(out[2]).astype(np.int32)), "n": pa.array(join(out[3]).astype(np.int32)), "h1": pa.array(out[4], pa.int64()), "h2": pa.array(out[5], pa.int64())}
-
-    return arrow_map(df, ["doc_id", "text"], f"g long, doc_id {kind}, lo int, n int, h1 long, h2 long" if hashes else "g long", work)
-
-
-def _windows(picked: DataFrame, least: int, kind: str) -> DataFrame:
-    """Rows (w1, w2, doc_id, p): the ranks at length ``least`` of the windows asked for."""
+        found = [stretch_ranks(_bytes(t), least) for t in c["text"].to_pylist()]
+        row = _ints([np.full(len(f[0]), i) for i, f in enumerate(found)], np.int64)
+        return {"g": _longs([f[0] for f in found]), "h": _longs([f[1] for f in found]), "doc_id": c["doc_id"].take(row), "lo": _ints([f[2] for f in found]), "n": _ints([f[3] for f in found])}
+
+    return arrow_map(df, ["doc_id", "text"], f"g long, h long, doc_id {kind}, lo int, n int", work)
+
+
+def _ranked(picked: DataFrame, least: int, kind: str) -> DataFrame:
+    """Rows (g, doc_id, lo, hot, w) per stretch asked for: w holds the ranks of its windows, eight bytes each."""
 
     def work(c: dict) -> dict:
-        w1, w2, at, which = [], [], [], []
+        g, row, lo, hot, w = [], [], [], [], []
         for i, (t, asked) in enumerate(zip(c["text"].to_pylist(), c["_at"].to_pylist(), strict=True)):
-            a, b = window_ranks(_bytes(t), least)
-            p = np.concatenate([np.arange(x["lo"], x["lo"] + x["n"]) for x in asked])
-            p = p[p < len(a)]
-            w1.append(a[p])
-            w2.append(b[p])
-            at.append(p)
-            which.append(np.full(len(p), i))
-        join = lambda x: np.concatenate([np.zeros(0, np.uint64), *x]).view(np.int64)
-        ints = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
-        return {"w1": pa.array(join(w1)), "w2": pa.array(join(w2)), "doc_id": c["doc_id"].take(pa.array(ints(which))), "p": pa.array(ints(at).astype(np.int32))}
+            ranks = run_ranks(_bytes(t), least, _A[1])
+            for x in asked:
+                part = ranks[x["lo"] : x["lo"] + x["n"]]
+                if len(part):
+                    g.append(x["g"])
+                    row.append(i)
+                    lo.append(x["lo"])
+                    hot.append(x["hot"])
+                    w.append(part.tobytes())
+        return {"g": pa.array(g, pa.int64()), "doc_id": c["doc_id"].take(pa.array(row, pa.int64())), "lo": pa.array(lo, pa.int32()), "hot": pa.array(hot, pa.bool_()), "w": pa.array(w, pa.binary())}
+
+    return arrow_map(picked, ["doc_id", "text", "_at"], f"g long, doc_id {kind}, lo int, hot boolean, w binary", work)
+
+
+def _seen_before(ranked: DataFrame, kind: str) -> DataFrame:
+    """Rows (doc_id, lo, n): runs of windows that an earlier row of the same sample holds. One pass over sorted rows."""
+
+    def run(batches):
+        seen: set[int] = set()
+        last = None
+        for batch in batches:
+            row, lo, n = [], [], []
+            for i, (g, at, w) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if g != last:
+                    seen, last = set(), g
+                ranks = np.frombuffer(w, np.int64).tolist()
+                old = np.fromiter((r in seen for r in ranks), np.int8, len(ranks))
+                seen.update(ranks)
+                turns = np.flatnonzero(np.diff(np.r_[0, old, 0])).reshape(-1, 2)
+                row += [i] * len(turns)
+                lo += (turns[:, 0] + at).tolist()
+                n += (turns[:, 1] - turns[:, 0]).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row, pa.int64())), pa.array(lo, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "lo", "n"])
+
+    return ranked.select("g", "doc_id", "lo", "w").mapInArrow(run, f"doc_id {kind}, lo int, n int")
+
+
+def _exploded(ranked: DataFrame, kind: str) -> DataFrame:
+    """Rows (g, w, doc_id, p), one per window."""
+
+    def work(c: dict) -> dict:
+        parts = [np.frombuffer(w, np.uint64) for w in c["w"].to_pylist()]
+        row = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]).astype(np.int64))
+        return {"g": c["g"].take(row), "w": _longs(parts), "doc_id": c["doc_id"].take(row), "p": _ints([a + np.arange(len(x)) for a, x in zip(c["lo"].to_pylist(), parts, strict=True)])}
 
-    return arrow_map(picked, ["doc_id", "text", "_at"], f"w1 long, w2 long, doc_id {kind}, p int", work)
+    return arrow_map(ranked, ["g", "doc_id", "lo", "w"], f"g long, w long, doc_id {kind}, p int", work)
 
 
-def repeated_windows(docs: DataFrame, scratch: Scratch, least: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, scratch: Scratch, least: int, most_in_task: int) -> DataFrame:
     """Rows (doc_id, lo, n): runs of window starts at which a window starts that also starts earlier."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    often = scratch.cut(_scan(docs, least, False).groupBy("g").count().where("count > 1").select("g"))
-    stretches = scratch.cut(_scan(docs, least, True).join(often, "g", "left_semi"))
-    scratch.drop(often)
-    first = stretches.groupBy("g", "h1", "h2").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("k"), F.min("n").alias("n"))
-    first = scratch.cut(first)
-    later = stretches.join(first.where("k > 1").select("h1", "h2", "first", F.col("g").alias("g_")), ["h1", "h2"]).where("g = g_ and struct(doc_id, lo) <> first").select("doc_id", "lo", "n")
-    later = scratch.cut(later, drop=stretches)
-    several = first.groupBy("g").count().where("count > 1").select("g")
-    asked = first.join(several, "g", "left_semi").select("first.doc_id", "first.lo", "n").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("_at"))
-    windows = scratch.cut(_windows(docs.join(asked, "doc_id"), least, kind), drop=first)
-    starts = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    more = windows.join(starts, ["w1", "w2"]).where("struct(doc_id, p) <> first").select("doc_id", F.col("p").alias("lo"), F.lit(1).alias("n"))
-    return later.union(more)
-
-
-def remove_repeats(df: DataFrame, least: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    often = scratch.cut(_sampled(docs, least).groupBy("g").count().where("count > 1").select("g"))
+    stretches = scratch.cut(_stretches(docs, least).join(often, "g", "left_semi"), drop=often)
+    first = scratch.cut(stretches.groupBy("g", "h").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("k"), F.min("n").alias("n")))
+    later = scratch.cut(stretches.join(first.where("k > 1").select("g", "h", "first"), ["g", "h"]).where("struct(doc_id, lo) <> first").select("doc_id", "lo", "n"), drop=stretches)
+    several = first.groupBy("g").count().where("count > 1").select("g", (F.col("count") > most_in_task).alias("hot"))
+    asked = first.join(several, "g").select("first.doc_id", "first.lo", "n", "g", "hot").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "g", "hot")).alias("_at"))
+    ranked = scratch.cut(_ranked(docs.join(asked, "doc_id"), least, kind), drop=first)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    early = _seen_before(ranked.where("not hot").repartition(parts, "g").sortWithinPartitions("g", "doc_id", "lo"), kind)
+    windows = _exploded(ranked.where("hot"), kind)
+    starts = windows.groupBy("g", "w").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    more = windows.join(starts, ["g", "w"]).where("struct(doc_id, p) <> first").select("doc_id", F.col("p").alias("lo"), F.lit(1).alias("n"))
+    return later.union(early).union(more)
+
+
+def remove_repeats(df: DataFrame, least: int = 100, doc_id: str = "doc_id", text: str = "text", most_in_task: int = 20_000) -> DataFrame:
     """Rows (doc_id, text, spans, kept): spans (start, end) of removed bytes, and the bytes that stay.
 
     One row per input row; null and empty texts have no spans and keep no bytes. "Earlier"
     is a smaller doc_id or, within a document, a smaller start; strings never cross
     documents and are judged on the input. Null doc_ids neither remove nor lose anything.
     Rows that share a doc_id have one place in the order: a string they both hold at the
-    same offset doesn't start earlier in either.
+    same offset doesn't start earlier in either. ``most_in_task`` is the number of different
+    stretches of one sample up to which a task compares them; it changes no result.
     """
     scratch = Scratch(df.sparkSession, "repeats")
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    found = repeated_windows(docs.where("doc_id is not null"), scratch, least)
+    found = repeated_windows(docs.where("doc_id is not null"), scratch, least, most_in_task)
     asked = scratch.cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("_at"))).withColumnRenamed("doc_id", "_d")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
