@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,18 +122,24 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
 def linked(index: DataFrame, links: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
     """Components of the graph whose links join ids sharing a ``key`` and passing a check.
 
-    ``index``: rows (key, id), read twice. ``links`` turns rows (a, b), a <> b, into
-    the pairs (src, dst) that pass. First every id is tried against the smallest id of its
-    key: as many pairs as index rows, however large the key; keys of two ids are then done.
-    In larger keys, ids that are not in that smallest id's component ("strangers") are tried against all others of the key. Two ids
-    of a key that differ in component can't both be in the smallest one's, so no link
-    between different components is missed. Returns (id, component) for linked ids.
+    ``index``: rows (key, id) and optionally ``near``, by which alike ids of a key sort
+    together; read twice. ``links`` turns rows (a, b), a <> b, into the pairs (src, dst)
+    that pass. First every id is tried against the smallest id of its key and against its
+    neighbour in order: at most twice as many pairs as index rows, however large the key;
+    keys of two ids are then done. In larger keys, ids that are not in that smallest id's
+    component ("strangers") are tried against all others of the key that differ in
+    component. Two ids of a key that differ in component can't both be in the smallest
+    one's, so no link between different components is missed. Returns (id, component) for
+    linked ids.
     """
     low = index.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "low", "n")
-    first = index.join(low, "key").where("id <> low")
-    edges = scratch.cut(links(first.select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()))
+    first = index.join(low, "key")
+    order = Window.partitionBy("key").orderBy(*(["near", "id"] if "near" in index.columns else ["id"]))
+    chain = first.where("n > 2").withColumn("before", F.lag("id").over(order)).where("before <> id")
+    tries = first.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).union(chain.select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b")))
+    edges = scratch.cut(links(tries.distinct()))
     comp = scratch.cut(components(edges, scratch))
-    known = first.where("n > 2").select("key", "low", "id").join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    known = first.where("n > 2 and id <> low").select("key", "low", "id").join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     known = known.join(comp.select(F.col("id").alias("low"), F.col("component").alias("lc")), "low", "left").withColumn("lc", F.coalesce("lc", "low"))
     known = scratch.cut(known.select("key", "id", "c", (F.col("c") != F.col("lc")).alias("stranger")))
     odd = known.where("stranger").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))

@@ -161,14 +161,16 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     Lines are compared in plain form (lower case, white space runs as one space); lines
     without a word are left alone. Of each component of lines linked at Jaccard ``least``
     over 10-character shingles, the first by (doc_id, line number) stays. Null and empty
-    texts have no lines and give no row. Rows sharing a doc_id count as one document; null
-    doc_ids come first.
+    texts have no lines and give no row. Rows sharing a doc_id count as one document whose
+    lines are counted together; null doc_ids come first.
     """
     scratch = Scratch(df.sparkSession, "lines")
     rows = scratch.cut(scan(df, doc_id, text))
     bands = [f"b{k}" for k in range(BANDS)]
     distinct = scratch.cut(rows.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), *[F.min(b).alias(b) for b in bands]))
-    index = distinct.select(F.explode(F.array(*bands)).alias("key"), F.col("h").alias("id"))
+    # lines that share a band sort by their next one, so that those sharing two are neighbours
+    keyed = F.array(*[F.struct(F.col(b).alias("key"), F.col(bands[(k + 1) % BANDS]).alias("near")) for k, b in enumerate(bands)])
+    index = distinct.select(F.explode(keyed).alias("k"), F.col("h").alias("id")).select("k.key", "id", "k.near")
     known: list[DataFrame] = []
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -186,7 +188,7 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     shared = scratch.cut(named.where("n > 1 or component is not null").join(keeper, "c").select("h", "keeper"))
     gone = rows.select("doc_id", "line_no", "h").join(shared, "h").where("not (struct(doc_id, line_no) <=> keeper)")
     lost = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    counts = rows.groupBy("doc_id").agg(F.countDistinct("line_no").alias("n_lines"))
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
     lost = lost.withColumnRenamed("doc_id", "_d")
     out = counts.join(lost, F.expr("doc_id <=> _d"), "left")
     return scratch.cut(out.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")))
