@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, tuned
+from .common import Scratch, let
 
 BUCKETS = 8192
 _NEVER = 1 << 40  # the rank of a pair that is no token
@@ -116,18 +116,33 @@ def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def word_table(df: DataFrame, text: str, pattern: str, ranks: dict[bytes, int], most_words: int, most_bytes: int) -> dict[str, bytes]:
-    """The ``most_words`` most frequent words of all texts (of at most ``most_bytes`` bytes) and their ids as int32 bytes.
+    """The most frequent words of all texts (of at most ``most_bytes`` bytes) and their ids as int32 bytes.
 
-    At most most_words * (most_bytes + 4 * most_bytes) bytes, whatever the corpus.
+    All words are counted. A histogram of the counts (a few hundred bins, whatever the
+    corpus) tells the least count that at most ``most_words`` words reach, so no task has
+    to rank them all. What comes back is at most 5 * most_words * most_bytes bytes.
     """
-    tuned(df.sparkSession)
+    scratch = Scratch(df.sparkSession, "words")
     words = df.select(F.explode(F.regexp_extract_all(F.col(f"`{text}`"), F.lit("(?U)" + pattern), F.lit(0))).alias("w"))
-    often = words.groupBy("w").count().where(F.octet_length("w") <= most_bytes).orderBy(F.desc("count"), "w").limit(most_words).select("w")
-    rows = often.repartition(24).select("w", fold(F.col("w"), rank_map(ranks)).alias("ids")).toArrow()
-    return {w: np.asarray(ids, "<i4").tobytes() for w, ids in zip(rows["w"].to_pylist(), rows["ids"].to_pylist(), strict=True)}
-
-
-def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids", most_words: int = 1 << 18, most_bytes: int = 64, most_kept: int = 400_000) -> DataFrame:
+    counted = scratch.cut(words.groupBy("w").agg(F.floor(F.log2(F.count("*")) * 16).cast("int").alias("bin")).where(F.octet_length("w") <= most_bytes))
+    least, total = 1 << 20, 0
+    for r in counted.groupBy("bin").agg(F.count("*").alias("n")).orderBy(F.desc("bin")).collect():
+        total += r["n"]
+        if total > most_words:
+            break
+        least = r["bin"]
+    often = counted.where(F.col("bin") >= least).select("w").repartition(24)
+    rows = often.select("w", fold(F.col("w"), rank_map(ranks)).alias("ids")).toArrow().combine_chunks()
+    scratch.drop(counted)
+    if not rows.num_rows:
+        return {}
+    lists = rows["ids"].chunk(0)
+    raw = lists.flatten().to_numpy().astype("<i4").tobytes()
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))) * 4
+    return {w: raw[a:b] for w, a, b in zip(rows["w"].to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True)}
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids", most_words: int = 1 << 17, most_bytes: int = 64, most_kept: int = 400_000) -> DataFrame:
     """Add ``out``: the token ids of each whole text, without special tokens.
 
     Null and empty texts give an empty array; repeated rows are encoded alike; a column

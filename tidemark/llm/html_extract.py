@@ -40,10 +40,10 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "kids", "label")
+    __slots__ = ("tag", "names", "role", "kids", "label", "holds_article")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.kids, self.names, self.role = tag, [], "", ""
+        self.tag, self.kids, self.names, self.role, self.holds_article = tag, [], "", "", False
         if attrs and not attrs.isspace():
             for m in _ATTR.finditer(attrs):
                 value = m[2] or m[3] or m[4] or ""
@@ -85,6 +85,9 @@ def parse(source: str) -> Node:
                 break
         node = Node(tag, attrs)
         stack[-1].kids.append(node)
+        if tag in ("article", "main") or node.role == "main":
+            for above in stack:
+                above.holds_article = True
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
             stop = end.start() if end else n
@@ -94,37 +97,38 @@ def parse(source: str) -> Node:
     return root
 
 
-def _holds_article(node: Node) -> bool:
-    return any(isinstance(k, Node) and (k.tag in ("article", "main") or k.role == "main" or _holds_article(k)) for k in node.kids)
-
-
 def not_article(node: Node, inside: bool) -> bool:
     """Whether a part is a menu, header, notice and the like. ``inside``: it lies in an article or main element."""
-    if node.tag in DROP or node.tag == "header" and not inside and not _holds_article(node):
+    if node.tag in DROP or node.tag == "header" and not inside and not node.holds_article:
         return True
     if node.tag in ("html", "body", "article", "main", "#root"):
         return False
-    if node.role in ROLES and not _holds_article(node):
+    if node.role in ROLES and not node.holds_article:
         return True
     if node.names and NOT_ARTICLE.search(node.names):
         if inside and node.tag in ("header", "h1", "h2", "h3", "h4", "h5", "h6"):
             return False
-        return not _holds_article(node)
+        return not node.holds_article
     return False
 
 
 def regions(root: Node) -> list[Node]:
     """The outermost article elements that aren't in a dropped part, else main, else everything."""
 
-    def find(node: Node, wanted) -> Iterator[Node]:
-        for k in node.kids:
-            if isinstance(k, Node):
-                if wanted(k):
-                    yield k
-                elif not not_article(k, False):
-                    yield from find(k, wanted)
+    def find(wanted) -> Iterator[Node]:
+        stack = [iter(root.kids)]
+        while stack:
+            for k in stack[-1]:
+                if isinstance(k, Node):
+                    if wanted(k):
+                        yield k
+                    elif not not_article(k, False):
+                        stack.append(iter(k.kids))
+                        break
+            else:
+                stack.pop()
 
-    return list(find(root, lambda k: k.tag == "article")) or list(find(root, lambda k: k.tag == "main" or k.role == "main")) or [root]
+    return list(find(lambda k: k.tag == "article")) or list(find(lambda k: k.tag == "main" or k.role == "main")) or [root]
 
 
 def blocks(root: Node) -> list[tuple[Node, str]]:
