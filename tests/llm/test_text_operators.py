@@ -160,6 +160,15 @@ def test_sampled_windows_cover_every_start():
         _, pos, lo, count = repeats.samples(data, 100)
         assert count.sum() == max(0, n - 99)
         assert all(a <= p and p + 32 <= a + 100 for p, a in zip(pos, lo, strict=True))
+    # texts laid end to end have the stretches of each
+    parts = [rng.integers(97, 100, n).astype(np.uint8) for n in (0, 250, 40, 100, 0, 400, 99)]
+    at, alone = 0, []
+    for p in parts:
+        g, _, lo, n = repeats.samples(p, 100)
+        alone += list(zip(g.tolist(), (lo + at).tolist(), n.tolist(), strict=True))
+        at += len(p)
+    g, _, lo, n = repeats.samples(np.concatenate(parts), 100, np.cumsum([len(p) for p in parts]))
+    assert list(zip(g.tolist(), lo.tolist(), n.tolist(), strict=True)) == alone
 
 
 def _base(text):

@@ -66,11 +66,11 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def samples(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rank, sample position, first window, number of windows) of the stretches of a text.
+def samples(data: np.ndarray, least: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, sample position, first window, number of windows) of the stretches of texts laid end to end.
 
     Every window start belongs to one stretch: that of the leftmost smallest 32-byte rank
-    inside its window.
+    inside its window. ``ends``: where each text ends; windows across an end don't count.
     """
     if len(data) < least:
         empty = np.zeros(0, np.int64)
@@ -78,18 +78,25 @@ def samples(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.nd
     grams = _mixed(run_ranks(data, GRAM, _A[0]))
     span = least - GRAM + 1
     low = sliding_min(grams, span)
-    # the leftmost place in the window that attains the minimum
-    places = np.flatnonzero(np.isin(grams, low, kind="sort")) if len(low) < 1000 else np.flatnonzero(_attains(grams, low, span))
     starts = np.arange(len(low))
-    pos = places[np.searchsorted(places, starts)]
-    # places inside the window may be minima of other windows only; step on until the value fits
-    off = grams[pos] != low
-    while off.any():
-        i = np.flatnonzero(off)
-        pos[i] = places[np.searchsorted(places, pos[i], side="right")]
-        off[i] = grams[pos[i]] != low[i]
+    if ends is not None and len(ends) > 1:
+        inside = np.zeros(len(data) + 1, np.int64)
+        begins = np.concatenate(([0], ends[:-1]))
+        np.add.at(inside, begins, 1)
+        np.add.at(inside, np.maximum(begins, ends - least + 1), -1)
+        starts = starts[np.cumsum(inside)[: len(low)] > 0]
+        if not len(starts):
+            return samples(data[:0], least)
+    # the leftmost place in the window that attains the minimum; places may be minima of
+    # other windows only: step on until the value fits
+    places = np.flatnonzero(_attains(grams, low, span))
+    pos, want = places[np.searchsorted(places, starts)], low[starts]
+    off = np.flatnonzero(grams[pos] != want)
+    while len(off):
+        pos[off] = places[np.searchsorted(places, pos[off], side="right")]
+        off = off[grams[pos[off]] != want[off]]
     cut = np.flatnonzero(np.r_[True, pos[1:] != pos[:-1]])
-    return grams[pos[cut]], pos[cut], cut, np.diff(np.r_[cut, len(low)])
+    return grams[pos[cut]], pos[cut], starts[cut], np.diff(np.r_[cut, len(starts)])
 
 
 def _attains(grams: np.ndarray, low: np.ndarray, span: int) -> np.ndarray:
@@ -99,9 +106,9 @@ def _attains(grams: np.ndarray, low: np.ndarray, span: int) -> np.ndarray:
     return grams == highest[: len(grams)]
 
 
-def stretch_ranks(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rank of the sample, rank of the whole stretch, first window, number of windows) of the stretches of a text."""
-    g, pos, lo, n = samples(data, least)
+def stretch_ranks(data: np.ndarray, least: int, ends: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rank of the sample, rank of the whole stretch, first window, number of windows) of the stretches of texts."""
+    g, pos, lo, n = samples(data, least, ends)
     if not len(g):
         return g, g, lo, n
     w = run_ranks(data, least, _A[1])
@@ -109,6 +116,17 @@ def stretch_ranks(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray,
     return g, _mixed(h), lo, n
 
 
+def _laid(texts: list[str | None], most: int = 1 << 15):
+    """Texts laid end to end in runs of about ``most`` bytes: (number of the first, bytes, ends). Short arrays cost more in calls than in work."""
+    first, parts, size = 0, [], 0
+    for i, t in enumerate(texts):
+        parts.append((t or "").encode("utf-8", "surrogatepass"))
+        size += len(parts[-1])
+        if size >= most or i == len(texts) - 1:
+            yield first, np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+            first, parts, size = i + 1, [], 0
+
+
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
@@ -125,7 +143,7 @@ def _sampled(df: DataFrame, least: int) -> DataFrame:
     """The rank of every sample."""
 
     def work(c: dict) -> dict:
-        return {"g": _longs([samples(_bytes(t), least)[0] for t in c["text"].to_pylist()])}
+        return {"g": _longs([samples(data, least, ends)[0] for _, data, ends in _laid(c["text"].to_pylist())])}
 
     return arrow_map(df, ["text"], "g long", work)
 
@@ -135,9 +153,16 @@ def _stretches(df: DataFrame, least: int) -> DataFrame:
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def work(c: dict) -> dict:
-        found = [stretch_ranks(_bytes(t), least) for t in c["text"].to_pylist()]
-        row = _ints([np.full(len(f[0]), i) for i, f in enumerate(found)], np.int64)
-        return {"g": _longs([f[0] for f in found]), "h": _longs([f[1] for f in found]), "doc_id": c["doc_id"].take(row), "lo": _ints([f[2] for f in found]), "n": _ints([f[3] for f in found])}
+        g, h, row, lo, n = [], [], [], [], []
+        for first, data, ends in _laid(c["text"].to_pylist()):
+            found = stretch_ranks(data, least, ends)
+            which = np.searchsorted(ends, found[2], side="right")
+            g.append(found[0])
+            h.append(found[1])
+            row.append(which + first)
+            lo.append(found[2] - np.concatenate(([0], ends))[which])
+            n.append(found[3])
+        return {"g": _longs(g), "h": _longs(h), "doc_id": c["doc_id"].take(_ints(row, np.int64)), "lo": _ints(lo), "n": _ints(n)}
 
     return arrow_map(df, ["doc_id", "text"], f"g long, h long, doc_id {kind}, lo int, n int", work)
 
@@ -214,7 +239,7 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, least: int, most_in_task
     return later.union(early).union(more)
 
 
-def remove_repeats(df: DataFrame, least: int = 100, doc_id: str = "doc_id", text: str = "text", most_in_task: int = 20_000) -> DataFrame:
+def remove_repeats(df: DataFrame, least: int = 100, doc_id: str = "doc_id", text: str = "text", most_in_task: int = 2_000) -> DataFrame:
     """Rows (doc_id, text, spans, kept): spans (start, end) of removed bytes, and the bytes that stay.
 
     One row per input row; null and empty texts have no spans and keep no bytes. "Earlier"
@@ -234,12 +259,15 @@ def remove_repeats(df: DataFrame, least: int = 100, doc_id: str = "doc_id", text
         spans, kept = [], []
         for t, at in zip(c["text"].to_pylist(), c["_at"].to_pylist(), strict=True):
             data = _bytes(t)
+            if not at:
+                spans.append([])
+                kept.append(data.tobytes())
+                continue
             edges = np.zeros(len(data) + 1, np.int64)
-            if at:
-                lo = np.asarray([x["lo"] for x in at])
-                hi = np.minimum(lo + np.asarray([x["n"] for x in at]) + least - 1, len(data))
-                np.add.at(edges, lo, 1)
-                np.add.at(edges, hi, -1)
+            lo = np.asarray([x["lo"] for x in at])
+            hi = np.minimum(lo + np.asarray([x["n"] for x in at]) + least - 1, len(data))
+            np.add.at(edges, lo, 1)
+            np.add.at(edges, hi, -1)
             gone = np.cumsum(edges[:-1]) > 0
             turns = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8)))
             spans.append([{"start": a, "end": b} for a, b in turns.reshape(-1, 2).tolist()])
