@@ -37,7 +37,8 @@ def _rounds(locs: DataFrame, refs: DataFrame, cells_of_loc, cells_of_ref, d2: Co
     ``cells_of_loc(size)`` gives the array of cells around a location, ``cells_of_ref(size)``
     those a reference touches; whatever is not met lies farther than ``size`` away.
     """
-    done, left = [], locs
+    # projected once, not in every round; and formulas apart from cells keep the generated code small
+    refs, left, done = staged(refs), staged(locs), []
     for i, size in enumerate(sizes):
         a = left.withColumn("_cell", F.explode(cells_of_loc(size)))
         b = refs.withColumn("_cell", F.explode(cells_of_ref(size)))
