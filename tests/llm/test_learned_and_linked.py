@@ -219,6 +219,8 @@ def test_line_dedup_matches_brute_force(spark):
     got = {(r.doc_id, n) for r in line_dedup.removals(df).collect() for n in r.removed}
     # banding may miss a pair near the threshold; it must not invent one
     assert got <= gone and len(got) >= 0.98 * len(gone)
+    # bands dealt in blocks give the same
+    assert got == {(r.doc_id, n) for r in line_dedup.removals(df, most_in_task=3).collect() for n in r.removed}
     out = {r.doc_id: r for r in line_dedup.dedup(df).collect()}
     assert len(out) == len(docs)
     for d, t in docs:
@@ -226,6 +228,21 @@ def test_line_dedup_matches_brute_force(spark):
         assert out[d].text == left and out[d].n_chars == (None if left is None else len(left))
 
 
+def test_a_band_compares_all_components():
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 60, 40).astype(np.uint64)
+    sets = []
+    for _ in range(150):
+        s = base.copy()
+        s[rng.integers(0, 40, rng.integers(0, 7))] = rng.integers(0, 1 << 60)
+        sets.append(np.unique(s))
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    links = [(i, j) for i in range(150) for j in range(i) if alike(sets[i], sets[j])]
+    bucket = line_dedup.Bucket(0.8)
+    got = [(i, j) for i, s in enumerate(sets) for j in bucket.add(i, s)]
+    assert set(got) <= set(links) and len(got) < 150 and _union(150, got) == _union(150, links)
+
+
 def test_line_dedup_of_awkward_rows(awkward, nothing):
     out = line_dedup.dedup(awkward)
     assert out.columns == awkward.columns and out.count() == awkward.count()

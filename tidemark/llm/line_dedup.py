@@ -10,10 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, linked, texts
+from .common import Scratch, arrow_map, components, texts
 
 SHINGLE, BANDS, ROWS, JACCARD = 10, 8, 4, 0.8
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -105,35 +105,89 @@ def scan(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     return arrow_map(df, [doc_id, text], f"doc_id {kind}, line_no int, h long, " + ", ".join(f"b{k} long" for k in range(BANDS)), work)
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+def shingle_sets(lines: list[str], width: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each line, hashed together."""
+    part = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
+    if not part:
+        return []
+    hashes = shingle_hashes(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32), width)
+    ends = np.cumsum([len(x) for x in part]).tolist()
+    return [np.unique(hashes[e - len(x) : e - width + 1]) for x, e in zip(part, ends, strict=True)]
 
 
-def shingle_set(line: str, width: int = SHINGLE) -> np.ndarray:
-    line = line if len(line) >= width else line.ljust(width, "\0")
-    return np.unique(shingle_hashes(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32), width))
+class Bucket:
+    """Lines that share a band. ``add`` returns the ids of earlier lines that link a new one to components it isn't in.
 
+    A line is first held against one leader of each component, then against all members of
+    components that none of their leaders brought in: every pair of lines in different
+    components is compared, and near copies cost one comparison each.
+    """
 
-def verified(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of line hashes whose exact Jaccard similarity is ``least`` or more, as (src, dst)."""
-    both = pairs.join(lines.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-
-    def work(c: dict) -> dict:
-        kept: dict[int, np.ndarray] = {}
-        ok = []
-        for a, b, la, lb in zip(c["a"].to_pylist(), c["b"].to_pylist(), c["la"].to_pylist(), c["lb"].to_pylist(), strict=True):
-            for h, x in ((a, la), (b, lb)):
-                if h not in kept:
-                    if len(kept) > 500:
-                        kept.clear()
-                    kept[h] = shingle_set(x)
-            sa, sb = kept.get(a), kept.get(b)
-            ok.append(jaccard(sa if sa is not None else shingle_set(la), sb if sb is not None else shingle_set(lb)) >= least)
-        mask = pa.array(ok, pa.bool_())
-        return {"src": c["a"].filter(mask), "dst": c["b"].filter(mask)}
-
-    return arrow_map(both, ["a", "b", "la", "lb"], "src long, dst long", work)
+    def __init__(self, least: float):
+        self.least, self.ids, self.sets, self.root, self.leaders = least, [], [], [], []
+        self.flat, self.used, self.starts = np.empty(1 << 12, np.uint64), 0, []
+
+    def _find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = i = self.root[self.root[i]]
+        return i
+
+    def _alike(self, s: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(s, flat)
+        hits = s[np.minimum(at, len(s) - 1)] == flat
+        common = np.add.reduceat(hits, starts, dtype=np.int64)
+        return common >= self.least * (np.diff(np.r_[starts, len(flat)]) + len(s) - common)
+
+    def add(self, id_: int, s: np.ndarray) -> list[int]:
+        me, out = len(self.ids), []
+        self.ids.append(id_)
+        self.sets.append(s)
+        self.root.append(me)
+
+        def join(i: int) -> None:
+            a, b = self._find(i), self._find(me)
+            if a != b:
+                self.root[max(a, b)] = min(a, b)
+                out.append(self.ids[i])
+
+        if self.leaders:
+            for k in np.flatnonzero(self._alike(s, self.flat[: self.used], np.asarray(self.starts))).tolist():
+                join(self.leaders[k])
+            led = set(self.leaders)
+            mine = self._find(me)
+            rest = [i for i in range(me) if i not in led and self._find(i) != mine] if len(led) < me else []
+            for at in range(0, len(rest), 512):
+                some = rest[at : at + 512]
+                starts = np.cumsum([0, *(len(self.sets[i]) for i in some[:-1])])
+                for k in np.flatnonzero(self._alike(s, np.concatenate([self.sets[i] for i in some]), starts)).tolist():
+                    join(some[k])
+        if not out:
+            while self.used + len(s) > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+            self.starts.append(self.used)
+            self.flat[self.used : self.used + len(s)] = s
+            self.used += len(s)
+            self.leaders.append(me)
+        return out
+
+
+def verified(rows: DataFrame, least: float) -> DataFrame:
+    """Links (src, dst) from rows (key, part, id, line) that are sorted by key and part within a partition."""
+
+    def run(batches):
+        bucket, last = Bucket(least), None
+        for batch in batches:
+            src, dst = [], []
+            keys, parts, ids = (batch.column(i).to_pylist() for i in range(3))
+            for i, s in enumerate(shingle_sets(batch.column(3).to_pylist())):
+                if (keys[i], parts[i]) != last:
+                    bucket, last = Bucket(least), (keys[i], parts[i])
+                found = bucket.add(ids[i], s)
+                src += found
+                dst += [ids[i]] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return rows.select("key", "part", "id", "line").mapInArrow(run, "src long, dst long")
 
 
 def wanted_lines(df: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -155,33 +209,32 @@ def wanted_lines(df: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Da
     return arrow_map(picked, ["_text", "_at"], "h long, line string", work).dropDuplicates(["h"])
 
 
-def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = JACCARD) -> DataFrame:
+def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = JACCARD, most_in_task: int = 5_000) -> DataFrame:
     """Rows (doc_id, n_lines, removed): line numbers (from 0) that repeat an earlier line, exactly or fuzzily.
 
     Lines are compared in plain form (lower case, white space runs as one space); lines
     without a word are left alone. Of each component of lines linked at Jaccard ``least``
     over 10-character shingles, the first by (doc_id, line number) stays. Null and empty
     texts have no lines and give no row. Rows sharing a doc_id count as one document whose
-    lines are counted together; null doc_ids come first.
+    lines are counted together; null doc_ids come first. ``most_in_task`` bounds what a task
+    compares and changes no result.
     """
     scratch = Scratch(df.sparkSession, "lines")
     rows = scratch.cut(scan(df, doc_id, text))
     bands = [f"b{k}" for k in range(BANDS)]
     distinct = scratch.cut(rows.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), *[F.min(b).alias(b) for b in bands]))
-    # lines that share a band sort by their next one, so that those sharing two are neighbours
-    keyed = F.array(*[F.struct(F.col(b).alias("key"), F.col(bands[(k + 1) % BANDS]).alias("near")) for k, b in enumerate(bands)])
-    index = distinct.select(F.explode(keyed).alias("k"), F.col("h").alias("id")).select("k.key", "id", "k.near")
-    known: list[DataFrame] = []
-
-    def links(pairs: DataFrame) -> DataFrame:
-        if not known:  # every line that shares a band is in the first call's pairs
-            pairs = scratch.cut(pairs)
-            ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-            wanted = distinct.join(ids, "h", "left_semi").select("first.doc_id", "first.line_no", "h")
-            known.append(scratch.cut(wanted_lines(df, wanted, doc_id, text)))
-        return verified(pairs, known[0], least)
-
-    comp = linked(index, links, scratch).select(F.col("id").alias("h"), "component")
+    keyed = distinct.select(F.explode(F.array(*bands)).alias("key"), F.col("h").alias("id"))
+    members = scratch.cut(keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+    wanted = distinct.join(members.select(F.col("id").alias("h")).distinct(), "h", "left_semi").select("first.doc_id", "first.line_no", "h")
+    lines = scratch.cut(wanted_lines(df, wanted, doc_id, text))
+    # a band of more than ``most_in_task`` lines is dealt in blocks, each pair of blocks to a task
+    blocks = F.ceil(F.col("n") / most_in_task)
+    own = F.pmod(F.xxhash64("id"), blocks)
+    part = F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j)))
+    rows_of = members.join(lines.withColumnRenamed("h", "id"), "id").withColumn("part", F.explode(part)).select("key", "part", "id", "line")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = scratch.cut(verified(rows_of.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "id"), least))
+    comp = components(edges, scratch).select(F.col("id").alias("h"), "component")
     named = distinct.select("h", "first", "n").join(comp, "h", "left").withColumn("c", F.coalesce("component", "h"))
     keeper = named.groupBy("c").agg(F.min("first").alias("keeper"))
     # a line that occurs once and stands alone needs no look-up
