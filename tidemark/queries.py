@@ -6,7 +6,7 @@ one division, which both engines compute to the same bits.
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
 from collections.abc import Callable
 
@@ -628,11 +628,18 @@ def features_from_geojson(spark, sf):
     return read_geojson(spark, path, "NAME", multi_line=False).select("name", "xmin", "xmax", "ymin", "ymax")
 
 
-def _shapes(sf: str) -> str:
-    """A small shapefile on the driver: boxes by formula."""
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors see, as a plain path: the binary readers open files themselves."""
+    path = f"{shared_dir(spark).removeprefix('file://')}/tidemark/files-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
+def _shapes(spark: SparkSession) -> str:
+    """A small shapefile: boxes by formula."""
     from tidemark.sources.shapefile import write_shapefile
 
-    folder = tempfile.mkdtemp(prefix="tidemark-shp-")
+    folder = _folder(spark)
     rows = [([[(float(i), 0.0), (i + 0.5, 0.0), (i + 0.5, 0.5 + i), (float(i), 0.5 + i), (float(i), 0.0)]], {"NAME": f"box {i}", "CODE": f"B{i}"}) for i in range(20)]
     write_shapefile(f"{folder}/GSHHS_f_L1.shp", rows)
     return folder
@@ -642,20 +649,20 @@ def _shapes(sf: str) -> str:
 def features_from_shp(spark, sf):
     from tidemark.sources.features import read_shapefile
 
-    return read_shapefile(spark, f"{_shapes(sf)}/GSHHS_f_L1.shp", ["NAME"]).select("name", "xmin", "xmax", "ymax")
+    return read_shapefile(spark, f"{_shapes(spark)}/GSHHS_f_L1.shp", ["NAME"]).select("name", "xmin", "xmax", "ymax")
 
 
 @query("SELECT CAST(i + 1 AS BIGINT) AS fid, CAST(4 AS BIGINT) AS n FROM range(20) t(i)")
 def segments_from_shp(spark, sf):
     from tidemark.sources.features import read_shoreline
 
-    return read_shoreline(spark, _shapes(sf)).groupBy("fid").agg(F.count("*").alias("n"))
+    return read_shoreline(spark, _shapes(spark)).groupBy("fid").agg(F.count("*").alias("n"))
 
 
 @query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(-(i * 100 + j * 10 + 5) AS DOUBLE) AS elevation FROM range(3) a(i), range(4) b(j)")
 def grid_from_netcdf(spark, sf):
     from tidemark.sources.netcdf import read_grid, write_grid
 
-    path = f"{tempfile.mkdtemp(prefix='tidemark-nc-')}/grid.nc"
+    path = f"{_folder(spark)}/grid.nc"
     write_grid(path, [0.0, 1.0, 2.0], [10.0, 11.0, 12.0, 13.0], [[-(i * 100 + j * 10 + 5) for j in range(4)] for i in range(3)])
     return read_grid(spark, path)[0]
