@@ -132,7 +132,8 @@ def word_table(df: DataFrame, text: str, pattern: str, ranks: dict[bytes, int],
             break
         least = r["bin"]
     often = counted.where(F.col("bin") >= least).select("w").repartition(24)
-    rows = often.select("w", fold(F.col("w"), rank_map(ranks)).alias("ids")).toArrow().combine_chunks()
+    # bound once: the plan, of which the driver keeps copies, then holds the literal once
+    rows = often.select("w", let(rank_map(ranks), lambda m: fold(F.col("w"), m)).alias("ids")).toArrow().combine_chunks()
     scratch.drop(counted)
     if not rows.num_rows:
         return {}

@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by bytes (texts may be very long) and free shuffle files when an execution ends."""
+    """Bound Arrow batches by bytes (texts may be very long), free shuffle files when an execution ends, cut plan texts."""
+    spark.conf.set("spark.sql.maxPlanStringLength", "20000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
