@@ -136,13 +136,14 @@ def fit(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, roun
     patterns = scratch.cut(counted.coalesce(1))  # its size is bounded by the rules, not by the corpus
     cols = [F.col(n) for n in names]
     for _ in range(rounds):
-        p = _posterior(cols, model) * F.col("n")
-        q = F.col("n") - p
+        # in a projection of its own, so that the sums below share one posterior
+        seen = patterns.select(*cols, (_posterior(cols, model) * F.col("n")).alias("p"), "n").select(*cols, "p", (F.col("n") - F.col("p")).alias("q"))
+        p, q = F.col("p"), F.col("q")
         sums = [F.sum(p).alias("good"), F.sum(q).alias("bad")]
         for i, c in enumerate(cols):
             for k, v in (("b", -1), ("g", 1)):
                 sums += [F.sum(F.when(c == v, p).otherwise(0.0)).alias(f"g{k}{i}"), F.sum(F.when(c == v, q).otherwise(0.0)).alias(f"b{k}{i}")]
-        s = patterns.agg(*sums).first()
+        s = seen.agg(*sums).first()
         if s["good"] is None:
             return model
         total = s["good"] + s["bad"]
