@@ -134,7 +134,9 @@ def linked(index: DataFrame, links: Callable[[DataFrame], DataFrame], scratch: S
     linked ids.
     """
     low = index.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "low", "n")
-    first = index.join(low, "key")
+    # an index is made by exploding a small table, of whose size Spark still thinks: without
+    # the hint it would be broadcast, through the driver
+    first = index.hint("merge").join(low, "key")
     order = Window.partitionBy("key").orderBy(*(["near", "id"] if "near" in index.columns else ["id"]))
     chain = first.where("n > 2").withColumn("before", F.lag("id").over(order)).where("before <> id")
     tries = first.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).union(chain.select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b")))
