@@ -186,6 +186,26 @@ def test_near_duplicates_of_the_pipeline(spark, awkward, nothing):
     assert simhash.near_duplicates(awkward).count() == awkward.count()
 
 
+def test_added_blocks_are_near_duplicates(spark):
+    rng = random.Random(14)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = [words(rng.randrange(150, 900)) for _ in range(80)]
+    for i, w in enumerate(texts[:60]):
+        size, at = int(len(w) * rng.uniform(0.15, 0.24)), [len(w), 0, rng.randrange(len(w))][i % 3]
+        texts.append(w[:at] + words(size) + w[at:])
+    # equal fingerprints, other words
+    texts += [["one"] * 50 + [f"u{i}"] for i in range(3)] + [["one"] * 50 + [f"u{i}"] + ["one"] * 50 for i in range(3)]
+    texts = [" ".join(w) for w in texts]
+    sets = [simhash.shingle_set(t, 5) for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = _union(len(texts), links)
+    assert len(links) >= 50
+    prints = [simhash.fingerprint(texts[i], 2) ^ simhash.fingerprint(texts[j], 2) for i, j in links]
+    assert sum(p.bit_count() > 7 for p in prints) > 10
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == {i for i in range(len(texts)) if root[i] == i}
+
+
 def _lines_left(docs, least):
     """Brute force: all pairs of lines, exact Jaccard, union-find, first stays."""
     where, plain = [], []

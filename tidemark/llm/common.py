@@ -120,12 +120,13 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     return stars.union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def linked(index: DataFrame, links: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def linked(index: DataFrame, links: Callable[[DataFrame], DataFrame], scratch: Scratch, mark: Column | None = None) -> DataFrame:
     """Components of the graph whose links join ids sharing a ``key`` and passing a check.
 
     ``index``: rows (key, id) and optionally ``near``, by which alike ids of a key sort
     together; read twice. ``links`` turns rows (a, b), a <> b, into the pairs (src, dst)
-    that pass. First every id is tried against the smallest id of its key and against its
+    that pass; ``mark``, an expression over ``key``, gives them a third column ``mark``.
+    First every id is tried against the smallest id of its key and against its
     neighbour in order: at most twice as many pairs as index rows, however large the key;
     keys of two ids are then done. In larger keys, ids that are not in that smallest id's
     component ("strangers") are tried against all others of the key that differ in
@@ -137,9 +138,10 @@ def linked(index: DataFrame, links: Callable[[DataFrame], DataFrame], scratch: S
     # an index is made by exploding a small table, of whose size Spark still thinks: without
     # the hint it would be broadcast, through the driver
     first = index.hint("merge").join(low, "key")
+    marks = [] if mark is None else [mark.alias("mark")]
     order = Window.partitionBy("key").orderBy(*(["near", "id"] if "near" in index.columns else ["id"]))
     chain = first.where("n > 2").withColumn("before", F.lag("id").over(order)).where("before <> id")
-    tries = first.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).union(chain.select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b")))
+    tries = first.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"), *marks).union(chain.select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b"), *marks))
     edges = scratch.cut(links(tries.distinct()))
     comp = scratch.cut(components(edges, scratch))
     known = first.where("n > 2 and id <> low").select("key", "low", "id").join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
@@ -147,6 +149,6 @@ def linked(index: DataFrame, links: Callable[[DataFrame], DataFrame], scratch: S
     known = scratch.cut(known.select("key", "id", "c", (F.col("c") != F.col("lc")).alias("stranger")))
     odd = known.where("stranger").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
     pairs = odd.join(known.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("stranger").alias("sb")), "key").where("ca <> cb and (not sb or a < b)")
-    more = links(pairs.select("a", "b").distinct())
+    more = links(pairs.select("a", "b", *marks).distinct())
     both = scratch.cut(edges.union(more))
     return components(both, scratch)

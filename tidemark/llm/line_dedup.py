@@ -49,11 +49,28 @@ def shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
         return out ^ (out >> np.uint64(32))
 
 
+def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and offsets of ``n`` MinHash functions of 32 bits."""
+    rng = np.random.default_rng(20)
+    return rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
+
+
+def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Keys (n, bands) from minima (n, bands * rows)."""
+    least, out = least.astype(np.uint64), np.empty((len(least), bands), np.int64)
+    with np.errstate(over="ignore"):
+        for k in range(bands):
+            key = np.full(len(least), k + 1, np.uint64)
+            for r in range(rows):
+                key = (key ^ least[:, k * rows + r]) * np.uint64(0x9FB21C651E98DF25)
+                key ^= key >> np.uint64(29)
+            out[:, k] = key.view(np.int64)
+    return out
+
+
 def minhash_bands(lines: list[str], width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """Band keys (len(lines), bands) of plain lines; a line shorter than a shingle is padded to one."""
-    rng = np.random.default_rng(20)
-    a = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
-    b = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
+    a, b = permutations(bands * rows)
     out = np.empty((len(lines), bands), np.int64)
     at = 0
     while at < len(lines):
@@ -68,14 +85,8 @@ def minhash_bands(lines: list[str], width: int = SHINGLE, bands: int = BANDS, ro
         ends = np.cumsum(lengths)
         edges = np.stack([ends - lengths, ends - width + 1], 1).ravel()
         edges = edges[:-1]  # the last run goes to the end
-        least = np.stack([np.minimum.reduceat(low * x + y, edges)[::2] for x, y in zip(a, b, strict=True)], 1).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(bands):
-                key = np.full(len(part), k + 1, np.uint64)
-                for r in range(rows):
-                    key = (key ^ least[:, k * rows + r]) * np.uint64(0x9FB21C651E98DF25)
-                    key ^= key >> np.uint64(29)
-                out[at:stop, k] = key.view(np.int64)
+        least = np.stack([np.minimum.reduceat(low * x + y, edges)[::2] for x, y in zip(a, b, strict=True)], 1)
+        out[at:stop] = band_keys(least, bands, rows)
         at = stop
     return out
 

@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, linked, texts
+from .line_dedup import band_keys, permutations
 
+BANDS, ROWS = 24, 3  # of MinHash over word shingles
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -104,13 +106,61 @@ def shingle_set(text: str, width: int) -> set[bytes]:
     return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
+def text_key(text: str) -> int:
+    """64 bits for the words of a text, as a signed long: texts of equal words share every shingle."""
+    return xxhash.xxh64_intdigest(b" ".join(_WORDS(text.encode().translate(_LOWER))), 7) - (1 << 63)
+
+
+def shingle_bands(all_texts: list[str], width: int = 5, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """MinHash band keys (len(all_texts), bands), all negative, over the ``width``-word shingles of each text."""
+    digest, out, at = xxhash.xxh64_intdigest, np.empty((len(all_texts), bands), np.int64), 0
+    while at < len(all_texts):
+        low, size, stop = [], 0, at
+        while stop < len(all_texts) and size < 1 << 18:
+            words = _WORDS(all_texts[stop].encode().translate(_LOWER)) or [b""]
+            n, k = len(words), min(width, len(words))
+            h = np.fromiter(map(digest, words), np.uint64, n)
+            run = np.zeros(n - k + 1, np.uint64)
+            for j in range(k):
+                run = (run ^ h[j : j + n - k + 1]) * np.uint64(0x9E3779B97F4A7C15)
+                run ^= run >> np.uint64(32)
+            low.append((run & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+            size, stop = size + len(run), stop + 1
+        starts = np.cumsum([0, *map(len, low[:-1])])
+        flat = np.concatenate(low)
+        least = np.stack([np.minimum.reduceat(flat * x + y, starts) for x, y in zip(*permutations(bands * rows), strict=True)], 1)
+        out[at:stop] = band_keys(least, bands, rows)
+        at = stop
+    return out | np.int64(-1 << 63)
+
+
+def signatures(df: DataFrame, print_width: int, width: int) -> DataFrame:
+    """Rows (doc_id, h, fp, bands): text_key, fingerprint and MinHash bands of each text. Null texts count as empty."""
+    kind = df.schema["doc_id"].dataType.simpleString()
+
+    def work(c: dict) -> dict:
+        all_texts = texts(c["text"])
+        fps = np.fromiter((fingerprint(t, print_width) for t in all_texts), np.uint64, len(all_texts))
+        keys = shingle_bands(all_texts, width)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(all_texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+        return {"doc_id": c["doc_id"], "h": pa.array([text_key(t) for t in all_texts], pa.int64()), "fp": pa.array(fps.view(np.int64)), "bands": lists}
+
+    return arrow_map(df, ["doc_id", "text"], f"doc_id {kind}, h long, fp long, bands array<long>", work)
+
+
 def similar(near: DataFrame, docs: DataFrame, first: DataFrame, width: int, least: float, scratch: Scratch) -> DataFrame:
-    """Of the pairs (src, dst) of fingerprints, those whose first documents have a Jaccard similarity of ``least`` or more."""
+    """Of the pairs (src, dst) of text ids, those whose texts have a Jaccard similarity of ``least`` or more."""
     near = scratch.cut(near)
-    ids = near.select(F.col("src").alias("fp")).union(near.select(F.col("dst").alias("fp"))).distinct()
-    wanted = first.join(ids, "fp", "left_semi")
-    lines = scratch.cut(docs.join(wanted, "doc_id").select("fp", "text").dropDuplicates(["fp"]))
-    both = near.join(lines.select(F.col("fp").alias("src"), F.col("text").alias("ta")), "src").join(lines.select(F.col("fp").alias("dst"), F.col("text").alias("tb")), "dst")
+    ids = near.select(F.col("src").alias("id")).union(near.select(F.col("dst").alias("id"))).distinct()
+    wanted = first.select("id", "h", "doc_id").join(ids, "id", "left_semi")
+
+    def own(c: dict) -> dict:
+        mask = pa.array([h == text_key(t) for h, t in zip(c["h"].to_pylist(), texts(c["text"]), strict=True)], pa.bool_())
+        return {"id": c["id"].filter(mask), "text": c["text"].filter(mask)}
+
+    # rows sharing a doc_id may differ in text
+    lines = scratch.cut(arrow_map(docs.join(wanted, "doc_id"), ["id", "h", "text"], "id long, text string", own).dropDuplicates(["id"]))
+    both = near.join(lines.select(F.col("id").alias("src"), F.col("text").alias("ta")), "src").join(lines.select(F.col("id").alias("dst"), F.col("text").alias("tb")), "dst")
 
     def work(c: dict) -> dict:
         ok, last = [], (None, set())
@@ -130,22 +180,31 @@ def keep_one(df: DataFrame, bits: int = 7, print_width: int = 2, width: int = 5,
     """The rows of ``df`` that are the first (smallest doc_id) of their near-duplicate group, with its columns.
 
     Documents are near duplicates if their sets of ``width``-word shingles have a Jaccard
-    similarity of ``least`` or more. Candidates come from fingerprints over runs of
-    ``print_width`` words: one changed word in fifty moves a fingerprint over two words by
-    5 to 7 bits, one over five words by 10 to 14, and unrelated texts are 15 or more
-    apart in the former. Texts without a word are copies of one another. Rows with a null
-    doc_id or text stay as they are, unless an earlier text has no word either.
+    similarity of ``least`` or more. Candidates are texts whose fingerprints over runs of
+    ``print_width`` words differ in at most ``bits`` places, and texts that share a MinHash
+    band over the ``width``-word shingles: an added block moves a fingerprint beyond any
+    small budget, while bands depend on the similarity alone and miss a pair at 0.8 with
+    probability (1 - 0.8 ** ROWS) ** BANDS, 3 in 100 million. Every candidate is verified,
+    equal fingerprints of different words too. Texts without a word are copies of one
+    another. Rows with a null doc_id or text stay as they are, unless an earlier text has
+    no word either.
     """
     scratch = Scratch(df.sparkSession, "simhash-keep")
     docs = df.select("doc_id", "text")
-    prints = scratch.cut(fingerprints(df, width=print_width))
-    first = scratch.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
-    ids = first.select(F.col("fp").alias("id")).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    index = ids.select(F.explode(variants(F.col("id"), bits)).alias("key"), "id")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    found = linked(index, lambda pairs: similar(pairs.where(near).select(F.col("a").alias("src"), F.col("b").alias("dst")), docs, first, width, least, scratch), scratch)
-    low = first.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    prints = scratch.cut(signatures(df, print_width, width))
+    once = scratch.cut(prints.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
+    # one text of each fingerprint goes by the fingerprint itself, so that pairs tell their distance; others by their hash
+    heads = once.groupBy("fp").agg(F.min("h").alias("h")).select("h", F.lit(True).alias("head"))
+    first = scratch.cut(once.join(heads.hint("merge"), "h", "left").select("h", "doc_id", "fp", "bands", "head", F.when(F.col("head"), F.col("fp")).otherwise(F.col("h")).alias("id")), drop=once)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    same = F.xxhash64("fp").bitwiseOR(F.lit(-1 << 63))
+    by_print = F.when(F.col("head"), variants(F.col("fp"), bits)).otherwise(F.array().cast("array<long>"))
+    index = first.repartition(parts).select(F.explode(F.concat("bands", F.array(same), by_print)).alias("key"), "id")
+    near = F.col("mark") | (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+    links = lambda pairs: similar(pairs.where(near).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), docs, first, width, least, scratch)
+    found = linked(index, links, scratch, F.col("key") < 0)
+    low = first.select("id", "h", "doc_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = low.groupBy("component").agg(F.min("doc_id").alias("keeper"))
-    keepers = low.join(best, "component").select("fp", "keeper")
-    lost = scratch.cut(prints.join(keepers, "fp").where("doc_id <> keeper").select("doc_id").distinct())
+    keepers = low.join(best, "component").select("h", "keeper")
+    lost = scratch.cut(prints.select("doc_id", "h").join(keepers, "h").where("doc_id <> keeper").select("doc_id").distinct())
     return df.join(lost, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
