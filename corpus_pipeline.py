@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that repeat, exactly or fuzzily, the first stays; the others leave their documents."""
-    return line_dedup.dedup(docs)
+    return line_dedup.dedup(docs, fine=line_dedup.FINE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,7 +62,7 @@ def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.removals(table(tuned(spark), sf_dir, "documents"))
+    found = line_dedup.removals(table(tuned(spark), sf_dir, "documents"), fine=line_dedup.FINE)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
 
 
