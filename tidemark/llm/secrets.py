@@ -22,12 +22,13 @@ BASE = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
 )
-#: Weak parts: reported only when linked. An opaque string mixes letters and digits over 16 or more characters.
+#: Weak parts, as whole tokens of any length (possessive, so linear): reported only when linked. An opaque string mixes letters and digits over 16 or more characters.
 PARTS = (
-    ("opaque", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,80}[0-9])(?=[0-9+/_=-]{0,80}[A-Za-z])[A-Za-z0-9+/_-]{16,80}={0,2}(?![A-Za-z0-9+/_=-])")),
-    ("endpoint", re.compile(r"(?:https?|s3|gs|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,200}")),
-    ("user", re.compile(r"(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?)[\"']?\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9_.@-]{3,64}", re.A | re.I)),
+    ("opaque", re.compile(r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_-]{16,}+)={0,2}+(?![A-Za-z0-9+/_=-])")),
+    ("endpoint", re.compile(r"(?:https?|s3|gs|jdbc:[a-z]++|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}+")),
+    ("user", re.compile(r"(?:user(?:name)?|login|client_?id|access_?key(?:_?id)?)[\"']?\x20*+[:=]\x20*+[\"']?[A-Za-z0-9_.@-]{3,}+", re.A | re.I)),
 )
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 #: Role of each kind in a credential. Two different roles within a scope complement one another.
 ROLE = {"access": "id", "user": "id", "assign": "secret", "hex": "secret", "opaque": "secret", "endpoint": "place"}
 WEAK = {"opaque", "endpoint", "user"}
@@ -46,8 +47,14 @@ def weak_parts(text: str) -> Iterator[tuple[int, int, str]]:
         yield from ((*m.span(), "endpoint") for m in PARTS[1][1].finditer(text))
     if ("=" in text or ":" in text) and re.search("user|login|client|access", text, re.I):
         yield from ((*m.span(), "user") for m in PARTS[2][1].finditer(text))
-    if re.search("[0-9]", text):
-        yield from ((*m.span(), "opaque") for m in PARTS[0][1].finditer(text))
+    if _DIGIT.search(text):
+        yield from ((*m.span(), "opaque") for m in PARTS[0][1].finditer(text) if _DIGIT.search(m[1]) and _LETTER.search(m[1]))
+
+
+def apart(part: tuple[int, int, str], taken: set[tuple[int, int]]) -> bool:
+    """Whether a weak part isn't reported by certain spans: it overlaps none, or is an endpoint that has more than the span it holds."""
+    start, end, kind = part
+    return not any(s <= start and end <= e if kind == "endpoint" else s < end and start < e for s, e in taken)
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -64,7 +71,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
         weak = []
         for t, known in zip(all_texts, base, strict=True):
             taken = {(s, e) for s, e, _ in known}
-            weak.append([x for x in weak_parts(t) if x[:2] not in taken and not any(s < x[1] and x[0] < e for s, e in taken)])
+            weak.append([x for x in weak_parts(t) if apart(x, taken)])
         return {"doc_id": c[doc_id], "row": [hashlib.md5(t.encode()).hexdigest() for t in all_texts], "base": list(map(spans, base)), "weak": list(map(spans, weak))}
 
     return arrow_map(df, [doc_id, text], f"doc_id {kind}, row string, base {span}, weak {span}", work)
