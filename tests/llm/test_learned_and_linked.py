@@ -155,15 +155,50 @@ def test_linking_loses_no_link_in_large_keys(spark):
     rng = random.Random(9)
     ids = [rng.getrandbits(10) for _ in range(300)]
     pairs = {(a, b) for a in ids for b in ids if a < b and (a ^ b).bit_count() == 1}
-    index = spark.createDataFrame([(k, i) for i in set(ids) for k in (0, i % 3 + 1)], "key long, id long")
+    index = spark.createDataFrame([(k, i, i) for i in set(ids) for k in (0, i % 3 + 1)], "key long, id long, code long")
     near = lambda p: p.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) == 1).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    got = {r.id: r.component for r in common.linked(index, near, common.Scratch(spark, "t")).collect()}
+    got = {r.id: r.component for r in common.linked(index, near, common.Scratch(spark, "t"), 1).collect()}
     names = sorted(set(ids))
     root = _union(len(names), [(names.index(a), names.index(b)) for a, b in pairs])
     expected = {n: names[root[i]] for i, n in enumerate(names) if Counter(root)[root[i]] > 1}
     assert got == expected
 
 
+def test_meetings_are_the_components_of_each_key(spark):
+    rng = random.Random(19)
+    rows = [(k, rng.getrandbits(40), rng.getrandbits(8)) for k in [0, 2, 4, -6, -9] for _ in range(rng.choice([2, 9, 140]))] + [(100 + k, k, 1) for k in range(50)]
+    cells = lambda x: sum(1 for i in range(32) if (x >> 2 * i) & 3)
+    near = lambda k, x: x.bit_count() <= 1 if k >= 0 else cells(x) <= common.SKETCH_MOST
+    pairs = {(a[0], *sorted((a[1], b[1]))) for i, a in enumerate(rows) for b in rows[:i] if a[0] == b[0] and near(a[0], a[2] ^ b[2])}
+    index = spark.createDataFrame(rows, "key long, id long, code long").repartition(3)
+    for most in (1 << 13, 16):
+        found = common.meetings(index, common.Scratch(spark, "t"), 1, most).collect()
+        groups = {}
+        for r in found:
+            groups.setdefault(r.g, set()).add(r.id)
+            assert (r.g < 0, r.g & 1) in {(k < 0, k & 1) for k, i, _ in rows if i == r.id}
+        assert all(min(groups[r.g]) == r.low and len(groups[r.g]) == r.n for r in found)
+        assert all(any(a in g and b in g for g in groups.values()) for _, a, b in pairs)
+        ids = sorted({i for _, i, _ in rows})
+        at = {x: n for n, x in enumerate(ids)}
+        stars = [(at[r.low], at[r.id]) for r in found]
+        assert _union(len(ids), stars) == _union(len(ids), [(at[a], at[b]) for _, a, b in pairs])
+
+
+def test_signatures_with_pieces_miss_no_pair(spark):
+    rng = random.Random(20)
+    rows = []
+    for i in range(200):
+        a, b = rng.getrandbits(64), 0
+        for k in rng.sample(range(64), rng.randrange(5)):
+            b |= 1 << k
+        rows.append((i, a - (1 << 63), (a ^ b) - (1 << 63)))
+    df = spark.createDataFrame(rows, "i int, a long, b long")
+    for many in (False, True):
+        both = df.select(F.size(F.array_intersect(simhash.variants(F.col("a"), 4, many), simhash.variants(F.col("b"), 4, many))).alias("n"), F.array_min(simhash.variants(F.col("a"), 4, many)).alias("least"))
+        assert both.where("n = 0 or least < 0").count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).selectExpr("id as src", "id + 1 as dst").union(spark.createDataFrame([(1000, 1000), (2000, 1999)], "src long, dst long"))
     got = {r.id: r.component for r in common.components(edges, common.Scratch(spark, "t")).collect()}
@@ -265,8 +300,8 @@ def test_short_lines_with_one_change(spark, tmp_path):
     plain = [line_dedup.plain(x) for x in lines]
 
     def alike(a, b):
-        both = [({p[i : i + k] for i in range(max(1, len(p) - k + 1))} for p in (a, b)) for k in (10, 4)]
-        return any(len(x & y) >= 0.8 * len(x | y) for x, y in both)
+        x, y = ({p[i : i + 4] for i in range(max(1, len(p) - 3))} for p in (a, b))
+        return len(x & y) >= 0.8 * len(x | y)
 
     root = _union(len(plain), [(i, j) for i in range(len(plain)) for j in range(i) if alike(plain[i], plain[j])])
     spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
@@ -278,18 +313,18 @@ def test_short_lines_with_one_change(spark, tmp_path):
     assert set(range(3 * 20 + 1, 3 * 81, 3)) <= got
 
 
-def test_a_band_compares_all_components():
-    rng = np.random.default_rng(12)
-    base = rng.integers(0, 1 << 60, 40).astype(np.uint64)
-    sets = []
+def test_a_group_compares_all_components():
+    rng = random.Random(12)
+    base, lines = [rng.choice("abcdefgh") for _ in range(60)], []
     for _ in range(150):
-        s = base.copy()
-        s[rng.integers(0, 40, rng.integers(0, 7))] = rng.integers(0, 1 << 60)
-        sets.append(np.unique(s))
-    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
-    links = [(i, j) for i in range(150) for j in range(i) if alike(sets[i], sets[j])]
-    bucket = line_dedup.Bucket(0.8)
-    got = [(i, j) for i, s in enumerate(sets) for j in bucket.add(i, s)]
+        s = list(base)
+        for _ in range(rng.randrange(5)):
+            s[rng.randrange(60)] = rng.choice("xyz")
+        lines.append("".join(s))
+    sets = [{x[i : i + 4] for i in range(57)} for x in lines]
+    links = [(i, j) for i in range(150) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    bucket = line_dedup.Bucket(0.8, 4)
+    got = [(i, j) for i, s in enumerate(lines) for j in bucket.add(i, s)]
     assert set(got) <= set(links) and len(got) < 150 and _union(150, got) == _union(150, links)
 
 

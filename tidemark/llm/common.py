@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,11 +29,21 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fresh(columns: Iterable[str], stem: str) -> str:
+    """A column name that none of ``columns`` has, in any case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode, where that is unset (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
         if not current.isDefined():
             spark.sparkContext.setCheckpointDir(found)
@@ -120,35 +131,205 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
     return stars.union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def linked(index: DataFrame, links: Callable[[DataFrame], DataFrame], scratch: Scratch, mark: Column | None = None) -> DataFrame:
-    """Components of the graph whose links join ids sharing a ``key`` and passing a check.
+#: Of a MinHash sketch of 32 cells of two bits, the most cells that may differ between texts 0.8 alike: beyond it lie 3 such pairs in a million.
+SKETCH_MOST = 15
+_CELLS = np.uint64(0x5555555555555555)
+MET = "g long, id long, low long, before long, code long, n int, big boolean"
+
+
+def differing(a: Column, b: Column, cells: Column) -> Column:
+    """Bits in which two codes differ; where ``cells`` holds, cells of two bits."""
+    x = a.bitwiseXOR(b)
+    return F.when(cells, F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(int(_CELLS))))).otherwise(F.bit_count(x))
+
+
+def _near(a: np.ndarray, b: np.ndarray, cells: np.ndarray | bool) -> np.ndarray:
+    x = a ^ b
+    return np.bitwise_count(np.where(cells, (x | (x >> np.uint64(1))) & _CELLS, x))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _spread(code: np.ndarray, cells: bool, most: int) -> np.ndarray:
+    """The first row of the component of each row of one group."""
+    label, left = np.arange(len(code)), np.arange(len(code))
+    while len(left):
+        first, front, left = left[0], left[:1], left[1:]
+        while len(front) and len(left):
+            near = np.zeros(len(left), bool)
+            for at in range(0, len(front), 32):
+                near |= (_near(code[left][None, :], code[front[at : at + 32]][:, None], cells) <= most).any(0)
+            front, left = left[near], left[~near]
+            label[front] = first
+    return label
+
+
+def _labels(key: np.ndarray, code: np.ndarray, limit: np.ndarray, few: int = 48) -> np.ndarray:
+    """For rows sorted by key, the first row of the component that links inside its key give each row."""
+    n = len(key)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, n])
+    cells, label = key < 0, np.arange(n)
+    for s, size in zip(starts[sizes > few].tolist(), sizes[sizes > few].tolist(), strict=True):
+        label[s : s + size] = s + _spread(code[s : s + size], bool(cells[s]), int(limit[s]))
+    rest = np.repeat(starts + sizes, sizes) - np.arange(n)  # rows of the key from here on
+    at, a, b = np.flatnonzero((rest > 1) & np.repeat(sizes <= few, sizes)), [], []
+    for lag in range(1, few):
+        if not len(at):
+            break
+        hit = at[_near(code[at], code[at + lag], cells[at]) <= limit[at]]
+        a.append(hit)
+        b.append(hit + lag)
+        at = at[rest[at] > lag + 1]
+    if a:
+        a, b = np.concatenate(a), np.concatenate(b)
+        while len(a):
+            least = np.minimum(label[a], label[b])
+            np.minimum.at(label, a, least)
+            np.minimum.at(label, b, least)
+            label = label[label]
+            off = label[a] != label[b]
+            if not off.any():
+                break
+    return label
+
+
+def _met(key: np.ndarray, id_: np.ndarray, code: np.ndarray, bits: int, most: int) -> Iterator[tuple]:
+    """MET columns for whole keys, sorted."""
+    if len(key) < 2:
+        return
+    same = key[1:] == key[:-1]
+    shared = np.r_[same, False] | np.r_[False, same]
+    key, id_, code = key[shared], id_[shared], code[shared]
+    if not len(key):
+        return
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    large = np.repeat(sizes > most, sizes)
+    if large.any():
+        yield _large(key[large], id_[large], code[large])
+        key, id_, code = key[~large], id_[~large], code[~large]
+    label = _labels(key, code, np.where(key < 0, SKETCH_MOST, bits)) if len(key) else np.zeros(0, np.int64)
+    size = np.bincount(label, minlength=len(label))[label] if len(label) else label
+    at = np.flatnonzero(size > 1)
+    if not len(at):
+        return
+    at = at[np.lexsort((id_[at], code[at], label[at]))]
+    key, id_, code, label, size = key[at], id_[at], code[at], label[at], size[at]
+    head = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+    of = np.repeat(np.arange(len(head)), size[head])
+    low = np.minimum.reduceat(id_, head)
+    g = _mixed(np.add.reduceat(_mixed(id_.view(np.uint64)), head) + size[head].astype(np.uint64))
+    # sign and lowest bit tell the kind of key
+    g = (g & np.uint64(0x7FFFFFFFFFFFFFFE)) | (key[head].view(np.uint64) & np.uint64(0x8000000000000001))
+    low_code = np.empty(len(head), np.uint64)
+    is_low = id_ == low[of]
+    low_code[of[is_low]] = code[is_low]
+    before, before_code = np.r_[0, id_[:-1]], np.r_[np.uint64(0), code[:-1]]
+    no = np.zeros(len(id_), bool)
+    no[head] = True
+    # the neighbour in order of codes is worth a try only if it is nearer than the smallest id
+    no |= _near(code, before_code, key < 0) >= _near(code, low_code[of], key < 0)
+    yield g.view(np.int64)[of], id_, low[of], pa.array(before, mask=no), code.view(np.int64), size.astype(np.int32), np.zeros(len(id_), bool)
+
+
+def _large(key: np.ndarray, id_: np.ndarray, code: np.ndarray) -> tuple:
+    n = len(key)
+    return key, id_, id_, pa.nulls(n, pa.int64()), code.view(np.int64), np.zeros(n, np.int32), np.ones(n, bool)
+
+
+def _meet(rows: DataFrame, bits: int, most: int) -> DataFrame:
+    """Components inside each key of rows (key, id, code), which are sorted by key within partitions; rows of larger keys come back as ``big``."""
+    names = [c.split()[0] for c in MET.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, big = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)], None
+
+        def out(found: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+            for cols in found:
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cols[2] = cols[2].view(np.uint64)
+            if big is not None:
+                stop = np.searchsorted(cols[0], big, "right")
+                if stop:
+                    yield from out([_large(*[c[:stop] for c in cols])])
+                cols = [c[stop:] for c in cols]
+                if not len(cols[0]):
+                    continue
+                big = None
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            cut = np.searchsorted(cols[0], cols[0][-1])  # the last key may go on in the next batch
+            yield from out(_met(*[c[:cut] for c in cols], bits, most))
+            held = [c[cut:] for c in cols]
+            if len(held[0]) > most:
+                yield from out([_large(*held)])
+                held, big = [c[:0] for c in held], held[0][0]
+        yield from out(_met(*held, bits, most))
+
+    return rows.select("key", "id", "code").mapInArrow(run, MET)
+
+
+def meetings(index: DataFrame, scratch: Scratch, bits: int = 0, most_in_task: int = 1 << 13) -> DataFrame:
+    """Groups of ids that share a key and have like codes, as a table (g, id, low, before, code, n).
+
+    ``index``: rows (key, id, code), shuffled and sorted once. Within a key, ids are linked if
+    their codes differ in at most ``bits`` bits or, for keys below zero, in at most SKETCH_MOST
+    cells of a sketch; every component of two or more ids is a group ``g``, with its smallest
+    id ``low``, its size ``n`` and perhaps ``before``, an id of a nearer code than low's. Equal
+    groups of different keys are one; sign and lowest bit of ``g`` are those of its keys. A
+    key of over ``most_in_task`` ids is dealt in blocks, each pair of blocks to a task, and
+    gives a group per component and pair. So whatever the key, a task holds a bounded number
+    of rows, no pair of ids is written, and every two linked ids share a group.
+    """
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = lambda rows: rows.repartition(parts, "key").sortWithinPartitions("key")
+    met = scratch.cut(_meet(deal(index), bits, most_in_task))
+    out = met.where("not big").drop("big")
+    large = met.where("big").select(F.col("g").alias("key"), "id", "code")
+    if not large.isEmpty():
+        sizes = large.groupBy("key").agg(F.count("*").alias("n"))
+        blocks = F.ceil(2 * F.col("n") / most_in_task)
+        own = F.pmod(F.xxhash64("id"), blocks)
+        part = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
+        kind = F.lit(-(1 << 63)).bitwiseOR(F.lit(1))
+        key = F.xxhash64("key", "part").bitwiseAND(F.lit((1 << 63) - 2)).bitwiseOR(F.col("key").bitwiseAND(kind))
+        dealt = large.join(sizes.hint("merge"), "key").withColumn("part", F.explode(part)).select(key.alias("key"), "id", "code")
+        out = out.union(scratch.cut(_meet(deal(dealt), bits, 1 << 40)).drop("big"))
+    return out.distinct()
+
+
+def linked(index: DataFrame, links: Callable[[DataFrame], DataFrame], scratch: Scratch, bits: int = 0) -> DataFrame:
+    """Components of the graph of ids that meet in ``index`` (see :func:`meetings`) and pass a check.
 
-    ``index``: rows (key, id) and optionally ``near``, by which alike ids of a key sort
-    together; read twice. ``links`` turns rows (a, b), a <> b, into the pairs (src, dst)
-    that pass; ``mark``, an expression over ``key``, gives them a third column ``mark``.
-    First every id is tried against the smallest id of its key and against its
-    neighbour in order: at most twice as many pairs as index rows, however large the key;
-    keys of two ids are then done. In larger keys, ids that are not in that smallest id's
-    component ("strangers") are tried against all others of the key that differ in
-    component. Two ids of a key that differ in component can't both be in the smallest
-    one's, so no link between different components is missed. Returns (id, component) for
-    linked ids.
+    ``links`` turns rows (a, b), a <> b, into the pairs (src, dst) that pass. First every id
+    is tried against the smallest id of its group, and against a nearer neighbour: at most
+    twice as many pairs as rows. In groups of three or more, ids that are not in that smallest
+    id's component then ("strangers") are tried against those others of the group that differ
+    in component and are like them by code. Two ids of a group that differ in component can't
+    both be in the smallest one's, so no link between different components is missed.
+    Returns (id, component) for linked ids.
     """
-    low = index.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "low", "n")
-    # an index is made by exploding a small table, of whose size Spark still thinks: without
-    # the hint it would be broadcast, through the driver
-    first = index.hint("merge").join(low, "key")
-    marks = [] if mark is None else [mark.alias("mark")]
-    order = Window.partitionBy("key").orderBy(*(["near", "id"] if "near" in index.columns else ["id"]))
-    chain = first.where("n > 2").withColumn("before", F.lag("id").over(order)).where("before <> id")
-    tries = first.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"), *marks).union(chain.select(F.least("before", "id").alias("a"), F.greatest("before", "id").alias("b"), *marks))
-    edges = scratch.cut(links(tries.distinct()))
+    met = scratch.cut(meetings(index, scratch, bits))
+    pair = lambda a, b: met.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    edges = scratch.cut(links(pair("low", "id").union(pair("before", "id")).distinct()))
     comp = scratch.cut(components(edges, scratch))
-    known = first.where("n > 2 and id <> low").select("key", "low", "id").join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+    known = met.where("n > 2").select("g", "id", "low", "code").join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     known = known.join(comp.select(F.col("id").alias("low"), F.col("component").alias("lc")), "low", "left").withColumn("lc", F.coalesce("lc", "low"))
-    known = scratch.cut(known.select("key", "id", "c", (F.col("c") != F.col("lc")).alias("stranger")))
-    odd = known.where("stranger").select("key", F.col("id").alias("a"), F.col("c").alias("ca"))
-    pairs = odd.join(known.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("stranger").alias("sb")), "key").where("ca <> cb and (not sb or a < b)")
-    more = links(pairs.select("a", "b", *marks).distinct())
-    both = scratch.cut(edges.union(more))
+    known = known.select("g", "id", "code", "c", (F.col("c") != F.col("lc")).alias("stranger"))
+    mixed = known.groupBy("g").agg(F.max("stranger").alias("_any")).where("_any").select("g")
+    known = scratch.cut(known.join(mixed.hint("merge"), "g", "left_semi"), drop=met)
+    odd = known.where("stranger").select("g", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("code").alias("xa"))
+    pairs = odd.join(known.select("g", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("code").alias("xb"), F.col("stranger").alias("sb")), "g").where("ca <> cb and (not sb or a < b)")
+    like = differing(F.col("xa"), F.col("xb"), F.col("g") < 0) <= F.when(F.col("g") < 0, SKETCH_MOST).otherwise(bits)
+    more = links(pairs.where(like).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    both = scratch.cut(edges.union(more), drop=known)
     return components(both, scratch)

@@ -1,8 +1,9 @@
 """Fuzzy line deduplication by MinHash over character shingles.
 
 Lines are reduced to distinct ones before anything else, so a line repeated by a third of
-all documents is one row. Signatures are banded; lines sharing a band are verified by
-exact Jaccard similarity; components of the verified links keep their first line.
+all documents is one row. Signatures are banded; lines that share a band and have like
+sketches are verified by exact Jaccard similarity; components of the verified links keep
+their first line.
 """
 
 from __future__ import annotations
@@ -10,14 +11,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, components, texts
+from .common import Scratch, arrow_map, components, fresh, let, meetings, texts
 
-SHINGLE, BANDS, ROWS, JACCARD = 10, 12, 3, 0.8
-#: Shingles of short lines, and the longest of these: a changed character spoils up to SHINGLE shingles, over a fifth of a line of under 99.
-FINE, SHORT = 4, 140
+#: Long lines: unrelated ones share many short shingles, so theirs are long. A pair at 0.8 is missed with probability (1 - 0.8 ** 4) ** 12, 2 in 1,000; at 0.85: 1 in 10,000.
+SHINGLE, BANDS, ROWS, JACCARD = 10, 12, 4, 0.8
+#: Lines of up to SHORT characters: a changed character spoils up to 10 shingles of 10, over a fifth of a line of under 99. Missed at 0.8: 2 in 1,000.
+FINE, SHORT, FINE_BANDS, FINE_ROWS = 4, 140, 16, 5
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 18  # code points hashed at a time
 
@@ -57,6 +59,13 @@ def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
+def sketches(least: np.ndarray) -> np.ndarray:
+    """A code per row of minima: two bits of each of the first 32."""
+    some = least[:, :32].astype(np.uint32)
+    some = ((some ^ (some >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(30)
+    return np.bitwise_or.reduce(some.astype(np.uint64) << (2 * np.arange(32, dtype=np.uint64)), axis=1).view(np.int64)
+
+
 def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """Keys (n, bands) from minima (n, bands * rows)."""
     least, out = least.astype(np.uint64), np.empty((len(least), bands), np.int64)
@@ -70,10 +79,10 @@ def band_keys(least: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def minhash_bands(lines: list[str], width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Band keys (len(lines), bands) of plain lines; a line shorter than a shingle is padded to one."""
+def minhash_bands(lines: list[str], width: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (len(lines), bands) and sketches of plain lines; a line shorter than a shingle is padded to one."""
     a, b = permutations(bands * rows)
-    out = np.empty((len(lines), bands), np.int64)
+    out, codes = np.empty((len(lines), bands), np.int64), np.empty(len(lines), np.int64)
     at = 0
     while at < len(lines):
         stop, size = at, 0
@@ -88,192 +97,186 @@ def minhash_bands(lines: list[str], width: int = SHINGLE, bands: int = BANDS, ro
         edges = np.stack([ends - lengths, ends - width + 1], 1).ravel()
         edges = edges[:-1]  # the last run goes to the end
         least = np.stack([np.minimum.reduceat(low * x + y, edges)[::2] for x, y in zip(a, b, strict=True)], 1)
-        out[at:stop] = band_keys(least, bands, rows)
+        out[at:stop], codes[at:stop] = band_keys(least, bands, rows), sketches(least)
         at = stop
-    return out
-
+    return out, codes
 
-def band_names(fine: int | None) -> list[str]:
-    return [f"{b}{k}" for b in ("bf" if fine else "b") for k in range(BANDS)]
 
-
-def scan(df: DataFrame, doc_id: str, text: str, fine: int | None = None) -> DataFrame:
-    """Rows (doc_id, line_no, h, b0..., f0...): every line with a word, its hash and its band keys.
-
-    The lowest bit of a key tells the width of its shingles: 0 for SHINGLE, 1 for ``fine``;
-    lines of over SHORT code points have null for the latter.
-    """
+def scan(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows (doc_id, line_no, h, line): every line with a word, in plain form, and its hash."""
     kind = df.schema[doc_id].dataType.simpleString()
 
     def work(c: dict) -> dict:
-        rows, numbers, hashes, seen = [], [], [], {}
-        distinct: list[str] = []
-        which = []
+        rows, numbers, lines = [], [], []
         for i, t in enumerate(texts(c[text])):
             for n, line in enumerate(t.split("\n")):
                 p = plain(line)
                 if p:
-                    k = seen.setdefault(p, len(distinct))
-                    if k == len(distinct):
-                        distinct.append(p)
                     rows.append(i)
                     numbers.append(n)
-                    which.append(k)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), 1) for p in distinct), np.uint64, len(distinct)).view(np.int64)
-        bands, which = minhash_bands(distinct) & np.int64(-2), np.asarray(which, np.int64)
-        out = {"doc_id": c[doc_id].take(pa.array(rows, pa.int64())), "line_no": pa.array(numbers, pa.int32()), "h": pa.array(hashes[which]), **{f"b{k}": pa.array(bands[which, k]) for k in range(BANDS)}}
-        if fine:
-            short = np.fromiter((len(p) <= SHORT for p in distinct), bool, len(distinct))
-            more = np.zeros((len(distinct), BANDS), np.int64)
-            more[short] = minhash_bands([p for p in distinct if len(p) <= SHORT], fine) | np.int64(1)
-            out |= {f"f{k}": pa.array(more[which, k], mask=~short[which]) for k in range(BANDS)}
-        return out
+                    lines.append(p)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), 1) for p in lines), np.uint64, len(lines)).view(np.int64)
+        return {"doc_id": c[doc_id].take(pa.array(rows, pa.int64())), "line_no": pa.array(numbers, pa.int32()), "h": pa.array(hashes), "line": pa.array(lines, pa.string())}
 
-    return arrow_map(df, [doc_id, text], f"doc_id {kind}, line_no int, h long, " + ", ".join(f"{b} long" for b in band_names(fine)), work)
+    return arrow_map(df, [doc_id, text], f"doc_id {kind}, line_no int, h long, line string", work)
 
 
-def shingle_sets(lines: list[str], width: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each line, hashed together."""
-    part = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
-    if not part:
-        return []
-    hashes = shingle_hashes(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32), width)
-    ends = np.cumsum([len(x) for x in part]).tolist()
-    return [np.unique(hashes[e - len(x) : e - width + 1]) for x, e in zip(part, ends, strict=True)]
+def band_index(distinct: DataFrame, fine: int | None) -> DataFrame:
+    """Rows (key, id, code): the bands of each line (h, line), all keys negative.
 
+    The lowest bit of a key tells the width of its shingles: 0 for SHINGLE, 1 for ``fine``.
+    Lines of at most SHORT code points have fine keys; those from 0.8 times that on have
+    wide keys, so that longer ones meet them.
+    """
+    sign = np.int64(-1 << 63)
 
-class Bucket:
-    """Lines that share a band. ``add`` returns the ids of earlier lines that link a new one to components it isn't in.
+    def work(c: dict) -> dict:
+        ids, lines = c["h"].to_numpy(), c["line"].to_pylist()
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        kinds = [(SHINGLE, BANDS, ROWS, 0, size >= JACCARD * (SHORT - SHINGLE) if fine else size > 0)]
+        kinds += [(fine, FINE_BANDS, FINE_ROWS, 1, size <= SHORT)] if fine else []
+        key, id_, code = [], [], []
+        for width, bands, rows, odd, which in kinds:
+            at = np.flatnonzero(which)
+            keys, codes = minhash_bands([lines[i] for i in at], width, bands, rows)
+            key.append(((keys & np.int64(-2)) | np.int64(odd) | sign).ravel())
+            id_.append(np.repeat(ids[at], bands))
+            code.append(np.repeat(codes, bands))
+        return {n: pa.array(np.concatenate(x)) for n, x in (("key", key), ("id", id_), ("code", code))}
 
-    A line is first held against one leader of each component, then against all members of
-    components that none of their leaders brought in: every pair of lines in different
-    components is compared, and near copies cost one comparison each.
-    """
+    return arrow_map(distinct, ["h", "line"], "key long, id long, code long", work)
 
-    def __init__(self, least: float):
-        self.least, self.ids, self.sets, self.root, self.leaders = least, [], [], [], []
-        self.flat, self.used, self.starts = np.empty(1 << 12, np.uint64), 0, []
 
-    def _find(self, i: int) -> int:
-        while self.root[i] != i:
-            self.root[i] = i = self.root[self.root[i]]
-        return i
+def _common(a: str, b: str, n: int, end: bool) -> int:
+    """Length of the common start (or end) of two lines, ``n`` at most."""
+    low = 0
+    while low < n:
+        mid = (low + n + 1) // 2
+        same = a[len(a) - mid : len(a) - low] == b[len(b) - mid : len(b) - low] if end else a[low:mid] == b[low:mid]
+        low, n = (mid, n) if same else (low, mid - 1)
+    return low
 
-    def _alike(self, s: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(s, flat)
-        hits = s[np.minimum(at, len(s) - 1)] == flat
-        common = np.add.reduceat(hits, starts, dtype=np.int64)
-        return common >= self.least * (np.diff(np.r_[starts, len(flat)]) + len(s) - common)
 
-    def add(self, id_: int, s: np.ndarray) -> list[int]:
+_BINS = 512
+
+
+class Bucket:
+    """Lines of one group. ``add`` returns the ids of earlier lines that link a new one to components it isn't in.
+
+    A line is first held against one leader of each component, then against the members of
+    components that none of their leaders brought in: every pair of lines in different
+    components is compared, and near copies cost one comparison each. Where there are many,
+    counts of shingles by bin, whose minima bound what two lines have in common, rule out
+    most before any is compared. Similarity is that of the sets of 64-bit shingle hashes.
+    """
+
+    def __init__(self, least: float, width: int):
+        self.least, self.width, self.ids, self.lines, self.sets = least, width, [], [], []
+        self.bins, self.sizes, self.comp, self.led = np.zeros((8, _BINS), np.uint16), np.zeros(8, np.int64), np.zeros(8, np.int64), np.zeros(8, bool)
+
+    def _set(self, i: int) -> np.ndarray:
+        """The sorted distinct shingle hashes of line ``i``; kept for leaders."""
+        if self.sets[i] is not None:
+            return self.sets[i]
+        line = self.lines[i].ljust(self.width, "\0")
+        found = np.unique(shingle_hashes(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32), self.width))
+        if not self.sizes[i]:
+            self.sizes[i] = len(found)
+            self.bins[i] = np.minimum(np.bincount((found & np.uint64(_BINS - 1)).astype(np.int64), minlength=_BINS), 65535)
+        if self.led[i]:
+            self.sets[i] = found
+        return found
+
+    def _alike(self, i: int, k: int) -> bool:
+        """Whether line ``i``, whose set is known, and line ``k`` have a Jaccard similarity of ``least`` or more."""
+        a, b = self.lines[i], self.lines[k]
+        n = min(len(a), len(b))
+        if n >= self.width:
+            # all shingles but those of the differing middle are common
+            start = _common(a, b, n, False)
+            end = _common(a, b, n - start, True)
+            common = max(0, start - self.width + 1) + max(0, end - self.width + 1)
+            odd_a, odd_b = (len(x) - self.width + 1 - common for x in (a, b))
+            if self.sizes[i] - odd_a >= self.least * (self.sizes[i] + odd_b):
+                return True
+        a, b = self._set(i), self._set(k)
+        if min(len(a), len(b)) < self.least * max(len(a), len(b)):
+            return False
+        common = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+        return common >= self.least * (len(a) + len(b) - common)
+
+    def _join(self, me: int, others: np.ndarray, out: list[int]) -> None:
+        if len(others) > 8:
+            for i in others[self.sizes[others] == 0].tolist():
+                self._set(i)
+            mine = len(self._set(me))
+            possible = np.empty(len(others), np.int64)
+            for at in range(0, len(others), 256):
+                possible[at : at + 256] = np.minimum(self.bins[others[at : at + 256]], self.bins[me]).sum(1, dtype=np.int64)
+            full = (self.bins[others] == 65535).any(1)  # such a count bounds nothing
+            others = others[full | (possible * (1 + self.least) >= self.least * (self.sizes[others] + mine))]
+        for i in others.tolist():
+            if self.comp[i] != self.comp[me]:
+                if not self.sizes[i]:
+                    self._set(i)
+                if self._alike(i, me):
+                    out.append(self.ids[i])
+                    n = len(self.ids)
+                    self.comp[:n][self.comp[:n] == self.comp[me]] = self.comp[i]
+
+    def add(self, id_: int, line: str) -> list[int]:
         me, out = len(self.ids), []
+        if me == len(self.comp):
+            self.bins, self.sizes, self.comp, self.led = (np.concatenate((x, np.zeros_like(x))) for x in (self.bins, self.sizes, self.comp, self.led))
         self.ids.append(id_)
-        self.sets.append(s)
-        self.root.append(me)
-
-        def join(i: int) -> None:
-            a, b = self._find(i), self._find(me)
-            if a != b:
-                self.root[max(a, b)] = min(a, b)
-                out.append(self.ids[i])
-
-        if self.leaders:
-            for k in np.flatnonzero(self._alike(s, self.flat[: self.used], np.asarray(self.starts))).tolist():
-                join(self.leaders[k])
-            led = set(self.leaders)
-            mine = self._find(me)
-            rest = [i for i in range(me) if i not in led and self._find(i) != mine] if len(led) < me else []
-            for at in range(0, len(rest), 512):
-                some = rest[at : at + 512]
-                starts = np.cumsum([0, *(len(self.sets[i]) for i in some[:-1])])
-                for k in np.flatnonzero(self._alike(s, np.concatenate([self.sets[i] for i in some]), starts)).tolist():
-                    join(some[k])
-        if not out:
-            while self.used + len(s) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-            self.starts.append(self.used)
-            self.flat[self.used : self.used + len(s)] = s
-            self.used += len(s)
-            self.leaders.append(me)
+        self.lines.append(line)
+        self.sets.append(None)
+        self.comp[me] = me
+        self._join(me, np.flatnonzero(self.led[:me]), out)
+        self._join(me, np.flatnonzero(~self.led[:me] & (self.comp[:me] != self.comp[me])), out)
+        self.led[me] = not out
         return out
 
 
 def verified(rows: DataFrame, least: float, fine: int | None = None) -> DataFrame:
-    """Links (src, dst) from rows (key, part, id, line) that are sorted by key and part within a partition. Odd keys are of ``fine`` shingles."""
+    """Links (src, dst) from rows (g, id, line) that are sorted by group within a partition. Odd groups are of ``fine`` shingles."""
 
     def run(batches):
-        bucket, last = Bucket(least), None
+        bucket, last = None, None
         for batch in batches:
             src, dst = [], []
-            keys, parts, ids = (batch.column(i).to_pylist() for i in range(3))
-            lines, sets = batch.column(3).to_pylist(), [None] * len(keys)
-            for odd, width in enumerate([SHINGLE, fine]):
-                at = [i for i, k in enumerate(keys) if k & 1 == odd]
-                for i, s in zip(at, shingle_sets([lines[i] for i in at], width), strict=True):
-                    sets[i] = s
-            for i, s in enumerate(sets):
-                if (keys[i], parts[i]) != last:
-                    bucket, last = Bucket(least), (keys[i], parts[i])
-                found = bucket.add(ids[i], s)
+            for g, i, line in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+                if g != last:
+                    bucket, last = Bucket(least, fine if g & 1 else SHINGLE), g
+                found = bucket.add(i, line)
                 src += found
-                dst += [ids[i]] * len(found)
+                dst += [i] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    return rows.select("key", "part", "id", "line").mapInArrow(run, "src long, dst long")
-
-
-def wanted_lines(df: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (h, line): the plain text of the lines at (doc_id, line_no) of ``wanted``."""
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "h")).alias("_at"))
-    source = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_text"))
-    picked = source.join(asked, source["doc_id"].eqNullSafe(asked["doc_id"])).select("_text", "_at")
-
-    def work(c: dict) -> dict:
-        hs, lines = [], []
-        for t, at in zip(c["_text"].to_pylist(), c["_at"].to_pylist(), strict=True):
-            parts = t.split("\n")
-            for x in at:
-                if x["line_no"] < len(parts):
-                    hs.append(x["h"])
-                    lines.append(plain(parts[x["line_no"]]))
-        return {"h": pa.array(hs, pa.int64()), "line": pa.array(lines, pa.string())}
-
-    return arrow_map(picked, ["_text", "_at"], "h long, line string", work).dropDuplicates(["h"])
+    return rows.select("g", "id", "line").mapInArrow(run, "src long, dst long")
 
 
-def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = JACCARD, most_in_task: int = 5_000, fine: int | None = None) -> DataFrame:
+def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = JACCARD, most_in_task: int = 1 << 13, fine: int | None = None) -> DataFrame:
     """Rows (doc_id, n_lines, removed): line numbers (from 0) that repeat an earlier line, exactly or fuzzily.
 
-    Lines are compared in plain form (lower case, white space runs as one space); lines
-    without a word are left alone. Of each component of lines linked at Jaccard ``least``
-    over 10-character shingles, the first by (doc_id, line number) stays. With ``fine``,
-    two lines of at most SHORT characters are linked too if they are as similar over
-    shingles of ``fine`` characters. Banding misses a pair at 0.8 with probability
-    (1 - 0.8 ** ROWS) ** BANDS, 2 in 10,000, one more similar far less. Null and empty
-    texts have no lines and give no row. Rows sharing a doc_id count as one document whose
-    lines are counted together; null doc_ids come first. ``most_in_task`` bounds what a task
-    compares and changes no result.
+    Lines are compared in plain form (lower case, white space runs as one space), one line
+    per 64-bit hash; lines without a word are left alone. Of each component of lines linked
+    at Jaccard ``least`` over 10-character shingles, the first by (doc_id, line number)
+    stays. With ``fine``, two lines of at most SHORT characters are linked over shingles of
+    ``fine`` characters instead, and a longer one only to lines of at least 0.8 * (SHORT -
+    SHINGLE) characters. Null and empty texts have no lines and give no row. Rows
+    sharing a doc_id count as one document whose lines are counted together; null doc_ids
+    come first. ``most_in_task`` bounds what a task compares and changes no result.
     """
     scratch = Scratch(df.sparkSession, "lines")
-    rows = scratch.cut(scan(df, doc_id, text, fine))
-    bands = band_names(fine)
-    distinct = scratch.cut(rows.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), *[F.min(b).alias(b) for b in bands]))
-    keys = F.array(*bands) if not fine else F.when(F.col("f0").isNull(), F.array(*bands[:BANDS])).otherwise(F.array(*bands))
-    keyed = distinct.select(F.explode(keys).alias("key"), F.col("h").alias("id"))
-    # near copies share many bands: bands of the same lines (by 128 bits) and width are one
-    band = Window.partitionBy("key")
-    full = keyed.select("key", "id", F.count("*").over(band).alias("n"), *[F.bit_xor(F.xxhash64("id", F.lit(k))).over(band).alias(f"x{k}") for k in range(2)]).where("n > 1")
-    alike = F.xxhash64("n", "x0", "x1").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("key").bitwiseAND(F.lit(1)))
-    members = scratch.cut(full.select(alike.alias("key"), "id", "n").distinct())
-    wanted = distinct.join(members.select(F.col("id").alias("h")).distinct(), "h", "left_semi").select("first.doc_id", "first.line_no", "h")
-    lines = scratch.cut(wanted_lines(df, wanted, doc_id, text))
-    # a band of more than ``most_in_task`` lines is dealt in blocks, each pair of blocks to a task
-    blocks = F.ceil(F.col("n") / most_in_task)
-    own = F.pmod(F.xxhash64("id"), blocks)
-    part = F.when(blocks == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j)))
-    rows_of = members.join(lines.withColumnRenamed("h", "id"), "id").withColumn("part", F.explode(part)).select("key", "part", "id", "line")
+    rows = scratch.cut(scan(df, doc_id, text))
+    # the text of a line moves once, to be one of its equals
+    distinct = scratch.cut(rows.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")))
+    rows = scratch.cut(rows.select("doc_id", "line_no", "h"), drop=rows)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = scratch.cut(verified(rows_of.repartition(parts, "key", "part").sortWithinPartitions("key", "part", "id"), least, fine))
+    met = scratch.cut(meetings(band_index(distinct, fine), scratch, most_in_task=most_in_task).select("g", "id"))
+    lines = met.join(distinct.select(F.col("h").alias("id"), "line"), "id")
+    edges = scratch.cut(verified(lines.repartition(parts, "g").sortWithinPartitions("g", "id"), least, fine), drop=met)
     comp = components(edges, scratch).select(F.col("id").alias("h"), "component")
     named = distinct.select("h", "first", "n").join(comp, "h", "left").withColumn("c", F.coalesce("component", "h"))
     keeper = named.groupBy("c").agg(F.min("first").alias("keeper"))
@@ -284,15 +287,17 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     counts = rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
     lost = lost.withColumnRenamed("doc_id", "_d")
     out = counts.join(lost, F.expr("doc_id <=> _d"), "left")
-    return scratch.cut(out.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")))
+    return scratch.cut(out.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")), drop=rows)
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = JACCARD, fine: int | None = None) -> DataFrame:
-    """``df`` with the repeated lines taken out of ``text``; all other columns stay, n_chars follows if there is one."""
-    lost = removals(df, doc_id, text, least, fine=fine).where("size(removed) > 0").select(F.col("doc_id").alias("_d"), F.col("removed").alias("_removed"))
+    """``df`` with the repeated lines taken out of ``text``; all other columns stay, whatever their names; n_chars follows if there is one."""
+    d, gone = fresh(df.columns, "_d"), fresh(df.columns, "_removed")
+    lost = removals(df, doc_id, text, least, fine=fine).where("size(removed) > 0").select(F.col("doc_id").alias(d), F.col("removed").alias(gone))
     col = F.col(f"`{text}`")
-    kept = F.array_join(F.filter(F.split(col, "\n", -1), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    out = df.join(lost, df[doc_id].eqNullSafe(lost["_d"]), "left").withColumn(text, F.when(F.col("_removed").isNull(), col).otherwise(kept))
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    kept = let(F.split(col, "\n", -1), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))
+    out = df.join(lost, df[doc_id].eqNullSafe(lost[d]), "left").withColumn(text, F.when(F.col(gone).isNull(), col).otherwise(kept))
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length(col).cast(df.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(col).cast(df.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

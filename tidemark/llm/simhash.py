@@ -16,10 +16,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, linked, texts
-from .line_dedup import band_keys, permutations
+from .common import Scratch, arrow_map, components, linked, meetings, texts
+from .line_dedup import band_keys, permutations, sketches
 
-BANDS, ROWS = 24, 3  # of MinHash over word shingles
+BANDS, ROWS = 20, 4  # of MinHash over word shingles
+#: Fingerprints beyond which keys also hold a piece of the other bits, so that few meet by chance.
+MANY = 1 << 24
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -61,25 +63,38 @@ def segments(bits: int, size: int = 64) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def variants(fp: Column, bits: int) -> Column:
-    """Array of signatures: for each segment and bit of it, the segment with that bit cleared and the number of the bit."""
+def variants(fp: Column, bits: int, many: bool = False) -> Column:
+    """Array of signatures: for each segment and bit of it, the segment with that bit cleared and the number of the bit.
+
+    A signature of 16 to 31 bits is shared by chance once there are ``many`` fingerprints.
+    Then the bits outside the segment are cut into ``bits`` + 1 pieces, of which one must be
+    equal, and there is a signature per segment, bit and piece. Both forms miss no pair.
+    """
     out = []
     for start, length in segments(bits):
         part = F.shiftrightunsigned(fp, start).bitwiseAND((1 << length) - 1)
-        out += [F.shiftleft(part.bitwiseAND(~(1 << i)), 6).bitwiseOR(F.lit(start + i)) for i in range(length)]
+        signatures = [F.shiftleft(part.bitwiseAND(~(1 << i)), 6).bitwiseOR(F.lit(start + i)) for i in range(length)]
+        if many:
+            others = [i for i in range(64) if not start <= i < start + length]
+            cuts = [len(others) * k // (bits + 1) for k in range(bits + 2)]
+            masks = [sum(1 << i for i in others[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+            masks = [m - (1 << 64) if m >> 63 else m for m in masks]
+            signatures = [F.xxhash64(s, fp.bitwiseAND(F.lit(m)), F.lit(k)).bitwiseAND(F.lit((1 << 63) - 1)) for s in signatures for k, m in enumerate(masks)]
+        out += signatures
     return F.array(*out)
 
 
 def classes(prints: DataFrame, scratch: Scratch, bits: int = 4) -> DataFrame:
-    """Rows (fp, component_fp) for all fingerprints that have a link to a different one.
+    """Rows (fp, component) for all fingerprints that have a link to a different one.
 
     Works on distinct fingerprints: copies are one row, whatever their number.
     """
     ids = scratch.cut(prints.select(F.col("fp").alias("id")).distinct())
+    many = ids.count() > MANY
     ids = ids.repartition(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a few MB that grow to many
-    index = ids.select(F.explode(variants(F.col("id"), bits)).alias("key"), "id")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    return linked(index, lambda pairs: pairs.where(near).select(F.col("a").alias("src"), F.col("b").alias("dst")), scratch).select(F.col("id").alias("fp"), "component")
+    index = ids.select(F.explode(variants(F.col("id"), bits, many)).alias("key"), "id", F.col("id").alias("code"))
+    met = meetings(index, scratch, bits)
+    return components(met.where("id <> low").select(F.col("low").alias("src"), F.col("id").alias("dst")), scratch).select(F.col("id").alias("fp"), "component")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bits: int = 4, width: int = 4) -> DataFrame:
@@ -111,9 +126,9 @@ def text_key(text: str) -> int:
     return xxhash.xxh64_intdigest(b" ".join(_WORDS(text.encode().translate(_LOWER))), 7) - (1 << 63)
 
 
-def shingle_bands(all_texts: list[str], width: int = 5, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """MinHash band keys (len(all_texts), bands), all negative, over the ``width``-word shingles of each text."""
-    digest, out, at = xxhash.xxh64_intdigest, np.empty((len(all_texts), bands), np.int64), 0
+def shingle_bands(all_texts: list[str], width: int = 5, bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash band keys (len(all_texts), bands), all negative, and sketches over the ``width``-word shingles of each text."""
+    digest, out, codes, at = xxhash.xxh64_intdigest, np.empty((len(all_texts), bands), np.int64), np.empty(len(all_texts), np.int64), 0
     while at < len(all_texts):
         low, size, stop = [], 0, at
         while stop < len(all_texts) and size < 1 << 18:
@@ -129,37 +144,37 @@ def shingle_bands(all_texts: list[str], width: int = 5, bands: int = BANDS, rows
         starts = np.cumsum([0, *map(len, low[:-1])])
         flat = np.concatenate(low)
         least = np.stack([np.minimum.reduceat(flat * x + y, starts) for x, y in zip(*permutations(bands * rows), strict=True)], 1)
-        out[at:stop] = band_keys(least, bands, rows)
+        out[at:stop], codes[at:stop] = band_keys(least, bands, rows), sketches(least)
         at = stop
-    return out | np.int64(-1 << 63)
+    return out | np.int64(-1 << 63), codes
 
 
 def signatures(df: DataFrame, print_width: int, width: int) -> DataFrame:
-    """Rows (doc_id, h, fp, bands): text_key, fingerprint and MinHash bands of each text. Null texts count as empty."""
+    """Rows (doc_id, h, fp, bands, sketch): text_key, fingerprint, MinHash bands and sketch of each text. Null texts count as empty."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def work(c: dict) -> dict:
         all_texts = texts(c["text"])
         fps = np.fromiter((fingerprint(t, print_width) for t in all_texts), np.uint64, len(all_texts))
-        keys = shingle_bands(all_texts, width)
+        keys, codes = shingle_bands(all_texts, width)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(all_texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-        return {"doc_id": c["doc_id"], "h": pa.array([text_key(t) for t in all_texts], pa.int64()), "fp": pa.array(fps.view(np.int64)), "bands": lists}
+        return {"doc_id": c["doc_id"], "h": pa.array([text_key(t) for t in all_texts], pa.int64()), "fp": pa.array(fps.view(np.int64)), "bands": lists, "sketch": pa.array(codes)}
 
-    return arrow_map(df, ["doc_id", "text"], f"doc_id {kind}, h long, fp long, bands array<long>", work)
+    return arrow_map(df, ["doc_id", "text"], f"doc_id {kind}, h long, fp long, bands array<long>, sketch long", work)
 
 
 def similar(near: DataFrame, docs: DataFrame, first: DataFrame, width: int, least: float, scratch: Scratch) -> DataFrame:
-    """Of the pairs (src, dst) of text ids, those whose texts have a Jaccard similarity of ``least`` or more."""
+    """Of the pairs (src, dst) of texts, told by ``h``, those whose texts have a Jaccard similarity of ``least`` or more."""
     near = scratch.cut(near)
-    ids = near.select(F.col("src").alias("id")).union(near.select(F.col("dst").alias("id"))).distinct()
-    wanted = first.select("id", "h", "doc_id").join(ids, "id", "left_semi")
+    ids = near.select(F.col("src").alias("h")).union(near.select(F.col("dst").alias("h"))).distinct()
+    wanted = first.select("h", "doc_id").join(ids, "h", "left_semi")
 
     def own(c: dict) -> dict:
         mask = pa.array([h == text_key(t) for h, t in zip(c["h"].to_pylist(), texts(c["text"]), strict=True)], pa.bool_())
-        return {"id": c["id"].filter(mask), "text": c["text"].filter(mask)}
+        return {"id": c["h"].filter(mask), "text": c["text"].filter(mask)}
 
     # rows sharing a doc_id may differ in text
-    lines = scratch.cut(arrow_map(docs.join(wanted, "doc_id"), ["id", "h", "text"], "id long, text string", own).dropDuplicates(["id"]))
+    lines = scratch.cut(arrow_map(docs.join(wanted, "doc_id"), ["h", "text"], "id long, text string", own).dropDuplicates(["id"]))
     both = near.join(lines.select(F.col("id").alias("src"), F.col("text").alias("ta")), "src").join(lines.select(F.col("id").alias("dst"), F.col("text").alias("tb")), "dst")
 
     def work(c: dict) -> dict:
@@ -176,7 +191,7 @@ def similar(near: DataFrame, docs: DataFrame, first: DataFrame, width: int, leas
     return arrow_map(both, ["src", "dst", "ta", "tb"], "src long, dst long", work)
 
 
-def keep_one(df: DataFrame, bits: int = 7, print_width: int = 2, width: int = 5, least: float = 0.8) -> DataFrame:
+def keep_one(df: DataFrame, bits: int = 4, print_width: int = 2, width: int = 5, least: float = 0.8) -> DataFrame:
     """The rows of ``df`` that are the first (smallest doc_id) of their near-duplicate group, with its columns.
 
     Documents are near duplicates if their sets of ``width``-word shingles have a Jaccard
@@ -184,7 +199,7 @@ def keep_one(df: DataFrame, bits: int = 7, print_width: int = 2, width: int = 5,
     ``print_width`` words differ in at most ``bits`` places, and texts that share a MinHash
     band over the ``width``-word shingles: an added block moves a fingerprint beyond any
     small budget, while bands depend on the similarity alone and miss a pair at 0.8 with
-    probability (1 - 0.8 ** ROWS) ** BANDS, 3 in 100 million. Every candidate is verified,
+    probability (1 - 0.8 ** ROWS) ** BANDS, 3 in 100,000. Every candidate is verified,
     equal fingerprints of different words too. Texts without a word are copies of one
     another. Rows with a null doc_id or text stay as they are, unless an earlier text has
     no word either.
@@ -192,18 +207,15 @@ def keep_one(df: DataFrame, bits: int = 7, print_width: int = 2, width: int = 5,
     scratch = Scratch(df.sparkSession, "simhash-keep")
     docs = df.select("doc_id", "text")
     prints = scratch.cut(signatures(df, print_width, width))
-    once = scratch.cut(prints.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.first("bands").alias("bands")))
-    # one text of each fingerprint goes by the fingerprint itself, so that pairs tell their distance; others by their hash
-    heads = once.groupBy("fp").agg(F.min("h").alias("h")).select("h", F.lit(True).alias("head"))
-    first = scratch.cut(once.join(heads.hint("merge"), "h", "left").select("h", "doc_id", "fp", "bands", "head", F.when(F.col("head"), F.col("fp")).otherwise(F.col("h")).alias("id")), drop=once)
+    first = scratch.cut(prints.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    many = first.count() > MANY
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    same = F.xxhash64("fp").bitwiseOR(F.lit(-1 << 63))
-    by_print = F.when(F.col("head"), variants(F.col("fp"), bits)).otherwise(F.array().cast("array<long>"))
-    index = first.repartition(parts).select(F.explode(F.concat("bands", F.array(same), by_print)).alias("key"), "id")
-    near = F.col("mark") | (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    links = lambda pairs: similar(pairs.where(near).select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), docs, first, width, least, scratch)
-    found = linked(index, links, scratch, F.col("key") < 0)
-    low = first.select("id", "h", "doc_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    keyed = lambda keys, code: F.transform(keys, lambda k: F.struct(k.alias("key"), F.col(code).alias("code")))
+    both = F.concat(keyed("bands", "sketch"), keyed(variants(F.col("fp"), bits, many), "fp"))
+    index = first.repartition(parts).select(F.col("h").alias("id"), F.explode(both).alias("k")).select("k.key", "id", "k.code")
+    links = lambda pairs: similar(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), docs, first, width, least, scratch)
+    found = linked(index, links, scratch, bits)
+    low = first.select("h", "doc_id").join(found.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     best = low.groupBy("component").agg(F.min("doc_id").alias("keeper"))
     keepers = low.join(best, "component").select("h", "keeper")
     lost = scratch.cut(prints.select("doc_id", "h").join(keepers, "h").where("doc_id <> keeper").select("doc_id").distinct())
