@@ -10,6 +10,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tidemark.llm import bpe, decontaminate, quality_rules, repeats, secrets
+from tidemark.llm.common import Scratch
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -268,6 +269,38 @@ def test_quality_posterior_agrees_with_labels(spark):
     assert "Python" not in native and "Arrow" not in native
 
 
+def test_the_posterior_is_not_all_must_pass(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    made, q, v = quality_rules.measured(docs.select("doc_id", "text"), Scratch(spark, "t"), "text", ["doc_id"], quality_rules.RULES)
+    model = quality_rules.fit(made, v)
+    assert all(abs(sum(r[3 * i : 3 * i + 3]) - 1) < 1e-9 for r in model.votes for i in range(len(quality_rules.RULES)))
+    votes = made.select("doc_id", F.exists(v, lambda x: x % 3 == 0).alias("any_bad"), F.exists(v, lambda x: (x % 3 == 0) & ~x.isin(6, 15)).alias("strict_bad"))
+    rows = quality_rules.judged(made, q, v, model, 0.5, "").join(votes, "doc_id").join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id", "left").where("not base_failed").toPandas()
+    # a bad vote doesn't decide, and weak votes alone may
+    assert (rows.kept & rows.any_bad).sum() > 50 and (~rows.kept & ~rows.strict_bad).sum() > 0
+    known = rows[rows.label.notna()]
+    assert (known.kept == (known.label == 1)).mean() > 0.995 > (~known.any_bad == (known.label == 1)).mean()
+    assert known.kept[known.label == 1].mean() > 0.999
+
+
+def test_em_matches_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    rules, first = quality_rules.RULES, quality_rules.first_model()
+    rows = [[3 * i + int(x) for i, x in enumerate(r)] for r in rng.choice(3, (200, len(rules)), p=[0.2, 0.6, 0.2])]
+    got = quality_rules.fit(spark.createDataFrame([(r,) for r in rows], "v array<int>"), "v", rounds=4)
+    share, votes, start = np.array(first.share), np.array(first.votes), np.array(first.share)[:, None] * np.array(first.votes)
+    weight = 0.05 * len(rows) + 4
+    for _ in range(4):
+        p = share * np.exp(np.log(votes)[:, rows].sum(2)).T
+        p /= p.sum(1, keepdims=True)
+        votes = weight * start
+        for r, x in zip(rows, p, strict=True):
+            votes[:, r] += x[:, None]
+        votes /= np.repeat(votes.reshape(len(share), -1, 3).sum(2), 3, axis=1)
+        share = (p.sum(0) + weight * np.array(first.share)) / (len(rows) + weight)
+    assert np.allclose(got.share, share) and np.allclose(got.votes, votes)
+
+
 def test_quality_of_nothing_and_columns_kept(nothing, awkward):
     assert quality_rules.score(nothing).count() == 0
     assert quality_rules.keep(awkward).columns == awkward.columns

@@ -68,7 +68,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
-    return quality_rules.score(docs).drop("text")
+    return quality_rules.score(docs, keep=["doc_id"])
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_prefix_doubling, op4_toxicity, op5_html, op6_simhash, op7_secrets, op8_cotraining, op9_line_dedup, op10_quality_rules)}
