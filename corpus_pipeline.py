@@ -46,8 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
+    """All stages over the whole documents table; a stage's copy goes once the next is written.
+
+    Null and empty texts fail the quality rules; an empty table gives an empty result;
+    columns beyond those of documents stay until the last stage, whatever their names.
+    """
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for _, stage in STAGES[:-1]:
-        docs = scratch.cut(stage(spark, docs, sf_dir))
+        docs = scratch.cut(stage(spark, docs, sf_dir), drop=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
