@@ -20,6 +20,7 @@ from .common import Scratch, arrow_map, components, fresh, let, meetings, texts
 SHINGLE, BANDS, ROWS, JACCARD = 10, 12, 4, 0.8
 #: Lines of up to SHORT characters: a changed character spoils up to 10 shingles of 10, over a fifth of a line of under 99. Missed at 0.8: 2 in 1,000.
 FINE, SHORT, FINE_BANDS, FINE_ROWS = 4, 140, 16, 5
+FEW = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 18  # code points hashed at a time
 
@@ -172,21 +173,28 @@ class Bucket:
 
     def __init__(self, least: float, width: int):
         self.least, self.width, self.ids, self.lines, self.sets = least, width, [], [], []
-        self.bins, self.sizes, self.comp, self.led = np.zeros((8, _BINS), np.uint16), np.zeros(8, np.int64), np.zeros(8, np.int64), np.zeros(8, bool)
+        self.bins, self.sizes, self.comp, self.led, self.binned = np.zeros((8, _BINS), np.uint16), np.zeros(8, np.int64), np.zeros(8, np.int64), np.zeros(8, bool), np.zeros(8, bool)
 
     def _set(self, i: int) -> np.ndarray:
         """The sorted distinct shingle hashes of line ``i``; kept for leaders."""
         if self.sets[i] is not None:
             return self.sets[i]
         line = self.lines[i].ljust(self.width, "\0")
-        found = np.unique(shingle_hashes(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32), self.width))
-        if not self.sizes[i]:
-            self.sizes[i] = len(found)
-            self.bins[i] = np.minimum(np.bincount((found & np.uint64(_BINS - 1)).astype(np.int64), minlength=_BINS), 65535)
-        if self.led[i]:
+        found = shingle_hashes(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32), self.width)
+        found.sort()
+        new = np.empty(len(found), bool)
+        new[0], new[1:] = True, found[1:] != found[:-1]
+        found = found[new]
+        self.sizes[i] = len(found)
+        if self.led[i] or i == len(self.ids) - 1:
             self.sets[i] = found
         return found
 
+    def _bin(self, i: int) -> None:
+        if not self.binned[i]:
+            self.binned[i] = True
+            self.bins[i] = np.minimum(np.bincount((self._set(i) & np.uint64(_BINS - 1)).astype(np.int64), minlength=_BINS), 65535)
+
     def _alike(self, i: int, k: int) -> bool:
         """Whether line ``i``, whose set is known, and line ``k`` have a Jaccard similarity of ``least`` or more."""
         a, b = self.lines[i], self.lines[k]
@@ -207,9 +215,9 @@ class Bucket:
 
     def _join(self, me: int, others: np.ndarray, out: list[int]) -> None:
         if len(others) > 8:
-            for i in others[self.sizes[others] == 0].tolist():
-                self._set(i)
-            mine = len(self._set(me))
+            for i in [me, *others[~self.binned[others]].tolist()]:
+                self._bin(i)
+            mine = self.sizes[me]
             possible = np.empty(len(others), np.int64)
             for at in range(0, len(others), 256):
                 possible[at : at + 256] = np.minimum(self.bins[others[at : at + 256]], self.bins[me]).sum(1, dtype=np.int64)
@@ -227,7 +235,7 @@ class Bucket:
     def add(self, id_: int, line: str) -> list[int]:
         me, out = len(self.ids), []
         if me == len(self.comp):
-            self.bins, self.sizes, self.comp, self.led = (np.concatenate((x, np.zeros_like(x))) for x in (self.bins, self.sizes, self.comp, self.led))
+            self.bins, self.sizes, self.comp, self.led, self.binned = (np.concatenate((x, np.zeros_like(x))) for x in (self.bins, self.sizes, self.comp, self.led, self.binned))
         self.ids.append(id_)
         self.lines.append(line)
         self.sets.append(None)
@@ -235,6 +243,8 @@ class Bucket:
         self._join(me, np.flatnonzero(self.led[:me]), out)
         self._join(me, np.flatnonzero(~self.led[:me] & (self.comp[:me] != self.comp[me])), out)
         self.led[me] = not out
+        if out:
+            self.sets[me] = None
         return out
 
 
@@ -274,7 +284,10 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     distinct = scratch.cut(rows.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")))
     rows = scratch.cut(rows.select("doc_id", "line_no", "h"), drop=rows)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = scratch.cut(meetings(band_index(distinct, fine), scratch, most_in_task=most_in_task).select("g", "id"))
+    met = meetings(band_index(distinct, fine), scratch, most_in_task=most_in_task)
+    # small groups of one smallest line overlap: together, their pairs are tried once
+    few = F.xxhash64("low").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("g").bitwiseAND(F.lit(1)))
+    met = scratch.cut(met.select(F.when(F.col("n") <= FEW, few).otherwise(F.col("g")).alias("g"), "id").distinct())
     lines = met.join(distinct.select(F.col("h").alias("id"), "line"), "id")
     edges = scratch.cut(verified(lines.repartition(parts, "g").sortWithinPartitions("g", "id"), least, fine), drop=met)
     comp = components(edges, scratch).select(F.col("id").alias("h"), "component")
