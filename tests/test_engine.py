@@ -208,7 +208,7 @@ def test_stream(spark, tmp_path):
     points(spark, (20, 59), (21, 59)).write.parquet(src)
     e = Engine(spark, settings(8, 31, 53, 66))
     stream = spark.readStream.schema("longitude double, latitude double").parquet(src)
-    q = enrich_stream(stream, e, [coast_lookup(segs(spark, [(20, 58), (20, 60)]))], lambda df, _: df.write.mode("append").parquet(out), checkpointLocation=f"{tmp_path}/c")
+    q = enrich_stream(stream, e, [coast_lookup(segs(spark, [(20, 58), (20, 60)]))], lambda df, _: df.write.mode("append").parquet(out), trigger={"availableNow": True}, checkpointLocation=f"{tmp_path}/c")
     q.awaitTermination(120)
     assert spark.read.parquet(out).count() == 2
     with pytest.raises(ValueError, match="region"):
@@ -244,3 +244,12 @@ def test_entry():
     import __spark_entry__ as entry
 
     assert set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_no_reference_is_lost_to_equal_order_values(spark):
+    refs = spark.createDataFrame([(1, 100.0, 50.0, "far"), (1, 10.0, 50.0, "near"), (2, 10.0, 50.0, "later"), (0, 10.0, 50.0, None)], "o int, longitude double, latitude double, name string")
+    at = spark.createDataFrame([(10.001, 50.0)], "longitude double, latitude double")
+    for small in (0, 4096):
+        assert Engine(spark).nearest(at, refs.where("o > 0"), order_by="o", small=small).first().nearest_name == "near"
+        assert Engine(spark).nearest(at, refs, order_by="o", small=small).first().nearest_name is None
+        assert Engine(spark).nearest(at, refs.where("o > 0"), small=small).first().nearest_name == "later"

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
+    """spark.checkpoint.dir; a folder of our own only in local mode where that is unset, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -70,7 +70,9 @@ def local(df: DataFrame) -> DataFrame:
 
 
 PTS = points_sql("pts")
-LOCAL = f"{PTS}, local AS (SELECT * FROM pts WHERE longitude BETWEEN -60 AND 80 AND latitude BETWEEN -40 AND 60)"
+BOXED = f"{PTS}, local AS (SELECT * FROM pts WHERE longitude BETWEEN -60 AND 80 AND latitude BETWEEN -40 AND 60)"
+#: Locations outside the box are answered as well, against the same crop.
+LOCAL = f"{PTS}, local AS (SELECT * FROM pts)"
 SUP = points_sql("sup", "supplier", "s_name")
 
 
@@ -138,7 +140,7 @@ def engine(spark: SparkSession) -> Engine:
 
 
 def keyed_locals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    keyed = with_keys(local(points(spark, sf)), "longitude", "latitude", 3)
+    keyed = with_keys(points(spark, sf), "longitude", "latitude", 3)
     return keyed, unique_locations(keyed, 3)
 
 
@@ -177,7 +179,7 @@ def finite_filter(spark, sf):
     return points(spark, sf).withColumn("longitude", odd).where(finite(F.col("longitude"))).select("id", "longitude")
 
 
-@query(f"WITH {LOCAL} SELECT id, longitude, latitude FROM local")
+@query(f"WITH {BOXED} SELECT id, longitude, latitude FROM local")
 def bbox_filter(spark, sf):
     return local(points(spark, sf))
 
@@ -229,14 +231,14 @@ _LX, _LY = laea_sql("longitude", "latitude")
 @query(f"WITH {LOCAL} SELECT id, round({_LX}, 3) AS x, round({_LY}, 3) AS y FROM local")
 def laea_forward(spark, sf):
     x, y = S.laea_forward(F.col("longitude"), F.col("latitude"), *CENTER)
-    return local(points(spark, sf)).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+    return points(spark, sf).select("id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
 @query(f"WITH {LOCAL} SELECT id, round(longitude, 6) AS lon, round(latitude, 6) AS lat FROM local")
 def laea_inverse(spark, sf):
     x, y = S.laea_forward(F.col("longitude"), F.col("latitude"), *CENTER)
     lon, lat = S.laea_inverse(F.col("x"), F.col("y"), *CENTER)
-    return local(points(spark, sf)).select("id", x.alias("x"), y.alias("y")).select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+    return points(spark, sf).select("id", x.alias("x"), y.alias("y")).select("id", F.round(S.normalize_lon(lon), 6).alias("lon"), F.round(lat, 6).alias("lat"))
 
 
 _X, _Y, _Z = xyz_sql("longitude", "latitude")
@@ -382,26 +384,21 @@ def nearest_m(spark, sf):
 @query(_nearest_sql("SELECT id, CAST(sid AS VARCHAR) AS who, round(m / 1000, 6) AS away FROM r"))
 def nearest_named(spark, sf):
     """Numeric names count as text, outputs are renamed; found by cells, as for a large second table."""
-    refs = points(spark, sf, "supplier").select(F.col("id").alias("rid"), F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
-    keyed = with_keys(points(spark, sf), "longitude", "latitude", 3)
-    found = L.nearest_points(unique_locations(keyed, 3), refs, small=0)
-    found = found.select(*KEYS, F.col("rid").cast("string").alias("who"), (F.col("metres") / 1000.0).alias("away"))
-    out = join_back(keyed, found, [T.StructField("who", T.StringType()), T.StructField("away", T.DoubleType())])
+    out = Engine(spark).nearest(points(spark, sf), points(spark, sf, "supplier"), name_field="id", name_column="who", dist_column="away", order_by="id", small=0)
     return out.select("id", "who", F.round("away", 6).alias("away"))
 
 
 @query(f"WITH {LOCAL}, {features_sql('f')}, cs AS (SELECT * FROM f_e WHERE greatest(alon, blon) >= -65 AND least(alon, blon) <= 85 AND greatest(alat, blat) >= -45 AND least(alat, blat) <= 65), {nearest_seg_sql('s', 'local', 'f').replace('FROM f_e WHERE fid IN (SELECT fid FROM f_b WHERE xmax >= -65 AND xmin <= 85 AND ymax >= -45 AND ymin <= 65)', 'FROM cs')} SELECT id, round(sqrt(d2) / 1000, 6) AS dist_to_coast FROM s")
 def coast_km(spark, sf):
-    out = engine(spark).coast(local(points(spark, sf)), G.segments(features(spark, sf)))
+    out = engine(spark).coast(points(spark, sf), G.segments(features(spark, sf)))
     return out.select("id", F.round("dist_to_coast", 6).alias("dist_to_coast"))
 
 
 @query(ORACLE_SQL["coast_km"].replace("round(sqrt(d2) / 1000, 6) AS dist_to_coast", "round(sqrt(d2), 3) AS shore"))
 def coast_m(spark, sf):
     """Renamed, in metres, and found by cells as for a long shoreline."""
-    keyed, locs = keyed_locals(spark, sf)
-    near = L.nearest_segments(locs, G.crop_segments(G.segments(features(spark, sf)), BOX.grown(S.CROP_MARGIN_DEG)), *CENTER, small=0)
-    return by_id(spark, sf, near.select(*KEYS, F.round("metres", 3).alias("shore")))
+    out = engine(spark).coast(points(spark, sf), G.segments(features(spark, sf)), unit="m", column="shore", small=0)
+    return out.select("id", F.round("shore", 3).alias("shore"))
 
 
 _SEA = f"WITH {LOCAL}, {features_sql('f')}, {contains_sql('c', 'local', 'f')}, rest AS (SELECT * FROM local WHERE id NOT IN (SELECT id FROM c)), {nearest_seg_sql('s', 'rest', 'f')}"
@@ -425,7 +422,7 @@ def sea_fallback_only(spark, sf):
 
 @query(f"{_SEA}, a AS (SELECT id, fid FROM c UNION ALL SELECT id, fid FROM s) SELECT a.id, b.name AS sea_name FROM a JOIN f_b b USING (fid)")
 def sea_name(spark, sf):
-    return engine(spark).sea(local(points(spark, sf)), features(spark, sf)).select("id", "sea_name")
+    return engine(spark).sea(points(spark, sf), features(spark, sf)).select("id", "sea_name")
 
 
 _PLACE = f"{_SEA}, a AS (SELECT id, fid FROM c UNION ALL SELECT id, fid FROM s)"
@@ -434,23 +431,23 @@ _MUNI = f"{_PLACE}, {features_sql('m', SQUARE, 'M ')}, {contains_sql('mc', 'loca
 
 @query(f"{_PLACE} SELECT a.id, b.name AS country, b.code AS country_code FROM a JOIN f_b b USING (fid)")
 def place_country(spark, sf):
-    return engine(spark).place(local(points(spark, sf)), features(spark, sf)).select("id", "country", "country_code")
+    return engine(spark).place(points(spark, sf), features(spark, sf)).select("id", "country", "country_code")
 
 
 @query(f"{_PLACE} SELECT a.id, b.name AS country, b.code AS country_code, CAST(NULL AS VARCHAR) AS municipality FROM a JOIN f_b b USING (fid)")
 def place_no_muni(spark, sf):
-    return engine(spark).place(local(points(spark, sf)), features(spark, sf)).select("id", "country", "country_code", "municipality")
+    return engine(spark).place(points(spark, sf), features(spark, sf)).select("id", "country", "country_code", "municipality")
 
 
 @query(f"{_MUNI} SELECT a.id, b.name AS country, b.code AS country_code, mb.name AS municipality, round(ma.d, 6) AS municipality_dist FROM a JOIN f_b b USING (fid) JOIN ma ON ma.id = a.id JOIN m_b mb ON mb.fid = ma.fid")
 def place_full(spark, sf):
-    out = engine(spark).place(local(points(spark, sf)), features(spark, sf), features(spark, sf, SQUARE, "M "))
+    out = engine(spark).place(points(spark, sf), features(spark, sf), features(spark, sf, SQUARE, "M "))
     return out.select("id", "country", "country_code", "municipality", F.round("municipality_dist", 6).alias("municipality_dist"))
 
 
 @query(f"{_MUNI} SELECT ma.id, mb.name AS municipality, round(ma.d, 6) AS municipality_dist FROM ma JOIN m_b mb ON mb.fid = ma.fid WHERE ma.d <= 500")
 def place_cutoff(spark, sf):
-    out = engine(spark).place(local(points(spark, sf)), features(spark, sf), features(spark, sf, SQUARE, "M "), max_municipality_dist=500.0)
+    out = engine(spark).place(points(spark, sf), features(spark, sf), features(spark, sf, SQUARE, "M "), max_municipality_dist=500.0)
     return out.where("municipality is not null").select("id", "municipality", F.round("municipality_dist", 6).alias("municipality_dist"))
 
 
@@ -479,12 +476,18 @@ def depth_on_land(spark, sf):
     return Engine(spark).depth(points(spark, sf), grid(spark), LAT_AXIS, LON_AXIS, on_land=True).select("id", "bathymetry", "on_land")
 
 
-@query(f"{_MUNI}, q AS (SELECT id, latitude + 89.5 AS fi, longitude + 179.5 AS fj FROM local) SELECT a.id, b.name AS sea_name, mb.name AS municipality, CAST((CAST(round(fi) AS INTEGER) * 37 + CAST(round(fj) AS INTEGER) * 101) % 9000 - 5000 AS DOUBLE) AS bathymetry FROM a JOIN f_b b USING (fid) JOIN ma ON ma.id = a.id JOIN m_b mb ON mb.fid = ma.fid JOIN q ON q.id = a.id")
+_CHAIN = f"""{_MUNI}, z AS ({ORACLE_SQL['coast_km'].replace(f"WITH {' '.join(LOCAL.split())}, ", "WITH ")}), nn AS ({ORACLE_SQL['nearest_km']}), dd AS ({ORACLE_SQL['depth_grid']})
+SELECT a.id, z.dist_to_coast, dd.bathymetry, b.name AS sea_name, b.name AS country, b.code AS country_code, mb.name AS municipality, round(ma.d, 6) AS municipality_dist, nn.nearest_name, nn.nearest_dist
+FROM a JOIN f_b b USING (fid) JOIN ma ON ma.id = a.id JOIN m_b mb ON mb.fid = ma.fid JOIN z ON z.id = a.id JOIN nn ON nn.id = a.id JOIN dd ON dd.id = a.id"""
+
+
+@query(_CHAIN)
 def enrich_chain(spark, sf):
     """Several commands in one run: one reduction, every answer joined back once."""
     f = features(spark, sf)
-    out = engine(spark).run(local(points(spark, sf)), coast_lookup(G.segments(f)), depth_lookup(grid(spark), LAT_AXIS, LON_AXIS), sea_lookup(f), place_lookup(f, features(spark, sf, SQUARE, "M ")), nearest_lookup(points(spark, sf, "supplier", "s_name"), name_field="s_name", order_by="id"))
-    return out.select("id", "sea_name", "municipality", "bathymetry")
+    out = engine(spark).run(points(spark, sf), coast_lookup(G.segments(f)), depth_lookup(grid(spark), LAT_AXIS, LON_AXIS), sea_lookup(f), place_lookup(f, features(spark, sf, SQUARE, "M ")), nearest_lookup(points(spark, sf, "supplier", "s_name"), name_field="s_name", order_by="id"))
+    rounded = [F.round(c, 6).alias(c) for c in ("dist_to_coast", "municipality_dist", "nearest_dist")]
+    return out.select("id", "bathymetry", "sea_name", "country", "country_code", "municipality", "nearest_name", *rounded)
 
 
 # --- regions ----------------------------------------------------------------------------
@@ -541,7 +544,7 @@ def regions_from_features(spark, sf):
     return Engine(spark).regions(features(spark, sf))
 
 
-@query(f"WITH {LOCAL}, e AS (SELECT min(longitude) AS w, max(longitude) AS x, min(latitude) AS s, max(latitude) AS n FROM local) SELECT w - 5 AS min_lon, x + 5 AS max_lon, s - 5 AS min_lat, n + 5 AS max_lat FROM e")
+@query(f"WITH {BOXED}, e AS (SELECT min(longitude) AS w, max(longitude) AS x, min(latitude) AS s, max(latitude) AS n FROM local) SELECT w - 5 AS min_lon, x + 5 AS max_lon, s - 5 AS min_lat, n + 5 AS max_lat FROM e")
 def auto_bbox(spark, sf):
     from tidemark.plans.settings import Overrides
 
@@ -552,13 +555,13 @@ def auto_bbox(spark, sf):
 ORACLE_SQL["auto_bbox"] = ORACLE_SQL["auto_bbox"].replace("w - 5", "round(w - 5, 9)").replace("x + 5", "round(x + 5, 9)").replace("s - 5", "round(s - 5, 9)").replace("n + 5", "round(n + 5, 9)")
 
 
-@query(f"WITH {LOCAL}, m AS (SELECT avg({_X}) AS x, avg({_Y}) AS y, avg({_Z}) AS z FROM local), r AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM m) SELECT round(degrees(atan2(y, x)), 6) AS lon0, round(degrees(asin(z / r)), 6) AS lat0, round(r, 6) AS resultant FROM r")
+@query(f"WITH {BOXED}, m AS (SELECT avg({_X}) AS x, avg({_Y}) AS y, avg({_Z}) AS z FROM local), r AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM m) SELECT round(degrees(atan2(y, x)), 6) AS lon0, round(degrees(asin(z / r)), 6) AS lat0, round(r, 6) AS resultant FROM r")
 def spherical_center(spark, sf):
     c = R.spherical_center(local(points(spark, sf)), F.col("longitude"), F.col("latitude"))
     return c.select(F.round("lon0", 6).alias("lon0"), F.round("lat0", 6).alias("lat0"), F.round("resultant", 6).alias("resultant"))
 
 
-@query(f"WITH {LOCAL} SELECT round(max({haversine_sql('10.0::DOUBLE', '10.0::DOUBLE', 'longitude', 'latitude')}), 3) AS metres FROM local")
+@query(f"WITH {BOXED} SELECT round(max({haversine_sql('10.0::DOUBLE', '10.0::DOUBLE', 'longitude', 'latitude')}), 3) AS metres FROM local")
 def max_center_distance(spark, sf):
     return local(points(spark, sf)).agg(F.round(F.max(S.haversine(*CENTER, F.col("longitude"), F.col("latitude"))), 3).alias("metres"))
 
@@ -604,16 +607,17 @@ def unresolved_count(spark, sf):
 # --- sources and sinks ------------------------------------------------------------------
 
 
-def _roundtrip(spark: SparkSession, sf: str, end: str) -> DataFrame:
+def _roundtrip(spark: SparkSession, sf: str, end: str, fmt: str | None = None, single: bool = False) -> DataFrame:
     from tidemark.sources.tables import read_table, write_table
 
     path = f"{shared_dir(spark)}/tidemark/io-{uuid.uuid4().hex}.{end}"
-    write_table(points(spark, sf), path)
-    return read_table(spark, path).select(F.col("id").cast("long").alias("id"), "longitude", "latitude")
+    write_table(points(spark, sf), path, fmt, single)
+    return read_table(spark, path, fmt).select(F.col("id").cast("long").alias("id"), "longitude", "latitude")
 
 
-for _name, _end in (("scan_csv_roundtrip", "csv"), ("scan_tsv_roundtrip", "tsv"), ("scan_csvgz_roundtrip", "csv.gz"), ("sink_parquet", "parquet"), ("sink_csv", "csv"), ("sink_csvgz", "tsv.gz")):
-    QUERIES[_name] = lambda spark, sf, end=_end: _roundtrip(spark, sf, end)
+#: Scans tell the format by the name's ending; sinks are given it, and write one file.
+for _name, _args in (("scan_csv_roundtrip", ("csv",)), ("scan_tsv_roundtrip", ("tsv",)), ("scan_csvgz_roundtrip", ("csv.gz",)), ("sink_parquet", ("out", "parquet", True)), ("sink_csv", ("out", "csv", True)), ("sink_csvgz", ("out", "tsv.gz", True))):
+    QUERIES[_name] = lambda spark, sf, args=_args: _roundtrip(spark, sf, *args)
     ORACLE_SQL[_name] = ORACLE_SQL["scan_parquet"]
 
 

@@ -8,10 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 from tidemark.plans.engine import Engine, Lookup
 
 
-def enrich_stream(points: DataFrame, engine: Engine, lookups: list[Lookup], sink, **options) -> StreamingQuery:
+def enrich_stream(points: DataFrame, engine: Engine, lookups: list[Lookup], sink, trigger: dict | None = None, **options) -> StreamingQuery:
     """Run ``engine`` on each micro-batch of ``points`` and hand the result to ``sink(df, batch_id)``.
 
-    Locations are distinct within a batch. Regions must be settled beforehand, else each
+    ``trigger``: how often batches run, as of writeStream.trigger, such as
+    {"availableNow": True}; by default each runs once the last is done. ``options`` go to
+    the writer. Locations are distinct within a batch. Regions must be settled beforehand, else each
     batch would choose its own; an automatic region is refused.
     """
     if any(x.projected for x in lookups) and (engine.settings.auto is not None or engine.settings.partition):
@@ -19,4 +21,4 @@ def enrich_stream(points: DataFrame, engine: Engine, lookups: list[Lookup], sink
     writer = points.writeStream.foreachBatch(lambda df, batch: sink(engine.run(df, *lookups), batch))
     for k, v in options.items():
         writer = writer.option(k, v)
-    return writer.trigger(availableNow=True).start() if options.get("checkpointLocation") else writer.start()
+    return (writer.trigger(**trigger) if trigger else writer).start()
