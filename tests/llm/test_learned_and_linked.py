@@ -93,6 +93,45 @@ def test_html_main_text_and_template(spark):
     assert sorted(got, key=str) == sorted(((r.page_id, r.text) for r in html_extract.extract(df, most_broadcast=0).collect()), key=str)
 
 
+OPAQUE = """<html><body><div class="c1"><div class="k">Home</div><div class="k">{menu}</div></div>
+<div class="x-7"><div class="q"><h1>{title}</h1>{paras}<div class="related-work">Earlier work {title}</div><p>{fixed}</p></div></div>
+<div class="z9"><div class="k">Imprint</div><div class="k">{foot}</div></div></body></html>"""
+
+
+def test_alignment_alone_finds_the_text(spark):
+    rng = random.Random(21)
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    pages, expected = [], {}
+    for i in range(60):
+        paras = [say(rng.randrange(20, 60)) for _ in range(rng.randrange(1, 6))]
+        title, extra = say(4), "Subscribers get more of this."
+        body = "".join(f"<p>{p}</p>" for p in paras)
+        html = OPAQUE.format(menu=say(2), title=title, paras=body, fixed=extra, foot=say(2))
+        if i % 3 == 0:  # a second layout of the host
+            html = html.replace('<div class="z9">', '<div class="v"><div class="k">More</div></div><div class="z9">')
+        pages.append((i, f"https://{'a' if i < 40 else 'b' if i < 55 else 'c'}.example.org/{i}", html))
+        expected[i] = "\n\n".join([title, *paras, f"Earlier work {title}"])
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == expected
+    # without a wrapper nothing tells menus, footers and constant lines apart
+    alone = ["\n\n".join(b.text for b in html_extract.blocks(html_extract.parse(h))) for _, _, h in pages]
+    assert all(a != expected[i] for i, a in enumerate(alone))
+
+
+def test_class_names_only_break_ties(spark):
+    rng = random.Random(22)
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    text, rows = {}, []
+    for i in range(20):
+        text[i] = say(60)
+        rows.append((i, "https://t.example.org/", f'<body><div class="widget-content"><p>{text[i]}</p></div><div class="related-links"><p>{say(5)}</p></div></body>'))
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == text
+    for name, side in (("related", True), ("related-posts", True), ("related-work", False), ("searching", False), ("comments-area", True), ("ad", True), ("adagio", False)):
+        assert html_extract.named_aside(html_extract.Node("div", f' class="{name}"'), True) == side
+
+
 def test_html_on_every_page_of_the_tables(spark):
     import html
 
@@ -100,7 +139,7 @@ def test_html_on_every_page_of_the_tables(spark):
         body = re.search(r"<article>(.*?)(</article>|$)", r.html or "", re.S)
         parts = re.split(r"</?(?:p|h1)\b[^>]*>", body[1]) if body else []
         clean = [" ".join(html.unescape(re.sub(r"<[^>]*>|<[^>]*$", " ", x)).split()) for x in parts]
-        assert [t for _, t in html_extract.blocks(html_extract.parse(r.html or ""))] == [x for x in clean if x]
+        assert [b.text for b in html_extract.blocks(html_extract.parse(r.html or ""))] == [x for x in clean if x]
 
 
 def test_simple_tree_matching():
@@ -109,7 +148,7 @@ def test_simple_tree_matching():
     labels = lambda s: [x[0] for x in html_extract._tree(s)]
     assert all(labels(a)[i] == labels(b)[j] for i, j in m.items()) and len(m) == 8
     deep = "".join(["<div>"] * 3000) + "x"
-    assert [t for _, t in html_extract.blocks(html_extract.parse(deep))] == ["x"]
+    assert [b.text for b in html_extract.blocks(html_extract.parse(deep))] == ["x"]
 
 
 def _fingerprint(text, width=4):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import fresh, tuned
 
 N_TEXT, N_META = 16, 48
 _END = re.compile(r"[.!?:;\"'’”)。]\s*$")
@@ -47,14 +47,14 @@ def meta_features(lang: str | None, source: str | None, n_chars: float | None) -
     return out
 
 
-def with_views(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", n_chars: str = "n_chars") -> DataFrame:
-    """Add ``_view``: the features of both views of each row, as one array."""
+def with_views(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", n_chars: str = "n_chars", out: str = "_view") -> DataFrame:
+    """Add ``out``: the features of both views of each row, as one array."""
 
     @F.arrow_udf("array<float>")
     def view(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
         return pa.array([text_features(t) + meta_features(x, y, z) for t, x, y, z in zip(a.to_pylist(), b.to_pylist(), c.to_pylist(), d.to_pylist(), strict=True)], pa.list_(pa.float32()))
 
-    return df.withColumn("_view", view(F.col(f"`{text}`"), F.col(f"`{lang}`").cast("string"), F.col(f"`{source}`").cast("string"), F.col(f"`{n_chars}`").cast("double")))
+    return df.withColumn(out, view(F.col(f"`{text}`"), F.col(f"`{lang}`").cast("string"), F.col(f"`{source}`").cast("string"), F.col(f"`{n_chars}`").cast("double")))
 
 
 @dataclass
@@ -153,7 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", label: str =
 
 
 def score(docs: DataFrame, model: CoTrained, out: str = "quality_score") -> DataFrame:
-    """Add ``out``, the chance that a document is good, to every row. Null texts and metadata have defined features."""
+    """Add ``out``, the chance that a document is good, to every row.
+
+    Null texts and metadata have defined features; equal rows get equal scores; an input
+    column named like ``out`` is replaced, all others stay; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -162,4 +166,5 @@ def score(docs: DataFrame, model: CoTrained, out: str = "quality_score") -> Data
             x = a.flatten().to_numpy().reshape(-1, N_TEXT + N_META).astype(float)
             yield pa.array(shared.value.score(x) if len(x) else np.zeros(0))
 
-    return with_views(docs).withColumn(out, scored("_view")).drop("_view")
+    own = fresh([*docs.columns, out], "_view")
+    return with_views(docs, out=own).withColumn(out, scored(own)).drop(own)

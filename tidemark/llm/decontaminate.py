@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tuned
+from .common import fresh, tuned
 
 
 def plain(text: str | None) -> str:
@@ -151,4 +151,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no test item occurs, with its columns."""
-    return search(docs, benchmark, text, out="_hits").where("size(_hits) = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    hits = fresh(docs.columns, "_hits")
+    return search(docs, benchmark, text, out=hits).where(F.size(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,8 +3,12 @@
 Pages of a host share a template. Each page becomes a DOM tree and a skeleton, in which
 runs of alike siblings are one node. The host's most frequent skeleton is its wrapper;
 every other skeleton is aligned with it by simple tree matching. A wrapper node whose text
-is the same on nearly all pages is template; the nodes that vary are slots. Slots in parts
-whose role is not the article (menus, notices, comments and so on) go as well.
+is the same on nearly all pages that have it is template; the nodes that vary are slots,
+and the varying text that a slot holds over all pages is its weight. Tags and roles say
+what a part is where a page uses them: an article or main element bounds the text, and
+menus, forms and the like go. Where there is neither, the text is what lies under the
+deepest wrapper node that holds most of the weight. Names of classes only break ties: a slot
+named as a side part (menus and adverts vary too) goes unless it holds most of the weight.
 """
 
 from __future__ import annotations
@@ -24,17 +28,20 @@ from .common import Scratch, arrow_map
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(["script", "style", "noscript", "template", "textarea", "iframe", "xmp"])
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that may bound the text of pages without an article or main element.
+BOXES = frozenset("html body div section center table tbody tr td".split())
 #: An open element of the key is closed by a start tag among the values.
 _P_ENDS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSES = {"p": _P_ENDS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 DROP = frozenset("head title nav footer aside form button select input dialog svg object canvas audio video".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-#: Words of class and id names that tell a part is not the article.
-NOT_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|side-?bar|aside|ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay"
-    r"|newsletter|subscribe|subscription|sign-?up|share|sharing|social|related|recommend\w*|comments?|comment-?list|disqus|replies|respond|widgets?|login|search|pagination|pager|toolbar|skip-?link|disclaimer)(?:$|[\s_-])",
-    re.I,
+#: Words of class and id names that tell a part is not the article, alone or with words of layout.
+_SIDE = (
+    r"nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|side-?bar|aside|ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay"
+    r"|newsletter|subscribe|subscription|sign-?up|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|widgets?|login|search|pagination|pager|toolbar|skip-?link|disclaimer"
 )
+_LAYOUT = r"site|page|main|top|bottom|left|right|global|primary|secondary|box|bar|list|links?|items?|posts?|articles?|stories|area|section|wrap|wrapper|container|block|content|inner|outer|row|col|slot|unit|form|buttons?|icons?|media|thread|text|\d+"
+NOT_ARTICLE = re.compile(rf"(?:(?:{_LAYOUT}|{_SIDE})[-_]+)*(?:{_SIDE})(?:[-_]+(?:{_LAYOUT}|{_SIDE}))*", re.I)
 _TOKEN = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[!?][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -105,13 +112,18 @@ def not_article(node: Node, inside: bool) -> bool:
         return False
     if node.role in ROLES and not node.holds_article:
         return True
-    if node.names and NOT_ARTICLE.search(node.names):
-        if inside and node.tag in ("header", "h1", "h2", "h3", "h4", "h5", "h6"):
-            return False
-        return not node.holds_article
     return False
 
 
+def named_aside(node: Node, inside: bool) -> bool:
+    """Whether class or id names say that a part is not the article."""
+    if not node.names or node.holds_article or node.tag in ("html", "body", "article", "main", "#root"):
+        return False
+    if inside and node.tag in ("header", "h1", "h2", "h3", "h4", "h5", "h6"):
+        return False
+    return any(NOT_ARTICLE.fullmatch(n) for n in node.names.split())
+
+
 def regions(root: Node) -> list[Node]:
     """The outermost article elements that aren't in a dropped part, else main, else everything."""
 
@@ -122,7 +134,7 @@ def regions(root: Node) -> list[Node]:
                 if isinstance(k, Node):
                     if wanted(k):
                         yield k
-                    elif not not_article(k, False):
+                    elif not not_article(k, False) and not named_aside(k, False):
                         stack.append(iter(k.kids))
                         break
             else:
@@ -131,45 +143,62 @@ def regions(root: Node) -> list[Node]:
     return list(find(lambda k: k.tag == "article")) or list(find(lambda k: k.tag == "main" or k.role == "main")) or [root]
 
 
-def blocks(root: Node) -> list[tuple[Node, str]]:
-    """(block element, text) in page order; white space is one space, trimmed, empty blocks left out."""
-    out: list[tuple[Node, str]] = []
-    pending: list[str] = []
+class Block:
+    """A text, the elements it lies in (outermost first, the block element last), the outermost of them named as a side part, and whether an article or main element holds it."""
+
+    __slots__ = ("text", "path", "aside", "inside")
 
-    def flush(owner: Node) -> None:
-        text = " ".join("".join(pending).split())
-        pending.clear()
-        if text:
-            out.append((owner, text))
+    def __init__(self, text: str, path: list[Node], aside: Node | None, inside: bool):
+        self.text, self.path, self.aside, self.inside = text, path, aside, inside
+
+
+def blocks(root: Node) -> list[Block]:
+    """Blocks in page order; white space is one space, trimmed, empty blocks left out. Parts that a tag or role rules out give none."""
+    out: list[Block] = []
+    pending: list[str] = []
 
     for region in regions(root):
         # an explicit stack: pages may nest deeper than Python recurses
-        owner, stack = region, [(region, iter(region.kids), region)]
+        stack = [(region, iter(region.kids))]
+        asides: list[Node] = []
         inside = region.tag != "#root"
+
+        def flush(stack=stack, asides=asides, inside=inside) -> None:
+            text = " ".join("".join(pending).split())
+            pending.clear()
+            if text:
+                path = [n for n, _ in stack]
+                while path[-1].tag in INLINE and len(path) > 1:
+                    path.pop()
+                out.append(Block(text, path, asides[0] if asides else None, inside))
+
         while stack:
-            node, kids, owner = stack[-1]
+            node, kids = stack[-1]
             for k in kids:
                 if isinstance(k, str):
                     pending.append(k)
                 elif k.tag in ("br", "hr", "img", "wbr"):
                     if k.tag == "hr":
-                        flush(owner)
+                        flush()
                     elif k.tag == "br":
                         pending.append(" ")
                 elif not_article(k, inside):
                     if k.tag not in INLINE:
-                        flush(owner)
-                elif k.tag in INLINE:
-                    stack.append((k, iter(k.kids), owner))
-                    break
+                        flush()
                 else:
-                    flush(owner)
-                    stack.append((k, iter(k.kids), k))
+                    aside = named_aside(k, inside)
+                    if k.tag not in INLINE or aside:
+                        flush()
+                    if aside:
+                        asides.append(k)
+                    stack.append((k, iter(k.kids)))
                     break
             else:
+                if node.tag not in INLINE or asides and asides[-1] is node:
+                    flush()
+                if asides and asides[-1] is node:
+                    asides.pop()
                 stack.pop()
-                if node.tag not in INLINE:
-                    flush(owner)
     return out
 
 
@@ -274,11 +303,25 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1)), F.lit(""))
 
 
+def _ends(shape: str) -> list[int]:
+    """For each node of a skeleton, the number after its last descendant."""
+    ends, open_, n = [], [], 0
+    for m in re.finditer(r"([^(),]+)\(|\)", shape):
+        if m[1]:
+            open_.append(n)
+            ends.append(0)
+            n += 1
+        else:
+            ends[open_.pop()] = n
+    return ends
+
+
 def wrappers(pages: DataFrame, scratch: Scratch, share: float = 0.9, least_pages: int = 8) -> DataFrame:
-    """Rows (host, wrapper, fixed): each host's wrapper and the texts that are template, as node:hash.
+    """Rows (host, wrapper, fixed, weight, pages): each host's wrapper, the texts that are template, as node:hash, and the characters of varying text by node, as node:characters.
 
     Counts run over distinct pages (by their visible text), all of them. A text is template
-    if it stands at one wrapper node on ``share`` of at least ``least_pages`` pages. The
+    if it stands on ``share`` of the pages that have its wrapper node; on all of them where
+    these are fewer than ``least_pages``, and never where they are fewer than three. The
     counts are combined before the shuffle, so a host with a third of all pages is no more
     work for one task than another; per host and node at most one text can pass.
     """
@@ -289,52 +332,101 @@ def wrappers(pages: DataFrame, scratch: Scratch, share: float = 0.9, least_pages
             root = parse(source or "")
             shape, number = skeleton(root)
             found = blocks(root)
-            texts = {(number.get(id(o), -1), _hash(t)) for o, t in found}
-            rows.append((shape, _hash("\n".join(t for _, t in found)), [{"node": n, "h": h} for n, h in texts if n >= 0]))
+            texts = {(number.get(id(b.path[-1]), -1), _hash(b.text), len(b.text)) for b in found}
+            rows.append((shape, _hash("\n".join(b.text for b in found)), [{"node": n, "h": h, "size": size} for n, h, size in texts if n >= 0]))
         return {"host": c["host"], "shape": [r[0] for r in rows], "page": pa.array([r[1] for r in rows], pa.int64()), "texts": [r[2] for r in rows]}
 
-    seen = arrow_map(pages, ["host", "html"], "host string, shape string, page long, texts array<struct<node:int,h:long>>", skeletons)
+    seen = arrow_map(pages, ["host", "html"], "host string, shape string, page long, texts array<struct<node:int,h:long,size:long>>", skeletons)
     seen = scratch.cut(seen.dropDuplicates(["host", "page"]))
-    top = seen.groupBy("host", "shape").count().groupBy("host").agg(F.max(F.struct("count", "shape")).alias("top"), F.sum("count").alias("pages"))
-    top = scratch.cut(top.select("host", F.col("top.shape").alias("wrapper"), "pages"))
-    nodes = seen.select("host", "shape", F.explode("texts").alias("t")).groupBy("host", "shape", "t.node", "t.h").count()
-    nodes = nodes.join(top.where(F.col("pages") >= least_pages), "host").where(F.lit(True))
+    shapes = scratch.cut(seen.groupBy("host", "shape").count())
+    top = scratch.cut(shapes.groupBy("host").agg(F.max(F.struct("count", "shape")).alias("top")).select("host", F.col("top.shape").alias("wrapper")))
+    nodes = seen.select("host", "shape", F.explode("texts").alias("t")).groupBy("host", "shape", "t.node", "t.h", "t.size").count()
+    # node -1 of a skeleton stands for its pages
+    nodes = nodes.union(shapes.select("host", "shape", F.lit(-1), F.lit(0).cast("long"), F.lit(0).cast("long"), "count")).join(top, "host")
 
     def aligned(c: dict) -> dict:
-        pairs = zip(c["shape"].to_pylist(), c["wrapper"].to_pylist(), c["node"].to_pylist(), strict=True)
-        return {"host": c["host"], "node": pa.array([align(s, w).get(n, -1) for s, w, n in pairs], pa.int32()), "h": c["h"], "n": c["count"], "pages": c["pages"]}
-
-    counted = arrow_map(nodes, ["host", "shape", "wrapper", "node", "h", "count", "pages"], "host string, node int, h long, n long, pages long", aligned)
-    fixed = counted.where("node >= 0").groupBy("host", "node", "h").agg(F.sum("n").alias("n"), F.max("pages").alias("pages")).where(F.col("n") >= share * F.col("pages"))
-    fixed = fixed.groupBy("host").agg(F.collect_set(F.concat_ws(":", "node", "h")).alias("fixed"))
-    return scratch.cut(top.join(fixed, "host", "left").select("host", "wrapper", F.coalesce("fixed", F.array().cast("array<string>")).alias("fixed")))
+        rows = []
+        for k, (s, w, n) in enumerate(zip(c["shape"].to_pylist(), c["wrapper"].to_pylist(), c["node"].to_pylist(), strict=True)):
+            at = align(s, w)
+            rows += [(k, at.get(n, -1), False)] if n >= 0 else [(k, j, True) for j in sorted(set(at.values()))]
+        take = pa.array([r[0] for r in rows], pa.int64())
+        return {"host": c["host"].take(take), "node": pa.array([r[1] for r in rows], pa.int32()), "has": pa.array([r[2] for r in rows], pa.bool_()), **{n: c[m].take(take) for n, m in (("h", "h"), ("size", "size"), ("n", "count"))}}
+
+    both = arrow_map(nodes, ["host", "shape", "wrapper", "node", "h", "size", "count"], "host string, node int, has boolean, h long, size long, n long", aligned).where("node >= 0")
+    counted = scratch.cut(both.groupBy("host", "node", "has", "h", "size").agg(F.sum("n").alias("n")), drop=seen)
+    have = counted.where("has").select("host", "node", F.col("n").alias("pages"))
+    constant = (F.col("n") >= F.when(F.col("pages") < least_pages, F.col("pages")).otherwise(share * F.col("pages"))) & (F.col("pages") >= 3)
+    texts = counted.where("not has").join(have, ["host", "node"]).withColumn("fixed", constant)
+    whole = have.where("node = 0").select("host", "pages")
+    by_node = texts.groupBy("host", "node").agg(F.max(F.when(F.col("fixed"), F.concat_ws(":", "node", "h"))).alias("fixed"), F.sum(F.when(F.col("fixed"), 0).otherwise(F.col("size") * F.col("n"))).alias("weight"))
+    found = by_node.groupBy("host").agg(F.collect_set("fixed").alias("fixed"), F.collect_list(F.concat_ws(":", "node", "weight")).alias("weight"))
+    return scratch.cut(top.join(found, "host").join(whole, "host").select("host", "wrapper", "fixed", "weight", "pages"))
+
+
+class Wrapper:
+    """A host's wrapper as the extraction uses it."""
+
+    def __init__(self, shape: str, fixed: list[str], weight: list[str], pages: int, least_pages: int = 3):
+        self.shape, self.fixed, self.ends = shape, set(fixed), _ends(shape)
+        own = [0] * len(self.ends)
+        for x in weight:
+            node, size = map(int, x.split(":"))
+            own[node] += size
+        self.sums = [0]
+        for x in own:
+            self.sums.append(self.sums[-1] + x)
+        self.known, kids, self.top = pages >= least_pages, _tree(shape), 0
+        while (k := next((k for k in kids[self.top][1] if kids[k][0].split(".")[0] in BOXES and self.heavy(k, 0.7)), None)) is not None:
+            self.top = k
+
+    def heavy(self, node: int, most: float = 0.5) -> bool:
+        """Whether most of the varying text of the host lies under a node; too few pages can't tell."""
+        return self.known and self.sums[self.ends[node]] - self.sums[node] > most * self.sums[-1]
+
+    def keep(self, root: Node, found: list[Block]) -> list[Block]:
+        mine, number = skeleton(root)
+        at = align(mine, self.shape)
+        node = lambda n: at.get(number.get(id(n), -1), -1)
+        out = []
+        for b in found:
+            if f"{node(b.path[-1])}:{_hash(b.text)}" in self.fixed:
+                continue
+            if b.aside is not None and not (node(b.aside) >= 0 and self.heavy(node(b.aside))):
+                continue
+            if not b.inside and b.path[-1].tag != "h1":
+                near = next((j for n in reversed(b.path) if (j := node(n)) >= 0), 0)
+                if not self.top <= near < self.ends[self.top]:
+                    continue
+            out.append(b)
+        return out
 
 
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", source: str = "html", most_broadcast: int = 64 << 20) -> DataFrame:
     """Rows (page_id, url, text): the article of each page, blocks joined by two line feeds, empty if there is none.
 
     Null and empty html gives an empty text; repeated rows are extracted alike; other
-    columns are not read. A page that no wrapper fits loses nothing to one. The wrappers
-    are broadcast only if their measured size is below ``most_broadcast`` bytes.
+    columns are not read. The wrappers are broadcast only if their measured size is below
+    ``most_broadcast`` bytes.
     """
     scratch = Scratch(df.sparkSession, "pages")
     pages = df.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{source}`").alias("html"), host_of(F.col(f"`{url}`")).alias("host"))
-    wrapper = wrappers(pages, scratch).where("size(fixed) > 0")
-    size = wrapper.agg(F.sum(F.octet_length("wrapper") + F.size("fixed") * 32)).first()[0] or 0
+    wrapper = wrappers(pages, scratch)
+    size = wrapper.agg(F.sum(F.octet_length("wrapper") + F.size("fixed") * 32 + F.size("weight") * 16)).first()[0] or 0
     both = pages.join(F.broadcast(wrapper) if size <= most_broadcast else wrapper, "host", "left")
     kind = df.schema[page_id].dataType.simpleString()
 
     def work(c: dict) -> dict:
-        out = []
-        for page, shape, fixed in zip(c["html"].to_pylist(), c["wrapper"].to_pylist(), c["fixed"].to_pylist(), strict=True):
+        out, known = [], {}
+        for page, host, shape, fixed, weight, pages in zip(*(c[n].to_pylist() for n in ("html", "host", "wrapper", "fixed", "weight", "pages")), strict=True):
             root = parse(page or "")
             found = blocks(root)
-            if fixed:
-                known = set(fixed)
-                mine, number = skeleton(root)
-                at = align(mine, shape)
-                found = [(o, t) for o, t in found if f"{at.get(number.get(id(o), -1), -1)}:{_hash(t)}" not in known]
-            out.append("\n\n".join(t for _, t in found))
+            if shape is not None:
+                if host not in known:
+                    known[host] = Wrapper(shape, fixed, weight, pages)
+                found = known[host].keep(root, found)
+            else:
+                found = [b for b in found if b.aside is None]
+            out.append("\n\n".join(b.text for b in found))
         return {"page_id": c["page_id"], "url": c["url"], "text": out}
 
-    return arrow_map(both, ["page_id", "url", "html", "wrapper", "fixed"], f"page_id {kind}, url string, text string", work)
+    return arrow_map(both, ["page_id", "url", "html", "host", "wrapper", "fixed", "weight", "pages"], f"page_id {kind}, url string, text string", work)

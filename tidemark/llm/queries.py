@@ -32,7 +32,7 @@ def op3_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents").select("doc_id", "text")
-    held = lambda c: F.crc32(c.cast("string").cast("binary")) % 5 == 0
+    held = lambda c: F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(False))
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held(F.col("doc_id"))))
     scored = toxicity.score(docs, machine)
     return scored.select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

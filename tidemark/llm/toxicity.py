@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tuned
+from .common import fresh, tuned
 
 HASH_BITS = 18
 
@@ -40,10 +40,10 @@ class FactorizationMachine:
         return out
 
 
-def terms(df: DataFrame, text: str) -> DataFrame:
-    """Add ``_terms``: the distinct hashed words of the whole text (runs of letters and digits, lower case)."""
+def terms(df: DataFrame, text: str, out: str = "_terms") -> DataFrame:
+    """Add ``out``: the distinct hashed words of the whole text (runs of letters and digits, lower case)."""
     words = F.array_distinct(F.split(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), r"[^\p{L}\p{N}]+"))
-    return df.withColumn("_terms", F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(1 << HASH_BITS)).cast("int")))
+    return df.withColumn(out, F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(1 << HASH_BITS)).cast("int")))
 
 
 def fit_machine(flat: np.ndarray, ends: np.ndarray, y: np.ndarray, most_features: int = 4096, factors: int = 8, epochs: int = 30, seed: int = 7) -> FactorizationMachine:
@@ -112,7 +112,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, text: str = "text", out: str = "score") -> DataFrame:
-    """Add ``out``: the chance of toxicity of each whole text. Null and empty texts get the machine's base rate."""
+    """Add ``out``: the chance of toxicity of each whole text.
+
+    Null and empty texts get the machine's base rate, equal texts equal scores, repeated
+    rows a score each; an input column named like ``out`` is replaced, all others stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     @F.arrow_udf("double")
@@ -122,4 +126,5 @@ def score(docs: DataFrame, machine: FactorizationMachine, text: str = "text", ou
             ends = np.concatenate(([0], np.cumsum(a.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
             yield pa.array(1 / (1 + np.exp(-np.clip(m.margins(a.flatten().to_numpy(), ends), -30, 30))))
 
-    return terms(docs, text).withColumn(out, scored("_terms")).drop("_terms")
+    own = fresh([*docs.columns, out], "_terms")
+    return terms(docs, text, own).withColumn(out, scored(own)).drop(own)
