@@ -69,6 +69,61 @@ def test_cotraining_on_held_out_documents(spark):
     assert _auc(rows["quality_score"].to_numpy(), y) > 0.97
 
 
+def _two_views(seed=4, n=1200):
+    """Documents whose source and whose words both tell good from bad, each most of the time; one in ten is labelled."""
+    rng, docs, labels = random.Random(seed), [], []
+    for i in range(n):
+        good = rng.random() < 0.6
+        says = "river stone morning letter" if good == (rng.random() < 0.95) else "spam click offer prize"
+        docs.append((i, " ".join(rng.choice(says.split()) for _ in range(30)), "en", f"{'good' if good == (rng.random() < 0.98) else 'bad'}{rng.randrange(3)}", 100))
+        if i % 10 == 0:
+            labels.append((i, int(good)))
+    return docs, labels
+
+
+def test_each_view_teaches_the_other(spark):
+    docs, labels = _two_views()
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    model = cotraining.fit(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert all(a > 0 and b > 0 for a, b in model.rounds)
+    got = {r.doc_id: r.quality_score for r in cotraining.score(df, model).collect()}
+    agree = [(got[i] >= 0.5) == source.startswith("good") for i, _, _, source, _ in docs]
+    assert sum(agree) / len(agree) > 0.95
+
+
+def test_sums_over_the_pool_match_a_plain_loop(spark):
+    docs, labels = _two_views()
+    x = np.stack([cotraining.text_features(t) for _, t, _, _, _ in docs]).astype(float)
+    cell = np.array([cotraining.meta_cell(*d[2:]) for d in docs])
+    y = np.array([q for _, q in labels], float)
+    at = np.array([i for i, _ in labels])
+    text = cotraining.Logistic().fit(x[at], y)
+    meta = cotraining.Cells().fit(*[np.bincount(cell[at][y == c], minlength=cotraining.N_CELLS) for c in (0, 1)])
+    platt = cotraining.Logistic().fit(text.margin(x[at])[:, None], y), cotraining.Logistic().fit(meta.margin(cell[at])[:, None], y)
+    know = cotraining.Teachers(text, meta, platt, (0.9, 0.9))
+    pool = cotraining.with_views(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)).select("_view.*")
+    got = cotraining.taught(pool, know, text)
+    by_text, by_meta = know.labels(text.margin(x), 0), know.labels(meta.margin(cell), 1)
+    for c in (0, 1):
+        g, h = text.sums(x[by_meta == c], np.full((by_meta == c).sum(), c))
+        assert got["n"][c] == (by_meta == c).sum() > 0
+        assert np.allclose(got["g"][c], g) and np.allclose(got["h"][c], h)
+        assert (got["cells"][c] == np.bincount(cell[by_text == c], minlength=cotraining.N_CELLS)).all()
+
+
+def test_scores_over_one_table_of_features(spark, awkward, nothing):
+    docs, labels = _two_views(n=400)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    apart = {r.doc_id: r.quality_score for r in cotraining.score(df, cotraining.fit(df, marks)).collect()}
+    both = {r.doc_id: r.quality_score for r in cotraining.fit_and_score(df, marks, ["doc_id"]).collect()}
+    assert apart.keys() == both.keys() and all(abs(apart[i] - both[i]) < 1e-6 for i in apart)
+    clash = awkward.withColumn("_view", F.lit(1)).withColumn("_id", F.lit("i")).withColumn("says", F.lit(2))
+    got = cotraining.fit_and_score(clash, marks, clash.columns)
+    assert got.columns == [*clash.columns, "quality_score"] and got.count() == awkward.count()
+    assert cotraining.fit_and_score(nothing, marks, ["doc_id"]).count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
 <header><a href=/>Home</a></header><nav><ul><li>One<li>Two</ul></nav><div class="cookie-notice">We use cookies</div>
 <article><h1>Head &amp; {n}</h1><p><b>First

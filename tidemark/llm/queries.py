@@ -56,8 +56,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents")
-    model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
-    scored = cotraining.score(docs, model)
+    scored = cotraining.fit_and_score(docs, table(spark, sf_dir, "labels"), ["doc_id"])
     return scored.select("doc_id", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
 
 
