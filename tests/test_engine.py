@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -253,3 +254,34 @@ def test_no_reference_is_lost_to_equal_order_values(spark):
         assert Engine(spark).nearest(at, refs.where("o > 0"), order_by="o", small=small).first().nearest_name == "near"
         assert Engine(spark).nearest(at, refs, order_by="o", small=small).first().nearest_name is None
         assert Engine(spark).nearest(at, refs.where("o > 0"), small=small).first().nearest_name == "later"
+
+
+@pytest.mark.parametrize("west", [-8.0, 150.0])
+def test_descent_matches_brute_force(spark, west):
+    """References around the locations, and all far from them; two of each, so that equals go to the lowest id."""
+    rng = random.Random(8)
+    at = [(i, 0, rng.uniform(-9, 9), rng.uniform(-9, 9)) for i in range(40)]
+    refs = [(rng.uniform(west, west + 16), rng.uniform(-8, 8)) for _ in range(700)]
+    locs = spark.createDataFrame(at, "_klon long, _klat long, lon double, lat double")
+    points = spark.createDataFrame([(i + 700 * k, *r) for k in (0, 1) for i, r in enumerate(refs)], "rid long, lon double, lat double")
+
+    def chord2(a, b):
+        def unit(lon, lat):
+            lon, lat = math.radians(lon), math.radians(lat)
+            return math.cos(lat) * math.cos(lon), math.cos(lat) * math.sin(lon), math.sin(lat)
+
+        return sum((p - q) ** 2 for p, q in zip(unit(*a), unit(*b), strict=True))
+
+    got = {r._klon: r.rid for r in L.nearest_points(locs, points, small=0).collect()}
+    assert got == {i: min(range(700), key=lambda k: chord2((lon, lat), refs[k])) for i, _, lon, lat in at}
+    assert L.nearest_points(locs, points.limit(0), small=0).count() == 0
+
+
+def test_bands_grow_with_vertices(spark):
+    ring = [(5 + 4 * math.cos(k * math.pi / 2000), 5 + 4 * math.sin(k * math.pi / 2000)) for k in range(4000)]
+    shape = G.with_bounds(spark.createDataFrame([(1, [ring])], "fid long, rings array<array<struct<lon: double, lat: double>>>"))
+    assert shape.select(L._bands(F.col("rings"), F.col("ymax") - F.col("ymin"))).first()[0] == 8
+    rng = random.Random(9)
+    at = [(i, 0, rng.uniform(0, 10), rng.uniform(0, 10)) for i in range(300)]
+    got = {r._klon for r in L.containing(spark.createDataFrame(at, "_klon long, _klat long, lon double, lat double"), shape).collect()}
+    assert got == {i for i, _, lon, lat in at if math.hypot(lon - 5, lat - 5) < 4}

@@ -1,14 +1,14 @@
 """The spatial joins: nearest point, nearest segment, containment, grid cell.
 
 Small reference sides travel as one broadcast array and are searched inside a projection,
-without a shuffle or an exploded pair; their size is checked first. Larger ones are met by
-cell: both sides are dealt to cells of growing size, a location looks at the cells around
-it, and its answer stands once it is nearer than anything outside them can be.
+without a shuffle or an exploded pair; their size is checked first. Larger ones are put into
+cells, and a location goes down from coarse cells to fine ones, keeping those that may hold
+its nearest reference.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import spatial as S
@@ -31,33 +31,55 @@ def _argmin_broadcast(locs: DataFrame, refs: DataFrame, fields: list[str], d2) -
     return locs.crossJoin(F.broadcast(packed)).withColumn("_b", best).drop("_refs").select("*", F.col("_b.d2").alias("d2"), F.col("_b.rid").alias("rid")).drop("_b")
 
 
-def _rounds(locs: DataFrame, refs: DataFrame, cells_of_loc, cells_of_ref, d2: Column, sizes: list[float], keys: list[str]) -> DataFrame:
-    """Nearest by cells of growing size: rows (keys, d2, rid). In the last round every pair that is left is tried.
+#: References a finest cell should hold if they lie along lines; how often cells are quartered at most.
+PER_CELL, MOST_LEVELS = 32, 9
 
-    ``cells_of_loc(size)`` gives the array of cells around a location, ``cells_of_ref(size)``
-    those a reference touches; whatever is not met lies farther than ``size`` away.
+
+def _bounds(axes: list[str], cell) -> tuple[Column, Column]:
+    """Least and greatest distance from a location to the nearest reference of a cell. ``cell(name)`` gives the cell's columns."""
+    gap = [F.greatest(cell(f"lo_{a}") - F.col(a), F.lit(0.0), F.col(a) - cell(f"hi_{a}")) for a in axes]
+    reach = [F.greatest(F.abs(F.col(a) - cell(f"lo_{a}")), F.abs(F.col(a) - cell(f"hi_{a}"))) for a in axes]
+    size = lambda parts: F.sqrt(sum((v * v for v in parts[1:]), parts[0] * parts[0]))
+    return F.greatest(F.lit(0.0), size(gap) - cell("half")), size(reach)
+
+
+def _descend(locs: DataFrame, refs: DataFrame, axes: list[str], mid: list[Column], half: Column, d2: Column, top: float, keys: list[str]) -> DataFrame:
+    """Nearest by bounds, from coarse cells to fine ones: rows (keys, d2, rid), the lowest rid among equals.
+
+    ``refs`` belong to the cell of a point of theirs (``mid``, none of the reference farther
+    than ``half`` from it). Starting from all cells of size ``top`` (a hundred or so, whatever
+    the data), a location keeps the cells that may hold its nearest reference: those whose
+    least distance isn't beyond another's greatest. Each level looks only into the quarters
+    of what was kept, and the last at their references. So no location meets every
+    reference, however far it is from all of them, and the answer doesn't depend on levels.
+    ``locs`` carry keys, ``axes`` and pid; ``refs`` rpid: only equal ones meet.
     """
-    # projected once, not in every round; and formulas apart from cells keep the generated code small
-    refs, left, done = staged(refs), staged(locs), []
-    for i, size in enumerate(sizes):
-        a = left.withColumn("_cell", F.explode(cells_of_loc(size)))
-        b = refs.withColumn("_cell", F.explode(cells_of_ref(size)))
-        best = a.join(b, "_cell").groupBy(*keys).agg(F.min(F.struct(d2.alias("d2"), F.col("rid").alias("rid"))).alias("_b"))
-        found = staged(best.select(*keys, "_b.d2", "_b.rid"))
-        sure = found if i == len(sizes) - 1 else found.where(F.col("d2") <= size * size)
-        done.append(sure)
-        left = staged(left.join(sure.select(*keys), keys, "left_anti"))
-        if left.isEmpty():
-            break
-    else:
-        if not refs.isEmpty():
-            # what no cell reached: few, and far from every reference
-            best = left.crossJoin(refs).groupBy(*keys).agg(F.min(F.struct(d2.alias("d2"), F.col("rid").alias("rid"))).alias("_b"))
-            done.append(best.select(*keys, "_b.d2", "_b.rid"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
-    return out
+    refs = refs.select("*", *[m.alias(f"m_{a}") for a, m in zip(axes, mid, strict=True)], half.alias("half"))
+    for a in axes:
+        refs = refs.where(finite(F.col(f"m_{a}")))
+    refs = staged(refs)
+    n, levels = refs.count(), 0
+    while n > 10 * PER_CELL * 4**levels and levels < MOST_LEVELS:
+        levels += 1
+    at = lambda level: F.struct(F.col("rpid"), *[F.shiftright(F.floor(F.col(f"m_{a}") / (top / 4**levels)).cast("long"), 2 * (levels - level)).alias(f"i_{a}") for a in axes])
+    refs = refs.select("*", *[at(k).alias(f"cell_{k}") for k in range(levels + 1)])
+    sides = [f(f"m_{a}").alias(f"{name}_{a}") for a in axes for name, f in (("lo", F.min), ("hi", F.max))]
+    box = ["half", *[f"{name}_{a}" for a in axes for name in ("lo", "hi")]]
+    cells = [refs.groupBy(f"cell_{k}", *([f"cell_{k - 1}"] if k else [])).agg(F.max("half").alias("half"), *sides) for k in range(levels + 1)]
+    slack = lambda least: least * (1 + 1e-9) + 1e-9
+    first = cells[0].groupBy(F.col("cell_0.rpid").alias("pid")).agg(F.collect_list(F.struct("cell_0", *box)).alias("_cells"))
+    bounds = F.transform("_cells", lambda c: F.struct(c["cell_0"].alias("cell"), *[b.alias(x) for b, x in zip(_bounds(axes, lambda name: c[name]), ("near", "far"), strict=True)]))
+    own = [*keys, *([] if "pid" in keys else ["pid"]), *axes]
+    near = locs.select(*own).join(F.broadcast(first), "pid").select(*own, bounds.alias("_cells"))
+    near = near.withColumn("_least", slack(F.array_min(F.transform("_cells", lambda c: c["far"]))))
+    kept = near.select(*own, F.explode(F.filter("_cells", lambda c: c["near"] <= F.col("_least"))["cell"]).alias("cell_0"))
+    for k in range(1, levels + 1):
+        low, high = _bounds(axes, F.col)
+        inner = kept.join(cells[k], f"cell_{k - 1}").select(*own, f"cell_{k}", low.alias("_near"), high.alias("_far"))
+        inner = inner.withColumn("_least", slack(F.min("_far").over(Window.partitionBy(*keys))))
+        kept = inner.where("_near <= _least").select(*own, f"cell_{k}")
+    best = kept.join(refs, f"cell_{levels}").groupBy(*keys).agg(F.min(F.struct(d2.alias("d2"), F.col("rid").alias("rid"))).alias("_b"))
+    return best.select(*keys, "_b.d2", "_b.rid")
 
 
 def nearest_points(locs: DataFrame, points: DataFrame, small: int = SMALL) -> DataFrame:
@@ -73,14 +95,8 @@ def nearest_points(locs: DataFrame, points: DataFrame, small: int = SMALL) -> Da
         d2 = lambda r: (r["rx"] - F.col("x")) ** 2 + (r["ry"] - F.col("y")) ** 2 + (r["rz"] - F.col("z")) ** 2
         best = _argmin_broadcast(at, refs, ["rx", "ry", "rz"], d2).where("rid is not null")
     else:
-
-        def around(size: float) -> Column:
-            axis = lambda c: F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.floor(F.col(c) / size) + k)
-            return F.flatten(F.transform(axis("x"), lambda i: F.flatten(F.transform(axis("y"), lambda j: F.transform(axis("z"), lambda k: F.struct(i.alias("i"), j.alias("j"), k.alias("k")))))))
-
-        own = lambda size: F.array(F.struct(F.floor(F.col("rx") / size).alias("i"), F.floor(F.col("ry") / size).alias("j"), F.floor(F.col("rz") / size).alias("k")))
         d2 = (F.col("rx") - F.col("x")) ** 2 + (F.col("ry") - F.col("y")) ** 2 + (F.col("rz") - F.col("z")) ** 2
-        best = _rounds(at, refs, around, own, d2, [0.002, 0.01, 0.05, 0.25, 2.0], KEYS)
+        best = _descend(at.withColumn("pid", F.lit(0)), refs.withColumn("rpid", F.lit(0)), ["x", "y", "z"], [F.col("rx"), F.col("ry"), F.col("rz")], F.lit(0.0), d2, 0.5, KEYS)
     return best.select(*KEYS, S.chord_metres(F.col("d2")).alias("metres"), "rid")
 
 
@@ -101,17 +117,10 @@ def nearest_segments(locs: DataFrame, segs: DataFrame, lon0=None, lat0=None, sma
         d2 = lambda r: S.segment_distance2(F.col("x"), F.col("y"), r["ax"], r["ay"], r["bx"], r["by"])
         best = _argmin_broadcast(at, refs, ["ax", "ay", "bx", "by"], d2).where("rid is not null")
     else:
-
-        def around(size: float) -> Column:
-            axis = lambda v: F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda k: F.floor(F.col(v) / size) + k)
-            return F.flatten(F.transform(axis("x"), lambda i: F.transform(axis("y"), lambda j: F.struct(F.col("pid").alias("p"), i.alias("i"), j.alias("j")))))
-
-        def touched(size: float) -> Column:
-            axis = lambda a, b: F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size))
-            return F.flatten(F.transform(axis("ax", "bx"), lambda i: F.transform(axis("ay", "by"), lambda j: F.struct(F.col("rpid").alias("p"), i.alias("i"), j.alias("j")))))
-
         d2 = S.segment_distance2(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-        best = _rounds(at, refs, around, touched, d2, [50e3, 400e3, 3200e3, 30000e3], [*KEYS, "pid"])
+        mid = [(F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2]
+        half = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / 2
+        best = _descend(at, refs, ["x", "y"], mid, half, d2, 3200e3, [*KEYS, "pid"])
     return best.select(*KEYS, F.sqrt("d2").alias("metres"), F.col("rid").alias("fid"))
 
 
@@ -123,25 +132,35 @@ def _level(width: Column) -> Column:
     return F.when(width <= 8 * LEVELS[0], 0).when(width <= 8 * LEVELS[1], 1).otherwise(2)
 
 
+def _bands(rings: Column, height: Column) -> Column:
+    """Bands a degree for a polygon: a power of two, so that bands hold some 64 edges where its vertices lie evenly, and at most 4,096."""
+    n = F.aggregate(rings, F.lit(0).cast("long"), lambda total, ring: total + F.size(ring))
+    want = F.log2(F.greatest(n, F.lit(1)) / (64.0 * F.greatest(height, F.lit(1e-6))))
+    return F.pow(F.lit(2.0), F.greatest(F.lit(0), F.least(F.lit(12), F.ceil(want))))
+
+
 def containing(locs: DataFrame, features: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rows (keys, fid): the lowest fid of the polygons a location lies in, by bounds and then even-odd.
 
     Bounds meet on an equi-join of cells (three sizes, so that neither an islet nor an
-    ocean has many); edges meet their candidates on (fid, one-degree band of latitude), so
-    a polygon with a million vertices is never gathered in one row or task. ``by``: columns
+    ocean has many); edges meet their candidates on (fid, band of latitude), a degree high or,
+    where a polygon has many vertices, so much less that a band holds some hundred edges: a
+    polygon with a million vertices is never gathered in one task. ``by``: columns
     both sides share that must agree as well.
     """
     by = by or []
-    boxes = features.where("xmin is not null").select(*by, "fid", "xmin", "xmax", "ymin", "ymax").withColumn("level", _level(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))))
+    bands = features.where("xmin is not null").select("*", _bands(F.col("rings"), F.col("ymax") - F.col("ymin")).alias("_per_degree"))
+    boxes = bands.select(*by, "fid", "_per_degree", "xmin", "xmax", "ymin", "ymax").withColumn("level", _level(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))))
     size = F.element_at(F.array(*[F.lit(s) for s in LEVELS]), F.col("level") + 1)
     span = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
     boxes = boxes.withColumn("_i", F.explode(span("xmin", "xmax"))).withColumn("_j", F.explode(span("ymin", "ymax"))).withColumn("_cell", F.struct("level", "_i", "_j"))
     cells = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("lon") / s).alias("_i"), F.floor(F.col("lat") / s).alias("_j")) for k, s in enumerate(LEVELS)])
     at = locs.select(*KEYS, *by, "lon", "lat").withColumn("_cell", F.explode(cells))
     inside = (F.col("lon") >= F.col("xmin")) & (F.col("lon") <= F.col("xmax")) & (F.col("lat") >= F.col("ymin")) & (F.col("lat") <= F.col("ymax"))
-    candidates = at.join(boxes, ["_cell", *by]).where(inside).select(*KEYS, "lon", "lat", "fid").distinct().withColumn("_band", F.floor("lat"))
-    e = G.edges(features.select("fid", "rings").dropDuplicates(["fid"]))
-    e = e.where("alat <> blat").withColumn("_band", F.explode(F.sequence(F.floor(F.least("alat", "blat")), F.floor(F.greatest("alat", "blat")))))
+    candidates = at.join(boxes, ["_cell", *by]).where(inside).select(*KEYS, "lon", "lat", "fid", F.floor(F.col("lat") * F.col("_per_degree")).alias("_band")).distinct()
+    e = G._pairs(bands.select("fid", "_per_degree", "rings").dropDuplicates(["fid"]), True, ["fid", "_per_degree"])
+    band = lambda end: F.floor(end("alat", "blat") * F.col("_per_degree"))
+    e = e.where("alat <> blat").withColumn("_band", F.explode(F.sequence(band(F.least), band(F.greatest)))).drop("_per_degree")
     # an edge runs from vertex j (its start) to vertex i (its end)
     crossed = candidates.join(e, ["fid", "_band"]).where(S.edge_crosses(F.col("lon"), F.col("lat"), F.col("blon"), F.col("blat"), F.col("alon"), F.col("alat")))
     odd = crossed.groupBy(*KEYS, "fid").count().where(F.col("count") % 2 == 1)

@@ -2,7 +2,7 @@
 
 The number of partitions is bounded by the tolerance (a few dozen cover the globe), and
 so is what reaches the driver: locations are summed into fixed cells of the globe first,
-and the cells are split and merged. With a cell size of a tenth of a degree a cell's
+and the cells are split and merged. With a cell size of half a degree a cell's
 locations lie within a known angle of its mean, which is held back from the tolerance.
 """
 
