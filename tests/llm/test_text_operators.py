@@ -105,6 +105,33 @@ def test_decontamination_finds_edited_items_and_no_others(spark):
     assert {r.doc_id for r in decontaminate.keep_clean(frame, bench).collect()} == {d for d, _ in docs} - {d for d, _ in expected}
 
 
+def test_every_place_of_a_repeated_item():
+    item = "ab cd " * 9 + "ab cde"  # periodic: candidate starts lie close together
+    text = " ".join(["start", item, item, item[:20] + "z" + item[20:], "end"])
+    got = [(a, b, d) for _, a, b, d in decontaminate.Matcher([(1, item)], 16).find(text)]
+    assert got == [(6, 66, 0), (67, 127, 0), (128, 189, 1)]
+    rng = random.Random(6)
+    words = ["".join(rng.choice("etaoin") for _ in range(rng.randrange(2, 7))) for _ in range(40)]
+    for _ in range(40):
+        item, text, n = " ".join(rng.choices(words, k=16)), "", rng.randrange(0, 4)
+        for _ in range(n):
+            text += " ".join(rng.choices(words, k=rng.randrange(5, 20))) + " " + _edited(item, rng.randrange(0, 3), rng) + " "
+        item, text = decontaminate.plain(item), decontaminate.plain(text)
+        found = list(decontaminate.Matcher([(1, item)], 16).find(text))
+        assert len(found) == sum(1 for _ in decontaminate.every_place(item, text, len(item) // 16)) <= n
+        for _, a, b, d in found:  # the distance is that of the stretch told
+            assert decontaminate.myers(item, text[a:b], d) == (d, b - a) and _whole(item, text[a:b]) == d
+
+
+def _whole(a, b):
+    row = list(range(len(a) + 1))
+    for j, y in enumerate(b, 1):
+        diagonal, row[0] = row[0], j
+        for i, x in enumerate(a, 1):
+            diagonal, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, diagonal + (x != y))
+    return row[-1]
+
+
 def test_decontamination_of_awkward_rows(spark, awkward, nothing):
     bench = spark.createDataFrame([(1, "the same text twice")], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.matches(awkward, bench).collect()} == {4}

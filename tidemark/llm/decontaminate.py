@@ -35,15 +35,15 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def myers(item: str, text: str, k: int) -> tuple[int, int] | None:
-    """(distance, end) of the best place of ``item`` in ``text`` with at most ``k`` edits, the first among equals, or None."""
+def distances(item: str, text: str) -> Iterator[int]:
+    """After each character of ``text``, the least edit distance of ``item`` to a stretch that ends there."""
     m = len(item)
     peq: dict[str, int] = defaultdict(int)
     for i, c in enumerate(item):
         peq[c] |= 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best = full, 0, m, None
-    for j, c in enumerate(text):
+    pv, mv, score = full, 0, m
+    for c in text:
         eq = peq.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -51,9 +51,25 @@ def myers(item: str, text: str, k: int) -> tuple[int, int] | None:
         score += bool(ph & top) - bool(mh & top)
         ph, mh = (ph << 1) & full, (mh << 1) & full
         pv, mv = mh | (full & ~(xv | ph)), ph & xv
-        if score <= k and (best is None or score < best[0]):
-            best = (score, j + 1)
-    return best
+        yield score
+
+
+def myers(item: str, text: str, k: int) -> tuple[int, int] | None:
+    """(distance, end) of the best place of ``item`` in ``text`` with at most ``k`` edits, the first among equals, or None."""
+    return min(((d, end) for end, d in enumerate(distances(item, text), 1) if d <= k), default=None)
+
+
+def every_place(item: str, text: str, k: int) -> Iterator[tuple[int, int]]:
+    """(distance, end) of each place with at most ``k`` edits; of places that overlap, the best."""
+    best = None
+    for end, d in enumerate(distances(item, text), 1):
+        if best and end >= best[1] + len(item) - k:
+            yield best
+            best = None
+        if d <= k and (best is None or d < best[0]):
+            best = d, end
+    if best:
+        yield best
 
 
 class Matcher:
@@ -73,7 +89,7 @@ class Matcher:
         self.any = bool(at)
 
     def find(self, raw: str | None) -> Iterator[tuple[object, int, int, int]]:
-        """(item key, start, end, distance) per occurrence, in the plain form of the text; overlapping places count once."""
+        """(item key, start, end, distance) per occurrence, in the plain form of the text; of overlapping places, the best."""
         text = plain(raw)
         if not self.any or not text:
             return
@@ -86,7 +102,7 @@ class Matcher:
             m, run = len(item), []
             short = m < 16  # so short an item must stand between word ends
             for s in [*sorted(found), None]:
-                if run and (s is None or s > run[-1] + 2 * k):
+                if run and (s is None or s > run[-1] + m + 2 * k):  # else places could overlap
                     yield from self._verify(key, item, k, m, run, text, short)
                     run = []
                 if s is not None:
@@ -94,17 +110,22 @@ class Matcher:
 
     @staticmethod
     def _verify(key, item: str, k: int, m: int, run: list[int], text: str, short: bool) -> Iterator[tuple[object, int, int, int]]:
-        for s in run:
-            if s >= 0 and text.startswith(item, s):
-                if not short or ((s == 0 or text[s - 1] == " ") and (s + m == len(text) or text[s + m] == " ")):
+        if run[-1] - run[0] <= 2 * k or not k:  # with edits allowed, room for one place
+            after = 0
+            for s in run:
+                if s >= after and text.startswith(item, s) and (not short or ((s == 0 or text[s - 1] == " ") and (s + m == len(text) or text[s + m] == " "))):
                     yield key, s, s + m, 0
-                    return
-        if k:
-            low, high = max(0, run[0] - k), min(len(text), run[-1] + m + k)
-            got = myers(item, text[low:high], k)
-            if got:
-                end = low + got[1]
-                yield key, max(low, end - m), end, got[0]
+                    if k:
+                        return
+                    after = s + m
+        if not k:
+            return
+        low, high = max(0, run[0] - k), min(len(text), run[-1] + m + k)
+        for d, end in every_place(item, text[low:high], k):
+            end += low
+            # the same distance from the end backwards tells where the place starts
+            back = text[max(low, end - m - k) : end][::-1]
+            yield key, end - myers(item[::-1], back, d)[1], end, d
 
 
 def _searcher(shared, kind: T.ArrayType):
