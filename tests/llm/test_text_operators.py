@@ -102,7 +102,9 @@ def test_decontamination_finds_edited_items_and_no_others(spark):
     # a small block size takes the benchmark in several blocks: the same rows
     blocks = decontaminate.search(frame, bench, block_bytes=500).select("doc_id", F.explode("hits").alias("h")).collect()
     assert {(r.doc_id, r.h.item_id) for r in blocks} == expected
-    assert {r.doc_id for r in decontaminate.keep_clean(frame, bench).collect()} == {d for d, _ in docs} - {d for d, _ in expected}
+    for size in (4 << 20, 500):
+        assert sorted(decontaminate.matches(frame, bench, block_bytes=size).collect()) == sorted(got)
+        assert sorted(r.doc_id for r in decontaminate.keep_clean(frame.union(frame), bench, block_bytes=size).collect()) == sorted(2 * [d for d in {d for d, _ in docs} - {d for d, _ in expected}])
 
 
 def test_every_place_of_a_repeated_item():

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -142,35 +143,51 @@ def _searcher(shared, kind: T.ArrayType):
     return hits_in.asNondeterministic()
 
 
+def _passes(spark: SparkSession, benchmark: DataFrame, item_id: str, item_text: str, per: int, block_bytes: int) -> list:
+    """One search function per block of the benchmark, each over a broadcast of about ``block_bytes`` of items."""
+    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
+    n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = n_bytes // block_bytes + 1
+    hit = T.ArrayType(T.StructType([T.StructField("item_id", items.schema["item_id"].dataType), *[T.StructField(n, T.IntegerType()) for n in ("start", "end", "distance")]]))
+    found = []
+    for block in range(n_blocks):
+        rows = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).collect()]
+        found.append(_searcher(spark.sparkContext.broadcast((rows, per)), hit))
+    return found
+
+
 def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", per: int = 16, block_bytes: int = 4 << 20, out: str = "hits") -> DataFrame:
     """Add ``out``: where whole items occur in each whole text with at most one edit per ``per`` characters.
 
     An array of (item_id, start, end, distance); places are code points of the plain form
     (lower case, white space runs as one space). Null and empty items match nothing, null
     and empty texts hold nothing; items of fewer than ``per`` characters must occur
-    unchanged. The benchmark is the query set: its size is measured and it is taken in
-    blocks of about ``block_bytes``, each against all texts, so that what goes to the
-    executors at once is bounded however large it grows.
+    unchanged. Repeated items are each told; repeated texts have the same hits. The
+    benchmark is the query set: its size is measured and it is taken in blocks of about
+    ``block_bytes``. Several blocks are several passes over the texts, and a task holds the
+    automaton of one: what is found (one row per block and different text) is joined back
+    by the text's digest.
     """
     spark = tuned(docs.sparkSession)
-    items = benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("text"))
-    n_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = n_bytes // block_bytes + 1
-    hit = T.ArrayType(T.StructType([T.StructField("item_id", items.schema["item_id"].dataType), *[T.StructField(n, T.IntegerType()) for n in ("start", "end", "distance")]]))
-    found = []
-    for block in range(n_blocks):
-        rows = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block).collect()]
-        found.append(_searcher(spark.sparkContext.broadcast((rows, per)), hit)(F.col(f"`{text}`")))
-    return docs.withColumn(out, F.concat(*found) if len(found) > 1 else found[0])
+    passes, at = _passes(spark, benchmark, item_id, item_text, per, block_bytes), F.col(f"`{text}`")
+    if len(passes) == 1:
+        return docs.withColumn(out, passes[0](at))
+    key, digest = fresh([*docs.columns, out], "_digest"), F.sha2(at, 256)
+    found = reduce(DataFrame.union, [docs.select(digest.alias(key), find(at).alias(out)).where(F.size(out) > 0).dropDuplicates([key]) for find in passes])
+    found = found.groupBy(key).agg(F.flatten(F.collect_list(out)).alias(out))
+    joined = docs.withColumn(key, digest).join(found, key, "left")
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.col(out), F.array().cast(found.schema[out].dataType)).alias(out))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", per: int = 16) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", per: int = 16, block_bytes: int = 4 << 20) -> DataFrame:
     """Rows (doc_id, item_id, start, end, distance), one per occurrence; see :func:`search`. Clean documents give no row."""
+    spark = tuned(docs.sparkSession)
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return search(source, benchmark, per=per).select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+    found = [source.select("doc_id", F.explode(find("text")).alias("hit")) for find in _passes(spark, benchmark, "item_id", "text", per, block_bytes)]
+    return reduce(DataFrame.union, found).select("doc_id", "hit.*")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``docs`` in which no test item occurs, with its columns."""
     hits = fresh(docs.columns, "_hits")
-    return search(docs, benchmark, text, out=hits).where(F.size(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return search(docs, benchmark, text, block_bytes=block_bytes, out=hits).where(F.size(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
