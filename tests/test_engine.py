@@ -8,16 +8,17 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import GreaterThan, GreaterThanOrEqual, LessThan
 from tidemark import queries
 from tidemark.functions import spatial as S
 from tidemark.operators import geometry as G
 from tidemark.operators import lookups as L
 from tidemark.operators.locations import unique_locations, with_keys
 from tidemark.plans import region as R
-from tidemark.plans.engine import Engine, coast_lookup, custom_lookup, place_lookup, sea_lookup
+from tidemark.plans.engine import Engine, coast_lookup, custom_lookup, place_lookup, row_lookup, sea_lookup
 from tidemark.plans.settings import Box, Overrides, Settings
 from tidemark.sources.features import read_features, read_shoreline
-from tidemark.sources.netcdf import read_grid, write_grid
+from tidemark.sources.netcdf import _Reader, read_grid, write_grid
 from tidemark.sources.shapefile import write_shapefile
 from tidemark.streaming.enrich import enrich_stream
 
@@ -90,6 +91,28 @@ def test_depth(spark, tmp_path):
         read_grid(spark, f"{tmp_path}/bad.nc")
 
 
+def test_grid_reads_only_the_rows_asked_for(spark, tmp_path):
+    path = str(tmp_path / "wide.nc")
+    write_grid(path, [float(i) for i in range(200)], [0.0, 1.0], [[i * 10.0, i * 10.0 + 1] for i in range(200)])
+    grid, lat, lon = read_grid(spark, path)
+    reader = _Reader(path, 64)
+    assert list(reader.pushFilters([GreaterThanOrEqual(("i",), 70), LessThan(("i",), 75), GreaterThan(("j",), 0)])) and [(p.first, p.stop) for p in reader.partitions()] == [(70, 75)]
+    assert grid.where("i between 70 and 74").rdd.getNumPartitions() == 1
+    assert sorted(r.elevation for r in grid.where("i between 70 and 71").collect()) == [700.0, 701.0, 710.0, 711.0]
+    got = Engine(spark).depth(points(spark, (1, 70), (0, 74), (0, 5000)), grid, lat, lon).collect()
+    assert {r.latitude: r.bathymetry for r in got if r.latitude < 100} == {70.0: 701.0, 74.0: 740.0}
+
+
+def test_notes_and_a_plain_function(spark):
+    e = Engine(spark, Settings(box=Box(), proj_lon0=0.0, proj_lat0=0.0), count=True)
+    e.coast(points(spark, (0, 0)), segs(spark, [(1, 1), (2, 2)]).limit(0))
+    assert any("shoreline" in n for n in e.report.notes)
+    fields = [T.StructField("half", T.DoubleType()), T.StructField("side", T.StringType())]
+    got = Engine(spark).run(points(spark, (2, 4), (6, 8), (9, 9)), row_lookup(fields, lambda lon, lat: None if lon == lat else (lon / 2, "north" if lat > 5 else "south"))).collect()
+    assert {r.longitude: r.side for r in got} == {2.0: "south", 6.0: "north", 9.0: None}
+    assert {r.half for r in got if r.side} == {1.0, 3.0}
+
+
 def test_sea(spark):
     seas = boxes(spark, ("West", None, 16, 57, 20, 61), ("East", None, 20, 57, 24, 61))
     e = Engine(spark, settings(8, 31, 53, 66))

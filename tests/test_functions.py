@@ -161,10 +161,38 @@ def test_partition_by_cells_keeps_the_bound(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.uniform(-180, 180, 3000), rng.uniform(-80, 80, 3000), strict=True)], "longitude double, latitude double")
     locs = unique_locations(with_keys(df, "longitude", "latitude", 3), 3)
-    owned, parts = P.partition(locs, exact=100)
+    owned, parts = P.partition(locs)
     assert owned.count() == locs.count() and parts.agg(F.sum("members")).first()[0] == locs.count()
     worst = owned.select(F.max(F.abs(S.laea_error_at(S.haversine(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat")))))).first()[0]
-    assert worst <= 0.02
+    assert worst <= 0.02 and parts.where("distortion > 0.02").count() == 0
+    outside = owned.join(parts.drop("clon", "clat"), "pid").where("lat < min_lat or lat > max_lat or lon < min_lon or lon > max_lon")
+    assert outside.count() == 0
+    # one more row in a cell that has one already leaves the parts as they are
+    more = unique_locations(with_keys(df.union(df.limit(1).selectExpr("longitude + 0.001", "latitude")), "longitude", "latitude", 3), 3)
+    assert abs(P.partition(more)[1].count() - parts.count()) <= 1
+    with pytest.raises(ValueError, match="no usable"):
+        P.partition(locs.limit(0))
+
+
+@pytest.mark.parametrize("rows", [0, 1, 5000])
+def test_gzip_by_the_stated_format(spark, tmp_path, rows):
+    import gzip
+
+    (tmp_path / "in").mkdir()
+    head = "longitude,latitude,name\n"
+    for k in range(2):
+        text = head + "".join(f'{i}.5,{k},"a, {i}"\n' for i in range(rows))
+        (tmp_path / "in" / f"p{k}.bin").write_bytes(gzip.compress(text[:30].encode()) + gzip.compress(text[30:].encode()))
+    got = read_table(spark, str(tmp_path / "in"), "csv.gz")
+    assert got.columns == ["longitude", "latitude", "name"]
+    assert sorted((float(r.longitude), int(r.latitude), r.name) for r in got.collect()) == sorted((i + 0.5, k, f"a, {i}") for k in range(2) for i in range(rows))
+
+
+def test_one_file_replaces_what_was_there(spark, tmp_path):
+    for n in (3, 5):
+        write_table(spark.range(n), f"{tmp_path}/one.parquet", single_file=True)
+        assert (tmp_path / "one.parquet").is_file() and read_table(spark, f"{tmp_path}/one.parquet").count() == n
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["one.parquet"]
 
 
 def test_command_line(spark, tmp_path, capsys):

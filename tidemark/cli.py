@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import engine as E
 from tidemark.plans.settings import Overrides, region_names, resolve
+from tidemark.plans.staging import drop_staged
 from tidemark.sources.tables import FORMATS, default_output, read_table, write_table
 
 SHELLS = ("bash", "zsh", "fish", "elvish", "powershell")
@@ -26,6 +28,7 @@ def _common(p: argparse.ArgumentParser) -> None:
     p.add_argument("--lat-col", default="latitude")
     p.add_argument("--decimals", type=int, default=3)
     p.add_argument("-t", "--threads", type=int, help="local cores, where no cluster is set")
+    p.add_argument("--single-file", action="store_true", help="one output file in place of a folder")
 
 
 def _region(p: argparse.ArgumentParser) -> None:
@@ -162,13 +165,20 @@ def _lookups(spark: SparkSession, a: argparse.Namespace) -> list[E.Lookup]:
     return found
 
 
+def _session(threads: int | None) -> SparkSession:
+    builder = SparkSession.builder.appName("tidemark")
+    if threads and "PYSPARK_GATEWAY_PORT" not in os.environ:  # else spark-submit has set the master
+        builder = builder.master(f"local[{threads}]")
+    return builder.getOrCreate()
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     if a.command == "completions":
         print(completion_script(a.shell), end="")
         return 0
     try:
-        spark = spark or SparkSession.builder.appName("tidemark").getOrCreate()
+        spark = spark or _session(getattr(a, "threads", None))
         if a.command == "regions":
             from tidemark.sources.features import read_features
 
@@ -188,8 +198,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(", ".join(f.name for x in lookups for f in x.outputs), "->", out)
             return 0
         engine = E.Engine(spark, s, count=True)
-        write_table(engine.run(read_table(spark, a.input, a.in_format), *lookups), out, a.out_format)
+        write_table(engine.run(read_table(spark, a.input, a.in_format), *lookups), out, a.out_format, a.single_file)
+        drop_staged(spark)
         r = engine.report
+        for note in r.notes:
+            print(f"tidemark: {note}", file=sys.stderr)
         print(f"{r.rows} rows, {r.unique} locations, {r.unresolved} unresolved -> {out}", file=sys.stderr)
         return 0
     except ValueError as e:

@@ -182,9 +182,13 @@ def grid_lookup(locs: DataFrame, grid: DataFrame, lat_axis: tuple[float, float,
     """Rows (keys, elevation): the value of the nearest cell of a regular grid (i, j, elevation); axes are (origin, step, length).
 
     Longitudes are wrapped to [-180, 180). Locations are the small side: they are what
-    may be broadcast or shuffled, the grid is scanned once.
+    may be broadcast or shuffled. The grid is scanned once, and only between the lowest and
+    highest cells asked for: plain bounds, which reach its scan.
     """
     i = S.axis_index(F.col("lat"), *lat_axis)
     j = S.axis_index(S.normalize_lon(F.col("lon")), *lon_axis)
-    at = locs.select(*KEYS, i.alias("i"), j.alias("j")).where("i is not null and j is not null")
+    at = staged(locs.select(*KEYS, i.alias("i"), j.alias("j")).where("i is not null and j is not null"))
+    ends = at.agg(F.min("i"), F.max("i"), F.min("j"), F.max("j")).first()
+    if ends[0] is not None:
+        grid = grid.where(F.col("i").between(*ends[:2]) & F.col("j").between(*ends[2:]))
     return at.join(grid.select(F.col("i").cast("int"), F.col("j").cast("int"), F.col("elevation").cast("double")), ["i", "j"]).select(*KEYS, "elevation")

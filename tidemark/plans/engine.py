@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,8 @@ class Lookup:
     find: Callable[[DataFrame, Box, tuple[float, float]], DataFrame]
     find_parts: Callable[[DataFrame, DataFrame], DataFrame] | None = None
     projected: bool = False
+    #: Reference data by what it is called, and how it is cropped to a box; told about where nothing is left.
+    references: dict[str, tuple[DataFrame, Callable[[DataFrame, Box], DataFrame] | None]] = field(default_factory=dict)
 
 
 @dataclass
@@ -86,7 +89,7 @@ def coast_lookup(shoreline: DataFrame, unit: str = "km", column: str = "dist_to_
         both = locs.join(near, KEYS, "left").join(F.broadcast(crops.drop("clon", "clat")), "pid")
         return both.select(*KEYS, "pid", (F.col("metres") / scale).alias(column), _short(both, crops, "metres").alias("shortfall"))
 
-    return Lookup([T.StructField(column, DOUBLE)], find, find_parts, True)
+    return Lookup([T.StructField(column, DOUBLE)], find, find_parts, True, {"shoreline": (shoreline, G.crop_segments)})
 
 
 def _fan_features(features: DataFrame, crops: DataFrame) -> DataFrame:
@@ -114,7 +117,7 @@ def sea_lookup(seas: DataFrame, column: str = "sea_name") -> Lookup:
     def find_parts(locs: DataFrame, parts: DataFrame) -> DataFrame:
         return _located(locs, seas, parts).join(names, "fid", "left").select(*KEYS, "pid", column, "shortfall")
 
-    return Lookup([T.StructField(column, STRING)], find, find_parts, True)
+    return Lookup([T.StructField(column, STRING)], find, find_parts, True, {"sea areas": (seas, G.crop_features)})
 
 
 def place_lookup(countries: DataFrame, municipalities: DataFrame | None = None, max_municipality_dist: float | None = None, unit: str = "km") -> Lookup:
@@ -127,6 +130,8 @@ def place_lookup(countries: DataFrame, municipalities: DataFrame | None = None,
     outputs = [T.StructField(n, STRING) for n in ("country", "country_code", "municipality")]
     if municipalities is None:
         log.info("no municipalities given: the column stays empty")
+        if max_municipality_dist is not None:
+            log.warning("a cutoff for municipalities has no effect: no municipalities given")
     else:
         outputs.append(T.StructField("municipality_dist", DOUBLE))
 
@@ -156,7 +161,8 @@ def place_lookup(countries: DataFrame, municipalities: DataFrame | None = None,
         m = muni(found, [F.col("shortfall").alias("_s")])
         return out.join(m, KEYS, "left").withColumn("shortfall", F.greatest("shortfall", F.coalesce("_s", F.lit(0.0)))).drop("_s")
 
-    return Lookup(outputs, find, find_parts, True)
+    references = {"countries": (countries, G.crop_features)} | ({"municipalities": (municipalities, G.crop_features)} if municipalities is not None else {})
+    return Lookup(outputs, find, find_parts, True, references)
 
 
 def nearest_lookup(points: DataFrame, lon_col: str = "longitude", lat_col: str = "latitude", name_field: str = "name", unit: str = "km", name_column: str = "nearest_name", dist_column: str = "nearest_dist", order_by: str | None = None, small: int = L.SMALL) -> Lookup:
@@ -173,7 +179,7 @@ def nearest_lookup(points: DataFrame, lon_col: str = "longitude", lat_col: str =
         found = L.nearest_points(locs, refs, small)
         return found.select(*KEYS, F.col("rid.name").alias(name_column), (F.col("metres") / scale).alias(dist_column))
 
-    return Lookup([T.StructField(name_column, STRING), T.StructField(dist_column, DOUBLE)], find)
+    return Lookup([T.StructField(name_column, STRING), T.StructField(dist_column, DOUBLE)], find, references={"second table": (refs, None)})
 
 
 def depth_lookup(grid: DataFrame, lat_axis: tuple[float, float, int], lon_axis: tuple[float, float, int], positive: bool = False, on_land: bool = False, column: str = "bathymetry") -> Lookup:
@@ -194,8 +200,25 @@ def custom_lookup(outputs: list[T.StructField], lookup: Callable[[DataFrame], Da
     return Lookup(outputs, lambda locs, box, center: lookup(locs))
 
 
+def row_lookup(outputs: list[T.StructField], answer: Callable[[float, float], tuple | None]) -> Lookup:
+    """A lookup of a plain function (lon, lat) -> values, or None for no answer: called once per distinct location, in tasks."""
+    keys = [T.StructField(k, T.LongType()) for k in KEYS]
+    schema = T.StructType([*keys, *outputs])
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for b in batches:
+            rows = [(r, answer(r["lon"], r["lat"])) for r in b.to_pylist()]
+            made = [dict(zip(schema.names, (*(r[k] for k in KEYS), *got), strict=True)) for r, got in rows if got is not None]
+            yield pa.RecordBatch.from_pylist(made, arrow)
+
+    return Lookup(outputs, lambda locs, box, center: locs.mapInArrow(answers, schema))
+
+
 class Engine:
-    """Runs lookups over a table of points. ``report`` tells about the last run."""
+    """Runs lookups over a table of points. ``report`` tells about the last run; ``count`` fills it, at the price of jobs of its own."""
 
     def __init__(self, spark: SparkSession, settings: Settings | None = None, count: bool = False):
         self.spark, self.settings, self.count, self.report = spark, settings or Settings(), count, Report()
@@ -209,10 +232,13 @@ class Engine:
         projected = any(x.projected for x in lookups)
         if projected and not s.partition:
             s = R.settle(df, s)
+        self.region = s
         keyed = with_keys(df, s.lon_col, s.lat_col, s.decimals)
         locs = unique_locations(keyed, s.decimals)
         if self.count:
             self.report.rows, self.report.unique = df.count(), locs.count()
+            for x in lookups:
+                self._tell_empty(x)
         if projected and s.partition:
             locs = staged(locs)
             owned, parts = P.partition(locs)
@@ -224,7 +250,7 @@ class Engine:
             far, error = R.worst_distortion(locs, s.proj_lon0, s.proj_lat0)
             self.report.worst_distortion = error
             if error >= S.DISTORTION_LIMIT:
-                log.warning("the farthest location is %.0f km from the projection center: distances there are off by %.1f%%", far / 1000, 100 * error)
+                self._note(f"the farthest location is {far / 1000:.0f} km from the projection center: distances there are off by {100 * error:.1f}%")
         results = None
         for x in lookups:
             got = self._widened(x, owned, parts) if s.partition and x.find_parts else x.find(locs.select(*KEYS, "lon", "lat"), s.box, (s.proj_lon0, s.proj_lat0))
@@ -239,6 +265,20 @@ class Engine:
             self.report.unresolved = missing.count()
         return out
 
+    def _note(self, text: str) -> None:
+        self.report.notes.append(text)
+        log.warning(text)
+
+    def _tell_empty(self, x: Lookup) -> None:
+        """A note for reference data of which nothing is there, or nothing in the crop."""
+        for what, (data, crop) in x.references.items():
+            if crop and not self.settings.partition:
+                box = self.region.box.grown(S.CROP_MARGIN_DEG)
+                if crop(data, box).isEmpty():
+                    self._note(f"no {what} within {box}: its columns stay empty")
+            elif data.isEmpty():
+                self._note(f"no {what}: its columns stay empty")
+
     def _widened(self, x: Lookup, locs: DataFrame, parts: DataFrame) -> DataFrame:
         """Answer part by part, widening the crop of parts whose answers reach past it; at most eight rounds of 5 degrees."""
         names = [f.name for f in x.outputs]
@@ -255,6 +295,7 @@ class Engine:
             if not retry:
                 return done
             self.report.rebuilds += len(retry)
+            log.info("%d parts have answers beyond their crop, by up to %.0f km: widened", len(retry), max(r["short"] for r in retry) / 1000)
             for r in retry:
                 want = WIDEN_MAX_DEG if r["short"] == float("inf") else r["extra"] + r["short"] / S.METRES_PER_DEGREE * WIDEN_SLACK
                 r["extra"] = min(max(want, min(r["extra"] + WIDEN_MIN_STEP_DEG, WIDEN_MAX_DEG)), WIDEN_MAX_DEG)

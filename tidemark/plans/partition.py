@@ -1,9 +1,10 @@
 """Error-bounded partitions of the locations, each with a projection centre of its own.
 
 The number of partitions is bounded by the tolerance (a few dozen cover the globe), and
-so is what reaches the driver: locations are summed into fixed cells of the globe first,
-and the cells are split and merged. With a cell size of half a degree a cell's
-locations lie within a known angle of its mean, which is held back from the tolerance.
+so is what reaches the driver: locations are summed into cells of half a degree first (at
+most 259,200, whatever the data), and the cells are split and merged. A cell's locations
+lie within the angle from its mean to its farthest corner, which is held back from the
+tolerance; a cell with one location holds nothing back.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from tidemark.operators.locations import KEYS
 from tidemark.plans.region import auto_box
 from tidemark.plans.settings import Box
 
-#: Locations up to which each is a member of its own; beyond, cells stand in for them.
-EXACT_LOCATIONS = 100_000
 CELL_DEG = 0.5
 
 
@@ -55,22 +54,23 @@ class Part:
         return math.degrees(math.atan2(y, x)), math.degrees(math.asin(max(-1.0, min(1.0, z))))
 
 
-def _evaluate(v: np.ndarray, weight: np.ndarray, members: np.ndarray, slack: float) -> Part | None:
+def _evaluate(v: np.ndarray, weight: np.ndarray, members: np.ndarray, slack: np.ndarray) -> Part | None:
     mean = np.average(v[members], axis=0, weights=weight[members])
     length = np.linalg.norm(mean)
     if length < 1e-12:
         return None
     center = mean / length
-    worst = _angles(v[members], center).max() + (slack if len(members) > 1 else 0.0)
+    worst = (_angles(v[members], center) + slack[members]).max()
     return Part(members, center, float(_angle_error(min(worst, math.pi))))
 
 
-def split(v: np.ndarray, weight: np.ndarray, tolerance: float, slack: float = 0.0) -> list[Part]:
+def split(v: np.ndarray, weight: np.ndarray, tolerance: float, slack: np.ndarray | None = None) -> list[Part]:
     """Bisect by farthest pair until every part is within the tolerance, then merge what still fits.
 
     Ties go to the lower index; of the merges that fit, the tightest comes first, and pairs
     whose centres are over two serviceable radii apart are not tried.
     """
+    slack = np.zeros(len(v)) if slack is None else slack
     done: list[Part] = []
     todo = [np.arange(len(v))] if len(v) else []
     while todo:
@@ -120,35 +120,37 @@ def _covering(lon: np.ndarray) -> tuple[float, float, bool]:
     return float(west), float(east), bool(west > east)
 
 
-def partition(locs: DataFrame, tolerance: float = S.DISTORTION_LIMIT, exact: int = EXACT_LOCATIONS) -> tuple[DataFrame, DataFrame]:
+def _extent(rows) -> tuple[np.ndarray, np.ndarray]:
+    """(mean directions of the cells, angle from each to the farthest corner of its locations' extent)."""
+    v = _vectors(rows["lon"].to_numpy(float), rows["lat"].to_numpy(float))
+    corners = [_vectors(rows[x].to_numpy(float), rows[y].to_numpy(float)) for x in ("west", "east") for y in ("south", "north")]
+    return v, np.max([_angles(c, v) for c in corners], axis=0)
+
+
+def partition(locs: DataFrame, tolerance: float = S.DISTORTION_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(locations with pid, clon, clat; parts with pid, clon, clat, box, distortion, members).
 
-    Up to ``exact`` distinct locations, each is split and merged by itself. Beyond, cells
-    of half a degree (at most 259,200, whatever the data) stand for their locations and the
-    angle across a cell is held back from the tolerance. The assignment is a join on keys
-    or cells; the parts are few and broadcast.
+    Cells of half a degree stand for their locations. The assignment is a join on cells,
+    which are at most 259,200 and broadcast, as are the parts.
     """
     spark = locs.sparkSession
-    n = locs.limit(exact + 1).count()
-    if n == 0:
+    cells = locs.withColumns({"_ci": F.floor(F.col("lon") / CELL_DEG), "_cj": F.floor(F.col("lat") / CELL_DEG)})
+    extent = [F.min("lon").alias("west"), F.max("lon").alias("east"), F.min("lat").alias("south"), F.max("lat").alias("north")]
+    mean = [F.avg("lon").alias("lon"), F.avg("lat").alias("lat")]
+    rows = cells.groupBy("_ci", "_cj").agg(*mean, *extent, F.count("*").alias("n")).orderBy("_ci", "_cj").toPandas()
+    if not len(rows):
         raise ValueError("partition found no usable coordinates in the input")
-    if n <= exact:
-        rows = locs.select(*KEYS, "lon", "lat").orderBy(*KEYS).toPandas()
-        weight, slack, ids = np.ones(len(rows)), 0.0, KEYS
-    else:
-        cell = {"_ci": F.floor(F.col("lon") / CELL_DEG), "_cj": F.floor(F.col("lat") / CELL_DEG)}
-        locs = locs.withColumns(cell)
-        rows = locs.groupBy("_ci", "_cj").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"), F.count("*").alias("n")).orderBy("_ci", "_cj").toPandas()
-        weight, slack, ids = rows["n"].to_numpy(float), math.radians(CELL_DEG) * math.sqrt(2), ["_ci", "_cj"]
-    lon, lat = rows["lon"].to_numpy(float), rows["lat"].to_numpy(float)
-    parts = split(_vectors(lon, lat), weight, tolerance, slack)
+    weight = rows["n"].to_numpy(float)
+    v, slack = _extent(rows)
+    parts = split(v, weight, tolerance, slack)
     pid = np.empty(len(rows), np.int32)
     table = []
     for i, p in enumerate(parts):
         pid[p.members] = i
-        box: Box = auto_box(*_covering(lon[p.members]), float(lat[p.members].min()), float(lat[p.members].max()))
+        own = rows.iloc[p.members]
+        box: Box = auto_box(*_covering(np.r_[own["west"], own["east"]]), float(own["south"].min()), float(own["north"].max()))
         table.append((i, *p.lonlat, box.min_lon, box.max_lon, box.min_lat, box.max_lat, p.distortion, int(weight[p.members].sum())))
     about = spark.createDataFrame(table, "pid int, clon double, clat double, min_lon double, max_lon double, min_lat double, max_lat double, distortion double, members long")
-    owner = spark.createDataFrame(rows[ids].assign(pid=pid), f"{ids[0]} long, {ids[1]} long, pid int")
-    owned = locs.join(F.broadcast(owner), ids).join(F.broadcast(about.select("pid", "clon", "clat")), "pid")
+    owner = spark.createDataFrame(rows[["_ci", "_cj"]].assign(pid=pid), "_ci long, _cj long, pid int")
+    owned = cells.join(F.broadcast(owner), ["_ci", "_cj"]).join(F.broadcast(about.select("pid", "clon", "clat")), "pid")
     return owned.select(*KEYS, "lon", "lat", "pid", "clon", "clat"), about

@@ -4,19 +4,48 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only in local mode where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (found or tempfile.mkdtemp(prefix="tidemark-")).rstrip("/")
+    return (found or _own_dir()).rstrip("/")
+
+
+def _staging(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/tidemark/stage-{uuid.uuid4().hex}"
+    path = f"{_staging(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_lines(df: DataFrame) -> str:
+    """Where the lines of a one-column table were staged as text."""
+    path = f"{_staging(df.sparkSession)}/lines-{uuid.uuid4().hex}"
+    df.write.text(path)
+    return path
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path in any store Spark reads."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete this application's staged tables. Results not yet written that build on them can't be computed any more."""
+    fs, where = hadoop(spark, _staging(spark))
+    fs.delete(where, True)

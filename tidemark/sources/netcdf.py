@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 #: Fixed values of the format: type code to struct letter.
 _TYPES = {1: "b", 2: "c", 3: "h", 4: "i", 5: "f", 6: "d"}
@@ -53,14 +55,14 @@ class _Header:
             size = n * struct.calcsize(_TYPES[kind])
             self.f.read(size + -size % 4)
 
-    def values(self, name: str, start: int = 0, count: int | None = None) -> tuple:
+    def values(self, name: str, start: int = 0, count: int | None = None) -> np.ndarray:
         shape, letter, begin = self.vars[name]
         total = 1
         for d in shape:
             total *= d
         count, size = total - start if count is None else count, struct.calcsize(letter)
         self.f.seek(begin + start * size)
-        return struct.unpack(f">{count}{letter}", self.f.read(count * size))
+        return np.frombuffer(self.f.read(count * size), np.dtype(letter if letter == "b" else f">{letter}{size}" if letter in "if" else {"c": "S1", "h": ">i2", "d": ">f8"}[letter]))
 
     def axis(self, name: str) -> Axis:
         """(origin, step, length); the step comes from the ends."""
@@ -81,18 +83,30 @@ class _Rows(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, rows: int):
-        self.path, self.rows = path, rows
+        self.path, self.rows, self.first, self.stop = path, rows, 0, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Bounds of i leave latitude rows unread (with spark.sql.python.filterPushdown.enabled); Spark applies all filters besides."""
+        for f in filters:
+            if getattr(f, "attribute", None) == ("i",) and isinstance(getattr(f, "value", None), int):
+                if isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
+                    self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, LessThan | LessThanOrEqual | EqualTo):
+                    end = f.value + (not isinstance(f, LessThan))
+                    self.stop = end if self.stop is None else min(self.stop, end)
+            yield f
 
     def partitions(self) -> list[_Rows]:
         n = _Header(self.path).checked().vars["elevation"][0][0]
-        return [_Rows(i, min(n, i + self.rows)) for i in range(0, n, self.rows)] or [_Rows(0, 0)]
+        stop = n if self.stop is None else min(n, self.stop)
+        return [_Rows(i, min(stop, i + self.rows)) for i in range(self.first, stop, self.rows)] or [_Rows(0, 0)]
 
-    def read(self, partition: _Rows) -> Iterator[tuple[int, int, float]]:
+    def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
         h = _Header(self.path)
         width = h.vars["elevation"][0][1]
         for i in range(partition.first, partition.stop):
-            for j, v in enumerate(h.values("elevation", i * width, width)):
-                yield i, j, float(v)
+            row = h.values("elevation", i * width, width).astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(width, i, np.int32)), pa.array(np.arange(width, dtype=np.int32)), pa.array(row)], ["i", "j", "elevation"])
 
 
 class GridSource(DataSource):
@@ -110,8 +124,9 @@ class GridSource(DataSource):
 
 
 def read_grid(spark: SparkSession, path: str) -> tuple[DataFrame, Axis, Axis]:
-    """(grid table, latitude axis, longitude axis). For a 100-fold faster re-read, write the table as Parquet once."""
+    """(grid table, latitude axis, longitude axis). For grids read often, write the table as Parquet once, sorted by i and j."""
     h = _Header(path).checked()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GridSource)
     return spark.read.format("elevation_grid").load(path), h.axis("lat"), h.axis("lon")
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import uuid
+import zlib
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.plans.staging import hadoop, staged, staged_lines
 
 FORMATS = ("parquet", "csv", "tsv", "csv.gz", "tsv.gz")
 
@@ -25,19 +33,66 @@ def format_of(path: str, explicit: str | None = None) -> str:
 def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
     """Scan a table lazily. Text files have a header; their types are inferred.
 
-    A gzip file is one split, so what follows a gzip scan is dealt out anew.
+    A gzip file is one split, so what follows a gzip scan is dealt out anew. Spark tells
+    gzip by the ending of a file's name; where a gzip format is given for other names, tasks
+    unpack the files to a staged table of lines first.
     """
     kind = format_of(path, fmt)
     if kind == "parquet":
         return spark.read.parquet(path)
-    df = spark.read.csv(path, header=True, inferSchema=True, sep="\t" if kind.startswith("tsv") else ",")
+    sep = "\t" if kind.startswith("tsv") else ","
+    if kind.endswith(".gz") and fmt is not None and not path.lower().endswith(".gz"):
+        odd = spark.read.format("binaryFile").load(path).where(~F.lower("path").endswith(".gz"))
+        if not odd.select("path").isEmpty():
+            return _unpacked(odd, sep)
+    df = spark.read.csv(path, header=True, inferSchema=True, sep=sep)
     return df.repartition(spark.sparkContext.defaultParallelism) if kind.endswith(".gz") else df
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, head) of gzip files, a few thousand lines at a time; the first line of each file is its head."""
+    for b in batches:
+        for content in b.column("content"):
+            rest, head, packed = b"", True, memoryview(content.as_buffer())
+            unpack = zlib.decompressobj(31)
+            while len(packed):
+                rest += unpack.decompress(packed, 1 << 20)
+                packed = unpack.unconsumed_tail or unpack.unused_data
+                if unpack.eof and len(packed):  # a file may be several gzip members
+                    unpack = zlib.decompressobj(31)
+                *lines, rest = rest.split(b"\n")
+                if not len(packed):
+                    rest += unpack.flush()
+                    lines, rest = [*lines, *rest.split(b"\n")], b""
+                if lines:
+                    text = [x.decode("utf-8", "replace").removesuffix("\r") for x in lines]
+                    yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array([head] + [False] * (len(text) - 1))], ["value", "head"])
+                    head = False
+
+
+def _unpacked(files: DataFrame, sep: str) -> DataFrame:
+    lines = staged(files.select("content").mapInArrow(_lines, "value string, head boolean"))
+    first = lines.where("head").first()
+    names = next(csv.reader([first["value"]], delimiter=sep)) if first else []
+    path = staged_lines(lines.where("not head").select("value"))
+    text = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    df = files.sparkSession.read.csv(path, inferSchema=True, sep=sep)
+    return df.toDF(*names) if len(df.columns) == len(names) else files.sparkSession.read.csv(path, schema=text, sep=sep)
+
+
 def write_table(df: DataFrame, path: str, fmt: str | None = None, single_file: bool = False) -> None:
-    """Write a folder of part files, one if ``single_file``; an existing result is replaced."""
+    """Write a folder of part files, or one file at ``path`` itself if ``single_file``; an existing result is replaced."""
+    if single_file:
+        fs, part = hadoop(df.sparkSession, f"{path}.part-{uuid.uuid4().hex}")
+        write_table(df.coalesce(1), part.toString(), format_of(path, fmt))
+        made = [s.getPath() for s in fs.listStatus(part) if s.getPath().getName().startswith("part-")]
+        target = hadoop(df.sparkSession, path)[1]
+        fs.delete(target, True)
+        fs.rename(made[0], target)
+        fs.delete(part, True)
+        return
     kind = format_of(path, fmt)
-    writer = (df.coalesce(1) if single_file else df).write.mode("overwrite")
+    writer = df.write.mode("overwrite")
     if kind == "parquet":
         writer.parquet(path)
         return
