@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotraining, decontaminate, html_extract, line_dedup, quality_rules, repeats, secrets, simhash, toxicity
-from .common import table, tuned
+from . import bpe, cotraining, decontaminate, html_extract, line_dedup, personal, phrases, quality_rules, repeats, runs, secrets, simhash, toxicity
+from .common import WORD, let, table, tuned
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -70,7 +70,75 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score(docs, keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_prefix_doubling, op4_toxicity, op5_html, op6_simhash, op7_secrets, op8_cotraining, op9_line_dedup, op10_quality_rules)}
+def op11_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.personal(table(tuned(spark), sf_dir, "documents"))
+    n = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[n(k) for k in personal.BASE], F.sha2(personal.joined("base"), 256).alias("base_sha256"), personal.joined("spans").alias("spans"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(tuned(spark), sf_dir, "documents"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents, a tenth of which repeat a stretch of theirs to the end, as the contract of op13 says. Null ids: none."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeat(words):
+        n = F.size(words).cast("long")
+        return let(F.struct(g % n, 1 + F.floor((n - g % n) / (3 + g % 8))), lambda x: F.array_join(F.transform(words, lambda w, i: F.when(i < x["col1"], w).otherwise(F.get(words, (x["col1"] + (i - x["col1"]) % x["col2"]).cast("int")))), " "))
+
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike(WORD), let(words, repeat)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(planted_runs(table(tuned(spark), sf_dir, "documents")))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_prefix_doubling, op4_toxicity, op5_html, op6_simhash, op7_secrets, op8_cotraining, op9_line_dedup, op10_quality_rules, op11_anchors, op12_phrases, op13_runs)}
+
+_OP12 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), listed AS (
+  SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces
+), spots AS (
+  SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM listed
+), grams AS (
+  SELECT lang, w[i] AS x, CASE WHEN i + 1 <= len(w) THEN w[i + 1] END AS y, CASE WHEN i + 2 <= len(w) THEN w[i + 2] END AS z FROM spots
+), total AS (SELECT lang, count(*) AS n FROM grams GROUP BY lang
+), one AS (SELECT lang, x, count(*)::HUGEINT AS f FROM grams GROUP BY ALL
+), two AS (SELECT lang, x, y, count(*)::HUGEINT AS f FROM grams WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), three AS (SELECT lang, x, y, z, count(*)::HUGEINT AS f FROM grams WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL
+), cuts AS (
+  SELECT t.lang, t.x || ' ' || t.y AS phrase, t.f AS a, 1 AS k, p.f AS l, q.f AS r
+  FROM two t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN one q ON q.lang = t.lang AND q.x = t.y
+  LEFT JOIN longer o ON o.lang = t.lang AND o.x = t.x AND o.y = t.y
+  WHERE o.f IS NULL OR 100 * o.f < 50 * t.f
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 1, p.f, q.f
+  FROM three t JOIN one p ON p.lang = t.lang AND p.x = t.x JOIN two q ON q.lang = t.lang AND q.x = t.y AND q.y = t.z
+  UNION ALL
+  SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, 2, p.f, q.f
+  FROM three t JOIN two p ON p.lang = t.lang AND p.x = t.x AND p.y = t.y JOIN one q ON q.lang = t.lang AND q.x = t.z
+), scored AS (
+  SELECT *, (1000000 * a * a) // (l * r) AS score FROM cuts
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
 
 #: DuckDB SQL where it can express a query on whole tables in reasonable time.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_phrases": _OP12}
