@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Scratch, arrow_map
+from .common import Scratch, arrow_map, row_key
 
 GRAM = 32
 _A = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -149,7 +151,7 @@ def _sampled(df: DataFrame, least: int) -> DataFrame:
 
 
 def _stretches(df: DataFrame, least: int) -> DataFrame:
-    """Rows (g, h, doc_id, lo, n) per stretch."""
+    """Rows (g, h, doc_id, row, lo, n) per stretch."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def work(c: dict) -> dict:
@@ -162,81 +164,119 @@ def _stretches(df: DataFrame, least: int) -> DataFrame:
             row.append(which + first)
             lo.append(found[2] - np.concatenate(([0], ends))[which])
             n.append(found[3])
-        return {"g": _longs(g), "h": _longs(h), "doc_id": c["doc_id"].take(_ints(row, np.int64)), "lo": _ints(lo), "n": _ints(n)}
+        return {"g": _longs(g), "h": _longs(h), "doc_id": c["doc_id"].take(at := _ints(row, np.int64)), "row": c["row"].take(at), "lo": _ints(lo), "n": _ints(n)}
 
-    return arrow_map(df, ["doc_id", "text"], f"g long, h long, doc_id {kind}, lo int, n int", work)
+    return arrow_map(df, ["doc_id", "row", "text"], f"g long, h long, doc_id {kind}, row long, lo int, n int", work)
 
 
 def _ranked(picked: DataFrame, least: int, kind: str) -> DataFrame:
-    """Rows (g, doc_id, lo, hot, w) per stretch asked for: w holds the ranks of its windows, eight bytes each."""
+    """Rows (g, h, doc_id, row, lo, hot, w) per stretch asked for: w holds the ranks of its windows, eight bytes each."""
 
     def work(c: dict) -> dict:
-        g, row, lo, hot, w = [], [], [], [], []
+        g, h, row, lo, hot, w = [], [], [], [], [], []
         for i, (t, asked) in enumerate(zip(c["text"].to_pylist(), c["_at"].to_pylist(), strict=True)):
             ranks = run_ranks(_bytes(t), least, _A[1])
             for x in asked:
                 part = ranks[x["lo"] : x["lo"] + x["n"]]
                 if len(part):
                     g.append(x["g"])
+                    h.append(x["h"])
                     row.append(i)
                     lo.append(x["lo"])
                     hot.append(x["hot"])
                     w.append(part.tobytes())
-        return {"g": pa.array(g, pa.int64()), "doc_id": c["doc_id"].take(pa.array(row, pa.int64())), "lo": pa.array(lo, pa.int32()), "hot": pa.array(hot, pa.bool_()), "w": pa.array(w, pa.binary())}
+        at = pa.array(row, pa.int64())
+        return {"g": pa.array(g, pa.int64()), "h": pa.array(h, pa.int64()), "doc_id": c["doc_id"].take(at), "row": c["row"].take(at), "lo": pa.array(lo, pa.int32()), "hot": pa.array(hot, pa.bool_()), "w": pa.array(w, pa.binary())}
 
-    return arrow_map(picked, ["doc_id", "text", "_at"], f"g long, doc_id {kind}, lo int, hot boolean, w binary", work)
+    return arrow_map(picked, ["doc_id", "row", "text", "_at"], f"g long, h long, doc_id {kind}, row long, lo int, hot boolean, w binary", work)
 
 
 def _seen_before(ranked: DataFrame, kind: str) -> DataFrame:
-    """Rows (doc_id, lo, n): runs of windows that an earlier row of the same sample holds. One pass over sorted rows."""
+    """Rows (g, h, doc_id, row, lo, n): runs of windows of a sample that start earlier as well. One pass over rows sorted by sample and place.
+
+    Rows of one doc_id have one order of places, so they are judged together.
+    """
+    shape = f"g long, h long, doc_id {kind}, row long, lo int, n int"
+    schema = to_arrow_schema(T.StructType.fromDDL(shape))
 
     def run(batches):
         seen: set[int] = set()
-        last = None
-        for batch in batches:
-            row, lo, n = [], [], []
-            for i, (g, at, w) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                if g != last:
-                    seen, last = set(), g
-                ranks = np.frombuffer(w, np.int64).tolist()
-                old = np.fromiter((r in seen for r in ranks), np.int8, len(ranks))
+        held: list[tuple] = []
+
+        def told() -> list[tuple]:
+            """The runs of what is held, all of one sample and doc_id."""
+            nonlocal held
+            lowest: dict[int, int] = {}
+            if len(held) > 1:
+                for *_, at, ranks in held:
+                    for p, r in enumerate(ranks, at):
+                        if lowest.get(r, p + 1) > p:
+                            lowest[r] = p
+            rows = []
+            for g, h, doc, row, at, ranks in held:
+                if len(held) > 1:
+                    old = np.fromiter((r in seen or lowest[r] < p for p, r in enumerate(ranks, at)), np.int8, len(ranks))
+                else:  # the windows of a stretch differ: the sample lies elsewhere in each
+                    old = np.fromiter((r in seen for r in ranks), np.int8, len(ranks))
+                for x, y in np.flatnonzero(np.diff(np.r_[0, old, 0])).reshape(-1, 2).tolist():
+                    rows.append((g, h, doc, row, at + x, y - x))
+            for *_, ranks in held:
                 seen.update(ranks)
-                turns = np.flatnonzero(np.diff(np.r_[0, old, 0])).reshape(-1, 2)
-                row += [i] * len(turns)
-                lo += (turns[:, 0] + at).tolist()
-                n += (turns[:, 1] - turns[:, 0]).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row, pa.int64())), pa.array(lo, pa.int32()), pa.array(n, pa.int32())], names=["doc_id", "lo", "n"])
+            held = []
+            return rows
 
-    return ranked.select("g", "doc_id", "lo", "w").mapInArrow(run, f"doc_id {kind}, lo int, n int")
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+        for batch in batches:
+            out = []
+            for g, h, doc, row, at, w in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if held and (held[0][0] != g or held[0][2] != doc):
+                    last = held[0][0]
+                    out += told()
+                    if last != g:
+                        seen = set()
+                if held and (h, row, at) == (held[-1][1], held[-1][3], held[-1][4]):
+                    continue  # a repeated row
+                held.append((g, h, doc, row, at, np.frombuffer(w, np.int64).tolist()))
+            yield batch_of(out)
+        yield batch_of(told())
+
+    return ranked.select("g", "h", "doc_id", "row", "lo", "w").mapInArrow(run, shape)
 
 
 def _exploded(ranked: DataFrame, kind: str) -> DataFrame:
-    """Rows (g, w, doc_id, p), one per window."""
+    """Rows (g, h, w, doc_id, row, p), one per window."""
 
     def work(c: dict) -> dict:
         parts = [np.frombuffer(w, np.uint64) for w in c["w"].to_pylist()]
-        row = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]).astype(np.int64))
-        return {"g": c["g"].take(row), "w": _longs(parts), "doc_id": c["doc_id"].take(row), "p": _ints([a + np.arange(len(x)) for a, x in zip(c["lo"].to_pylist(), parts, strict=True)])}
+        at = pa.array(np.repeat(np.arange(len(parts)), [len(x) for x in parts]).astype(np.int64))
+        return {**{k: c[k].take(at) for k in ("g", "h", "doc_id", "row")}, "w": _longs(parts), "p": _ints([a + np.arange(len(x)) for a, x in zip(c["lo"].to_pylist(), parts, strict=True)])}
 
-    return arrow_map(ranked, ["g", "doc_id", "lo", "w"], f"g long, w long, doc_id {kind}, p int", work)
+    return arrow_map(ranked, ["g", "h", "doc_id", "row", "lo", "w"], f"g long, h long, w long, doc_id {kind}, row long, p int", work)
 
 
 def repeated_windows(docs: DataFrame, scratch: Scratch, least: int, most_in_task: int) -> DataFrame:
-    """Rows (doc_id, lo, n): runs of window starts at which a window starts that also starts earlier."""
+    """Rows (doc_id, row, lo, n): runs of window starts at which a window starts that also starts earlier."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     often = scratch.cut(_sampled(docs, least).groupBy("g").count().where("count > 1").select("g"))
     stretches = scratch.cut(_stretches(docs, least).join(often, "g", "left_semi"), drop=often)
-    first = scratch.cut(stretches.groupBy("g", "h").agg(F.min(F.struct("doc_id", "lo")).alias("first"), F.count("*").alias("k"), F.min("n").alias("n")))
-    later = scratch.cut(stretches.join(first.where("k > 1").select("g", "h", "first"), ["g", "h"]).where("struct(doc_id, lo) <> first").select("doc_id", "lo", "n"), drop=stretches)
+    first = scratch.cut(stretches.groupBy("g", "h").agg(F.min(F.struct("doc_id", "lo", "row")).alias("first"), F.count("*").alias("k"), F.min("n").alias("n")))
+    rest = stretches.join(first.where("k > 1").select("g", "h", "first"), ["g", "h"]).where("struct(doc_id, lo, row) <> first")
+    rest = scratch.cut(rest.select("g", "h", "doc_id", "row", "lo", "n", F.expr("doc_id = first.doc_id and lo = first.lo").alias("tie")), drop=stretches)
+    later = rest.where("not tie").select("doc_id", "row", "lo", "n")
+    # other rows of the first one's doc_id that hold the stretch at the same place: what is found in it holds for them
+    ties = rest.where("tie").select("g", "h", F.col("row").alias("other")).distinct()
     several = first.groupBy("g").count().where("count > 1").select("g", (F.col("count") > most_in_task).alias("hot"))
-    asked = first.join(several, "g").select("first.doc_id", "first.lo", "n", "g", "hot").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "g", "hot")).alias("_at"))
-    ranked = scratch.cut(_ranked(docs.join(asked, "doc_id"), least, kind), drop=first)
+    asked = first.join(several, "g").select("first.doc_id", "first.row", "first.lo", "n", "g", "h", "hot").groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "n", "g", "h", "hot")).alias("_at"))
+    ranked = scratch.cut(_ranked(docs.join(asked, ["doc_id", "row"]), least, kind), drop=first)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    early = _seen_before(ranked.where("not hot").repartition(parts, "g").sortWithinPartitions("g", "doc_id", "lo"), kind)
+    early = _seen_before(ranked.where("not hot").repartition(parts, "g").sortWithinPartitions("g", "doc_id", "lo", "row"), kind)
     windows = _exploded(ranked.where("hot"), kind)
     starts = windows.groupBy("g", "w").agg(F.min(F.struct("doc_id", "p")).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
-    more = windows.join(starts, ["g", "w"]).where("struct(doc_id, p) <> first").select("doc_id", F.col("p").alias("lo"), F.lit(1).alias("n"))
-    return later.union(early).union(more)
+    more = windows.join(starts, ["g", "w"]).where("struct(doc_id, p) <> first").select("g", "h", "doc_id", "row", F.col("p").alias("lo"), F.lit(1).alias("n"))
+    inside = scratch.cut(early.union(more))
+    return later.union(inside.drop("g", "h")).union(inside.join(ties, ["g", "h"]).select("doc_id", F.col("other").alias("row"), "lo", "n"))
 
 
 def remove_repeats(df: DataFrame, least: int = 100, doc_id: str = "doc_id", text: str = "text", most_in_task: int = 2_000) -> DataFrame:
@@ -245,14 +285,15 @@ def remove_repeats(df: DataFrame, least: int = 100, doc_id: str = "doc_id", text
     One row per input row; null and empty texts have no spans and keep no bytes. "Earlier"
     is a smaller doc_id or, within a document, a smaller start; strings never cross
     documents and are judged on the input. Null doc_ids neither remove nor lose anything.
-    Rows that share a doc_id have one place in the order: a string they both hold at the
-    same offset doesn't start earlier in either. ``most_in_task`` is the number of different
+    Rows that share a doc_id have one order of places: of a string that two of them hold,
+    the smaller start is earlier, and at equal starts neither is. What is found for a row
+    is taken from that row only, told by its doc_id and ``row_key``. ``most_in_task`` is the number of different
     stretches of one sample up to which a task compares them; it changes no result.
     """
     scratch = Scratch(df.sparkSession, "repeats")
-    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), row_key(text).alias("row"))
     found = repeated_windows(docs.where("doc_id is not null"), scratch, least, most_in_task)
-    asked = scratch.cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("_at"))).withColumnRenamed("doc_id", "_d")
+    asked = scratch.cut(found.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.collect_set(F.struct("lo", "n")).alias("_at")))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(c: dict) -> dict:
@@ -274,5 +315,5 @@ def remove_repeats(df: DataFrame, least: int = 100, doc_id: str = "doc_id", text
             kept.append(data[~gone].tobytes())
         return {"doc_id": c["doc_id"], "n_bytes": pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in c["text"].to_pylist()], pa.int64()), "spans": spans, "kept": pa.array(kept, pa.binary())}
 
-    both = docs.join(asked, F.expr("doc_id = _d"), "left").select("doc_id", "text", "_at")
+    both = docs.join(asked, F.expr("row = _r and doc_id = _d"), "left").select("doc_id", "text", "_at")
     return arrow_map(both, ["doc_id", "text", "_at"], f"doc_id {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary", work)
