@@ -29,6 +29,11 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def row_key(text: str) -> Column:
+    """64 bits that, beside a doc_id, tell rows apart by their text: what is found for a row is applied to that row alone."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+
+
 def fresh(columns: Iterable[str], stem: str) -> str:
     """A column name that none of ``columns`` has, in any case."""
     taken = {c.lower() for c in columns}
@@ -137,12 +142,6 @@ _CELLS = np.uint64(0x5555555555555555)
 MET = "g long, id long, low long, before long, code long, n int, big boolean"
 
 
-def differing(a: Column, b: Column, cells: Column) -> Column:
-    """Bits in which two codes differ; where ``cells`` holds, cells of two bits."""
-    x = a.bitwiseXOR(b)
-    return F.when(cells, F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(int(_CELLS))))).otherwise(F.bit_count(x))
-
-
 def _near(a: np.ndarray, b: np.ndarray, cells: np.ndarray | bool) -> np.ndarray:
     x = a ^ b
     return np.bitwise_count(np.where(cells, (x | (x >> np.uint64(1))) & _CELLS, x))
@@ -307,6 +306,42 @@ def meetings(index: DataFrame, scratch: Scratch, bits: int = 0, most_in_task: in
     return out.distinct()
 
 
+def _strangers(known: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b), a < b, of a stranger and another id of its group that differ in component and are like by code.
+
+    ``known``: rows (g, id, code, c, stranger), sorted by g within partitions; a group is
+    bounded (see :func:`meetings`) and compared by bits, some rows at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)]
+
+        def out(g: np.ndarray, id_: np.ndarray, code: np.ndarray, c: np.ndarray, odd: np.ndarray) -> Iterator[pa.RecordBatch]:
+            edges = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]) if len(g) else g
+            for s, e in zip(edges, edges[1:], strict=False):
+                cells, most, strange = bool(g[s] < 0), SKETCH_MOST if g[s] < 0 else bits, s + np.flatnonzero(odd[s:e])
+                for at in range(0, len(strange), 64):
+                    some = strange[at : at + 64]
+                    near = (_near(code[some][:, None], code[s:e][None, :], cells) <= most) & (c[some][:, None] != c[s:e][None, :])
+                    i, j = np.nonzero(near)
+                    a, b = id_[some[i]], id_[s + j]
+                    once = ~odd[s + j] | (a < b)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[once]), pa.array(np.maximum(a, b)[once])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            cols[2] = cols[2].view(np.uint64)
+            cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            stop = np.searchsorted(cols[0], cols[0][-1])  # the last group may go on in the next batch
+            yield from out(*[c[:stop] for c in cols])
+            held = [c[stop:] for c in cols]
+        yield from out(*held)
+
+    return known.select("g", "id", "code", "c", "stranger").mapInArrow(run, "a long, b long")
+
+
 def linked(index: DataFrame, links: Callable[[DataFrame], DataFrame], scratch: Scratch, bits: int = 0) -> DataFrame:
     """Components of the graph of ids that meet in ``index`` (see :func:`meetings`) and pass a check.
 
@@ -327,9 +362,8 @@ def linked(index: DataFrame, links: Callable[[DataFrame], DataFrame], scratch: S
     known = known.select("g", "id", "code", "c", (F.col("c") != F.col("lc")).alias("stranger"))
     mixed = known.groupBy("g").agg(F.max("stranger").alias("_any")).where("_any").select("g")
     known = scratch.cut(known.join(mixed.hint("merge"), "g", "left_semi"), drop=met)
-    odd = known.where("stranger").select("g", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("code").alias("xa"))
-    pairs = odd.join(known.select("g", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("code").alias("xb"), F.col("stranger").alias("sb")), "g").where("ca <> cb and (not sb or a < b)")
-    like = differing(F.col("xa"), F.col("xb"), F.col("g") < 0) <= F.when(F.col("g") < 0, SKETCH_MOST).otherwise(bits)
-    more = links(pairs.where(like).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = _strangers(known.repartition(parts, "g").sortWithinPartitions("g"), bits)
+    more = links(pairs.distinct())
     both = scratch.cut(edges.union(more), drop=known)
     return components(both, scratch)

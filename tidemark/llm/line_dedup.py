@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, components, fresh, let, meetings, texts
+from .common import Scratch, arrow_map, components, fresh, let, meetings, row_key, texts
 
 #: Long lines: unrelated ones share many short shingles, so theirs are long. A pair at 0.8 is missed with probability (1 - 0.8 ** 4) ** 12, 2 in 1,000; at 0.85: 1 in 10,000.
 SHINGLE, BANDS, ROWS, JACCARD = 10, 12, 4, 0.8
@@ -104,22 +104,26 @@ def minhash_bands(lines: list[str], width: int = SHINGLE, bands: int = BANDS, ro
 
 
 def scan(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, line_no, h, line): every line with a word, in plain form, and its hash."""
+    """Rows (doc_id, row, n_lines, line_no, h, line): every line with a word, in plain form, its hash, and how many its text has."""
     kind = df.schema[doc_id].dataType.simpleString()
 
     def work(c: dict) -> dict:
-        rows, numbers, lines = [], [], []
-        for i, t in enumerate(texts(c[text])):
+        rows, numbers, lines, sizes = [], [], [], []
+        for i, t in enumerate(texts(c["text"])):
+            before = len(lines)
             for n, line in enumerate(t.split("\n")):
                 p = plain(line)
                 if p:
                     rows.append(i)
                     numbers.append(n)
                     lines.append(p)
+            sizes += [len(lines) - before] * (len(lines) - before)
         hashes = np.fromiter((xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), 1) for p in lines), np.uint64, len(lines)).view(np.int64)
-        return {"doc_id": c[doc_id].take(pa.array(rows, pa.int64())), "line_no": pa.array(numbers, pa.int32()), "h": pa.array(hashes), "line": pa.array(lines, pa.string())}
+        at = pa.array(rows, pa.int64())
+        return {"doc_id": c["doc_id"].take(at), "row": c["row"].take(at), "n_lines": pa.array(sizes, pa.int64()), "line_no": pa.array(numbers, pa.int32()), "h": pa.array(hashes), "line": pa.array(lines, pa.string())}
 
-    return arrow_map(df, [doc_id, text], f"doc_id {kind}, line_no int, h long, line string", work)
+    source = df.select(F.col(f"`{doc_id}`").alias("doc_id"), row_key(text).alias("row"), F.col(f"`{text}`").alias("text"))
+    return arrow_map(source, ["doc_id", "row", "text"], f"doc_id {kind}, row long, n_lines long, line_no int, h long, line string", work)
 
 
 def band_index(distinct: DataFrame, fine: int | None) -> DataFrame:
@@ -267,22 +271,24 @@ def verified(rows: DataFrame, least: float, fine: int | None = None) -> DataFram
 
 
 def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = JACCARD, most_in_task: int = 1 << 13, fine: int | None = None) -> DataFrame:
-    """Rows (doc_id, n_lines, removed): line numbers (from 0) that repeat an earlier line, exactly or fuzzily.
+    """Rows (doc_id, row, n_lines, removed): line numbers (from 0) that repeat an earlier line, exactly or fuzzily.
 
     Lines are compared in plain form (lower case, white space runs as one space), one line
     per 64-bit hash; lines without a word are left alone. Of each component of lines linked
     at Jaccard ``least`` over 10-character shingles, the first by (doc_id, line number)
     stays. With ``fine``, two lines of at most SHORT characters are linked over shingles of
     ``fine`` characters instead, and a longer one only to lines of at least 0.8 * (SHORT -
-    SHINGLE) characters. Null and empty texts have no lines and give no row. Rows
-    sharing a doc_id count as one document whose lines are counted together; null doc_ids
-    come first. ``most_in_task`` bounds what a task compares and changes no result.
+    SHINGLE) characters. Null and empty texts have no lines and give no row. Rows that
+    share a doc_id are told apart by ``row`` (:func:`row_key` of their text), ordered by it
+    where doc_id and line number are equal, and never lose a line for one another's sake;
+    rows equal in both are one document, with one row here. Null doc_ids come first.
+    ``most_in_task`` bounds what a task compares and changes no result.
     """
     scratch = Scratch(df.sparkSession, "lines")
     rows = scratch.cut(scan(df, doc_id, text))
     # the text of a line moves once, to be one of its equals
-    distinct = scratch.cut(rows.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")))
-    rows = scratch.cut(rows.select("doc_id", "line_no", "h"), drop=rows)
+    distinct = scratch.cut(rows.groupBy("h").agg(F.min(F.struct("doc_id", "line_no", "row")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line")))
+    rows = scratch.cut(rows.drop("line"), drop=rows)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = meetings(band_index(distinct, fine), scratch, most_in_task=most_in_task)
     # small groups of one smallest line overlap: together, their pairs are tried once
@@ -295,22 +301,24 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     keeper = named.groupBy("c").agg(F.min("first").alias("keeper"))
     # a line that occurs once and stands alone needs no look-up
     shared = scratch.cut(named.where("n > 1 or component is not null").join(keeper, "c").select("h", "keeper"))
-    gone = rows.select("doc_id", "line_no", "h").join(shared, "h").where("not (struct(doc_id, line_no) <=> keeper)")
-    lost = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
-    lost = lost.withColumnRenamed("doc_id", "_d")
-    out = counts.join(lost, F.expr("doc_id <=> _d"), "left")
-    return scratch.cut(out.select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")), drop=rows)
+    gone = rows.select("doc_id", "row", "line_no", "h").join(shared, "h").where("not (struct(doc_id, line_no, row) <=> keeper)")
+    lost = gone.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    counts = rows.groupBy("doc_id", "row").agg(F.max("n_lines").alias("n_lines"))
+    out = counts.join(lost, F.expr("row = _r and doc_id <=> _d"), "left")
+    return scratch.cut(out.select("doc_id", "row", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")), drop=rows)
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = JACCARD, fine: int | None = None) -> DataFrame:
-    """``df`` with the repeated lines taken out of ``text``; all other columns stay, whatever their names; n_chars follows if there is one."""
-    d, gone = fresh(df.columns, "_d"), fresh(df.columns, "_removed")
-    lost = removals(df, doc_id, text, least, fine=fine).where("size(removed) > 0").select(F.col("doc_id").alias(d), F.col("removed").alias(gone))
+    """``df`` with the repeated lines taken out of ``text``; all other columns stay, whatever their names; n_chars follows if there is one.
+
+    A row loses its own lines only (see :func:`removals`), whatever others share its doc_id.
+    """
+    d, r, gone = fresh(df.columns, "_d"), fresh(df.columns, "_row"), fresh(df.columns, "_removed")
+    lost = removals(df, doc_id, text, least, fine=fine).where("size(removed) > 0").select(F.col("doc_id").alias(d), F.col("row").alias(r), F.col("removed").alias(gone))
     col = F.col(f"`{text}`")
     stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
     kept = let(F.split(col, "\n", -1), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))
-    out = df.join(lost, df[doc_id].eqNullSafe(lost[d]), "left").withColumn(text, F.when(F.col(gone).isNull(), col).otherwise(kept))
+    out = df.join(lost, df[doc_id].eqNullSafe(lost[d]) & (row_key(text) == lost[r]), "left").withColumn(text, F.when(F.col(gone).isNull(), col).otherwise(kept))
     if "n_chars" in df.columns:
         out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(col).cast(df.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in df.columns])

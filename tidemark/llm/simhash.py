@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, components, linked, meetings, texts
+from .common import Scratch, arrow_map, components, fresh, linked, meetings, row_key, texts
 from .line_dedup import band_keys, permutations, sketches
 
 BANDS, ROWS = 20, 4  # of MinHash over word shingles
@@ -150,7 +150,7 @@ def shingle_bands(all_texts: list[str], width: int = 5, bands: int = BANDS, rows
 
 
 def signatures(df: DataFrame, print_width: int, width: int) -> DataFrame:
-    """Rows (doc_id, h, fp, bands, sketch): text_key, fingerprint, MinHash bands and sketch of each text. Null texts count as empty."""
+    """Rows (doc_id, row, h, fp, bands, sketch): row_key and text_key, fingerprint, MinHash bands and sketch of each text. Null texts count as empty."""
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def work(c: dict) -> dict:
@@ -158,37 +158,48 @@ def signatures(df: DataFrame, print_width: int, width: int) -> DataFrame:
         fps = np.fromiter((fingerprint(t, print_width) for t in all_texts), np.uint64, len(all_texts))
         keys, codes = shingle_bands(all_texts, width)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(all_texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-        return {"doc_id": c["doc_id"], "h": pa.array([text_key(t) for t in all_texts], pa.int64()), "fp": pa.array(fps.view(np.int64)), "bands": lists, "sketch": pa.array(codes)}
+        return {"doc_id": c["doc_id"], "row": c["row"], "h": pa.array([text_key(t) for t in all_texts], pa.int64()), "fp": pa.array(fps.view(np.int64)), "bands": lists, "sketch": pa.array(codes)}
 
-    return arrow_map(df, ["doc_id", "text"], f"doc_id {kind}, h long, fp long, bands array<long>, sketch long", work)
+    source = df.select("doc_id", row_key("text").alias("row"), "text")
+    return arrow_map(source, ["doc_id", "row", "text"], f"doc_id {kind}, row long, h long, fp long, bands array<long>, sketch long", work)
 
 
-def similar(near: DataFrame, docs: DataFrame, first: DataFrame, width: int, least: float, scratch: Scratch) -> DataFrame:
-    """Of the pairs (src, dst) of texts, told by ``h``, those whose texts have a Jaccard similarity of ``least`` or more."""
+def similar(near: DataFrame, docs: DataFrame, first: DataFrame, width: int, least: float, scratch: Scratch, together: int = 4096) -> DataFrame:
+    """Of the pairs (src, dst) of texts, told by ``h``, those whose texts have a Jaccard similarity of ``least`` or more.
+
+    ``first``: a row (h, doc_id, row) of ``docs`` for each h. The text of a dst moves to its
+    src, that of a src once to each lot of about ``together`` of its dsts: a pass over
+    the sorted rows keeps one set and compares it with those that follow.
+    """
     near = scratch.cut(near)
     ids = near.select(F.col("src").alias("h")).union(near.select(F.col("dst").alias("h"))).distinct()
-    wanted = first.select("h", "doc_id").join(ids, "h", "left_semi")
-
-    def own(c: dict) -> dict:
-        mask = pa.array([h == text_key(t) for h, t in zip(c["h"].to_pylist(), texts(c["text"]), strict=True)], pa.bool_())
-        return {"id": c["h"].filter(mask), "text": c["text"].filter(mask)}
-
-    # rows sharing a doc_id may differ in text
-    lines = scratch.cut(arrow_map(docs.join(wanted, "doc_id"), ["h", "text"], "id long, text string", own).dropDuplicates(["id"]))
-    both = near.join(lines.select(F.col("id").alias("src"), F.col("text").alias("ta")), "src").join(lines.select(F.col("id").alias("dst"), F.col("text").alias("tb")), "dst")
-
-    def work(c: dict) -> dict:
-        ok, last = [], (None, set())
-        for src, a, b in zip(c["src"].to_pylist(), texts(c["ta"]), texts(c["tb"]), strict=True):
-            if last[0] != src:
-                last = src, shingle_set(a, width)
-            other = shingle_set(b, width)
-            common = len(last[1] & other)
-            ok.append(common >= least * (len(last[1]) + len(other) - common))
-        mask = pa.array(ok, pa.bool_())
-        return {"src": c["src"].filter(mask), "dst": c["dst"].filter(mask)}
-
-    return arrow_map(both, ["src", "dst", "ta", "tb"], "src long, dst long", work)
+    wanted = first.select("h", F.col("doc_id").alias("_d"), F.col("row").alias("_r")).join(ids, "h", "left_semi")
+    found = docs.select("doc_id", "text", row_key("text").alias("row")).join(wanted, F.expr("row = _r and doc_id <=> _d"))
+    lines = scratch.cut(found.select("h", "text").dropDuplicates(["h"]))
+    lots = F.ceil(F.count("*") / F.lit(together)).alias("_lots")
+    dealt = near.join(near.groupBy("src").agg(lots).where("_lots > 1"), "src", "left").withColumn("lot", F.when(F.col("_lots") > 1, F.pmod(F.xxhash64("dst"), F.col("_lots"))).otherwise(0))
+    dealt = scratch.cut(dealt.select("src", "dst", "lot"))
+    head = dealt.select("src", "lot").distinct().join(lines.withColumnRenamed("h", "src"), "src").select("src", "lot", F.lit(None).cast("long").alias("dst"), "text")
+    rows = head.union(dealt.join(lines.withColumnRenamed("h", "dst"), "dst").select("src", "lot", "dst", "text"))
+    parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        own: set[bytes] = set()
+        for batch in batches:
+            src, dst = [], []
+            for a, b, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), strict=True):
+                other = shingle_set(t, width)
+                if b is None:
+                    own = other
+                    continue
+                common = len(own & other)
+                if common >= least * (len(own) + len(other) - common):
+                    src.append(a)
+                    dst.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    # nulls first: the text of a src comes before those of its dsts
+    return rows.repartition(parts, "src", "lot").sortWithinPartitions("src", "lot", "dst").select("src", "dst", "text").mapInArrow(run, "src long, dst long")
 
 
 def keep_one(df: DataFrame, bits: int = 4, print_width: int = 2, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -200,14 +211,16 @@ def keep_one(df: DataFrame, bits: int = 4, print_width: int = 2, width: int = 5,
     band over the ``width``-word shingles: an added block moves a fingerprint beyond any
     small budget, while bands depend on the similarity alone and miss a pair at 0.8 with
     probability (1 - 0.8 ** ROWS) ** BANDS, 3 in 100,000. Every candidate is verified,
-    equal fingerprints of different words too. Texts without a word are copies of one
-    another. Rows with a null doc_id or text stay as they are, unless an earlier text has
-    no word either.
+    equal fingerprints of different words too. Texts without a word (null and empty ones
+    included) are copies of one another. Rows that share a doc_id are told apart by
+    ``row_key`` of their text: each has its own fate, and the smallest key is first of
+    several; rows equal in both are one document, and stay or go together. Rows with a
+    null doc_id always stay. An empty table gives no rows.
     """
     scratch = Scratch(df.sparkSession, "simhash-keep")
     docs = df.select("doc_id", "text")
     prints = scratch.cut(signatures(df, print_width, width))
-    first = scratch.cut(prints.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    first = scratch.cut(prints.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_no"), "doc_id", "row")).alias("_k"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).select("h", "_k", "_k.doc_id", "_k.row", "fp", "bands", "sketch"))
     many = first.count() > MANY
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = lambda keys, code: F.transform(keys, lambda k: F.struct(k.alias("key"), F.col(code).alias("code")))
@@ -215,8 +228,10 @@ def keep_one(df: DataFrame, bits: int = 4, print_width: int = 2, width: int = 5,
     index = first.repartition(parts).select(F.col("h").alias("id"), F.explode(both).alias("k")).select("k.key", "id", "k.code")
     links = lambda pairs: similar(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), docs, first, width, least, scratch)
     found = linked(index, links, scratch, bits)
-    low = first.select("h", "doc_id").join(found.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    best = low.groupBy("component").agg(F.min("doc_id").alias("keeper"))
+    low = first.select("h", "_k").join(found.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    best = low.groupBy("component").agg(F.min("_k").alias("keeper"))
     keepers = low.join(best, "component").select("h", "keeper")
-    lost = scratch.cut(prints.select("doc_id", "h").join(keepers, "h").where("doc_id <> keeper").select("doc_id").distinct())
-    return df.join(lost, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    d, r = fresh(df.columns, "_d"), fresh(df.columns, "_row")
+    lost = prints.where("doc_id is not null").select("doc_id", "row", "h").join(keepers, "h").where("doc_id <> keeper.doc_id or row <> keeper.row")
+    lost = scratch.cut(lost.select(F.col("doc_id").alias(d), F.col("row").alias(r)).distinct())
+    return df.join(lost, (df["doc_id"] == lost[d]) & (row_key("text") == lost[r]), "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
