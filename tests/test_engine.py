@@ -67,12 +67,54 @@ def test_coast(spark):
     assert math.isnan(e.coast(points(spark, (21, 59)), segs(spark, [(100, 0), (100, 5)])).first().dist_to_coast)
 
 
-def test_nearest_segment_by_cells_is_exact(spark):
-    rows = [(i, (i * 37 % 360) - 180 + 0.5, (i * 53 % 160) - 80 + 0.25, (i * 37 % 360) - 180 + 1.5, (i * 53 % 160) - 79.0) for i in range(200)]
-    s = spark.createDataFrame(rows, "fid long, alon double, alat double, blon double, blat double")
-    locs = unique_locations(with_keys(points(spark, *[(i * 7 % 100 - 50, i * 11 % 90 - 45) for i in range(120)]), "longitude", "latitude", 3), 3)
-    near = lambda small: {(r._klon, r._klat): (round(r.metres, 6), r.fid) for r in L.nearest_segments(locs, s, 5.0, 5.0, small=small).collect()}
-    assert near(10_000) == near(0)
+def brute_segments(locs, s):
+    """Nearest segment by all pairs: {(keys): (metres, fid)}."""
+    from tidemark.functions import spatial as S
+    from tidemark.operators.locations import KEYS
+
+    p = lambda x, y: S.laea_forward(F.col(x), F.col(y), 5.0, 5.0)
+    d2 = S.segment_distance2(*p("lon", "lat"), *p("alon", "alat"), *p("blon", "blat"))
+    best = locs.crossJoin(s).groupBy(*KEYS).agg(F.min(F.struct(d2.alias("d2"), "fid")).alias("b"))
+    return {(r._klon, r._klat): (round(math.sqrt(r.b.d2), 5), r.b.fid) for r in best.collect()}
+
+
+def test_nearest_segment_is_exact(spark):
+    """Even, crowded and repeated segments, a very long one, some of no length, locations inside and far outside."""
+    rng = random.Random(10)
+    even = [((i * 37 % 360) - 180 + 0.5, (i * 53 % 160) - 80 + 0.25, (i * 37 % 360) - 180 + 1.5, (i * 53 % 160) - 79.0) for i in range(200)]
+    town = [(x := rng.uniform(20, 20.1), y := rng.uniform(40, 40.1), x + rng.uniform(0, 0.01), y + 0.002) for _ in range(1500)]
+    rows = [(i, *r) for i, r in enumerate([*even, *town, *town[:200], (-40.0, -30.0, 60.0, 50.0), (1.0, 1.0, 1.0, 1.0)])]
+    s = spark.createDataFrame([*rows, (9000, float("nan"), 0.0, 0.0, 0.0)], "fid long, alon double, alat double, blon double, blat double")
+    at = [(i * 7 % 100 - 50, i * 11 % 90 - 45) for i in range(60)] + [(rng.uniform(19.95, 20.15), rng.uniform(39.95, 40.15)) for _ in range(80)]
+    locs = unique_locations(with_keys(points(spark, *at), "longitude", "latitude", 3), 3)
+    found = L.nearest_segments(locs, s, 5.0, 5.0)
+    assert {(r._klon, r._klat): (round(r.metres, 5), r.fid) for r in found.collect()} == brute_segments(locs, s.where("fid < 9000"))
+    assert L.nearest_segments(locs, s.limit(0), 5.0, 5.0).count() == 0
+
+
+def test_a_crowd_of_references_is_no_slower(spark, monkeypatch):
+    """Pairs of location and reference that are looked at: as few in a town as over the globe."""
+    rng, seen = random.Random(11), {}
+    monkeypatch.setattr(L, "SORTED", 1000)
+    for name, (x, y, size) in {"town": (5.0, 50.0, 0.1), "globe": (-180.0, -80.0, 160.0)}.items():
+        spots = lambda n: [(rng.uniform(x, x + 2 * size), rng.uniform(y, y + size)) for _ in range(n)]  # noqa: B023, E731
+        refs = spark.createDataFrame([(i, *p) for i, p in enumerate(spots(4000))], "rid long, lon double, lat double")
+        locs = unique_locations(with_keys(points(spark, *spots(300)), "longitude", "latitude", 4), 4)
+        counts, own = [], L._descend
+
+        def counted(at, packed, *rest):
+            counts.append(packed.count())  # noqa: B023
+            return own(at, packed, *rest)  # noqa: B023
+
+        monkeypatch.setattr(L, "_descend", counted)
+        found = L.nearest_points(locs, refs)
+        monkeypatch.setattr(L, "_descend", own)
+        rows = found.collect()
+        assert len(rows) == locs.count() and counts == [4000]
+        join = [x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "leaf" in x and "Join" in x]
+        assert join
+        seen[name] = rows
+    assert all(r.metres < 4000 for r in seen["town"])
 
 
 def test_depth(spark, tmp_path):
@@ -273,10 +315,9 @@ def test_entry():
 def test_no_reference_is_lost_to_equal_order_values(spark):
     refs = spark.createDataFrame([(1, 100.0, 50.0, "far"), (1, 10.0, 50.0, "near"), (2, 10.0, 50.0, "later"), (0, 10.0, 50.0, None)], "o int, longitude double, latitude double, name string")
     at = spark.createDataFrame([(10.001, 50.0)], "longitude double, latitude double")
-    for small in (0, 4096):
-        assert Engine(spark).nearest(at, refs.where("o > 0"), order_by="o", small=small).first().nearest_name == "near"
-        assert Engine(spark).nearest(at, refs, order_by="o", small=small).first().nearest_name is None
-        assert Engine(spark).nearest(at, refs.where("o > 0"), small=small).first().nearest_name == "later"
+    assert Engine(spark).nearest(at, refs.where("o > 0"), order_by="o").first().nearest_name == "near"
+    assert Engine(spark).nearest(at, refs, order_by="o").first().nearest_name is None
+    assert Engine(spark).nearest(at, refs.where("o > 0")).first().nearest_name == "later"
 
 
 @pytest.mark.parametrize("west", [-8.0, 150.0])
@@ -295,9 +336,9 @@ def test_descent_matches_brute_force(spark, west):
 
         return sum((p - q) ** 2 for p, q in zip(unit(*a), unit(*b), strict=True))
 
-    got = {r._klon: r.rid for r in L.nearest_points(locs, points, small=0).collect()}
+    got = {r._klon: r.rid for r in L.nearest_points(locs, points).collect()}
     assert got == {i: min(range(700), key=lambda k: chord2((lon, lat), refs[k])) for i, _, lon, lat in at}
-    assert L.nearest_points(locs, points.limit(0), small=0).count() == 0
+    assert L.nearest_points(locs, points.limit(0)).count() == 0
 
 
 def test_bands_grow_with_vertices(spark):

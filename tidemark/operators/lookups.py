@@ -1,9 +1,9 @@
 """The spatial joins: nearest point, nearest segment, containment, grid cell.
 
-Small reference sides travel as one broadcast array and are searched inside a projection,
-without a shuffle or an exploded pair; their size is checked first. Larger ones are put into
-cells, and a location goes down from coarse cells to fine ones, keeping those that may hold
-its nearest reference.
+References are put in order along a space-filling curve and packed into leaves of a few each,
+leaves into nodes, and so on. A location goes down from the top, keeping at each level the
+nodes that may hold its nearest reference. How deep that goes depends on the number of
+references, never on how densely they lie.
 """
 
 from __future__ import annotations
@@ -16,73 +16,89 @@ from tidemark.operators import geometry as G
 from tidemark.operators.locations import KEYS, finite
 from tidemark.plans.staging import staged
 
-#: Reference rows up to which the broadcast form is used: at most a few hundred KB.
-SMALL = 4096
+#: References of a leaf, children of a node (as powers of two), and nodes at the top at most.
+LEAF_BITS, NODE_BITS, TOP = 4, 4, 64
+#: Bits of each coordinate that the curve orders by: metres, on the globe.
+CURVE_BITS = 24
+#: References sorted by one task.
+SORTED = 200_000
 
 
-def _is_small(df: DataFrame, most: int) -> bool:
-    return df.limit(most + 1).count() <= most
+def _curve(u: Column, v: Column) -> Column:
+    """Place along a Hilbert curve of two coordinates in 0..1."""
+    top = float((1 << CURVE_BITS) - 1)
+    whole = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(top), F.floor(c * (top + 1)))).cast("long")
+    start = F.struct(whole(u).alias("x"), whole(v).alias("y"), F.lit(0).cast("long").alias("d"))
 
+    def step(at: Column, s: Column) -> Column:
+        rx, ry = (F.when(at[c].bitwiseAND(s) > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")) for c in ("x", "y"))
+        # a quarter is entered where the last one was left: mirrored and turned as the curve asks
+        flip = (ry == 0) & (rx == 1)
+        x, y = (F.when(flip, s - 1 - at[c].bitwiseAND(s - 1)).otherwise(at[c].bitwiseAND(s - 1)) for c in ("x", "y"))
+        return F.struct(F.when(ry == 0, y).otherwise(x).alias("x"), F.when(ry == 0, x).otherwise(y).alias("y"), (at["d"] * 4 + (rx * 3).bitwiseXOR(ry)).alias("d"))
 
-def _argmin_broadcast(locs: DataFrame, refs: DataFrame, fields: list[str], d2) -> DataFrame:
-    """Add d2 and rid of the nearest row of ``refs`` (a checked size), the lowest rid among equals."""
-    packed = refs.agg(F.collect_list(F.struct("rid", *fields)).alias("_refs"))
-    best = F.array_min(F.transform("_refs", lambda r: F.struct(d2(r).alias("d2"), r["rid"].alias("rid"))))
-    return locs.crossJoin(F.broadcast(packed)).withColumn("_b", best).drop("_refs").select("*", F.col("_b.d2").alias("d2"), F.col("_b.rid").alias("rid")).drop("_b")
+    sizes = F.array(*[F.lit(1 << k).cast("long") for k in reversed(range(CURVE_BITS))])
+    return F.aggregate(sizes, start, step)["d"]
 
 
-#: References a finest cell should hold if they lie along lines; how often cells are quartered at most.
-PER_CELL, MOST_LEVELS = 32, 9
+def _bounds2(axes: list[str]) -> tuple[Column, Column]:
+    """Squares of the least and the greatest distance from a location to a reference inside a node's box."""
+    gap = [F.greatest(F.col(f"lo_{a}") - F.col(a), F.lit(0.0), F.col(a) - F.col(f"hi_{a}")) for a in axes]
+    reach = [F.greatest(F.abs(F.col(a) - F.col(f"lo_{a}")), F.abs(F.col(a) - F.col(f"hi_{a}"))) for a in axes]
+    size = lambda parts: sum((v * v for v in parts[1:]), parts[0] * parts[0])
+    return size(gap), size(reach)
 
 
-def _bounds(axes: list[str], cell) -> tuple[Column, Column]:
-    """Least and greatest distance from a location to the nearest reference of a cell. ``cell(name)`` gives the cell's columns."""
-    gap = [F.greatest(cell(f"lo_{a}") - F.col(a), F.lit(0.0), F.col(a) - cell(f"hi_{a}")) for a in axes]
-    reach = [F.greatest(F.abs(F.col(a) - cell(f"lo_{a}")), F.abs(F.col(a) - cell(f"hi_{a}"))) for a in axes]
-    size = lambda parts: F.sqrt(sum((v * v for v in parts[1:]), parts[0] * parts[0]))
-    return F.greatest(F.lit(0.0), size(gap) - cell("half")), size(reach)
+def _packed(refs: DataFrame, axes: list[str], order: list[Column], n: int) -> tuple[DataFrame, DataFrame, int]:
+    """(references with their leaf, nodes of all levels, number of levels above the leaves).
 
+    ``refs`` carry rpid, lo_ and hi_ of each axis. They are sorted by rpid and by ``order`` and
+    numbered; a leaf is 2 ** LEAF_BITS neighbours in that order, and a node 2 ** NODE_BITS
+    of the level below. Nodes: (rpid, level, node, up, lo_, hi_), ``up`` being the parent's.
+    """
+    tasks = n // SORTED + 1
+    ordered = refs.withColumn("_o", _curve(*order))
+    ordered = ordered.repartitionByRange(tasks, "rpid", "_o") if tasks > 1 else ordered.coalesce(1)
+    ordered = staged(ordered.sortWithinPartitions("rpid", "_o").drop("_o").withColumn("_at", F.monotonically_increasing_id()))
+    if tasks > 1:  # from numbers within a task to numbers within all: a row per task
+        task = F.shiftright("_at", 33)
+        before = ordered.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+        before = before.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))
+        ordered = ordered.join(F.broadcast(before), task == F.col("_task")).withColumn("_at", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_task", "_before")
+    levels = 0
+    while n >> (LEAF_BITS + NODE_BITS * levels) > TOP:
+        levels += 1
+    node = lambda k: F.shiftright("_at", LEAF_BITS + NODE_BITS * k)
+    box = [f(f"{side}_{a}").alias(f"{side}_{a}") for a in axes for side, f in (("lo", F.min), ("hi", F.max))]
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), node(k).alias("node"), (node(k + 1) if k < levels else F.lit(0).cast("long")).alias("up")) for k in range(levels + 1)]))
+    nodes = staged(ordered.select("rpid", *[f"{side}_{a}" for a in axes for side in ("lo", "hi")], at.alias("_n")).groupBy("rpid", "_n.level", "_n.node", "_n.up").agg(*box))
+    return ordered.withColumn("leaf", node(0)), nodes, levels
 
-def _descend(locs: DataFrame, refs: DataFrame, axes: list[str], mid: list[Column], half: Column, d2: Column, top: float, keys: list[str]) -> DataFrame:
-    """Nearest by bounds, from coarse cells to fine ones: rows (keys, d2, rid), the lowest rid among equals.
 
-    ``refs`` belong to the cell of a point of theirs (``mid``, none of the reference farther
-    than ``half`` from it). Starting from all cells of size ``top`` (a hundred or so, whatever
-    the data), a location keeps the cells that may hold its nearest reference: those whose
-    least distance isn't beyond another's greatest. Each level looks only into the quarters
-    of what was kept, and the last at their references. So no location meets every
-    reference, however far it is from all of them, and the answer doesn't depend on levels.
-    ``locs`` carry keys, ``axes`` and pid; ``refs`` rpid: only equal ones meet.
+def _descend(locs: DataFrame, refs: DataFrame, nodes: DataFrame, levels: int, axes: list[str], d2: Column, scale: float, keys: list[str]) -> DataFrame:
+    """Nearest by bounds, from the top nodes to the leaves: rows (keys, d2, rid), the lowest rid among equals.
+
+    A location keeps the nodes that may hold its nearest reference: those whose least distance
+    isn't beyond another's greatest. Each level looks only into what was kept, and the last at
+    the references. ``locs`` carry keys, ``axes`` and pid, references and nodes rpid: only equal
+    ones meet. Locations are dealt by key once; where nodes are few enough for Spark to
+    broadcast, they never move again.
     """
-    refs = refs.select("*", *[m.alias(f"m_{a}") for a, m in zip(axes, mid, strict=True)], half.alias("half"))
-    for a in axes:
-        refs = refs.where(finite(F.col(f"m_{a}")))
-    refs = staged(refs)
-    n, levels = refs.count(), 0
-    while n > 10 * PER_CELL * 4**levels and levels < MOST_LEVELS:
-        levels += 1
-    at = lambda level: F.struct(F.col("rpid"), *[F.shiftright(F.floor(F.col(f"m_{a}") / (top / 4**levels)).cast("long"), 2 * (levels - level)).alias(f"i_{a}") for a in axes])
-    refs = refs.select("*", *[at(k).alias(f"cell_{k}") for k in range(levels + 1)])
-    sides = [f(f"m_{a}").alias(f"{name}_{a}") for a in axes for name, f in (("lo", F.min), ("hi", F.max))]
-    box = ["half", *[f"{name}_{a}" for a in axes for name in ("lo", "hi")]]
-    cells = [refs.groupBy(f"cell_{k}", *([f"cell_{k - 1}"] if k else [])).agg(F.max("half").alias("half"), *sides) for k in range(levels + 1)]
-    slack = lambda least: least * (1 + 1e-9) + 1e-9
-    first = cells[0].groupBy(F.col("cell_0.rpid").alias("pid")).agg(F.collect_list(F.struct("cell_0", *box)).alias("_cells"))
-    bounds = F.transform("_cells", lambda c: F.struct(c["cell_0"].alias("cell"), *[b.alias(x) for b, x in zip(_bounds(axes, lambda name: c[name]), ("near", "far"), strict=True)]))
+    parts = int(locs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = [*keys, *([] if "pid" in keys else ["pid"]), *axes]
-    near = locs.select(*own).join(F.broadcast(first), "pid").select(*own, bounds.alias("_cells"))
-    near = near.withColumn("_least", slack(F.array_min(F.transform("_cells", lambda c: c["far"]))))
-    kept = near.select(*own, F.explode(F.filter("_cells", lambda c: c["near"] <= F.col("_least"))["cell"]).alias("cell_0"))
-    for k in range(1, levels + 1):
-        low, high = _bounds(axes, F.col)
-        inner = kept.join(cells[k], f"cell_{k - 1}").select(*own, f"cell_{k}", low.alias("_near"), high.alias("_far"))
-        inner = inner.withColumn("_least", slack(F.min("_far").over(Window.partitionBy(*keys))))
-        kept = inner.where("_near <= _least").select(*own, f"cell_{k}")
-    best = kept.join(refs, f"cell_{levels}").groupBy(*keys).agg(F.min(F.struct(d2.alias("d2"), F.col("rid").alias("rid"))).alias("_b"))
+    low, high = _bounds2(axes)
+    w = Window.partitionBy(*keys)
+    slack = 4.0 * (scale * 1e-12) ** 2
+    kept = locs.select(*own).repartition(parts, *keys).withColumn("_up", F.lit(0).cast("long"))
+    for k in reversed(range(levels + 1)):
+        level = nodes.where(F.col("level") == k).drop("level")
+        inner = kept.join(level, (F.col("pid") == F.col("rpid")) & (F.col("_up") == F.col("up"))).select(*own, F.col("node").alias("_up"), low.alias("_near"), high.alias("_far"))
+        kept = inner.withColumn("_least", F.min("_far").over(w)).where(F.col("_near") <= F.col("_least") * (1 + 4e-9) + slack).select(*own, "_up")
+    best = kept.join(refs, (F.col("pid") == F.col("rpid")) & (F.col("_up") == F.col("leaf"))).groupBy(*keys).agg(F.min(F.struct(d2.alias("d2"), F.col("rid").alias("rid"))).alias("_b"))
     return best.select(*keys, "_b.d2", "_b.rid")
 
 
-def nearest_points(locs: DataFrame, points: DataFrame, small: int = SMALL) -> DataFrame:
+def nearest_points(locs: DataFrame, points: DataFrame) -> DataFrame:
     """Rows (keys, metres, rid): the nearest of ``points`` (rid, lon, lat) on the sphere.
 
     Rows of ``points`` without finite coordinates are skipped; with none left there is no
@@ -90,21 +106,25 @@ def nearest_points(locs: DataFrame, points: DataFrame, small: int = SMALL) -> Da
     """
     x, y, z = S.unit_sphere(F.col("lon"), F.col("lat"))
     refs = points.where(finite(F.col("lon")) & finite(F.col("lat"))).select("rid", x.alias("rx"), y.alias("ry"), z.alias("rz"))
-    at = locs.select(*KEYS, x.alias("x"), y.alias("y"), z.alias("z"))
-    if _is_small(refs, small):
-        d2 = lambda r: (r["rx"] - F.col("x")) ** 2 + (r["ry"] - F.col("y")) ** 2 + (r["rz"] - F.col("z")) ** 2
-        best = _argmin_broadcast(at, refs, ["rx", "ry", "rz"], d2).where("rid is not null")
-    else:
-        d2 = (F.col("rx") - F.col("x")) ** 2 + (F.col("ry") - F.col("y")) ** 2 + (F.col("rz") - F.col("z")) ** 2
-        best = _descend(at.withColumn("pid", F.lit(0)), refs.withColumn("rpid", F.lit(0)), ["x", "y", "z"], [F.col("rx"), F.col("ry"), F.col("rz")], F.lit(0.0), d2, 0.5, KEYS)
+    # of points in one place, the lowest answers for all
+    refs = refs.groupBy("rx", "ry", "rz").agg(F.min("rid").alias("rid"))
+    axes = ["x", "y", "z"]
+    refs = staged(refs.select("rid", F.lit(0).alias("rpid"), *[F.col(f"r{a}").alias(f"{side}_{a}") for a in axes for side in ("lo", "hi")]))
+    turn = F.atan2("lo_y", "lo_x") / (2 * F.pi()) + 0.5
+    packed, nodes, levels = _packed(refs, axes, [turn, (F.col("lo_z") + 1) / 2], refs.count())
+    d2 = sum(((F.col(f"lo_{a}") - F.col(a)) ** 2 for a in axes[1:]), (F.col("lo_x") - F.col("x")) ** 2)
+    at = locs.select(*KEYS, F.lit(0).alias("pid"), x.alias("x"), y.alias("y"), z.alias("z"))
+    best = _descend(at, packed, nodes, levels, axes, d2, 2.0, KEYS)
     return best.select(*KEYS, S.chord_metres(F.col("d2")).alias("metres"), "rid")
 
 
-def nearest_segments(locs: DataFrame, segs: DataFrame, lon0=None, lat0=None, small: int = SMALL) -> DataFrame:
+def nearest_segments(locs: DataFrame, segs: DataFrame, lon0=None, lat0=None) -> DataFrame:
     """Rows (keys, metres, fid): planar distance to the nearest segment in the LAEA about a centre.
 
     With ``lon0`` and ``lat0`` all share a centre; else both sides carry pid, clon and clat
     and a location sees the segments of its own pid. Equal distances go to the lowest fid.
+    Segments longer than the mean are indexed in pieces of that length (at most as many again
+    as there are segments), which lead to the whole: one long segment loosens no other's box.
     """
     own = lon0 is None
     c = (F.col("clon"), F.col("clat")) if own else (float(lon0), float(lat0))
@@ -112,15 +132,23 @@ def nearest_segments(locs: DataFrame, segs: DataFrame, lon0=None, lat0=None, sma
     pid = [F.col("pid")] if own else [F.lit(0).alias("pid")]
     at = locs.select(*KEYS, *pid, x.alias("x"), y.alias("y"))
     (ax, ay), (bx, by) = S.laea_forward(F.col("alon"), F.col("alat"), *c), S.laea_forward(F.col("blon"), F.col("blat"), *c)
+    ends = ["ax", "ay", "bx", "by"]
     refs = segs.select(F.col("fid").alias("rid"), *([F.col("pid").alias("rpid")] if own else [F.lit(0).alias("rpid")]), ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
-    if not own and _is_small(refs, small):
-        d2 = lambda r: S.segment_distance2(F.col("x"), F.col("y"), r["ax"], r["ay"], r["bx"], r["by"])
-        best = _argmin_broadcast(at, refs, ["ax", "ay", "bx", "by"], d2).where("rid is not null")
-    else:
-        d2 = S.segment_distance2(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-        mid = [(F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2]
-        half = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / 2
-        best = _descend(at, refs, ["x", "y"], mid, half, d2, 3200e3, [*KEYS, "pid"])
+    for e in ends:
+        refs = refs.where(finite(F.col(e)))
+    refs = staged(refs.groupBy("rpid", *ends).agg(F.min("rid").alias("rid")))
+    size = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    n, mean = refs.agg(F.count("*"), F.avg(size)).first()
+    piece = F.greatest(F.lit(1), F.ceil(size / F.lit(mean or 1.0))).cast("int") if mean else F.lit(1)
+    refs = refs.withColumn("_m", piece).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    on = lambda a, b, k: F.col(a) + (F.col(b) - F.col(a)) * (k / F.col("_m"))
+    cut = {q: (on(f"a{q}", f"b{q}", F.col("_k")), on(f"a{q}", f"b{q}", F.col("_k") + 1)) for q in "xy"}
+    refs = refs.select("rid", "rpid", *ends, *[f(*cut[q]).alias(f"{side}_{q}") for q in "xy" for side, f in (("lo", F.least), ("hi", F.greatest))])
+    whole = 4 * S.AUTHALIC_RADIUS
+    order = [(F.col(f"lo_{q}") + F.col(f"hi_{q}")) / (2 * whole) + 0.5 for q in "xy"]
+    packed, nodes, levels = _packed(refs, ["x", "y"], order, 2 * n)
+    d2 = S.segment_distance2(F.col("x"), F.col("y"), *map(F.col, ends))
+    best = _descend(at, packed, nodes, levels, ["x", "y"], d2, whole, [*KEYS, "pid"])
     return best.select(*KEYS, F.sqrt("d2").alias("metres"), F.col("rid").alias("fid"))
 
 

@@ -75,12 +75,12 @@ def _short(found: DataFrame, crops: DataFrame, metres: str) -> Column:
     return F.when(F.col(metres).isNull(), F.lit(float("inf"))).otherwise(F.greatest(F.lit(0.0), F.col(metres) - reach))
 
 
-def coast_lookup(shoreline: DataFrame, unit: str = "km", column: str = "dist_to_coast", small: int = L.SMALL) -> Lookup:
-    """``shoreline``: segments (fid, alon, alat, blon, blat); up to ``small`` cropped ones are broadcast."""
+def coast_lookup(shoreline: DataFrame, unit: str = "km", column: str = "dist_to_coast") -> Lookup:
+    """``shoreline``: segments (fid, alon, alat, blon, blat)."""
     scale = unit_scale(unit)
 
     def find(locs: DataFrame, box: Box, center: tuple[float, float]) -> DataFrame:
-        near = L.nearest_segments(locs, G.crop_segments(shoreline, box.grown(S.CROP_MARGIN_DEG)), *center, small=small)
+        near = L.nearest_segments(locs, G.crop_segments(shoreline, box.grown(S.CROP_MARGIN_DEG)), *center)
         return near.select(*KEYS, (F.col("metres") / scale).alias(column))
 
     def find_parts(locs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -165,8 +165,8 @@ def place_lookup(countries: DataFrame, municipalities: DataFrame | None = None,
     return Lookup(outputs, find, find_parts, True, references)
 
 
-def nearest_lookup(points: DataFrame, lon_col: str = "longitude", lat_col: str = "latitude", name_field: str = "name", unit: str = "km", name_column: str = "nearest_name", dist_column: str = "nearest_dist", order_by: str | None = None, small: int = L.SMALL) -> Lookup:
-    """Nearest row of a second table by great circle. Of equals, the first by ``order_by``, then by name and place; up to ``small`` rows are broadcast."""
+def nearest_lookup(points: DataFrame, lon_col: str = "longitude", lat_col: str = "latitude", name_field: str = "name", unit: str = "km", name_column: str = "nearest_name", dist_column: str = "nearest_dist", order_by: str | None = None) -> Lookup:
+    """Nearest row of a second table by great circle. Of equals, the first by ``order_by``, then by name and place."""
     scale = unit_scale(unit)
     if name_field not in points.columns:
         raise ValueError(f"the second table has no column '{name_field}'")
@@ -176,7 +176,7 @@ def nearest_lookup(points: DataFrame, lon_col: str = "longitude", lat_col: str =
     refs = at.select(F.struct("_o", "name", "lon", "lat").alias("rid"), "lon", "lat").distinct()
 
     def find(locs: DataFrame, box: Box, center: tuple[float, float]) -> DataFrame:
-        found = L.nearest_points(locs, refs, small)
+        found = L.nearest_points(locs, refs)
         return found.select(*KEYS, F.col("rid.name").alias(name_column), (F.col("metres") / scale).alias(dist_column))
 
     return Lookup([T.StructField(name_column, STRING), T.StructField(dist_column, DOUBLE)], find, references={"second table": (refs, None)})

@@ -383,8 +383,8 @@ def nearest_m(spark, sf):
 
 @query(_nearest_sql("SELECT id, CAST(sid AS VARCHAR) AS who, round(m / 1000, 6) AS away FROM r"))
 def nearest_named(spark, sf):
-    """Numeric names count as text, outputs are renamed; found by cells, as for a large second table."""
-    out = Engine(spark).nearest(points(spark, sf), points(spark, sf, "supplier"), name_field="id", name_column="who", dist_column="away", order_by="id", small=0)
+    """Numeric names count as text, outputs are renamed."""
+    out = Engine(spark).nearest(points(spark, sf), points(spark, sf, "supplier"), name_field="id", name_column="who", dist_column="away", order_by="id")
     return out.select("id", "who", F.round("away", 6).alias("away"))
 
 
@@ -396,8 +396,8 @@ def coast_km(spark, sf):
 
 @query(ORACLE_SQL["coast_km"].replace("round(sqrt(d2) / 1000, 6) AS dist_to_coast", "round(sqrt(d2), 3) AS shore"))
 def coast_m(spark, sf):
-    """Renamed, in metres, and found by cells as for a long shoreline."""
-    out = engine(spark).coast(points(spark, sf), G.segments(features(spark, sf)), unit="m", column="shore", small=0)
+    """Renamed and in metres."""
+    out = engine(spark).coast(points(spark, sf), G.segments(features(spark, sf)), unit="m", column="shore")
     return out.select("id", F.round("shore", 3).alias("shore"))
 
 
