@@ -51,7 +51,7 @@ class _Codes(dict):
 def blocks(df: DataFrame, lang: str, text: str, size: int = BLOCK) -> DataFrame:
     """Rows (lang, block, words, counts, codes): the words of a block, how often each occurs in it, and its tokens as places in ``words``.
 
-    ``codes`` take 4 bytes a token, 0 for the end of a piece. ``block`` is unique. A block ends
+    ``codes`` are 32-bit numbers, packed, 0 for the end of a piece. ``block`` is unique. A block ends
     with a piece, so that it holds at most ``size`` tokens beyond its last piece.
     """
     schema = "lang string, block long, words array<string>, counts array<long>, codes binary"
@@ -71,7 +71,7 @@ def blocks(df: DataFrame, lang: str, text: str, size: int = BLOCK) -> DataFrame:
                 counts = np.bincount(codes, minlength=len(known))
                 counts[0] = 0
                 number += 1
-                row = [[lang_], [number], [[w.decode("utf-8", "surrogatepass") for w in known]], [counts], [codes.tobytes()]]
+                row = [[lang_], [number], [[w.decode("utf-8", "surrogatepass") for w in known]], [counts], [_packed(codes)]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=names)
             held.clear()
             n = 0
@@ -92,6 +92,16 @@ def blocks(df: DataFrame, lang: str, text: str, size: int = BLOCK) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, byte by byte of all and compressed: they are moved twice."""
+    return len(numbers).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<i4").ravel()
+
+
 def _slices(text: str, size: int) -> Iterator[str]:
     """A text in parts of about ``size`` characters, each up to the end of a piece."""
     at = 0
@@ -134,11 +144,11 @@ def _renumbered(tables: DataFrame) -> DataFrame:
         ids, out = [], []
         for codes, known in zip(c["codes"].to_pylist(), c["known"], strict=True):
             code, id_ = (known.values.field(k).to_numpy() for k in (0, 1))
-            order, codes = np.argsort(id_), np.frombuffer(codes, np.int32)
+            order, codes = np.argsort(id_), _unpacked(codes)
             place = np.full(int(codes.max(initial=0)) + 1, -1, np.int32)
             place[code[order]] = np.arange(len(order), dtype=np.int32)
             ids.append(id_[order])
-            out.append(place[codes].tobytes())
+            out.append(_packed(place[codes]))
         return {"block": c["block"], "ids": ids, "word_at": pa.array(out, pa.binary())}
 
     return arrow_map(tables, ["block", "codes", "known"], "block long, ids array<long>, word_at binary", work)
@@ -150,7 +160,7 @@ def _pairs(tables: DataFrame) -> DataFrame:
     def work(c: dict) -> dict:
         block, a, b, n = [], [], [], []
         for x, ids, word_at in zip(c["block"].to_pylist(), c["ids"], c["word_at"].to_pylist(), strict=True):
-            ids, word_at = ids.values.to_numpy(), np.frombuffer(word_at, np.int32)
+            ids, word_at = ids.values.to_numpy(), _unpacked(word_at)
             pair, size = _lengths(extend(*word_lists(word_at), word_at, len(ids))[0])
             block.append(np.full(len(pair), x))
             a.append(ids[pair // len(ids)])
@@ -167,7 +177,7 @@ def _triples(tables: DataFrame) -> DataFrame:
     def work(c: dict) -> dict:
         out = {"a": [], "b": [], "c": [], "n": []}
         for ids, word_at, pairs in zip(c["ids"], c["word_at"].to_pylist(), c["pairs"], strict=True):
-            ids, word_at = ids.values.to_numpy(), np.frombuffer(word_at, np.int32)
+            ids, word_at = ids.values.to_numpy(), _unpacked(word_at)
             v = len(ids)
             a, b = (np.searchsorted(ids, pairs.values.field(k).to_numpy()) for k in (0, 1))
             often = np.sort(a * v + b)
@@ -217,11 +227,14 @@ def collocations(df: DataFrame, lang: str = "lang", text: str = "text", least: i
     # lists of the words of a block are bounded by its size
     lists = scratch.cut(_renumbered(tables.select("block", "codes").join(known, "block")))
     totals = scratch.cut(tables.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n")), drop=tables)
-    found = scratch.cut(_pairs(lists))
-    double = scratch.cut(found.groupBy("a", "b").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    often = found.select("block", "a", "b").join(double.select("a", "b"), ["a", "b"], "left_semi").groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-    triple = scratch.cut(_triples(lists.join(often, "block")).groupBy("a", "b", "c").agg(F.sum("n").alias("f")).where(F.col("f") >= least), drop=found)
-    scratch.drop(lists)
+    # a pair has a row per block at most: they meet once, are summed, and go back to their blocks
+    own = Window.partitionBy("a", "b").orderBy("block")
+    f = F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    met = _pairs(lists).withColumns({"f": f, "first": F.row_number().over(own) == 1})
+    found = scratch.cut(met.where(F.col("f") >= least).select("block", "a", "b", "f", "first"))
+    double = found.where("first").select("a", "b", "f")
+    often = found.groupBy("block").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+    triple = scratch.cut(_triples(lists.join(often, "block")).groupBy("a", "b", "c").agg(F.sum("n").alias("f")).where(F.col("f") >= least), drop=lists)
 
     word = lambda x: single.select(F.col("id").alias(x), F.col("word").alias(f"w{x}"), F.col("f").alias(f"f{x}"))
     pair = lambda x, y: double.select(F.col("a").alias(x), F.col("b").alias(y), F.col("f").alias(f"f{x}{y}"))
