@@ -341,11 +341,48 @@ def test_descent_matches_brute_force(spark, west):
     assert L.nearest_points(locs, points.limit(0)).count() == 0
 
 
-def test_bands_grow_with_vertices(spark):
-    ring = [(5 + 4 * math.cos(k * math.pi / 2000), 5 + 4 * math.sin(k * math.pi / 2000)) for k in range(4000)]
-    shape = G.with_bounds(spark.createDataFrame([(1, [ring])], "fid long, rings array<array<struct<lon: double, lat: double>>>"))
-    assert shape.select(L._bands(F.col("rings"), F.col("ymax") - F.col("ymin"))).first()[0] == 8
+def _even_odd(lon, lat, rings):
+    odd = False
+    for r in rings:
+        if len(r) >= 3:
+            for (xj, yj), (xi, yi) in zip([r[-1], *r[:-1]], r, strict=True):
+                if (yi > lat) != (yj > lat) and lon < (xj - xi) * (lat - yi) / (yj - yi) + xi:
+                    odd = not odd
+    return odd
+
+
+def test_inside_is_even_odd_over_all_edges(spark):
+    """Stars, combs, holes, shared borders, flat and thin rings; locations anywhere, on vertices and on edges."""
     rng = random.Random(9)
-    at = [(i, 0, rng.uniform(0, 10), rng.uniform(0, 10)) for i in range(300)]
-    got = {r._klon for r in L.containing(spark.createDataFrame(at, "_klon long, _klat long, lon double, lat double"), shape).collect()}
-    assert got == {i for i, _, lon, lat in at if math.hypot(lon - 5, lat - 5) < 4}
+    ring = lambda n, r, x, y: [(x + r * (1 + 0.5 * math.cos(k * 7)) * math.cos(2 * math.pi * k / n), y + r * (1 + 0.5 * math.cos(k * 7)) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    comb = [(k / 40, 0.0 if k % 2 else 8.0) for k in range(400)] + [(10.0, 9.0), (0.0, 9.0)]
+    square = lambda w, s, e, n: [(w, s), (e, s), (e, n), (w, n), (w, s)]
+    shapes = [[ring(4000, 3, 5, 5)], [ring(9, 4, 3, 4), ring(5, 2, 3, 4)], [comb], [square(0, 0, 5, 5)], [square(5, 0, 10, 5), square(6, 1, 9, 4)], [[(1.0, 2.0), (9.0, 2.0), (1.0, 2.0)]], [[(2.0, 1.0), (2.0, 9.0), (2.0000001, 5.0)]], [[(0.0, 0.0), (1.0, 1.0)]], [square(2.5, 2.5, 7.5, 7.5), square(2.5, 2.5, 7.5, 7.5)]]
+    at = [(rng.uniform(-1, 11), rng.uniform(-1, 11)) for _ in range(500)] + [(float(rng.randrange(11)), float(rng.randrange(11))) for _ in range(60)] + [(rng.uniform(0, 10), float(rng.randrange(10))) for _ in range(60)] + [s[0][k] for s in shapes[:3] for k in (0, 5)]
+    shape = G.with_bounds(spark.createDataFrame([(i, [[(float(a), float(b)) for a, b in r] for r in rs]) for i, rs in enumerate(shapes)], "fid long, rings array<array<struct<lon: double, lat: double>>>"))
+    locs = spark.createDataFrame([(i, 0, *p) for i, p in enumerate(at)], "_klon long, _klat long, lon double, lat double")
+    bounds = [(min(x for r in rs for x, _ in r), max(x for r in rs for x, _ in r), min(y for r in rs for _, y in r), max(y for r in rs for _, y in r)) for rs in shapes]
+    held = lambda lon, lat, b: b[0] <= lon <= b[1] and b[2] <= lat <= b[3]
+    want = {(i, f) for i, p in enumerate(at) for f, rs in enumerate(shapes) if held(*p, bounds[f]) and _even_odd(*p, rs)}
+    got = [(r._klon, r.fid) for r in L.inside(locs, shape).collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {r._klon: r.fid for r in L.containing(locs, shape).collect()} == {i: min(f for j, f in want if j == i) for i, _ in want}
+
+
+def test_inner_locations_ask_no_edges(spark):
+    """Of a land-locked set of locations, under 5 in 100 meet an edge of a polygon of 20,000; what edges touch grows with their number."""
+    n = 20_000
+    coast = [(5 + 4 * (1 + 0.02 * math.sin(k * 1.7)) * math.cos(2 * math.pi * k / n), 5 + 4 * (1 + 0.02 * math.sin(k * 1.7)) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    shape = G.with_bounds(spark.createDataFrame([(1, [coast])], "fid long, rings array<array<struct<lon: double, lat: double>>>"))
+    grids, stretches, edges = L.cover(shape)
+    g = grids.first()
+    rows = stretches.collect()
+    assert edges.count() < 8 * n and len(rows) < n
+    rng, asked = random.Random(12), 0
+    for _ in range(2000):
+        a, r = rng.uniform(0, 2 * math.pi), 3.9 * math.sqrt(rng.random())
+        j, i = int((5 + r * math.sin(a) - g.y0) / g.ch), int((5 + r * math.cos(a) - g.x0) / g.cw)
+        mine = [s for s in rows if s.j == j and s.first <= i <= s.last and s.bucket == i >> L.BUCKET_BITS]
+        assert len(mine) == 1
+        asked += mine[0].run is not None
+    assert asked < 0.05 * 2000

@@ -160,50 +160,112 @@ def _level(width: Column) -> Column:
     return F.when(width <= 8 * LEVELS[0], 0).when(width <= 8 * LEVELS[1], 1).otherwise(2)
 
 
-def _bands(rings: Column, height: Column) -> Column:
-    """Bands a degree for a polygon: a power of two, so that bands hold some 64 edges where its vertices lie evenly, and at most 4,096."""
-    n = F.aggregate(rings, F.lit(0).cast("long"), lambda total, ring: total + F.size(ring))
-    want = F.log2(F.greatest(n, F.lit(1)) / (64.0 * F.greatest(height, F.lit(1e-6))))
-    return F.pow(F.lit(2.0), F.greatest(F.lit(0), F.least(F.lit(12), F.ceil(want))))
+#: Rows and columns of a polygon's grid at least and at most, columns of a bucket (a power of two), and degrees by which edges are thickened.
+LEAST_GRID, MOST_GRID, BUCKET_BITS, THICK = 16, 4096, 5, 1e-9
 
 
-def containing(locs: DataFrame, features: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Rows (keys, fid): the lowest fid of the polygons a location lies in, by bounds and then even-odd.
+def _gridded(features: DataFrame) -> DataFrame:
+    """Rows (fid, ..., edge): the edges of each polygon with the grid over its bounds: x0, y0, cell width and height, number of columns and rows.
+
+    There are about four times as many cells as edges, and no more rows than let an edge meet
+    four of them on average, so that what the edges touch grows with their number.
+    """
+    e = G._pairs(features.select("fid", "xmin", "xmax", "ymin", "ymax", "rings"), True, ["fid", "xmin", "xmax", "ymin", "ymax"]).drop("ring", "seg")
+    sums = e.groupBy("fid").agg(F.count("*").alias("_n"), F.sum(F.abs(F.col("blat") - F.col("alat"))).alias("_rise"))
+    high = F.greatest(F.col("ymax") - F.col("ymin"), F.lit(THICK))
+    wide = F.greatest(F.col("xmax") - F.col("xmin"), F.lit(THICK))
+    between = lambda c: F.greatest(F.lit(LEAST_GRID), F.least(F.lit(MOST_GRID), F.ceil(c))).cast("int")
+    rows = between(F.least(2 * F.sqrt("_n"), 4 * F.col("_n") * high / F.greatest(F.col("_rise"), F.lit(THICK))))
+    both = e.join(sums, "fid").withColumns({"rows": rows, "columns": between(2 * F.sqrt("_n"))})
+    return both.select("fid", F.col("xmin").alias("x0"), F.col("ymin").alias("y0"), (wide / F.col("columns")).alias("cw"), (high / F.col("rows")).alias("ch"), "columns", "rows", "alon", "alat", "blon", "blat")
+
+
+def _cell(c: Column, low: str, size: str, n: str) -> Column:
+    return F.greatest(F.lit(0), F.least(F.col(n) - 1, F.floor((c - F.col(low)) / F.col(size)).cast("int")))
+
+
+def _touched(edges: DataFrame) -> DataFrame:
+    """Rows (fid, j, first, last, run, ...): the columns of row j that an edge touches, and the run of touched columns they belong to."""
+    low, high = F.least("alat", "blat") - THICK, F.greatest("alat", "blat") + THICK
+    rows = edges.withColumn("j", F.explode(F.sequence(_cell(low, "y0", "ch", "rows"), _cell(high, "y0", "ch", "rows"))))
+    # the part of the edge inside the row; all of one that is flat within the thickness
+    rise = F.col("blat") - F.col("alat")
+    at = lambda y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - F.col("alat")) / F.when(F.abs(rise) > THICK, rise)))
+    bottom = F.col("y0") + F.col("j") * F.col("ch")
+    x = [F.when(F.abs(rise) > THICK, F.col("alon") + at(y) * (F.col("blon") - F.col("alon"))).otherwise(F.col(whole)) for y, whole in ((bottom - THICK, "alon"), (bottom + F.col("ch") + THICK, "blon"))]
+    rows = rows.withColumns({"first": _cell(F.least(*x) - THICK, "x0", "cw", "columns"), "last": _cell(F.greatest(*x) + THICK, "x0", "cw", "columns")})
+    w = Window.partitionBy("fid", "j").orderBy("first", "last")
+    new = F.col("first") > F.coalesce(F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(-1))
+    return rows.withColumn("run", F.sum(new.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def cover(features: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(grids, stretches, edges) of polygons: where each lies wholly inside its grid's cells, and where edges must be asked.
+
+    Grids: (fid, x0, y0, cw, ch, columns, rows). Stretches: (fid, j, bucket, first, last, run,
+    odd): columns first to last of row j; without a run they are wholly inside, with one they
+    are touched by its edges, and ``odd`` tells whether the untouched cells to their right
+    are inside. Columns in no stretch are outside. Edges: (fid, j, run, alon, alat, blon, blat).
+    """
+    touched = staged(_touched(_gridded(features.where("xmin is not null").dropDuplicates(["fid"]))))
+    grids = touched.select("fid", "x0", "y0", "cw", "ch", "columns", "rows").distinct()
+    middle = F.col("y0") + (F.col("j") + 0.5) * F.col("ch")
+    crossing = (F.col("alat") > middle) != (F.col("blat") > middle)
+    runs = touched.groupBy("fid", "j", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count_if(crossing).alias("_n"))
+    w = Window.partitionBy("fid", "j").orderBy(F.col("run").desc())
+    beyond = F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.withColumns({"odd": beyond % 2 == 1, "_next": F.lag("first").over(w)})
+    inside = F.when(F.col("odd") & (F.col("_next") > F.col("last") + 1), F.struct((F.col("last") + 1).alias("first"), (F.col("_next") - 1).alias("last"), F.lit(None).cast("long").alias("run")))
+    both = F.array_compact(F.array(F.struct("first", "last", F.col("run").cast("long").alias("run")), inside))
+    stretches = runs.select("fid", "j", "odd", F.explode(both).alias("s")).select("fid", "j", "odd", "s.*")
+    bucket = F.explode(F.sequence(F.shiftright("first", BUCKET_BITS), F.shiftright("last", BUCKET_BITS)))
+    return grids, stretches.withColumn("bucket", bucket), touched.where("alat <> blat").select("fid", "j", F.col("run").cast("long").alias("run"), "alon", "alat", "blon", "blat")
+
+
+def inside(locs: DataFrame, features: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows (keys, fid): every polygon a location lies in, by bounds, then cover, then even-odd.
 
     Bounds meet on an equi-join of cells (three sizes, so that neither an islet nor an
-    ocean has many); edges meet their candidates on (fid, band of latitude), a degree high or,
-    where a polygon has many vertices, so much less that a band holds some hundred edges: a
-    polygon with a million vertices is never gathered in one task. ``by``: columns
-    both sides share that must agree as well.
+    ocean has many). A location in an untouched cell of the polygon's grid is answered by
+    the cell; in a touched one, only the edges of its run of touched cells are asked, the
+    parity of all others being that of the cells to the right: so neither the interior nor
+    a far part of a jagged coast costs an edge test, and the answer is that of all edges.
+    ``by``: columns both sides share that must agree as well.
     """
     by = by or []
-    bands = features.where("xmin is not null").select("*", _bands(F.col("rings"), F.col("ymax") - F.col("ymin")).alias("_per_degree"))
-    boxes = bands.select(*by, "fid", "_per_degree", "xmin", "xmax", "ymin", "ymax").withColumn("level", _level(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))))
+    whole = features.where("xmin is not null").dropDuplicates([*by, "fid"])
+    boxes = whole.select(*by, "fid", "xmin", "xmax", "ymin", "ymax").withColumn("level", _level(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))))
     size = F.element_at(F.array(*[F.lit(s) for s in LEVELS]), F.col("level") + 1)
     span = lambda a, b: F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size))
     boxes = boxes.withColumn("_i", F.explode(span("xmin", "xmax"))).withColumn("_j", F.explode(span("ymin", "ymax"))).withColumn("_cell", F.struct("level", "_i", "_j"))
     cells = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("lon") / s).alias("_i"), F.floor(F.col("lat") / s).alias("_j")) for k, s in enumerate(LEVELS)])
     at = locs.select(*KEYS, *by, "lon", "lat").withColumn("_cell", F.explode(cells))
-    inside = (F.col("lon") >= F.col("xmin")) & (F.col("lon") <= F.col("xmax")) & (F.col("lat") >= F.col("ymin")) & (F.col("lat") <= F.col("ymax"))
-    candidates = at.join(boxes, ["_cell", *by]).where(inside).select(*KEYS, "lon", "lat", "fid", F.floor(F.col("lat") * F.col("_per_degree")).alias("_band")).distinct()
-    e = G._pairs(bands.select("fid", "_per_degree", "rings").dropDuplicates(["fid"]), True, ["fid", "_per_degree"])
-    band = lambda end: F.floor(end("alat", "blat") * F.col("_per_degree"))
-    e = e.where("alat <> blat").withColumn("_band", F.explode(F.sequence(band(F.least), band(F.greatest)))).drop("_per_degree")
+    within = (F.col("lon") >= F.col("xmin")) & (F.col("lon") <= F.col("xmax")) & (F.col("lat") >= F.col("ymin")) & (F.col("lat") <= F.col("ymax"))
+    grids, stretches, edges = cover(features)
+    candidates = at.join(boxes, ["_cell", *by]).where(within).select(*KEYS, "lon", "lat", "fid").join(grids, "fid")
+    candidates = candidates.select(*KEYS, "lon", "lat", "fid", _cell(F.col("lat"), "y0", "ch", "rows").alias("j"), _cell(F.col("lon"), "x0", "cw", "columns").alias("_c"))
+    found = candidates.withColumn("bucket", F.shiftright("_c", BUCKET_BITS)).join(stretches, ["fid", "j", "bucket"]).where("_c between first and last")
+    sure = found.where("run is null").select(*KEYS, "fid")
     # an edge runs from vertex j (its start) to vertex i (its end)
-    crossed = candidates.join(e, ["fid", "_band"]).where(S.edge_crosses(F.col("lon"), F.col("lat"), F.col("blon"), F.col("blat"), F.col("alon"), F.col("alat")))
-    odd = crossed.groupBy(*KEYS, "fid").count().where(F.col("count") % 2 == 1)
-    return odd.groupBy(*KEYS).agg(F.min("fid").alias("fid"))
+    crosses = S.edge_crosses(F.col("lon"), F.col("lat"), F.col("blon"), F.col("blat"), F.col("alon"), F.col("alat"))
+    asked = found.where("run is not null").select(*KEYS, "lon", "lat", "fid", "j", "run", "odd").join(edges, ["fid", "j", "run"], "left")
+    n = F.count_if(crosses) + F.max(F.col("odd").cast("int"))
+    return sure.union(asked.groupBy(*KEYS, "fid").agg(n.alias("_n")).where("_n % 2 = 1").select(*KEYS, "fid"))
+
+
+def containing(locs: DataFrame, features: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows (keys, fid): the lowest fid of the polygons a location lies in; see :func:`inside`."""
+    return inside(locs, features, by).groupBy(*KEYS).agg(F.min("fid").alias("fid"))
 
 
 def locate(locs: DataFrame, features: DataFrame, lon0=None, lat0=None) -> DataFrame:
     """Rows (keys, fid, metres): the polygon a location lies in (0 metres), else the nearest boundary's."""
     own = lon0 is None
-    inside = containing(locs, features, ["pid"] if own else None).withColumn("metres", F.lit(0.0))
-    inside = staged(inside)
-    rest = locs.join(inside.select(*KEYS), KEYS, "left_anti")
+    held = staged(containing(locs, features, ["pid"] if own else None).withColumn("metres", F.lit(0.0)))
+    rest = locs.join(held.select(*KEYS), KEYS, "left_anti")
     segs = G.segments(features) if not own else G._pairs(features, False, ["fid", "pid", "clon", "clat"])
     near = nearest_segments(rest, segs, lon0, lat0)
-    return inside.select(*KEYS, "fid", "metres").union(near.select(*KEYS, "fid", "metres"))
+    return held.select(*KEYS, "fid", "metres").union(near.select(*KEYS, "fid", "metres"))
 
 
 def grid_lookup(locs: DataFrame, grid: DataFrame, lat_axis: tuple[float, float, int], lon_axis: tuple[float, float, int]) -> DataFrame:

@@ -354,10 +354,7 @@ def crop_fanout(spark, sf):
 
 @query(f"WITH {PTS}, {features_sql('f')}, {contains_sql('c', 'pts', 'f', False)} SELECT id, fid FROM c_k WHERE n % 2 = 1")
 def pip_even_odd(spark, sf):
-    pairs = points(spark, sf).join(F.broadcast(features(spark, sf)), (F.col("longitude").between(F.col("xmin"), F.col("xmax"))) & (F.col("latitude").between(F.col("ymin"), F.col("ymax"))))
-    e = G.edges(features(spark, sf))
-    crosses = S.edge_crosses(F.col("longitude"), F.col("latitude"), F.col("blon"), F.col("blat"), F.col("alon"), F.col("alat"))
-    return pairs.join(e, "fid").groupBy("id", "fid").agg(F.count_if(crosses).alias("n")).where("n % 2 = 1").select("id", "fid")
+    return by_id(spark, sf, L.inside(keyed_locals(spark, sf)[1], features(spark, sf)))
 
 
 # --- lookups ----------------------------------------------------------------------------
