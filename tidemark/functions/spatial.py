@@ -123,6 +123,15 @@ def axis_index(q: Column, origin: float, step: float, length: int) -> Column:
     return F.when((f >= -0.5) & (f <= length - 0.5), at).cast("int")
 
 
+#: Rows and columns of a grid's tile, as a power of two: a world grid of 15 arc seconds has some 14,000.
+TILE_BITS = 9
+
+
+def tile(i: Column, j: Column) -> Column:
+    """The tile that a grid cell belongs to, as one number."""
+    return F.shiftleft(F.shiftright(i, TILE_BITS), 16).bitwiseOR(F.shiftright(j, TILE_BITS))
+
+
 def crop_fraction(min_lon: Num, max_lon: Num, min_lat: Num, max_lat: Num, margin: float = CROP_MARGIN_DEG) -> Column:
     """Share of the globe's surface in a region's crop, which is the box and a margin, clipped to the globe."""
     lo, hi = F.radians(F.greatest(F.lit(-90.0), col(min_lat) - margin)), F.radians(F.least(F.lit(90.0), col(max_lat) + margin))

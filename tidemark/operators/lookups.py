@@ -268,17 +268,31 @@ def locate(locs: DataFrame, features: DataFrame, lon0=None, lat0=None) -> DataFr
     return held.select(*KEYS, "fid", "metres").union(near.select(*KEYS, "fid", "metres"))
 
 
+#: Tiles up to which a grid is told which ones to read; beyond, it is read between bounds.
+MOST_TILES = 4096
+
+
 def grid_lookup(locs: DataFrame, grid: DataFrame, lat_axis: tuple[float, float, int], lon_axis: tuple[float, float, int]) -> DataFrame:
     """Rows (keys, elevation): the value of the nearest cell of a regular grid (i, j, elevation); axes are (origin, step, length).
 
-    Longitudes are wrapped to [-180, 180). Locations are the small side: they are what
-    may be broadcast or shuffled. The grid is scanned once, and only between the lowest and
-    highest cells asked for: plain bounds, which reach its scan.
+    Longitudes are wrapped to [-180, 180). Locations are the small side: they are what may
+    be broadcast or shuffled. A grid with a column ``tile`` (:func:`S.tile`) is asked for the
+    tiles that hold a location, however far apart: their number is checked, and a Parquet
+    table partitioned by tile or a NetCDF file reads those alone. Any other is scanned once,
+    between the lowest and highest cells asked for.
     """
     i = S.axis_index(F.col("lat"), *lat_axis)
     j = S.axis_index(S.normalize_lon(F.col("lon")), *lon_axis)
-    at = staged(locs.select(*KEYS, i.alias("i"), j.alias("j")).where("i is not null and j is not null"))
-    ends = at.agg(F.min("i"), F.max("i"), F.min("j"), F.max("j")).first()
-    if ends[0] is not None:
-        grid = grid.where(F.col("i").between(*ends[:2]) & F.col("j").between(*ends[2:]))
-    return at.join(grid.select(F.col("i").cast("int"), F.col("j").cast("int"), F.col("elevation").cast("double")), ["i", "j"]).select(*KEYS, "elevation")
+    at = staged(locs.select(*KEYS, i.alias("i"), j.alias("j")).where("i is not null and j is not null").withColumn("tile", S.tile(F.col("i"), F.col("j"))))
+    tiled, some = "tile" in grid.columns, []
+    if tiled:
+        some = [r[0] for r in at.select("tile").distinct().limit(MOST_TILES + 1).collect()]
+    if tiled and len(some) <= MOST_TILES:
+        grid = grid.where(F.col("tile").isin(some))
+    else:
+        ends = at.agg(F.min("i"), F.max("i"), F.min("j"), F.max("j")).first()
+        if ends[0] is not None:
+            grid = grid.where(F.col("i").between(*ends[:2]) & F.col("j").between(*ends[2:]))
+    on = [*(["tile"] if tiled else []), "i", "j"]
+    cells = grid.select(*(["tile"] if tiled else []), F.col("i").cast("int"), F.col("j").cast("int"), F.col("elevation").cast("double"))
+    return at.join(cells, on).select(*KEYS, "elevation")

@@ -45,6 +45,8 @@ class Lookup:
     projected: bool = False
     #: Reference data by what it is called, and how it is cropped to a box; told about where nothing is left.
     references: dict[str, tuple[DataFrame, Callable[[DataFrame, Box], DataFrame] | None]] = field(default_factory=dict)
+    #: Points (lon, lat) of the references, of each kind that is looked for: the nearest one bounds how far an answer lies. A kind's answers past its cutoff (metres) don't count.
+    vertices: list[tuple[DataFrame, float | None]] = field(default_factory=list)
 
 
 @dataclass
@@ -89,7 +91,12 @@ def coast_lookup(shoreline: DataFrame, unit: str = "km", column: str = "dist_to_
         both = locs.join(near, KEYS, "left").join(F.broadcast(crops.drop("clon", "clat")), "pid")
         return both.select(*KEYS, "pid", (F.col("metres") / scale).alias(column), _short(both, crops, "metres").alias("shortfall"))
 
-    return Lookup([T.StructField(column, DOUBLE)], find, find_parts, True, {"shoreline": (shoreline, G.crop_segments)})
+    ends = shoreline.select(F.col("alon").alias("lon"), F.col("alat").alias("lat")).union(shoreline.select("blon", "blat"))
+    return Lookup([T.StructField(column, DOUBLE)], find, find_parts, True, {"shoreline": (shoreline, G.crop_segments)}, [(ends, None)])
+
+
+def _vertices(features: DataFrame) -> DataFrame:
+    return features.select(F.explode(F.flatten("rings")).alias("v")).select("v.lon", "v.lat")
 
 
 def _fan_features(features: DataFrame, crops: DataFrame) -> DataFrame:
@@ -117,7 +124,7 @@ def sea_lookup(seas: DataFrame, column: str = "sea_name") -> Lookup:
     def find_parts(locs: DataFrame, parts: DataFrame) -> DataFrame:
         return _located(locs, seas, parts).join(names, "fid", "left").select(*KEYS, "pid", column, "shortfall")
 
-    return Lookup([T.StructField(column, STRING)], find, find_parts, True, {"sea areas": (seas, G.crop_features)})
+    return Lookup([T.StructField(column, STRING)], find, find_parts, True, {"sea areas": (seas, G.crop_features)}, [(_vertices(seas), None)])
 
 
 def place_lookup(countries: DataFrame, municipalities: DataFrame | None = None, max_municipality_dist: float | None = None, unit: str = "km") -> Lookup:
@@ -162,7 +169,9 @@ def place_lookup(countries: DataFrame, municipalities: DataFrame | None = None,
         return out.join(m, KEYS, "left").withColumn("shortfall", F.greatest("shortfall", F.coalesce("_s", F.lit(0.0)))).drop("_s")
 
     references = {"countries": (countries, G.crop_features)} | ({"municipalities": (municipalities, G.crop_features)} if municipalities is not None else {})
-    return Lookup(outputs, find, find_parts, True, references)
+    cutoff = None if max_municipality_dist is None else max_municipality_dist * scale
+    vertices = [(_vertices(countries), None), *([(_vertices(municipalities), cutoff)] if municipalities is not None else [])]
+    return Lookup(outputs, find, find_parts, True, references, vertices)
 
 
 def nearest_lookup(points: DataFrame, lon_col: str = "longitude", lat_col: str = "latitude", name_field: str = "name", unit: str = "km", name_column: str = "nearest_name", dist_column: str = "nearest_dist", order_by: str | None = None) -> Lookup:
@@ -217,6 +226,28 @@ def row_lookup(outputs: list[T.StructField], answer: Callable[[float, float], tu
     return Lookup(outputs, lambda locs, box, center: locs.mapInArrow(answers, schema))
 
 
+def _reaching(x: Lookup, locs: DataFrame, parts: DataFrame) -> DataFrame:
+    """``parts`` with ``extra``: degrees by which a crop must grow to hold every location's answer.
+
+    The nearest vertex on the sphere is at least as far as the nearest reference, so a crop
+    that reaches it (and what the projection may stretch) holds the answer.
+    """
+    need = None
+    for points, cutoff in x.vertices:
+        near = L.nearest_points(locs, points.withColumn("rid", F.lit(0))).select(*KEYS, (F.col("metres") if cutoff is None else F.least("metres", F.lit(cutoff))).alias("need"))
+        need = near if need is None else need.union(near)
+    if need is None:
+        return parts.withColumn("extra", F.lit(0.0))
+    far = need.groupBy(*KEYS).agg((F.max("need") * (1 + 1.5 * S.DISTORTION_LIMIT) / S.REACH_SAFETY / S.METRES_PER_DEGREE).alias("_ns"))
+    both = locs.select(*KEYS, "lon", "lat", "pid").join(far, KEYS).join(F.broadcast(parts.select("pid", "min_lon", "max_lon", "min_lat", "max_lat")), "pid")
+    ew = F.col("_ns") / F.cos(F.radians(F.least(F.abs(F.col("lat")), F.lit(89.9))))
+    short = F.greatest(F.col("_ns") - F.least(F.col("lat") - F.col("min_lat"), F.col("max_lat") - F.col("lat")), ew - F.least(F.col("lon") - F.col("min_lon"), F.col("max_lon") - F.col("lon")))
+    grown = both.groupBy("pid").agg(F.greatest(F.lit(0.0), F.least(F.lit(WIDEN_MAX_DEG), F.max(short) - S.CROP_MARGIN_DEG)).alias("_extra"))
+    known = {r["pid"]: r["_extra"] for r in grown.collect()}  # a few dozen parts
+    rows = [(*r, float(known.get(r["pid"], 0.0))) for r in parts.collect()]
+    return parts.sparkSession.createDataFrame(rows, T.StructType([*parts.schema, T.StructField("extra", DOUBLE)]))
+
+
 class Engine:
     """Runs lookups over a table of points. ``report`` tells about the last run; ``count`` fills it, at the price of jobs of its own."""
 
@@ -280,9 +311,9 @@ class Engine:
                 self._note(f"no {what}: its columns stay empty")
 
     def _widened(self, x: Lookup, locs: DataFrame, parts: DataFrame) -> DataFrame:
-        """Answer part by part, widening the crop of parts whose answers reach past it; at most eight rounds of 5 degrees."""
+        """Answer part by part, each crop as wide as its locations need; crops that answers still reach past (across the seam) are widened and asked again."""
         names = [f.name for f in x.outputs]
-        parts = parts.withColumn("extra", F.lit(0.0))
+        parts = _reaching(x, locs, parts)
         done = None
         while True:
             found = staged(x.find_parts(locs, parts))

@@ -462,6 +462,16 @@ def depth_grid(spark, sf):
     return Engine(spark).depth(points(spark, sf), grid(spark), LAT_AXIS, LON_AXIS).select("id", "bathymetry")
 
 
+@query(ORACLE_SQL["depth_grid"])
+def depth_tiles(spark, sf):
+    """The grid as a table of tiles, of which those with a location are read."""
+    from tidemark.sources.netcdf import write_tiles
+
+    path = f"{shared_dir(spark)}/tidemark/tiles-{uuid.uuid4().hex}"
+    write_tiles(grid(spark), path)
+    return Engine(spark).depth(points(spark, sf), spark.read.parquet(path), LAT_AXIS, LON_AXIS).select("id", "bathymetry")
+
+
 @query(f"{_CELL} SELECT id, 0 - e AS bathymetry FROM g")
 def depth_positive(spark, sf):
     out = Engine(spark).depth(points(spark, sf), grid(spark), LAT_AXIS, LON_AXIS, positive=True)
@@ -676,4 +686,4 @@ def grid_from_netcdf(spark, sf):
 
     path = f"{_folder(spark)}/grid.nc"
     write_grid(path, [0.0, 1.0, 2.0], [10.0, 11.0, 12.0, 13.0], [[-(i * 100 + j * 10 + 5) for j in range(4)] for i in range(3)])
-    return read_grid(spark, path)[0]
+    return read_grid(spark, path)[0].drop("tile")

@@ -9,7 +9,10 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+
+from tidemark.functions import spatial as S
 
 #: Fixed values of the format: type code to struct letter.
 _TYPES = {1: "b", 2: "c", 3: "h", 4: "i", 5: "f", 6: "d"}
@@ -77,60 +80,83 @@ class _Header:
 
 
 class _Rows(InputPartition):
-    def __init__(self, first: int, stop: int):
-        self.first, self.stop = first, stop
+    """Rows first to stop - 1; the tile columns wanted of them, or None for all."""
+
+    def __init__(self, first: int, stop: int, columns: list[int] | None = None):
+        self.first, self.stop, self.columns = first, stop, columns
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, rows: int):
-        self.path, self.rows, self.first, self.stop = path, rows, 0, None
+        self.path, self.rows, self.first, self.stop, self.tiles = path, rows, 0, None, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Bounds of i leave latitude rows unread (with spark.sql.python.filterPushdown.enabled); Spark applies all filters besides."""
+        """Bounds of i leave latitude rows unread, and a list of tiles all others (with spark.sql.python.filterPushdown.enabled); Spark applies all filters besides."""
         for f in filters:
-            if getattr(f, "attribute", None) == ("i",) and isinstance(getattr(f, "value", None), int):
+            value = getattr(f, "value", None)
+            if getattr(f, "attribute", None) == ("i",) and isinstance(value, int):
                 if isinstance(f, GreaterThan | GreaterThanOrEqual | EqualTo):
                     self.first = max(self.first, f.value + isinstance(f, GreaterThan))
                 if isinstance(f, LessThan | LessThanOrEqual | EqualTo):
                     end = f.value + (not isinstance(f, LessThan))
                     self.stop = end if self.stop is None else min(self.stop, end)
+            if getattr(f, "attribute", None) == ("tile",) and isinstance(f, In | EqualTo):
+                wanted = {value} if isinstance(f, EqualTo) else set(value)
+                self.tiles = wanted if self.tiles is None else self.tiles & wanted
             yield f
 
     def partitions(self) -> list[_Rows]:
         n = _Header(self.path).checked().vars["elevation"][0][0]
         stop = n if self.stop is None else min(n, self.stop)
-        return [_Rows(i, min(stop, i + self.rows)) for i in range(self.first, stop, self.rows)] or [_Rows(0, 0)]
+        if self.tiles is None:
+            return [_Rows(i, min(stop, i + self.rows)) for i in range(self.first, stop, self.rows)] or [_Rows(0, 0)]
+        side, bands = 1 << S.TILE_BITS, {}
+        for t in self.tiles:
+            bands.setdefault(t >> 16, []).append(t & 0xFFFF)
+        found = [_Rows(i, min(stop, i + self.rows, (b + 1) * side), sorted(columns)) for b, columns in sorted(bands.items()) for i in range(max(self.first, b * side), min(stop, (b + 1) * side), self.rows)]
+        return found or [_Rows(0, 0)]
 
     def read(self, partition: _Rows) -> Iterator[pa.RecordBatch]:
         h = _Header(self.path)
-        width = h.vars["elevation"][0][1]
+        width, side = h.vars["elevation"][0][1], 1 << S.TILE_BITS
+        spans = [(0, width)] if partition.columns is None else [(c * side, min(width, (c + 1) * side)) for c in partition.columns]
         for i in range(partition.first, partition.stop):
-            row = h.values("elevation", i * width, width).astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(width, i, np.int32)), pa.array(np.arange(width, dtype=np.int32)), pa.array(row)], ["i", "j", "elevation"])
+            for low, high in spans:
+                if low < high:
+                    j = np.arange(low, high, dtype=np.int32)
+                    row = h.values("elevation", i * width + low, high - low).astype(float)
+                    tile = (i >> S.TILE_BITS) << 16 | j >> S.TILE_BITS
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(high - low, i, np.int32)), pa.array(j), pa.array(row), pa.array(tile.astype(np.int32))], ["i", "j", "elevation", "tile"])
 
 
 class GridSource(DataSource):
-    """format("elevation_grid").load(path): i int, j int, elevation double; read by blocks of latitude rows."""
+    """format("elevation_grid").load(path): i int, j int, elevation double, tile int; read by blocks of latitude rows, of the tiles asked for."""
 
     @classmethod
     def name(cls) -> str:
         return "elevation_grid"
 
     def schema(self) -> str:
-        return "i int, j int, elevation double"
+        return "i int, j int, elevation double, tile int"
 
     def reader(self, schema) -> _Reader:
         return _Reader(self.options["path"], int(self.options.get("rowsPerSplit", "64")))
 
 
 def read_grid(spark: SparkSession, path: str) -> tuple[DataFrame, Axis, Axis]:
-    """(grid table, latitude axis, longitude axis). For grids read often, write the table as Parquet once, sorted by i and j."""
+    """(grid table, latitude axis, longitude axis). For grids read often, see :func:`write_tiles`."""
     h = _Header(path).checked()
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GridSource)
     return spark.read.format("elevation_grid").load(path), h.axis("lat"), h.axis("lon")
 
 
+def write_tiles(grid: DataFrame, path: str) -> None:
+    """A grid table as Parquet, a folder per tile and sorted inside: a lookup reads the tiles it needs."""
+    tiled = grid.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("elevation").cast("double").alias("elevation")).withColumn("tile", S.tile(F.col("i"), F.col("j")))
+    tiled.repartition("tile").sortWithinPartitions("tile", "i", "j").write.partitionBy("tile").parquet(path)
+
+
 def write_grid(path: str, lat: list[float], lon: list[float], elevation: list[list[float]]) -> None:
     """A classic file with lat, lon and elevation(lat, lon) as doubles: for fixtures."""
 
