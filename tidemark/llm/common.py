@@ -85,15 +85,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def arrow_map(df: DataFrame, columns: list[str], schema: str | T.StructType, work: Callable[[dict], dict]) -> DataFrame:
-    """mapInArrow over ``columns``; ``work`` gets Python/Arrow columns of a batch by name and returns output columns."""
+def arrow_map(df: DataFrame, columns: list[str], schema: str | T.StructType, work: Callable[[dict], dict], each: bool = False) -> DataFrame:
+    """mapInArrow over ``columns``; ``work`` gets Python/Arrow columns of a batch by name and returns output columns. ``each``: a batch per row, for rows that make many."""
     out = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out, timezone="UTC") if any(isinstance(f.dataType, T.TimestampType) for f in out) else to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in ((b.slice(k, 1) for k in range(b.num_rows)) if each else (b,))):
             cols = {n: batch.column(i) for i, n in enumerate(columns)}
             got = work(cols)
             arrays = [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in arrow]

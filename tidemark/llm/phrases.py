@@ -151,7 +151,7 @@ def _renumbered(tables: DataFrame) -> DataFrame:
             out.append(_packed(place[codes]))
         return {"block": c["block"], "ids": ids, "word_at": pa.array(out, pa.binary())}
 
-    return arrow_map(tables, ["block", "codes", "known"], "block long, ids array<long>, word_at binary", work)
+    return arrow_map(tables, ["block", "codes", "known"], "block long, ids array<long>, word_at binary", work, each=True)
 
 
 def _pairs(tables: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def _pairs(tables: DataFrame) -> DataFrame:
             n.append(size)
         return _flat(block=block, a=a, b=b, n=n)
 
-    return arrow_map(tables, ["block", "ids", "word_at"], "block long, a long, b long, n long", work)
+    return arrow_map(tables, ["block", "ids", "word_at"], "block long, a long, b long, n long", work, each=True)
 
 
 def _triples(tables: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def _triples(tables: DataFrame) -> DataFrame:
                 out[name].append(x[on])
         return _flat(**out)
 
-    return arrow_map(tables, ["ids", "word_at", "pairs"], "a long, b long, c long, n long", work)
+    return arrow_map(tables, ["ids", "word_at", "pairs"], "a long, b long, c long, n long", work, each=True)
 
 
 def _flat(**columns: list[np.ndarray]) -> dict:
