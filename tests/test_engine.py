@@ -177,6 +177,18 @@ def test_notes_and_a_plain_function(spark):
     e = Engine(spark, Settings(box=Box(), proj_lon0=0.0, proj_lat0=0.0), count=True)
     e.coast(points(spark, (0, 0)), segs(spark, [(1, 1), (2, 2)]).limit(0))
     assert any("shoreline" in n for n in e.report.notes)
+    # without count, the writing job tells; nothing is known before
+    e = Engine(spark, Settings(box=Box(), proj_lon0=0.0, proj_lat0=0.0))
+    out = e.coast(points(spark, (0, 0), (0, 0), (90, 0), (float("nan"), 1)), segs(spark, [(1, 1), (2, 2)]))
+    assert e.report.rows == 0 and not e.report.notes
+    out.write.format("noop").mode("overwrite").save()
+    r = e.told()
+    assert (r.rows, r.unique, r.unresolved) == (4, 2, 0) and r.worst_distortion == pytest.approx(1 - math.sqrt(0.5)) and any("farthest" in n for n in r.notes)
+    e.coast(points(spark, (0, 0)), segs(spark, [(150, 1), (151, 2)]))
+    assert e.report.notes == []  # the crop is the globe
+    small = Engine(spark, settings(8, 31, 53, 66))
+    rows = small.run(points(spark, (20, 59)), sea_lookup(boxes(spark, ("X", None, 100, 0, 110, 9)))).collect()
+    assert rows[0].sea_name is None and any("sea areas within" in n for n in small.report.notes) and small.told().unresolved == 1
     fields = [T.StructField("half", T.DoubleType()), T.StructField("side", T.StringType())]
     got = Engine(spark).run(points(spark, (2, 4), (6, 8), (9, 9)), row_lookup(fields, lambda lon, lat: None if lon == lat else (lon / 2, "north" if lat > 5 else "south"))).collect()
     assert {r.longitude: r.side for r in got} == {2.0: "south", 6.0: "north", 9.0: None}

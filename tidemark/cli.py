@@ -197,10 +197,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if getattr(a, "dry_run", False):
             print(", ".join(f.name for x in lookups for f in x.outputs), "->", out)
             return 0
-        engine = E.Engine(spark, s, count=True)
+        engine = E.Engine(spark, s)
         write_table(engine.run(read_table(spark, a.input, a.in_format), *lookups), out, a.out_format, a.single_file)
         drop_staged(spark)
-        r = engine.report
+        r = engine.told()
         for note in r.notes:
             print(f"tidemark: {note}", file=sys.stderr)
         print(f"{r.rows} rows, {r.unique} locations, {r.unresolved} unresolved -> {out}", file=sys.stderr)

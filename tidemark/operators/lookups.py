@@ -98,6 +98,12 @@ def _descend(locs: DataFrame, refs: DataFrame, nodes: DataFrame, levels: int, ax
     return best.select(*keys, "_b.d2", "_b.rid")
 
 
+def counted(df: DataFrame, n: int | None) -> DataFrame:
+    """``df``, which remembers how many references it was answered from: the search counts them anyway."""
+    df.n_references = n
+    return df
+
+
 def nearest_points(locs: DataFrame, points: DataFrame) -> DataFrame:
     """Rows (keys, metres, rid): the nearest of ``points`` (rid, lon, lat) on the sphere.
 
@@ -111,11 +117,12 @@ def nearest_points(locs: DataFrame, points: DataFrame) -> DataFrame:
     axes = ["x", "y", "z"]
     refs = staged(refs.select("rid", F.lit(0).alias("rpid"), *[F.col(f"r{a}").alias(f"{side}_{a}") for a in axes for side in ("lo", "hi")]))
     turn = F.atan2("lo_y", "lo_x") / (2 * F.pi()) + 0.5
-    packed, nodes, levels = _packed(refs, axes, [turn, (F.col("lo_z") + 1) / 2], refs.count())
+    n = refs.count()
+    packed, nodes, levels = _packed(refs, axes, [turn, (F.col("lo_z") + 1) / 2], n)
     d2 = sum(((F.col(f"lo_{a}") - F.col(a)) ** 2 for a in axes[1:]), (F.col("lo_x") - F.col("x")) ** 2)
     at = locs.select(*KEYS, F.lit(0).alias("pid"), x.alias("x"), y.alias("y"), z.alias("z"))
     best = _descend(at, packed, nodes, levels, axes, d2, 2.0, KEYS)
-    return best.select(*KEYS, S.chord_metres(F.col("d2")).alias("metres"), "rid")
+    return counted(best.select(*KEYS, S.chord_metres(F.col("d2")).alias("metres"), "rid"), n)
 
 
 def nearest_segments(locs: DataFrame, segs: DataFrame, lon0=None, lat0=None) -> DataFrame:
@@ -149,7 +156,7 @@ def nearest_segments(locs: DataFrame, segs: DataFrame, lon0=None, lat0=None) ->
     packed, nodes, levels = _packed(refs, ["x", "y"], order, 2 * n)
     d2 = S.segment_distance2(F.col("x"), F.col("y"), *map(F.col, ends))
     best = _descend(at, packed, nodes, levels, ["x", "y"], d2, whole, [*KEYS, "pid"])
-    return best.select(*KEYS, F.sqrt("d2").alias("metres"), F.col("rid").alias("fid"))
+    return counted(best.select(*KEYS, F.sqrt("d2").alias("metres"), F.col("rid").alias("fid")), n)
 
 
 #: Cell sizes (degrees) for boxes: a feature is dealt at the smallest size that gives it few cells.
@@ -265,7 +272,7 @@ def locate(locs: DataFrame, features: DataFrame, lon0=None, lat0=None) -> DataFr
     rest = locs.join(held.select(*KEYS), KEYS, "left_anti")
     segs = G.segments(features) if not own else G._pairs(features, False, ["fid", "pid", "clon", "clat"])
     near = nearest_segments(rest, segs, lon0, lat0)
-    return held.select(*KEYS, "fid", "metres").union(near.select(*KEYS, "fid", "metres"))
+    return counted(held.select(*KEYS, "fid", "metres").union(near.select(*KEYS, "fid", "metres")), near.n_references)
 
 
 #: Tiles up to which a grid is told which ones to read; beyond, it is read between bounds.

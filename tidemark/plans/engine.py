@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import logging
+import math
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,7 +39,8 @@ class Lookup:
     ``find(locs, box, center)`` answers for one region; ``find_parts(locs, parts)`` for
     locations that carry pid, clon and clat, and adds ``shortfall`` (metres by which an
     answer reaches past its crop, infinite if nothing was found). Commands without a
-    region have no ``find_parts``.
+    region have no ``find_parts``. What ``find`` returns may carry ``n_references``, by what the
+    references are called: none left is told.
     """
 
     outputs: list[T.StructField]
@@ -49,6 +53,12 @@ class Lookup:
     vertices: list[tuple[DataFrame, float | None]] = field(default_factory=list)
 
 
+def _from(df: DataFrame, **found: DataFrame) -> DataFrame:
+    """``df``, with the numbers of references that its parts were answered from."""
+    df.n_references = {k.replace("_", " "): f.n_references for k, f in found.items()}
+    return df
+
+
 @dataclass
 class Report:
     rows: int = 0
@@ -83,7 +93,7 @@ def coast_lookup(shoreline: DataFrame, unit: str = "km", column: str = "dist_to_
 
     def find(locs: DataFrame, box: Box, center: tuple[float, float]) -> DataFrame:
         near = L.nearest_segments(locs, G.crop_segments(shoreline, box.grown(S.CROP_MARGIN_DEG)), *center)
-        return near.select(*KEYS, (F.col("metres") / scale).alias(column))
+        return _from(near.select(*KEYS, (F.col("metres") / scale).alias(column)), shoreline=near)
 
     def find_parts(locs: DataFrame, parts: DataFrame) -> DataFrame:
         crops = _crop_of(parts)
@@ -119,7 +129,7 @@ def sea_lookup(seas: DataFrame, column: str = "sea_name") -> Lookup:
 
     def find(locs: DataFrame, box: Box, center: tuple[float, float]) -> DataFrame:
         found = L.locate(locs, G.crop_features(seas, box.grown(S.CROP_MARGIN_DEG)), *center)
-        return found.join(names, "fid").select(*KEYS, column)
+        return _from(found.join(names, "fid").select(*KEYS, column), sea_areas=found)
 
     def find_parts(locs: DataFrame, parts: DataFrame) -> DataFrame:
         return _located(locs, seas, parts).join(names, "fid", "left").select(*KEYS, "pid", column, "shortfall")
@@ -151,10 +161,12 @@ def place_lookup(countries: DataFrame, municipalities: DataFrame | None = None,
 
     def find(locs: DataFrame, box: Box, center: tuple[float, float]) -> DataFrame:
         crop = box.grown(S.CROP_MARGIN_DEG)
-        out = L.locate(locs, G.crop_features(countries, crop), *center).join(c_names, "fid").select(*KEYS, "country", "country_code")
+        held = L.locate(locs, G.crop_features(countries, crop), *center)
+        out = held.join(c_names, "fid").select(*KEYS, "country", "country_code")
         if municipalities is None:
-            return out.withColumn("municipality", F.lit(None).cast("string"))
-        return out.join(muni(L.locate(locs, G.crop_features(municipalities, crop), *center), []), KEYS, "full")
+            return _from(out.withColumn("municipality", F.lit(None).cast("string")), countries=held)
+        near = L.locate(locs, G.crop_features(municipalities, crop), *center)
+        return _from(out.join(muni(near, []), KEYS, "full"), countries=held, municipalities=near)
 
     def find_parts(locs: DataFrame, parts: DataFrame) -> DataFrame:
         out = _located(locs, countries, parts).join(c_names, "fid", "left").select(*KEYS, "pid", "country", "country_code", "shortfall")
@@ -186,7 +198,7 @@ def nearest_lookup(points: DataFrame, lon_col: str = "longitude", lat_col: str =
 
     def find(locs: DataFrame, box: Box, center: tuple[float, float]) -> DataFrame:
         found = L.nearest_points(locs, refs)
-        return found.select(*KEYS, F.col("rid.name").alias(name_column), (F.col("metres") / scale).alias(dist_column))
+        return _from(found.select(*KEYS, F.col("rid.name").alias(name_column), (F.col("metres") / scale).alias(dist_column)), second_table=found)
 
     return Lookup([T.StructField(name_column, STRING), T.StructField(dist_column, DOUBLE)], find, references={"second table": (refs, None)})
 
@@ -249,14 +261,44 @@ def _reaching(x: Lookup, locs: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 class Engine:
-    """Runs lookups over a table of points. ``report`` tells about the last run; ``count`` fills it, at the price of jobs of its own."""
+    """Runs lookups over a table of points.
+
+    ``report`` tells about the last run. Its counts are gathered by the job that writes the
+    result, and are there shortly after that job is done (:meth:`told` waits for them). With ``count`` they are there when
+    :meth:`run` returns, at the price of jobs of their own.
+    """
 
     def __init__(self, spark: SparkSession, settings: Settings | None = None, count: bool = False):
-        self.spark, self.settings, self.count, self.report = spark, settings or Settings(), count, Report()
+        self.spark, self.settings, self.count, self._report, self._seen = spark, settings or Settings(), count, Report(), []
+
+    @property
+    def report(self) -> Report:
+        return self.told(0)
+
+    def told(self, seconds: float = 30) -> Report:
+        """The report, once the job that wrote the result has told its counts: shortly after it ended. Without such a job, what is known after ``seconds``."""
+        until = time.monotonic() + seconds
+        # one job gathers both, and tells of one before the other
+        while self._seen and not all(x._jo.future().isCompleted() for x in self._seen):
+            if time.monotonic() >= until:
+                return self._report
+            time.sleep(0.05)
+        seen, self._seen = self._seen, []
+        if seen:
+            self._take({k: v for x in seen for k, v in x.get.items()})
+        return self._report
+
+    def _take(self, found: dict) -> None:
+        r = self._report
+        r.rows, r.unique, r.unresolved = (found.get(k, getattr(r, k)) for k in ("rows", "unique", "unresolved"))
+        if found.get("far") is not None:
+            r.worst_distortion = abs(math.sqrt((1 + math.cos(found["far"] / S.MEAN_RADIUS)) / 2) - 1)
+            if r.worst_distortion >= S.DISTORTION_LIMIT:
+                self._note(f"the farthest location is {found['far'] / 1000:.0f} km from the projection center: distances there are off by {100 * r.worst_distortion:.1f}%")
 
     def run(self, df: DataFrame, *lookups: Lookup) -> DataFrame:
         """Append every lookup's columns: rows are reduced once, and each answer is joined back by key."""
-        s, self.report = self.settings, Report()
+        s, self._report, self._seen = self.settings, Report(), []
         outputs = [f for x in lookups for f in x.outputs]
         check_clashes(df, [f.name for f in outputs], s.overwrite)
         coordinate(df, s.lon_col), coordinate(df, s.lat_col)
@@ -266,49 +308,41 @@ class Engine:
         self.region = s
         keyed = with_keys(df, s.lon_col, s.lat_col, s.decimals)
         locs = unique_locations(keyed, s.decimals)
-        if self.count:
-            self.report.rows, self.report.unique = df.count(), locs.count()
-            for x in lookups:
-                self._tell_empty(x)
         if projected and s.partition:
             locs = staged(locs)
             owned, parts = P.partition(locs)
             owned = staged(owned)
             row = parts.agg(F.count("*").alias("n"), F.max("distortion").alias("d")).first()
-            self.report.parts, self.report.worst_distortion = row["n"], row["d"]
+            self._report.parts, self._report.worst_distortion = row["n"], row["d"]
             log.info("%d parts, worst distortion %.2f%%", row["n"], 100 * row["d"])
-        elif projected and self.count:
-            far, error = R.worst_distortion(locs, s.proj_lon0, s.proj_lat0)
-            self.report.worst_distortion = error
-            if error >= S.DISTORTION_LIMIT:
-                self._note(f"the farthest location is {far / 1000:.0f} km from the projection center: distances there are off by {100 * error:.1f}%")
         results = None
         for x in lookups:
             got = self._widened(x, owned, parts) if s.partition and x.find_parts else x.find(locs.select(*KEYS, "lon", "lat"), s.box, (s.proj_lon0, s.proj_lat0))
+            self._tell_empty(x, getattr(got, "n_references", {}))
             results = got if results is None else results.join(got, KEYS, "full")
-        out = join_back(keyed, results, outputs, s.null_floats)
+        # what there is to tell about locations and rows is summed where they pass anyway
+        empty = [F.isnan(f.name) | F.col(f.name).isNull() if isinstance(f.dataType, T.DoubleType) else F.col(f.name).isNull() for f in outputs]
+        far = [F.max(S.haversine(s.proj_lon0, s.proj_lat0, F.col("lon"), F.col("lat"))).alias("far")] if projected and not s.partition else []
+        told = [F.count("*").alias("unique"), F.count_if(reduce(Column.__and__, empty)).alias("unresolved"), *far]
+        answers = locs.join(results, KEYS, "left")
         if self.count:
-            empty = [F.isnan(f.name) | F.col(f.name).isNull() if isinstance(f.dataType, T.DoubleType) else F.col(f.name).isNull() for f in outputs]
-            hit = results.select(*KEYS, *[F.col(f.name) for f in outputs])
-            missing = locs.join(hit, KEYS, "left")
-            for e in empty:
-                missing = missing.where(e)
-            self.report.unresolved = missing.count()
-        return out
+            self._take(answers.agg(*told).first().asDict() | {"rows": df.count()})
+        elif not df.isStreaming:
+            self._seen = [Observation(), Observation()]
+            keyed, answers = keyed.observe(self._seen[0], F.count("*").alias("rows")), answers.observe(self._seen[1], *told)
+        return join_back(keyed, answers, outputs, s.null_floats)
 
     def _note(self, text: str) -> None:
-        self.report.notes.append(text)
+        self._report.notes.append(text)
         log.warning(text)
 
-    def _tell_empty(self, x: Lookup) -> None:
-        """A note for reference data of which nothing is there, or nothing in the crop."""
-        for what, (data, crop) in x.references.items():
-            if crop and not self.settings.partition:
-                box = self.region.box.grown(S.CROP_MARGIN_DEG)
-                if crop(data, box).isEmpty():
-                    self._note(f"no {what} within {box}: its columns stay empty")
-            elif data.isEmpty():
-                self._note(f"no {what}: its columns stay empty")
+    def _tell_empty(self, x: Lookup, found: dict[str, int]) -> None:
+        """A note for reference data of which nothing is there, or nothing in the crop: the search has counted it, but for parts."""
+        for what in x.references:
+            n = found.get(what)
+            if n == 0 or n is None and x.references[what][0].isEmpty():
+                within = f" within {self.region.box.grown(S.CROP_MARGIN_DEG)}" if n == 0 and x.projected else ""
+                self._note(f"no {what}{within}: its columns stay empty")
 
     def _widened(self, x: Lookup, locs: DataFrame, parts: DataFrame) -> DataFrame:
         """Answer part by part, each crop as wide as its locations need; crops that answers still reach past (across the seam) are widened and asked again."""
@@ -325,7 +359,7 @@ class Engine:
             done = settled.select(*KEYS, *names) if done is None else done.union(settled.select(*KEYS, *names))
             if not retry:
                 return done
-            self.report.rebuilds += len(retry)
+            self._report.rebuilds += len(retry)
             log.info("%d parts have answers beyond their crop, by up to %.0f km: widened", len(retry), max(r["short"] for r in retry) / 1000)
             for r in retry:
                 want = WIDEN_MAX_DEG if r["short"] == float("inf") else r["extra"] + r["short"] / S.METRES_PER_DEGREE * WIDEN_SLACK

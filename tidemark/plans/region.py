@@ -59,10 +59,3 @@ def settle(df: DataFrame, s: Settings) -> Settings:
     if spread:
         log.warning("the points are spread too widely for one projection (clustering %.2f of 1.00): partition the run", c["resultant"])
     return replace(s, box=box, proj_lon0=lon0, proj_lat0=lat0, auto=None)
-
-
-def worst_distortion(locs: DataFrame, lon0: float, lat0: float) -> tuple[float, float]:
-    """Metres of the location farthest from the centre, and the distance error there as a fraction."""
-    far = F.max(S.haversine(lon0, lat0, F.col("lon"), F.col("lat")))
-    row = locs.agg(far.alias("m")).select("m", F.abs(S.laea_error_at(F.col("m"))).alias("e")).first()
-    return row["m"] or 0.0, row["e"] or 0.0
