@@ -20,6 +20,8 @@ allows: a position that is unique at some length is unique at any greater one.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -133,6 +135,17 @@ def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def _listed(column: pa.Array, *fields: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """Row by row, the named fields of a column of lists of structs as arrays; a null list is empty."""
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = column.flatten()
+    flat = [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
+    low = 0
+    for end in ends.tolist():
+        yield tuple(x[low:end] for x in flat)
+        low = end
+
+
 def _longs(parts: list[np.ndarray]) -> pa.Array:
     return pa.array(np.concatenate([np.zeros(0, np.uint64), *parts]).view(np.int64))
 
@@ -174,16 +187,16 @@ def _ranked(picked: DataFrame, least: int, kind: str) -> DataFrame:
 
     def work(c: dict) -> dict:
         g, h, row, lo, hot, w = [], [], [], [], [], []
-        for i, (t, asked) in enumerate(zip(c["text"].to_pylist(), c["_at"].to_pylist(), strict=True)):
+        for i, (t, asked) in enumerate(zip(c["text"].to_pylist(), _listed(c["_at"], "g", "h", "lo", "n", "hot"), strict=True)):
             ranks = run_ranks(_bytes(t), least, _A[1])
-            for x in asked:
-                part = ranks[x["lo"] : x["lo"] + x["n"]]
+            for a, b, at, n, x in zip(*(v.tolist() for v in asked), strict=True):
+                part = ranks[at : at + n]
                 if len(part):
-                    g.append(x["g"])
-                    h.append(x["h"])
+                    g.append(a)
+                    h.append(b)
                     row.append(i)
-                    lo.append(x["lo"])
-                    hot.append(x["hot"])
+                    lo.append(at)
+                    hot.append(x)
                     w.append(part.tobytes())
         at = pa.array(row, pa.int64())
         return {"g": pa.array(g, pa.int64()), "h": pa.array(h, pa.int64()), "doc_id": c["doc_id"].take(at), "row": c["row"].take(at), "lo": pa.array(lo, pa.int32()), "hot": pa.array(hot, pa.bool_()), "w": pa.array(w, pa.binary())}
@@ -293,20 +306,19 @@ def remove_repeats(df: DataFrame, least: int = 100, doc_id: str = "doc_id", text
     scratch = Scratch(df.sparkSession, "repeats")
     docs = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), row_key(text).alias("row"))
     found = repeated_windows(docs.where("doc_id is not null"), scratch, least, most_in_task)
-    asked = scratch.cut(found.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.collect_set(F.struct("lo", "n")).alias("_at")))
+    asked = scratch.cut(found.distinct().groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.collect_list(F.struct("lo", "n")).alias("_at")))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def work(c: dict) -> dict:
         spans, kept = [], []
-        for t, at in zip(c["text"].to_pylist(), c["_at"].to_pylist(), strict=True):
+        for t, (lo, n) in zip(c["text"].to_pylist(), _listed(c["_at"], "lo", "n"), strict=True):
             data = _bytes(t)
-            if not at:
+            if not len(lo):
                 spans.append([])
                 kept.append(data.tobytes())
                 continue
             edges = np.zeros(len(data) + 1, np.int64)
-            lo = np.asarray([x["lo"] for x in at])
-            hi = np.minimum(lo + np.asarray([x["n"] for x in at]) + least - 1, len(data))
+            hi = np.minimum(lo.astype(np.int64) + n + least - 1, len(data))
             np.add.at(edges, lo, 1)
             np.add.at(edges, hi, -1)
             gone = np.cumsum(edges[:-1]) > 0
