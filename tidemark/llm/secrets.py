@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -51,10 +52,20 @@ def weak_parts(text: str) -> Iterator[tuple[int, int, str]]:
         yield from ((*m.span(), "opaque") for m in PARTS[0][1].finditer(text) if _DIGIT.search(m[1]) and _LETTER.search(m[1]))
 
 
-def apart(part: tuple[int, int, str], taken: set[tuple[int, int]]) -> bool:
-    """Whether a weak part isn't reported by certain spans: it overlaps none, or is an endpoint that has more than the span it holds."""
-    start, end, kind = part
-    return not any(s <= start and end <= e if kind == "endpoint" else s < end and start < e for s, e in taken)
+class Taken:
+    """Certain spans by start, with how far those that start no later reach: a weak part asks by bisection."""
+
+    def __init__(self, found: list[tuple[int, int, str]]):
+        self.starts, self.ends, top = [s for s, _, _ in found], [], 0
+        for _, e, _ in found:
+            top = max(top, e)
+            self.ends.append(top)
+
+    def apart(self, part: tuple[int, int, str]) -> bool:
+        """Whether a weak part isn't reported by certain spans: it overlaps none, or is an endpoint that has more than the span it holds."""
+        start, end, kind = part
+        k = bisect_right(self.starts, start) if kind == "endpoint" else bisect_left(self.starts, end)
+        return not k or (self.ends[k - 1] < end if kind == "endpoint" else self.ends[k - 1] <= start)
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,8 +81,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
         base = [base_spans(t) for t in all_texts]
         weak = []
         for t, known in zip(all_texts, base, strict=True):
-            taken = {(s, e) for s, e, _ in known}
-            weak.append([x for x in weak_parts(t) if apart(x, taken)])
+            taken = Taken(known)
+            weak.append([x for x in weak_parts(t) if taken.apart(x)])
         return {"doc_id": c[doc_id], "row": [hashlib.md5(t.encode()).hexdigest() for t in all_texts], "base": list(map(spans, base)), "weak": list(map(spans, weak))}
 
     return arrow_map(df, [doc_id, text], f"doc_id {kind}, row string, base {span}, weak {span}", work)
