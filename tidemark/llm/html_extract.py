@@ -42,6 +42,10 @@ _SIDE = (
 )
 _LAYOUT = r"site|page|main|top|bottom|left|right|global|primary|secondary|box|bar|list|links?|items?|posts?|articles?|stories|area|section|wrap|wrapper|container|block|content|inner|outer|row|col|slot|unit|form|buttons?|icons?|media|thread|text|\d+"
 NOT_ARTICLE = re.compile(rf"(?:(?:{_LAYOUT}|{_SIDE})[-_]+)*(?:{_SIDE})(?:[-_]+(?:{_LAYOUT}|{_SIDE}))*", re.I)
+#: Words that prose inside an article may carry as well: they need a second sign, text that is all links.
+_WEAK = re.compile(r"(?:share|promo\w*|notices?|alert|search|widgets?)", re.I)
+#: Siblings that may repeat as a group.
+GROUP = 8
 _TOKEN = re.compile(r"<(?:!--(?:.*?-->|.*\Z)|(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[!?][^>]*(?:>|\Z))", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -124,6 +128,12 @@ def named_aside(node: Node, inside: bool) -> bool:
     return any(NOT_ARTICLE.fullmatch(n) for n in node.names.split())
 
 
+def weakly_named(node: Node) -> bool:
+    """Whether all names that say so are such as prose may carry."""
+    names = [n for n in node.names.split() if NOT_ARTICLE.fullmatch(n)]
+    return all(_WEAK.fullmatch(n) for n in names)
+
+
 def regions(root: Node) -> list[Node]:
     """The outermost article elements that aren't in a dropped part, else main, else everything."""
 
@@ -144,18 +154,22 @@ def regions(root: Node) -> list[Node]:
 
 
 class Block:
-    """A text, the elements it lies in (outermost first, the block element last), the outermost of them named as a side part, and whether an article or main element holds it."""
+    """A text, the elements it lies in (outermost first, the block element last), the outermost of them named as a side part, and whether an article or main element holds it.
+
+    A name that prose in an article may carry as well counts only where the text is all links.
+    """
 
     __slots__ = ("text", "path", "aside", "inside")
 
-    def __init__(self, text: str, path: list[Node], aside: Node | None, inside: bool):
-        self.text, self.path, self.aside, self.inside = text, path, aside, inside
+    def __init__(self, text: str, path: list[Node], asides: list[Node], inside: bool, linked: bool):
+        self.text, self.path, self.inside = text, path, inside
+        self.aside = next((a for a in asides if not inside or linked or not weakly_named(a)), None)
 
 
 def blocks(root: Node) -> list[Block]:
     """Blocks in page order; white space is one space, trimmed, empty blocks left out. Parts that a tag or role rules out give none."""
     out: list[Block] = []
-    pending: list[str] = []
+    pending: list[tuple[str, bool]] = []  # text, and whether it is in a link
 
     for region in regions(root):
         # an explicit stack: pages may nest deeper than Python recurses
@@ -164,24 +178,24 @@ def blocks(root: Node) -> list[Block]:
         inside = region.tag != "#root"
 
         def flush(stack=stack, asides=asides, inside=inside) -> None:
-            text = " ".join("".join(pending).split())
+            text, linked = " ".join("".join(x for x, _ in pending).split()), all(link or x.isspace() for x, link in pending)
             pending.clear()
             if text:
                 path = [n for n, _ in stack]
                 while path[-1].tag in INLINE and len(path) > 1:
                     path.pop()
-                out.append(Block(text, path, asides[0] if asides else None, inside))
+                out.append(Block(text, path, asides, inside, linked))
 
         while stack:
             node, kids = stack[-1]
             for k in kids:
                 if isinstance(k, str):
-                    pending.append(k)
+                    pending.append((k, any(n.tag == "a" for n, _ in stack)))
                 elif k.tag in ("br", "hr", "img", "wbr"):
                     if k.tag == "hr":
                         flush()
                     elif k.tag == "br":
-                        pending.append(" ")
+                        pending.append((" ", False))
                 elif not_article(k, inside):
                     if k.tag not in INLINE:
                         flush()
@@ -202,23 +216,46 @@ def blocks(root: Node) -> list[Block]:
     return out
 
 
+def _folded(shapes: list[str]) -> list[int]:
+    """For each of some siblings the place of the one that stands for it: a group of up to GROUP siblings that repeats is told once.
+
+    A started repeat at the end counts if the group has repeated before.
+    """
+    kept: list[int] = []
+    place: list[int] = []
+    at, again = 0, 0
+    while at < len(shapes):
+        left = len(shapes) - at
+        for size in range(1, min(GROUP, len(kept)) + 1):
+            n = min(size, left)
+            if (n == size or again == size) and all(shapes[at + t] == shapes[kept[t - size]] for t in range(n)):
+                place += kept[-size:][:n]
+                at, again = at + n, size
+                break
+        else:
+            kept.append(at)
+            place.append(at)
+            at, again = at + 1, 0
+    return place
+
+
 def skeleton(root: Node) -> tuple[str, dict[int, int]]:
     """The element structure as text, and the number of each element's skeleton node (in preorder) by id().
 
-    Neighbouring siblings of one structure are one node, so lists and runs of paragraphs
-    have the same skeleton whatever their length. Deep nesting is cut at 60 levels.
+    Neighbouring siblings of one structure are one node, and so are groups that repeat
+    (terms and definitions, rows of two colours), so that lists and runs of paragraphs have
+    the same skeleton whatever their length. Deep nesting is cut at 60 levels: what lies
+    deeper has no node, and its text is never template.
     """
     shape: dict[int, str] = {}
+    kids: dict[int, list[tuple[Node, int]]] = {}
 
     def shaped(node: Node, depth: int) -> str:
-        parts: list[str] = []
-        if depth < 60:
-            for k in node.kids:
-                if isinstance(k, Node) and k.tag not in RAW and k.tag not in INLINE and k.tag not in VOID and k.tag != "head":
-                    s = shaped(k, depth + 1)
-                    if not parts or parts[-1] != s:
-                        parts.append(s)
-        shape[id(node)] = text = re.sub(r"[(),]", "_", node.label) + "(" + ",".join(parts) + ")"
+        own = [k for k in node.kids if isinstance(k, Node) and k.tag not in RAW and k.tag not in INLINE and k.tag not in VOID and k.tag != "head"] if depth < 60 else []
+        shapes = [shaped(k, depth + 1) for k in own]
+        place = _folded(shapes)
+        kids[id(node)] = list(zip(own, place, strict=True))
+        shape[id(node)] = text = re.sub(r"[(),]", "_", node.label) + "(" + ",".join(shapes[i] for i in dict.fromkeys(place)) + ")"
         return text
 
     whole = shaped(root, 0)
@@ -226,15 +263,13 @@ def skeleton(root: Node) -> tuple[str, dict[int, int]]:
 
     def count(node: Node, at: int) -> int:
         """Number ``node`` at ``at``; the next free number."""
-        number[id(node)], free, last = at, at + 1, None
-        for k in node.kids:
-            if isinstance(k, Node) and id(k) in shape:
-                s = shape[id(k)]
-                if s == last[0] if last else False:
-                    count(k, last[1])
-                else:
-                    last = (s, free)
-                    free = count(k, free)
+        number[id(node)], free, first = at, at + 1, {}
+        for k, place in kids.get(id(node), ()):
+            if place in first:
+                count(k, first[place])
+            else:
+                first[place] = free
+                free = count(k, free)
         return free
 
     count(root, 0)
@@ -258,23 +293,46 @@ def _tree(text: str) -> list[tuple[str, list[int]]]:
 
 @lru_cache(maxsize=4096)
 def align(page: str, wrapper: str) -> dict[int, int]:
-    """Simple tree matching: the largest order-preserving match of two skeletons, page node to wrapper node."""
+    """Simple tree matching: the largest order-preserving match of two skeletons, page node to wrapper node.
+
+    Equal subtrees at the same end of two lists of children match as a whole, so that only
+    the differing middles are held against one another.
+    """
     if page == wrapper:
         return {i: i for i in range(page.count("("))}
     a, b = _tree(page), _tree(wrapper)
+    known: dict[tuple, int] = {}
+    kinds = []
+    for tree in (a, b):
+        kind = [0] * len(tree)
+        for i in reversed(range(len(tree))):
+            kind[i] = known.setdefault((tree[i][0], *(kind[k] for k in tree[i][1])), len(known))
+        kinds.append(kind)
+    ends_a = _sizes(a)
     memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
 
     def match(i: int, j: int) -> tuple[int, list[tuple[int, int]]]:
         if a[i][0] != b[j][0]:
             return 0, []
+        if kinds[0][i] == kinds[1][j]:
+            return ends_a[i], []
         if (i, j) not in memo:
-            ka, kb = a[i][1], b[j][1]
+            ka, kb, pairs, more = a[i][1], b[j][1], [], 0
+            low, high = 0, 0
+            while low < min(len(ka), len(kb)) and kinds[0][ka[low]] == kinds[1][kb[low]]:
+                low += 1
+            while high < min(len(ka), len(kb)) - low and kinds[0][ka[-1 - high]] == kinds[1][kb[-1 - high]]:
+                high += 1
+            for x, y in [*zip(ka[:low], kb[:low], strict=True), *zip(ka[len(ka) - high :], kb[len(kb) - high :], strict=True)]:
+                pairs.append((x, y))
+                more += ends_a[x]
+            ka, kb = ka[low : len(ka) - high], kb[low : len(kb) - high]
             w = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
             s = [[match(x, y)[0] for y in kb] for x in ka]
             for x in range(len(ka)):
                 for y in range(len(kb)):
                     w[x + 1][y + 1] = max(w[x][y + 1], w[x + 1][y], w[x][y] + s[x][y])
-            x, y, pairs = len(ka), len(kb), []
+            x, y = len(ka), len(kb)
             while x and y:
                 if w[x][y] == w[x - 1][y]:
                     x -= 1
@@ -283,17 +341,28 @@ def align(page: str, wrapper: str) -> dict[int, int]:
                 else:
                     x, y = x - 1, y - 1
                     pairs.append((ka[x], kb[y]))
-            memo[i, j] = 1 + w[-1][-1], pairs
+            memo[i, j] = 1 + more + w[-1][-1], pairs
         return memo[i, j]
 
     found, todo = {}, [(0, 0)] if match(0, 0)[0] else []
     while todo:
         i, j = todo.pop()
+        if kinds[0][i] == kinds[1][j]:  # all below matches as it stands
+            found.update(zip(range(i, i + ends_a[i]), range(j, j + ends_a[i]), strict=True))
+            continue
         found[i] = j
         todo += memo[i, j][1]
     return found
 
 
+def _sizes(tree: list[tuple[str, list[int]]]) -> list[int]:
+    """Nodes of the subtree of each node."""
+    out = [1] * len(tree)
+    for i in reversed(range(len(tree))):
+        out[i] += sum(out[k] for k in tree[i][1])
+    return out
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 3) - (1 << 63)
 
