@@ -219,3 +219,13 @@ def test_scores_are_exact_beyond_64_bits(spark):
         rows.append((a, rng.randrange(a, 10**15), rng.randrange(a, min(10**15, 3 * a + 2))))
     got = spark.createDataFrame(rows, "a long, l long, r long").select("a", "l", "r", phrases.score(F.col("a"), F.col("l"), F.col("r")).alias("s")).collect()
     assert all(x.s == 1_000_000 * x.a**2 // (x.l * x.r) for x in got)
+
+
+@pytest.mark.parametrize("name", ["quality_counts", "personal_counts", "secret_counts"])
+def test_counts_are_those_of_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.sql(queries.ORACLE_SQL[name])
+    got = queries.QUERIES[name](spark, SF)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())

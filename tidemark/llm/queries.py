@@ -99,7 +99,22 @@ def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_prefix_doubling, op4_toxicity, op5_html, op6_simhash, op7_secrets, op8_cotraining, op9_line_dedup, op10_quality_rules, op11_anchors, op12_phrases, op13_runs)}
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10 counts, without its verdict: SQL can tell this part."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def personal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many certain spans op11 finds of each kind."""
+    return op11_anchors(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many certain spans op7 finds of each kind."""
+    return op7_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_prefix_doubling, op4_toxicity, op5_html, op6_simhash, op7_secrets, op8_cotraining, op9_line_dedup, op10_quality_rules, op11_anchors, op12_phrases, op13_runs, quality_counts, personal_counts, secret_counts)}
 
 _OP12 = r"""
 WITH pieces AS (
@@ -140,5 +155,46 @@ SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BI
 FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
 
+_QUALITY = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) >= 2),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, generate_series(0, 4) s(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, l FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY doc_id),
+c AS (SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c
+"""
+
+_PERSONAL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ips AS (SELECT doc_id, k, max(coalesce(try_cast(p AS HUGEINT), 999)) AS top FROM
+  (SELECT doc_id, k, unnest(string_split(x, '.')) AS p FROM
+    (SELECT doc_id, unnest(m) AS x, unnest(generate_series(1, len(m))) AS k FROM (SELECT doc_id, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS m FROM d))) GROUP BY doc_id, k),
+runs AS (SELECT doc_id, unnest(m) AS x, unnest(generate_series(1, len(m))) AS k FROM (SELECT doc_id, regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+') AS m FROM d)),
+digits AS (SELECT doc_id, k, regexp_replace(x, '[^0-9]', '', 'g') AS g FROM runs),
+luhn AS (SELECT doc_id, k, sum(CASE WHEN i % 2 = 0 THEN v WHEN v > 4 THEN 2 * v - 9 ELSE 2 * v END) AS total FROM
+  (SELECT doc_id, k, i, CAST(g[length(g) - i] AS INTEGER) AS v FROM (SELECT doc_id, k, g, unnest(generate_series(0, length(g) - 1)) AS i FROM digits WHERE length(g) BETWEEN 12 AND 19)) GROUP BY doc_id, k),
+phones AS (SELECT doc_id, length(regexp_replace(x, '[^0-9]', '', 'g')) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')) AS x FROM d)),
+a AS (SELECT doc_id, count(*) AS n FROM ips WHERE top < 256 GROUP BY doc_id), b AS (SELECT doc_id, count(*) AS n FROM luhn WHERE total % 10 = 0 GROUP BY doc_id), c AS (SELECT doc_id, count(*) AS n FROM phones WHERE n BETWEEN 9 AND 15 GROUP BY doc_id)
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email, coalesce(a.n, 0) AS n_ip, coalesce(b.n, 0) AS n_card, coalesce(c.n, 0) AS n_phone
+FROM d LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+_SECRETS = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT doc_id, unnest(regexp_extract_all(t, '({_either_case("password|passwd|secret|token|api_?key")})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) AS m, 'assign' AS kind, 6 AS least FROM d
+  UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, 'AKIA[A-Z0-9]+')), 'access', 20 FROM d UNION ALL SELECT doc_id, unnest(regexp_extract_all(t, '[0-9a-f]+')), 'hex', 24 FROM d),
+n AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS b, count(*) FILTER (WHERE kind = 'hex') AS c FROM x WHERE length(m) >= least GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex FROM d LEFT JOIN n USING (doc_id)
+"""
+
 #: DuckDB SQL where it can express a query on whole tables in reasonable time.
-ORACLE_SQL: dict[str, str] = {"op12_phrases": _OP12}
+ORACLE_SQL: dict[str, str] = {"op12_phrases": _OP12, "quality_counts": _QUALITY, "personal_counts": _PERSONAL, "secret_counts": _SECRETS}
