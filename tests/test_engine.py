@@ -17,7 +17,7 @@ from tidemark.operators.locations import unique_locations, with_keys
 from tidemark.plans import region as R
 from tidemark.plans.engine import Engine, coast_lookup, custom_lookup, place_lookup, row_lookup, sea_lookup
 from tidemark.plans.settings import Box, Overrides, Settings
-from tidemark.sources.features import read_features, read_shoreline
+from tidemark.sources.features import read_features, read_geojson, read_shoreline
 from tidemark.sources.netcdf import _Reader, read_grid, write_grid, write_tiles
 from tidemark.sources.shapefile import write_shapefile
 from tidemark.streaming.enrich import enrich_stream
@@ -299,6 +299,37 @@ def test_regions_from_geojson(spark, tmp_path):
         read_features(spark, f"{tmp_path}/c.gpkg")
 
 
+def test_geojson_is_read_in_ranges(spark, tmp_path):
+    """Many tasks for one file, the features of a whole read; where the word is inside a property or the type comes last, a whole read."""
+    import json
+
+    rng = random.Random(13)
+
+    def feature(k, **more):
+        x, y = rng.uniform(-170, 160), rng.uniform(-80, 70)
+        ring = [[x, y], [x + 5, y], [x + 5, y + 5], [x, y]]
+        return {"type": "Feature", "properties": {"NAME": f"n {k}", **more}, "geometry": {"type": "Polygon", "coordinates": [ring]} if k % 3 else {"type": "MultiPolygon", "coordinates": [[ring], [ring]]}}
+
+    parts = [feature(k) for k in range(3000)]
+    turned = [{k: f[k] for k in ("properties", "geometry", "type")} for f in parts[:50]]
+    files = {"plain": (parts, None), "lined": (parts, 1), "word": ([feature(1, kind="Feature"), *parts[:9]], None), "nested": ([feature(1, kind={"type": "Feature"}), *parts[:9]], None), "turned": (turned, 2), "none": ([], None)}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    try:
+        for name, (some, indent) in files.items():
+            (tmp_path / f"{name}.json").write_text(json.dumps({"type": "FeatureCollection", "name": "x", "features": some, "bbox": [1, 2, 3, 4]}, indent=indent))
+            f = read_geojson(spark, f"{tmp_path}/{name}.json")
+            got = f.collect()
+            rows = sum(2 if x["geometry"]["type"] == "MultiPolygon" else 1 for x in some)
+            assert len(got) == rows == len({r.fid for r in got})
+            assert sorted({r.name for r in got}) == sorted({x["properties"]["NAME"] for x in some})
+            if name in ("plain", "lined"):
+                assert f.rdd.getNumPartitions() >= 8 and got == f.collect()
+                assert [r.name for r in sorted(got, key=lambda r: r.fid)] == [x["properties"]["NAME"] for x in some for _ in range(2 if x["geometry"]["type"] == "MultiPolygon" else 1)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_shapefile(spark, tmp_path):
     ring = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
     hole = [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import engine as E
 from tidemark.plans.settings import Overrides, region_names, resolve
-from tidemark.plans.staging import drop_staged
+from tidemark.plans.staging import MADE, drop_staged
 from tidemark.sources.tables import FORMATS, default_output, read_table, write_table
 
 SHELLS = ("bash", "zsh", "fish", "elvish", "powershell")
@@ -193,13 +193,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         given = Overrides(*[getattr(a, n) for n in ("min_lon", "max_lon", "min_lat", "max_lat", "proj_lon0", "proj_lat0")]) if has_region else None
         s = resolve(a.region if has_region else None, given, a.config, has_region and a.partition, lon_col=a.lon_col, lat_col=a.lat_col, decimals=a.decimals, overwrite=a.overwrite)
         out = a.output or default_output(a.input, "enriched" if a.command == "enrich" else a.command, a.in_format)
+        before = len(MADE)
         lookups = _lookups(spark, a)
         if getattr(a, "dry_run", False):
             print(", ".join(f.name for x in lookups for f in x.outputs), "->", out)
             return 0
         engine = E.Engine(spark, s)
-        write_table(engine.run(read_table(spark, a.input, a.in_format), *lookups), out, a.out_format, a.single_file)
-        drop_staged(spark)
+        try:
+            write_table(engine.run(read_table(spark, a.input, a.in_format), *lookups), out, a.out_format, a.single_file)
+        finally:  # the tables of this run only: the session may hold others' results
+            drop_staged(spark, before)
         r = engine.told()
         for note in r.notes:
             print(f"tidemark: {note}", file=sys.stderr)

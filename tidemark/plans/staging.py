@@ -26,8 +26,13 @@ def _staging(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tidemark/{spark.sparkContext.applicationId}"
 
 
+#: What this process has staged, in order.
+MADE: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     path = f"{_staging(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -35,6 +40,7 @@ def staged(df: DataFrame) -> DataFrame:
 def staged_lines(df: DataFrame) -> str:
     """Where the lines of a one-column table were staged as text."""
     path = f"{_staging(df.sparkSession)}/lines-{uuid.uuid4().hex}"
+    MADE.append(path)
     df.write.text(path)
     return path
 
@@ -45,7 +51,9 @@ def hadoop(spark: SparkSession, path: str):
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete this application's staged tables. Results not yet written that build on them can't be computed any more."""
-    fs, where = hadoop(spark, _staging(spark))
-    fs.delete(where, True)
+def drop_staged(spark: SparkSession, since: int = 0) -> None:
+    """Delete what this process has staged since ``MADE`` held so many tables. Results not yet written that build on them can't be computed any more."""
+    gone, MADE[since:] = MADE[since:], []
+    for path in gone:
+        fs, where = hadoop(spark, path)
+        fs.delete(where, True)

@@ -65,6 +65,14 @@ def points_sql(name: str, table: str = "customer", *more: str) -> str:
     return f"{name} AS (SELECT CAST({id_} AS BIGINT) AS id, {''.join(m + ', ' for m in more)}{lon} AS longitude, {lat} AS latitude FROM {table})"
 
 
+def squeezed(df: DataFrame) -> DataFrame:
+    """All rows of ``df``, drawn together to a third of the globe's width and half its height."""
+    return df.withColumns({"longitude": F.col("longitude") / 3.0, "latitude": F.col("latitude") / 2.0})
+
+
+SQUEEZED = f"{points_sql('pts')}, local AS (SELECT id, longitude / 3.0::DOUBLE AS longitude, latitude / 2.0::DOUBLE AS latitude FROM pts)"
+
+
 def local(df: DataFrame) -> DataFrame:
     return df.where(S.in_box(F.col("longitude"), F.col("latitude"), BOX))
 
@@ -533,10 +541,11 @@ def _arc_sql(iv: str, by: str) -> str:
 _SPLIT = "SELECT k, s, least(s + len, 360) AS e FROM i UNION ALL SELECT k, 0::DOUBLE AS s, s + len - 360 AS e FROM i WHERE s + len > 360"
 
 
-@query(f"WITH {SUP}, i AS (SELECT 1 AS k, (longitude % 360 + 360) % 360 AS s, 0::DOUBLE AS len FROM sup WHERE longitude BETWEEN 20 AND 90 OR longitude < -170 OR longitude BETWEEN -60 AND -20), v AS (SELECT k, s, s AS e FROM i), {_arc_sql('v', 'k')} SELECT round(min_lon, 6) AS min_lon, round(max_lon, 6) AS max_lon, min_lon > max_lon AS crosses FROM arc")
+@query(f"WITH {SQUEEZED}, i AS (SELECT 1 AS k, ((longitude + 180) % 360 + 360) % 360 AS s, 0::DOUBLE AS len FROM local), v AS (SELECT k, s, s AS e FROM i), {_arc_sql('v', 'k')} SELECT round(min_lon, 6) AS min_lon, round(max_lon, 6) AS max_lon, min_lon > max_lon AS crosses FROM arc")
 def covering_arc(spark, sf):
-    df = points(spark, sf, "supplier").where("longitude between 20 and 90 or longitude < -170 or longitude between -60 and -20")
-    return G.covering_arc(df, F.col("longitude"), F.col("longitude"), []).select(F.round("min_lon", 6).alias("min_lon"), F.round("max_lon", 6).alias("max_lon"), F.col("crosses_antimeridian").alias("crosses"))
+    """An arc of all customers that lies across the antimeridian."""
+    df, lon = squeezed(points(spark, sf)), F.col("longitude") + 180.0
+    return G.covering_arc(df, lon, lon, []).select(F.round("min_lon", 6).alias("min_lon"), F.round("max_lon", 6).alias("max_lon"), F.col("crosses_antimeridian").alias("crosses"))
 
 
 @query(f"WITH {features_sql('f')}, p AS (SELECT r.r_name AS k, (alon % 360 + 360) % 360 AS a, (blon % 360 + 360) % 360 AS b FROM f_e JOIN nation n ON n.n_nationkey = fid JOIN region r ON r.r_regionkey = n.n_regionkey), i AS (SELECT k, CASE WHEN ((b - a) % 360 + 360) % 360 <= 180 THEN a ELSE b END AS s, CASE WHEN ((b - a) % 360 + 360) % 360 <= 180 THEN ((b - a) % 360 + 360) % 360 ELSE 360 - ((b - a) % 360 + 360) % 360 END AS len FROM p), v AS ({_SPLIT}), {_arc_sql('v', 'k')} SELECT k AS name, min_lon, max_lon, min_lon > max_lon AS crosses FROM arc")
@@ -551,26 +560,26 @@ def regions_from_features(spark, sf):
     return Engine(spark).regions(features(spark, sf))
 
 
-@query(f"WITH {BOXED}, e AS (SELECT min(longitude) AS w, max(longitude) AS x, min(latitude) AS s, max(latitude) AS n FROM local) SELECT w - 5 AS min_lon, x + 5 AS max_lon, s - 5 AS min_lat, n + 5 AS max_lat FROM e")
+@query(f"WITH {SQUEEZED}, e AS (SELECT min(longitude) AS w, max(longitude) AS x, min(latitude) AS s, max(latitude) AS n FROM local) SELECT w - 5 AS min_lon, x + 5 AS max_lon, s - 5 AS min_lat, n + 5 AS max_lat FROM e")
 def auto_bbox(spark, sf):
     from tidemark.plans.settings import Overrides
 
-    b = R.settle(local(points(spark, sf)), Settings(auto=Overrides())).box
+    b = R.settle(squeezed(points(spark, sf)), Settings(auto=Overrides())).box
     return spark.createDataFrame([(b.min_lon, b.max_lon, b.min_lat, b.max_lat)], "min_lon double, max_lon double, min_lat double, max_lat double").select(*[F.round(c, 9).alias(c) for c in ("min_lon", "max_lon", "min_lat", "max_lat")])
 
 
 ORACLE_SQL["auto_bbox"] = ORACLE_SQL["auto_bbox"].replace("w - 5", "round(w - 5, 9)").replace("x + 5", "round(x + 5, 9)").replace("s - 5", "round(s - 5, 9)").replace("n + 5", "round(n + 5, 9)")
 
 
-@query(f"WITH {BOXED}, m AS (SELECT avg({_X}) AS x, avg({_Y}) AS y, avg({_Z}) AS z FROM local), r AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM m) SELECT round(degrees(atan2(y, x)), 6) AS lon0, round(degrees(asin(z / r)), 6) AS lat0, round(r, 6) AS resultant FROM r")
+@query(f"WITH {SQUEEZED}, m AS (SELECT avg({_X}) AS x, avg({_Y}) AS y, avg({_Z}) AS z FROM local), r AS (SELECT *, sqrt(x * x + y * y + z * z) AS r FROM m) SELECT round(degrees(atan2(y, x)), 6) AS lon0, round(degrees(asin(z / r)), 6) AS lat0, round(r, 6) AS resultant FROM r")
 def spherical_center(spark, sf):
-    c = R.spherical_center(local(points(spark, sf)), F.col("longitude"), F.col("latitude"))
+    c = R.spherical_center(squeezed(points(spark, sf)), F.col("longitude"), F.col("latitude"))
     return c.select(F.round("lon0", 6).alias("lon0"), F.round("lat0", 6).alias("lat0"), F.round("resultant", 6).alias("resultant"))
 
 
-@query(f"WITH {BOXED} SELECT round(max({haversine_sql('10.0::DOUBLE', '10.0::DOUBLE', 'longitude', 'latitude')}), 3) AS metres FROM local")
+@query(f"WITH {PTS} SELECT round(max({haversine_sql('10.0::DOUBLE', '10.0::DOUBLE', 'longitude', 'latitude')}), 3) AS metres FROM pts")
 def max_center_distance(spark, sf):
-    return local(points(spark, sf)).agg(F.round(F.max(S.haversine(*CENTER, F.col("longitude"), F.col("latitude"))), 3).alias("metres"))
+    return points(spark, sf).agg(F.round(F.max(S.haversine(*CENTER, F.col("longitude"), F.col("latitude"))), 3).alias("metres"))
 
 
 # --- partitions -------------------------------------------------------------------------
@@ -643,10 +652,11 @@ def features_from_geojson(spark, sf):
     from tidemark.sources.features import read_geojson
 
     f = features(spark, sf)
-    ring = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(F.struct(F.lit("Feature").alias("type"), F.struct(F.col("name").alias("NAME")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.transform("rings", lambda r: F.transform(r, lambda v: F.array(v["lon"], v["lat"]))).alias("coordinates")).alias("geometry"))).alias("features")))
+    ring = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("name").alias("NAME")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.transform("rings", lambda r: F.transform(r, lambda v: F.array(v["lon"], v["lat"]))).alias("coordinates")).alias("geometry"))
+    whole = f.agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(ring).alias("features"))).alias("value"))
     path = f"{shared_dir(spark)}/tidemark/geo-{uuid.uuid4().hex}"
-    f.select(ring.alias("value")).write.text(path)
-    return read_geojson(spark, path, "NAME", multi_line=False).select("name", "xmin", "xmax", "ymin", "ymax")
+    whole.write.text(path)
+    return read_geojson(spark, path, "NAME").select("name", "xmin", "xmax", "ymin", "ymax")
 
 
 def _folder(spark: SparkSession) -> str:
@@ -656,34 +666,40 @@ def _folder(spark: SparkSession) -> str:
     return path
 
 
-def _shapes(spark: SparkSession) -> str:
-    """A small shapefile: boxes by formula."""
+def _shapes(spark: SparkSession, sf: str) -> str:
+    """The nations as a shapefile (a format for a handful of shapes, written by the driver), in order of their ids."""
     from tidemark.sources.shapefile import write_shapefile
 
     folder = _folder(spark)
-    rows = [([[(float(i), 0.0), (i + 0.5, 0.0), (i + 0.5, 0.5 + i), (float(i), 0.5 + i), (float(i), 0.0)]], {"NAME": f"box {i}", "CODE": f"B{i}"}) for i in range(20)]
+    rows = [([[(v["lon"], v["lat"]) for v in ring] for ring in r["rings"]], {"NAME": r["name"], "CODE": r["code"] or ""}) for r in features(spark, sf).orderBy("fid").toLocalIterator()]
     write_shapefile(f"{folder}/GSHHS_f_L1.shp", rows)
     return folder
 
 
-@query("SELECT 'box ' || i AS name, CAST(i AS DOUBLE) AS xmin, i + 0.5::DOUBLE AS xmax, 0.5::DOUBLE + i AS ymax FROM range(20) t(i)")
+@query(f"WITH {features_sql('f')} SELECT name, code, xmin, xmax, ymin, ymax FROM f_b")
 def features_from_shp(spark, sf):
     from tidemark.sources.features import read_shapefile
 
-    return read_shapefile(spark, f"{_shapes(spark)}/GSHHS_f_L1.shp", ["NAME"]).select("name", "xmin", "xmax", "ymax")
+    return read_shapefile(spark, f"{_shapes(spark, sf)}/GSHHS_f_L1.shp", ["NAME"], ["CODE"]).select("name", "code", "xmin", "xmax", "ymin", "ymax")
 
 
-@query("SELECT CAST(i + 1 AS BIGINT) AS fid, CAST(4 AS BIGINT) AS n FROM range(20) t(i)")
+@query(f"WITH {features_sql('f')} SELECT (SELECT count(*) FROM nation WHERE n_nationkey <= fid) AS fid, alon, alat, blon, blat FROM f_e")
 def segments_from_shp(spark, sf):
     from tidemark.sources.features import read_shoreline
 
-    return read_shoreline(spark, _shapes(spark)).groupBy("fid").agg(F.count("*").alias("n"))
+    return read_shoreline(spark, _shapes(spark, sf))
+
+
+_CELLS = "CASE WHEN c_custkey % 3 = 0 THEN -1 ELSE 1 END * (c_custkey % 9000)"
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(-(i * 100 + j * 10 + 5) AS DOUBLE) AS elevation FROM range(3) a(i), range(4) b(j)")
+@query(f"WITH g AS (SELECT c_custkey % 30 AS i, c_nationkey AS j, max({_CELLS}) AS e FROM customer GROUP BY ALL) SELECT CAST(a.i AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, CAST(coalesce(g.e, 0) AS DOUBLE) AS elevation FROM range(30) a(i) CROSS JOIN range(25) b(j) LEFT JOIN g ON g.i = a.i AND g.j = b.j")
 def grid_from_netcdf(spark, sf):
+    """Customers summed into a grid of 30 by 25 cells, written as NetCDF and read again."""
     from tidemark.sources.netcdf import read_grid, write_grid
 
     path = f"{_folder(spark)}/grid.nc"
-    write_grid(path, [0.0, 1.0, 2.0], [10.0, 11.0, 12.0, 13.0], [[-(i * 100 + j * 10 + 5) for j in range(4)] for i in range(3)])
+    cells = spark.read.parquet(f"{sf}/customer.parquet").groupBy(F.expr("cast(c_custkey % 30 as int)").alias("i"), F.col("c_nationkey").cast("int").alias("j")).agg(F.expr(f"max({_CELLS})").cast("double").alias("e"))
+    known = {(r["i"], r["j"]): r["e"] for r in cells.toLocalIterator()}  # at most 750
+    write_grid(path, [float(i) for i in range(30)], [10.0 + j for j in range(25)], [[known.get((i, j), 0.0) for j in range(25)] for i in range(30)])
     return read_grid(spark, path)[0].drop("tile")
