@@ -337,6 +337,12 @@ def test_shapefile(spark, tmp_path):
     f = read_features(spark, f"{tmp_path}/GSHHS_f_L1.shp")
     assert [(r.name, len(r.rings), r.xmax) for r in f.collect()] == [("A", 2, 4.0)]
     assert read_shoreline(spark, str(tmp_path)).count() == 12
+    # a store that only Spark's file systems open
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shapes.link./in", f"file://{tmp_path}")
+    far = read_features(spark, "viewfs://shapes/in/GSHHS_f_L1.shp")
+    assert far.collect() == f.collect() and read_shoreline(spark, "viewfs://shapes/in").count() == 12
+    (tmp_path / "GSHHS_f_L1.dbf").unlink()
+    assert read_shoreline(spark, "viewfs://shapes/in/GSHHS_f_L1.shp").count() == 12
     with pytest.raises(ValueError, match="GSHHS"):
         read_shoreline(spark, str(tmp_path / ".."))
 

@@ -12,6 +12,7 @@ from tidemark.operators.locations import check_clashes, coordinate, join_back, u
 from tidemark.plans import partition as P
 from tidemark.plans.settings import Box, Overrides, read_config, region_box, region_names, resolve, suggestions
 from tidemark.sources.areas import SEA_AREAS
+from tidemark.sources.netcdf import write_grid
 from tidemark.sources.tables import default_output, format_of, read_table, write_table
 
 
@@ -210,3 +211,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["nearest", f"{tmp_path}/in.csv", "--to", f"{tmp_path}/to.parquet"], spark) == 0
     assert {r.nearest_name for r in read_table(spark, f"{tmp_path}/in.nearest.csv").collect()} == {"Stockholm", "Sydney"}
     assert cli.main(["coast", "x.csv", "--data", "y", "--partition", "--region", "baltic"], spark) == 2
+    write_grid(f"{tmp_path}/g.nc", [-90.0, 0.0, 90.0], [-180.0, 0.0, 180.0], [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0], [7.0, 8.0, 9.0]])
+    assert cli.main(["enrich", f"{tmp_path}/in.csv", "--depth", f"{tmp_path}/g.nc", "--to", f"{tmp_path}/to.parquet", "--keep", f"{tmp_path}/kept", "-o", f"{tmp_path}/all.parquet"], spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/all.parquet").columns == ["longitude", "latitude", "bathymetry", "nearest_name", "nearest_dist"]
+    step = spark.read.parquet(f"{tmp_path}/kept/step0.depth.parquet")
+    assert step.columns == ["longitude", "latitude", "bathymetry"] and sorted(r.bathymetry for r in step.collect()) == [6.0, 8.0]
+    assert "2 rows, 2 locations, 0 unresolved" in capsys.readouterr().err

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import engine as E
 from tidemark.plans.settings import Overrides, region_names, resolve
-from tidemark.plans.staging import MADE, drop_staged
+from tidemark.plans.staging import MADE, drop_staged, staged
 from tidemark.sources.tables import FORMATS, default_output, read_table, write_table
 
 SHELLS = ("bash", "zsh", "fish", "elvish", "powershell")
@@ -81,6 +81,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("coast", "depth", "seas", "countries", "municipalities", "to"):
         p.add_argument(f"--{name}")
     p.add_argument("--dry-run", action="store_true")
+    p.add_argument("-k", "--keep", metavar="FOLDER", help="also write the table as it is after each command, as Parquet")
     p = sub.add_parser("regions", help="boxes of named areas")
     p.add_argument("--data")
     p.add_argument("--name-field", default="NAME")
@@ -165,6 +166,12 @@ def _lookups(spark: SparkSession, a: argparse.Namespace) -> list[E.Lookup]:
     return found
 
 
+def _commands(a: argparse.Namespace) -> list[str]:
+    """The commands of a run of several, in order."""
+    given = (("coast", a.coast), ("depth", a.depth), ("sea", a.seas), ("place", a.countries), ("nearest", a.to))
+    return [name for name, value in given if value]
+
+
 def _session(threads: int | None) -> SparkSession:
     builder = SparkSession.builder.appName("tidemark")
     if threads and "PYSPARK_GATEWAY_PORT" not in os.environ:  # else spark-submit has set the master
@@ -200,7 +207,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 0
         engine = E.Engine(spark, s)
         try:
-            write_table(engine.run(read_table(spark, a.input, a.in_format), *lookups), out, a.out_format, a.single_file)
+            table = read_table(spark, a.input, a.in_format)
+            result = engine.run(table, *lookups)
+            if getattr(a, "keep", None):
+                result = staged(result)  # computed once, written several times
+                for step, name in enumerate(_commands(a)[:-1]):
+                    made = {f.name for x in lookups[step + 1 :] for f in x.outputs} - set(table.columns)
+                    write_table(result.drop(*made), f"{a.keep}/step{step}.{name}.parquet", "parquet")
+            write_table(result, out, a.out_format, a.single_file)
         finally:  # the tables of this run only: the session may hold others' results
             drop_staged(spark, before)
         r = engine.told()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import geometry as G
-from tidemark.sources.shapefile import ShapefileSource
+from tidemark.plans.staging import hadoop
+from tidemark.sources.shapefile import read_shapes
 
 #: Attributes tried for names and codes, in this order.
 COUNTRY_NAMES = ["NAME", "ADMIN", "NAME_EN", "NAME_LONG"]
@@ -81,8 +83,7 @@ def read_geojson(spark: SparkSession, path: str, name_field: str = "NAME", multi
 
 def read_shapefile(spark: SparkSession, path: str, names: list[str], codes: list[str] | None = None) -> DataFrame:
     """Features of a shapefile: a polygon of many parts is one feature, even-odd across its rings."""
-    spark.dataSource.register(ShapefileSource)
-    df = spark.read.format("shapefile").load(path)
+    df = read_shapes(spark, path)
     pick = lambda keys: F.coalesce(*[clean_text(F.try_element_at("attributes", F.lit(k))) for k in keys], F.lit(None).cast("string"))
     return G.with_bounds(df.select("fid", pick(names).alias("name"), pick(codes or []).alias("code"), "rings"))
 
@@ -101,20 +102,20 @@ def read_features(spark: SparkSession, path: str, name_field: str = "NAME") -> D
     return found
 
 
-def resolve_shoreline(path: str) -> str:
-    """A shapefile, or the first full-resolution level-1 shoreline (by name) in a folder."""
-    if not Path(path).is_dir():
+def resolve_shoreline(spark: SparkSession, path: str) -> str:
+    """A shapefile, or the first full-resolution level-1 shoreline (by name) in a folder of any store Spark reads."""
+    fs, where = hadoop(spark, path)
+    if not fs.exists(where) or not fs.getFileStatus(where).isDirectory():
         return path
-    found = sorted(Path(path).glob("GSHHS_*_L1.shp"))
+    found = sorted(s.getPath().getName() for s in fs.listStatus(where) if fnmatch(s.getPath().getName(), "GSHHS_*_L1.shp"))
     if not found:
         raise ValueError(f"{path} holds no GSHHS_*_L1.shp")
-    return str(found[0])
+    return f"{path.rstrip('/')}/{found[0]}"
 
 
 def read_shoreline(spark: SparkSession, path: str) -> DataFrame:
     """Segments (fid, alon, alat, blon, blat) of a shoreline shapefile or folder."""
-    spark.dataSource.register(ShapefileSource)
-    return G.segments(spark.read.format("shapefile").load(resolve_shoreline(path))).drop("ring", "seg")
+    return G.segments(read_shapes(spark, resolve_shoreline(spark, path))).drop("ring", "seg")
 
 
 def read_countries(spark: SparkSession, path: str) -> DataFrame:

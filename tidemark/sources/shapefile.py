@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
 from pathlib import Path
+from typing import BinaryIO
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tidemark.plans.staging import hadoop
+
 _POLYGONS = {5, 15, 25}
 
 
@@ -36,8 +44,8 @@ def _rings(content: bytes) -> list[list[tuple[float, float]]] | None:
 class _Dbf:
     """Character attributes of a .dbf by record number (from 1)."""
 
-    def __init__(self, path: str):
-        self.f = open(path, "rb")  # noqa: SIM115
+    def __init__(self, file: BinaryIO):
+        self.f = file
         head = self.f.read(32)
         self.n, self.at, self.size = struct.unpack_from("<IHH", head, 4)
         self.fields, offset = {}, 1
@@ -83,7 +91,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Split) -> Iterator[tuple]:
         dbf = Path(self.path).with_suffix(".dbf")
-        rows = _Dbf(str(dbf)) if dbf.exists() else None
+        rows = _Dbf(dbf.open("rb")) if dbf.exists() else None
         for number, content in _records(self.path, partition.at, partition.stop):
             rings = _rings(content)
             if rings is not None:
@@ -104,6 +112,56 @@ class ShapefileSource(DataSource):
         return _Reader(self.options["path"], int(self.options.get("recordsPerSplit", "2000")))
 
 
+_SHAPES = "fid long, rings array<array<struct<lon:double,lat:double>>>, attributes map<string,string>"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(number, record) of whole files, some MB at a time."""
+    for content in (c for b in batches for c in b.column(0)):
+        data, at, numbers, records, size = memoryview(content.as_buffer()), 100, [], [], 0
+        while at + 8 <= len(data):
+            number, words = struct.unpack_from(">ii", data, at)
+            numbers.append(number)
+            records.append(bytes(data[at + 8 : at + 8 + 2 * words]))
+            at, size = at + 8 + 2 * words, size + 2 * words
+            if size > 4 << 20 or at + 8 > len(data):
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(records, pa.binary())], ["number", "record"])
+                numbers, records, size = [], [], 0
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(n, [[{"lon": x, "lat": y} for x, y in ring] for ring in rings]) for n, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (rings := _rings(r)) is not None]
+        kind = pa.list_(pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())])))
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows], pa.int64()), pa.array([r for _, r in rows], kind)], ["fid", "rings"])
+
+
+def _attributes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for content in (c for b in batches for c in b.column(0)):
+        dbf = _Dbf(io.BytesIO(content.as_py()))
+        for low in range(1, dbf.n + 1, 4096):
+            numbers = range(low, min(dbf.n + 1, low + 4096))
+            yield pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.int64()), pa.array([list(dbf.row(k).items()) for k in numbers], pa.map_(pa.string(), pa.string()))], ["fid", "attributes"])
+
+
+def read_shapes(spark: SparkSession, path: str) -> DataFrame:
+    """(fid, rings, attributes) of a shapefile, by the data source where tasks can open it, else through Spark's file systems.
+
+    In a store that only Spark reads, a task gets the file as one row (up to 2 GB) and deals its
+    records out; the attributes come from the .dbf beside it by record number, if there is one.
+    """
+    if Path(path.removeprefix("file://")).exists():
+        spark.dataSource.register(ShapefileSource)
+        return spark.read.format("shapefile").load(path.removeprefix("file://"))
+    whole = lambda p: spark.read.format("binaryFile").load(p).select("content")
+    shapes = whole(path).mapInArrow(_cut, "number long, record binary").repartition(spark.sparkContext.defaultParallelism).mapInArrow(_parsed, T.StructType(T.StructType.fromDDL(_SHAPES).fields[:2]))
+    fs, dbf = hadoop(spark, path[: -len(Path(path).suffix)] + ".dbf")
+    if not fs.exists(dbf):
+        return shapes.withColumn("attributes", F.create_map().cast("map<string,string>"))
+    rows = whole(dbf.toString()).mapInArrow(_attributes, "fid long, attributes map<string,string>")
+    return shapes.join(rows, "fid", "left").withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>")))
+
+
 def write_shapefile(path: str, shapes: list[tuple[list[list[tuple[float, float]]], dict[str, str]]]) -> None:
     """Write polygons and text attributes: for fixtures and small exports."""
     body = b""
