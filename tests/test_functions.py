@@ -189,6 +189,31 @@ def test_gzip_by_the_stated_format(spark, tmp_path, rows):
     assert sorted((float(r.longitude), int(r.latitude), r.name) for r in got.collect()) == sorted((i + 0.5, k, f"a, {i}") for k in range(2) for i in range(rows))
 
 
+def test_gzip_streams_and_headers(spark, tmp_path):
+    """Pieces of any size give the same lines, few at a time; files of different headers are refused."""
+    import gzip
+    import io
+
+    from tidemark.sources.tables import _batches, _pieces
+
+    lines = [f"line {i} é{'x' * (i % 90)}" for i in range(60_000)]
+    text = "\n".join(lines).encode()
+    packed = gzip.compress(text[:1_000_000]) + gzip.compress(b"") + gzip.compress(text[1_000_000:])
+    for size in (1 << 20, 1000, 7):
+        pieces = (packed[i : i + size] for i in range(0, len(packed), size)) if size < 1 << 20 else _pieces(io.BytesIO(packed))
+        got = list(_batches(pieces))
+        assert [v for b in got for v in b.column(0).to_pylist()] == lines
+        assert [v for b in got for v in b.column(1).to_pylist()] == [True] + [False] * (len(lines) - 1)
+        assert max(b.nbytes for b in got) < 4 << 20
+    (tmp_path / "in").mkdir()
+    for k, head in enumerate(("a,b", "b,a")):
+        (tmp_path / "in" / f"p{k}.bin").write_bytes(gzip.compress(f"{head}\n1,2\n".encode()))
+    with pytest.raises(ValueError, match="header"):
+        read_table(spark, str(tmp_path / "in"), "csv.gz")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.packed.link./in", f"file://{tmp_path}/in")
+    assert [tuple(r) for r in read_table(spark, "viewfs://packed/in/p0.bin", "csv.gz").collect()] == [(1, 2)]
+
+
 def test_one_file_replaces_what_was_there(spark, tmp_path):
     for n in (3, 5):
         write_table(spark.range(n), f"{tmp_path}/one.parquet", single_file=True)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import csv
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 from pathlib import PurePosixPath
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.plans.staging import hadoop, staged, staged_lines
 
@@ -49,35 +52,89 @@ def read_table(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     return df.repartition(spark.sparkContext.defaultParallelism) if kind.endswith(".gz") else df
 
 
+def _batches(packed: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """(value, head) of one gzip file given in pieces, of any number of members: some thousand lines at a time, the first one its head."""
+    unpack, rest, head = zlib.decompressobj(31), b"", True
+
+    def told(lines: list[bytes]) -> Iterator[pa.RecordBatch]:
+        nonlocal head
+        if lines:
+            text = [x.decode("utf-8", "replace").removesuffix("\r") for x in lines]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array([head] + [False] * (len(text) - 1))], ["value", "head"])
+            head = False
+
+    for piece in packed:
+        while piece:
+            if unpack.eof:
+                unpack = zlib.decompressobj(31)
+            rest += unpack.decompress(piece, 1 << 20)
+            piece = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+            *lines, rest = rest.split(b"\n")
+            yield from told(lines)
+    rest += unpack.flush()
+    yield from told(rest.removesuffix(b"\n").split(b"\n") if rest else [])
+
+
+def _pieces(file: BinaryIO) -> Iterator[bytes]:
+    while piece := file.read(1 << 20):
+        yield piece
+
+
+class _File(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
+class _GzipReader(DataSourceReader):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+    def partitions(self) -> list[_File]:
+        return [_File(p) for p in self.paths]
+
+    def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
+        with open(partition.path, "rb") as f:
+            yield from _batches(_pieces(f))
+
+
+class GzipLines(DataSource):
+    """format("gzip_lines").option("paths", json).load(): value string, head boolean; a file is read from a stream, whatever its name and size."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "gzip_lines"
+
+    def schema(self) -> str:
+        return "value string, head boolean"
+
+    def reader(self, schema) -> _GzipReader:
+        return _GzipReader(json.loads(self.options["paths"]))
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(value, head) of gzip files, a few thousand lines at a time; the first line of each file is its head."""
-    for b in batches:
-        for content in b.column("content"):
-            rest, head, packed = b"", True, memoryview(content.as_buffer())
-            unpack = zlib.decompressobj(31)
-            while len(packed):
-                rest += unpack.decompress(packed, 1 << 20)
-                packed = unpack.unconsumed_tail or unpack.unused_data
-                if unpack.eof and len(packed):  # a file may be several gzip members
-                    unpack = zlib.decompressobj(31)
-                *lines, rest = rest.split(b"\n")
-                if not len(packed):
-                    rest += unpack.flush()
-                    lines, rest = [*lines, *rest.split(b"\n")], b""
-                if lines:
-                    text = [x.decode("utf-8", "replace").removesuffix("\r") for x in lines]
-                    yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array([head] + [False] * (len(text) - 1))], ["value", "head"])
-                    head = False
+    for content in (c for b in batches for c in b.column("content")):
+        yield from _batches(iter([content.as_py()]))
 
 
 def _unpacked(files: DataFrame, sep: str) -> DataFrame:
-    lines = staged(files.select("content").mapInArrow(_lines, "value string, head boolean"))
-    first = lines.where("head").first()
-    names = next(csv.reader([first["value"]], delimiter=sep)) if first else []
+    """Gzip files under other names: from a stream where tasks can open them, else (up to 2 GB each) through Spark's file systems. All must have one header."""
+    spark = files.sparkSession
+    paths = [r["path"] for r in files.select("path").toLocalIterator()]
+    own = [p.removeprefix("file:") for p in paths]
+    if all(p.startswith("file:") for p in paths):
+        spark.dataSource.register(GzipLines)
+        read = spark.read.format("gzip_lines").option("paths", json.dumps(["/" + p.lstrip("/") for p in own])).load()
+    else:
+        read = files.select("content").mapInArrow(_lines, "value string, head boolean")
+    lines = staged(read)
+    heads = [r["value"] for r in lines.where("head").select("value").distinct().limit(2).collect()]
+    if len(heads) > 1:
+        raise ValueError(f"the files differ in their header: {heads[0]!r} and {heads[1]!r}")
+    names = next(csv.reader(heads, delimiter=sep)) if heads else []
     path = staged_lines(lines.where("not head").select("value"))
     text = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    df = files.sparkSession.read.csv(path, inferSchema=True, sep=sep)
-    return df.toDF(*names) if len(df.columns) == len(names) else files.sparkSession.read.csv(path, schema=text, sep=sep)
+    df = spark.read.csv(path, inferSchema=True, sep=sep)
+    return df.toDF(*names) if len(df.columns) == len(names) else spark.read.csv(path, schema=text, sep=sep)
 
 
 def write_table(df: DataFrame, path: str, fmt: str | None = None, single_file: bool = False) -> None:
