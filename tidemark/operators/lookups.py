@@ -58,7 +58,7 @@ def _packed(refs: DataFrame, axes: list[str], order: list[Column], n: int) -> tu
     """
     tasks = n // SORTED + 1
     ordered = refs.withColumn("_o", _curve(*order))
-    ordered = ordered.repartitionByRange(tasks, "rpid", "_o") if tasks > 1 else ordered.coalesce(1)
+    ordered = ordered.repartitionByRange(tasks, "rpid", "_o") if tasks > 1 else ordered.repartition(1)  # the curve is computed before, by many
     ordered = staged(ordered.sortWithinPartitions("rpid", "_o").drop("_o").withColumn("_at", F.monotonically_increasing_id()))
     if tasks > 1:  # from numbers within a task to numbers within all: a row per task
         task = F.shiftright("_at", 33)
