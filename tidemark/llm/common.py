@@ -277,10 +277,104 @@ def _meet(rows: DataFrame, bits: int, most: int) -> DataFrame:
     return rows.select("key", "id", "code").mapInArrow(run, MET)
 
 
+#: An index in lots: entries (key, id, code) of 24 bytes, those of a lot of like keys together.
+LOTS = "lot int, entries binary"
+_DEALT, _HELD = 1 << 18, 1 << 21  # entries packed at a time; entries of one lot after which large keys leave it
+
+
+def dealt(df: DataFrame, work: Callable[[pa.RecordBatch], list[np.ndarray]]) -> DataFrame:
+    """An index as LOTS: ``work`` turns a batch of ``df`` into keys, ids and codes (64 bits each).
+
+    A row per entry costs the exchange and its sort more than all else; a lot's entries are
+    one row per task and quarter of a million entries. A key is in one lot; there are 32 for
+    each shuffle partition up to 16,384, then 4 for each, 65,536 at most.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lots = np.uint64(min(max(min(32 * parts, 1 << 14), 4 * parts), 1 << 16))
+    names = [c.split()[0] for c in LOTS.split(", ")]
+
+    def packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        key = np.concatenate(held[0])
+        lot = ((_mixed(key.view(np.uint64)) >> np.uint64(32)) % lots).astype(np.uint16)
+        order = np.argsort(lot, kind="stable")
+        entries = np.empty((len(key), 3), np.int64)
+        for k, column in enumerate(held):
+            entries[:, k] = (np.concatenate(column) if k else key)[order]
+        sizes = np.bincount(lot, minlength=int(lots))
+        own = np.flatnonzero(sizes)
+        ends = np.r_[0, np.cumsum(sizes[own])].astype(np.int32) * 24
+        binary = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(entries)])
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), binary], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [[], [], []], 0
+        for batch in batches:
+            found = work(batch)
+            for k, column in enumerate(found):
+                held[k].append(column)
+            n += len(found[0])
+            if n >= _DEALT:
+                yield packed(held)
+                held, n = [[], [], []], 0
+        if n:
+            yield packed(held)
+
+    return df.mapInArrow(run, LOTS)
+
+
+def _meet_lots(index: DataFrame, bits: int, most: int, least_held: int = _HELD) -> DataFrame:
+    """As :func:`_meet`, of LOTS that are sorted by lot within partitions. A lot is held as a whole, but for its large keys once it is long."""
+    names = [c.split()[0] for c in MET.split(", ")]
+
+    def out(found: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+        for cols in found:
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
+
+    def by_key(entries: list[np.ndarray]) -> list[np.ndarray]:
+        rows = np.concatenate(entries)
+        rows = rows[np.argsort(rows[:, 0])]
+        return [np.ascontiguousarray(rows[:, 0]), np.ascontiguousarray(rows[:, 1]), np.ascontiguousarray(rows[:, 2]).view(np.uint64)]
+
+    def split(rows: np.ndarray, big: np.ndarray) -> tuple[tuple, np.ndarray]:
+        of_big = np.isin(rows[:, 0], big)
+        key, id_, code = (np.ascontiguousarray(rows[of_big, k]) for k in range(3))
+        return _large(key, id_, code.view(np.uint64)), rows[~of_big]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, room, last, big = [], 0, least_held, None, np.zeros(0, np.int64)
+        for batch in batches:
+            for lot, entries in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if lot != last:
+                    if n >= least_held // 16 or len(big):
+                        yield from out(_met(*by_key(held), bits, most))
+                        held, n = [], 0
+                    last, big, room = lot, big[:0], n + least_held
+                rows = np.frombuffer(entries.as_buffer(), np.int64).reshape(-1, 3)
+                if len(big):
+                    large, rows = split(rows, big)
+                    yield from out([large])
+                held.append(rows.copy())
+                n += len(rows)
+                if n >= room:
+                    rows = np.concatenate(held)
+                    keys, sizes = np.unique(rows[:, 0], return_counts=True)
+                    more = keys[sizes > most]
+                    if len(more):
+                        big = np.concatenate((big, more))
+                        large, rows = split(rows, more)
+                        yield from out([large])
+                    held, n = [rows], len(rows)
+                    room = n + least_held
+        if n:
+            yield from out(_met(*by_key(held), bits, most))
+
+    return index.select("lot", "entries").mapInArrow(run, MET)
+
+
 def meetings(index: DataFrame, scratch: Scratch, bits: int = 0, most_in_task: int = 1 << 13) -> DataFrame:
     """Groups of ids that share a key and have like codes, as a table (g, id, low, before, code, n).
 
-    ``index``: rows (key, id, code), shuffled and sorted once. Within a key, ids are linked if
+    ``index``: rows (key, id, code), or LOTS of them, shuffled and sorted once. Within a key, ids are linked if
     their codes differ in at most ``bits`` bits or, for keys below zero, in at most SKETCH_MOST
     cells of a sketch; every component of two or more ids is a group ``g``, with its smallest
     id ``low``, its size ``n`` and perhaps ``before``, an id of a nearer code than low's. Equal
@@ -290,8 +384,9 @@ def meetings(index: DataFrame, scratch: Scratch, bits: int = 0, most_in_task: in
     of rows, no pair of ids is written, and every two linked ids share a group.
     """
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    deal = lambda rows: rows.repartition(parts, "key").sortWithinPartitions("key")
-    met = scratch.cut(_meet(deal(index), bits, most_in_task))
+    deal = lambda rows, by="key": rows.repartition(parts, by).sortWithinPartitions(by)
+    lots = "lot" in index.columns
+    met = scratch.cut(_meet_lots(deal(index, "lot"), bits, most_in_task) if lots else _meet(deal(index), bits, most_in_task))
     out = met.where("not big").drop("big")
     large = met.where("big").select(F.col("g").alias("key"), "id", "code")
     if not large.isEmpty():

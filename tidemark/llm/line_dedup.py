@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, components, fresh, let, meetings, row_key, texts
+from .common import Scratch, arrow_map, components, dealt, fresh, let, meetings, row_key, texts
 
 #: Long lines: unrelated ones share many short shingles, so theirs are long. A pair at 0.8 is missed with probability (1 - 0.8 ** 4) ** 12, 2 in 1,000; at 0.85: 1 in 10,000.
 SHINGLE, BANDS, ROWS, JACCARD = 10, 12, 4, 0.8
@@ -22,7 +22,7 @@ SHINGLE, BANDS, ROWS, JACCARD = 10, 12, 4, 0.8
 FINE, SHORT, FINE_BANDS, FINE_ROWS = 4, 140, 16, 5
 FEW = 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BLOCK = 1 << 18  # code points hashed at a time
+_BLOCK = 1 << 16  # code points hashed at a time: what is made of them stays in the cache
 
 
 def plain(line: str) -> str:
@@ -94,30 +94,37 @@ def minhash_bands(lines: list[str], width: int = SHINGLE, bands: int = BANDS, ro
         lengths = np.fromiter(map(len, part), np.int64, len(part))
         hashes = shingle_hashes(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32), width)
         low = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        # runs across two lines belong to none
         ends = np.cumsum(lengths)
-        edges = np.stack([ends - lengths, ends - width + 1], 1).ravel()
-        edges = edges[:-1]  # the last run goes to the end
-        least = np.stack([np.minimum.reduceat(low * x + y, edges)[::2] for x, y in zip(a, b, strict=True)], 1)
-        out[at:stop], codes[at:stop] = band_keys(least, bands, rows), sketches(least)
+        own = np.ones(len(low), bool)
+        own[(ends[:-1, None] - np.arange(1, width)).ravel()] = False
+        low, starts = low[own], ends - lengths - np.arange(len(part)) * (width - 1)
+        one, least = np.empty_like(low), np.empty((len(a), len(part)), np.uint32)
+        for k in range(len(a)):
+            np.multiply(low, a[k], out=one)
+            np.add(one, b[k], out=one)
+            np.minimum.reduceat(one, starts, out=least[k])
+        out[at:stop], codes[at:stop] = band_keys(least.T, bands, rows), sketches(least.T)
         at = stop
     return out, codes
 
 
 def scan(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows (doc_id, row, n_lines, line_no, h, line): every line with a word, in plain form, its hash, and how many its text has."""
+    """Rows (doc_id, row, n_lines, line_no, h, line): every line with a word, in plain form, its hash and, with a text's first, how many it has."""
     kind = df.schema[doc_id].dataType.simpleString()
 
     def work(c: dict) -> dict:
         rows, numbers, lines, sizes = [], [], [], []
         for i, t in enumerate(texts(c["text"])):
             before = len(lines)
-            for n, line in enumerate(t.split("\n")):
-                p = plain(line)
+            for n, line in enumerate(t.lower().split("\n")):
+                # of white space, blanks alone are printable
+                p = line.strip(" ") if line.isprintable() and "  " not in line else " ".join(line.split())
                 if p:
                     rows.append(i)
                     numbers.append(n)
                     lines.append(p)
-            sizes += [len(lines) - before] * (len(lines) - before)
+            sizes += [len(lines) - before, *[None] * (len(lines) - before - 1)][: len(lines) - before]
         hashes = np.fromiter((xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), 1) for p in lines), np.uint64, len(lines)).view(np.int64)
         at = pa.array(rows, pa.int64())
         return {"doc_id": c["doc_id"].take(at), "row": c["row"].take(at), "n_lines": pa.array(sizes, pa.int64()), "line_no": pa.array(numbers, pa.int32()), "h": pa.array(hashes), "line": pa.array(lines, pa.string())}
@@ -127,7 +134,7 @@ def scan(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def band_index(distinct: DataFrame, fine: int | None) -> DataFrame:
-    """Rows (key, id, code): the bands of each line (h, line), all keys negative.
+    """Lots of (key, id, code), as :func:`dealt` packs them: the bands of each line (h, line), all keys negative.
 
     The lowest bit of a key tells the width of its shingles: 0 for SHINGLE, 1 for ``fine``.
     Lines of at most SHORT code points have fine keys; those from 0.8 times that on have
@@ -135,8 +142,8 @@ def band_index(distinct: DataFrame, fine: int | None) -> DataFrame:
     """
     sign = np.int64(-1 << 63)
 
-    def work(c: dict) -> dict:
-        ids, lines = c["h"].to_numpy(), c["line"].to_pylist()
+    def work(c: pa.RecordBatch) -> list[np.ndarray]:
+        ids, lines = c.column(0).to_numpy(), c.column(1).to_pylist()
         size = np.fromiter(map(len, lines), np.int64, len(lines))
         kinds = [(SHINGLE, BANDS, ROWS, 0, size >= JACCARD * (SHORT - SHINGLE) if fine else size > 0)]
         kinds += [(fine, FINE_BANDS, FINE_ROWS, 1, size <= SHORT)] if fine else []
@@ -147,9 +154,9 @@ def band_index(distinct: DataFrame, fine: int | None) -> DataFrame:
             key.append(((keys & np.int64(-2)) | np.int64(odd) | sign).ravel())
             id_.append(np.repeat(ids[at], bands))
             code.append(np.repeat(codes, bands))
-        return {n: pa.array(np.concatenate(x)) for n, x in (("key", key), ("id", id_), ("code", code))}
+        return [np.concatenate(x) for x in (key, id_, code)]
 
-    return arrow_map(distinct, ["h", "line"], "key long, id long, code long", work)
+    return dealt(distinct.select("h", "line"), work)
 
 
 def _common(a: str, b: str, n: int, end: bool) -> int:
@@ -226,7 +233,7 @@ class Bucket:
             for at in range(0, len(others), 256):
                 possible[at : at + 256] = np.minimum(self.bins[others[at : at + 256]], self.bins[me]).sum(1, dtype=np.int64)
             full = (self.bins[others] == 65535).any(1)  # such a count bounds nothing
-            others = others[full | (possible * (1 + self.least) >= self.least * (self.sizes[others] + mine))]
+            others = others[full | (possible >= self.least * (self.sizes[others] + mine - possible))]
         for i in others.tolist():
             if self.comp[i] != self.comp[me]:
                 if not self.sizes[i]:
@@ -252,20 +259,102 @@ class Bucket:
         return out
 
 
+def shingle_sets(lines: list[str], width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each line, hashed together."""
+    part = [x if len(x) >= width else x.ljust(width, "\0") for x in lines]
+    lengths = np.fromiter(map(len, part), np.int64, len(part))
+    hashes = shingle_hashes(np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), np.uint32), width)
+    ends = np.cumsum(lengths)
+    starts, stops = ends - lengths, ends - width + 1
+    for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
+        hashes[s:e].sort()
+    new = np.empty(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+    new[starts] = True
+    # runs across two lines belong to none
+    new[(stops[:-1, None] + np.arange(width - 1)).ravel()] = False
+    return np.split(hashes[new], np.cumsum(np.add.reduceat(new, starts, dtype=np.int64))[:-1])
+
+
+def few_links(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links between the lines of a small group, from their shingles, as :class:`Bucket` finds them: every two in different components are compared."""
+    out, comp, led, rest, may = [], list(range(len(sets))), [], [], None
+    if len(sets) > 3:
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        bins = np.bincount((np.concatenate(sets) & np.uint64(_BINS - 1)).astype(np.int64) + np.repeat(np.arange(len(sets)) * _BINS, sizes), minlength=len(sets) * _BINS).reshape(-1, _BINS).astype(np.int32)
+    for me, b in enumerate(sets):
+        alone = True
+        if len(sets) > 3:
+            # shingles counted by bin bound what two lines have in common
+            most = np.minimum(bins[:me], bins[me]).sum(1)
+            may = (most >= least * (sizes[:me] + sizes[me] - most)).tolist()
+        for k in led + rest:
+            if comp[k] == comp[me] or may and not may[k]:
+                continue
+            a = sets[k]
+            if min(len(a), len(b)) < least * max(len(a), len(b)):
+                continue
+            both = np.concatenate((a, b))
+            both.sort()
+            common = np.count_nonzero(both[1:] == both[:-1])
+            if common >= least * (len(both) - common):
+                out.append((k, me))
+                old, alone = comp[me], False
+                comp = [comp[k] if c == old else c for c in comp]
+        (led if alone else rest).append(me)
+    return out
+
+
 def verified(rows: DataFrame, least: float, fine: int | None = None) -> DataFrame:
-    """Links (src, dst) from rows (g, id, line) that are sorted by group within a partition. Odd groups are of ``fine`` shingles."""
+    """Links (src, dst) from rows (g, id, line) that are sorted by group within a partition. Odd groups are of ``fine`` shingles.
+
+    Groups of up to FEW lines are hashed many at a time; a larger one goes through a :class:`Bucket`, line by line.
+    """
+
+    def settled(groups: list[tuple[int, list[int], list[str]]]) -> tuple[list[int], list[int]]:
+        src, dst = [], []
+        for odd in (0, 1):
+            some = [(ids, lines) for g, ids, lines in groups if g & 1 == odd and len(ids) > 1]
+            if some:
+                sets, at = shingle_sets([x for _, lines in some for x in lines], fine if odd else SHINGLE), 0
+                for ids, _ in some:
+                    for a, b in few_links(sets[at : at + len(ids)], least):
+                        src.append(ids[a])
+                        dst.append(ids[b])
+                    at += len(ids)
+        return src, dst
 
     def run(batches):
-        bucket, last = None, None
-        for batch in batches:
+        groups, size, bucket, last = [], 0, None, None
+        batch = lambda src, dst: pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+        for rows in batches:
             src, dst = [], []
-            for g, i, line in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
+            for g, i, line in zip(*(rows.column(j).to_pylist() for j in range(3)), strict=True):
                 if g != last:
-                    bucket, last = Bucket(least, fine if g & 1 else SHINGLE), g
-                found = bucket.add(i, line)
-                src += found
-                dst += [i] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+                    if size >= _BLOCK:
+                        yield batch(*settled(groups))
+                        groups, size = [], 0
+                    groups.append((g, [], []))
+                    bucket, last = None, g
+                if bucket is None and groups[-1][1] and (len(groups[-1][1]) == FEW or size + len(line) > 8 * _BLOCK):
+                    _, ids, lines = groups.pop()
+                    yield batch(*settled(groups))
+                    groups, size, bucket = [(g, [], [])], 0, Bucket(least, fine if g & 1 else SHINGLE)
+                    for k, x in zip(ids, lines, strict=True):
+                        found = bucket.add(k, x)
+                        src += found
+                        dst += [k] * len(found)
+                if bucket is None:
+                    groups[-1][1].append(i)
+                    groups[-1][2].append(line)
+                    size += len(line)
+                else:
+                    found = bucket.add(i, line)
+                    src += found
+                    dst += [i] * len(found)
+            if src:
+                yield batch(src, dst)
+        yield batch(*settled(groups))
 
     return rows.select("g", "id", "line").mapInArrow(run, "src long, dst long")
 
@@ -297,13 +386,14 @@ def removals(df: DataFrame, doc_id: str = "doc_id", text: str = "text", least: f
     lines = met.join(distinct.select(F.col("h").alias("id"), "line"), "id")
     edges = scratch.cut(verified(lines.repartition(parts, "g").sortWithinPartitions("g", "id"), least, fine), drop=met)
     comp = components(edges, scratch).select(F.col("id").alias("h"), "component")
-    named = distinct.select("h", "first", "n").join(comp, "h", "left").withColumn("c", F.coalesce("component", "h"))
-    keeper = named.groupBy("c").agg(F.min("first").alias("keeper"))
     # a line that occurs once and stands alone needs no look-up
-    shared = scratch.cut(named.where("n > 1 or component is not null").join(keeper, "c").select("h", "keeper"))
+    named = distinct.select("h", "first", "n").join(comp, "h", "left").where("n > 1 or component is not null")
+    named = scratch.cut(named.select("h", "first", F.coalesce("component", "h").alias("c")), drop=distinct)
+    keeper = named.groupBy("c").agg(F.min("first").alias("keeper"))
+    shared = scratch.cut(named.join(keeper, "c").select("h", "keeper"), drop=named)
     gone = rows.select("doc_id", "row", "line_no", "h").join(shared, "h").where("not (struct(doc_id, line_no, row) <=> keeper)")
     lost = gone.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    counts = rows.groupBy("doc_id", "row").agg(F.max("n_lines").alias("n_lines"))
+    counts = rows.where("n_lines is not null").groupBy("doc_id", "row").agg(F.max("n_lines").alias("n_lines"))
     out = counts.join(lost, F.expr("row = _r and doc_id <=> _d"), "left")
     return scratch.cut(out.select("doc_id", "row", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed")), drop=rows)
 
